@@ -4,8 +4,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licenses, quality, warc
-from .common import materialize, read_table
+import public_tokenizers
+
+from . import ann, bpe, chat, licenses, mixing, quality, rans, simhash, substring, warc
+from .common import materialize, read_table, scratch
 
 
 def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,11 +32,58 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM t GROUP BY conv_id"""
 
 
+def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.remove_repeats(read_table(spark, sf_dir, "documents"), 13, with_text=False)
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+OP2_SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(words) - 11)) AS i, words FROM w WHERE len(words) >= 13),
+h AS (SELECT doc_id, i, array_to_string(words[i:i+12], ' ') AS win FROM g),
+f AS (SELECT win, min(doc_id) AS first FROM h GROUP BY win),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS j FROM h JOIN f USING (win) WHERE first < doc_id),
+r AS (SELECT doc_id, list(j) AS gone FROM c GROUP BY doc_id),
+p AS (SELECT w.doc_id, words, unnest(range(1, len(words) + 1)) AS j FROM w),
+k AS (SELECT p.doc_id, array_to_string(list(words[p.j] ORDER BY p.j), ' ') AS kept, count(*) AS n FROM p ANTI JOIN c ON c.doc_id = p.doc_id AND c.j = p.j GROUP BY p.doc_id)
+SELECT w.doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM w LEFT JOIN k USING (doc_id)""".replace("\\\\", "\\")
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(read_table(spark, sf_dir, "documents"), k=4)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan_licenses(read_table(spark, sf_dir, "documents"))
     return found.drop("detections")
 
 
+def op6_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "tokens")
+    rans.write_tokens(read_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), 2, 50_257)
+    return rans.read_tokens(spark, path, 50_257, with_ids=False)
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ids = bpe.encode(read_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    out = bpe.decode(ids, ranks, public_tokenizers.PATTERN)
+    text = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(text.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = ann.clean(read_table(spark, sf_dir, "embeddings"))
+    return ann.search(vectors, vectors.filter(F.col("vec_id") % 50 == 0), 5)
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_report(read_table(spark, sf_dir, "pages"))
 
@@ -54,5 +103,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_chat": op1_chat, "op5_licenses": op5_licenses, "op9_warc": op9_warc, "op10_quality": op10_quality}
-SQL = {"op1_chat": OP1_SQL, "op9_warc": OP9_SQL}
+QUERIES = {"op1_chat": op1_chat, "op2_substring": op2_substring, "op3_simhash": op3_simhash, "op4_mixing": op4_mixing, "op5_licenses": op5_licenses, "op6_rans": op6_rans, "op7_bpe": op7_bpe, "op8_ann": op8_ann, "op9_warc": op9_warc, "op10_quality": op10_quality}
+SQL = {"op1_chat": OP1_SQL, "op2_substring": OP2_SQL, "op9_warc": OP9_SQL}
