@@ -61,20 +61,26 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
 
 def segments(spark: SparkSession, path: str) -> DataFrame:
     """The archives split at every magic string: file, split, i (order of rows in a split), seg (the bytes after the magic)."""
-    rows = spark.read.option("lineSep", MAGIC).text(path).select(
+    return spark.read.option("lineSep", MAGIC).text(path).select(
         F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("i"), F.col("value").alias("seg"))
-    return materialize(rows, "warc-segments")
 
 
-def candidates(segs: DataFrame) -> DataFrame:
-    """Every place of the magic string, parsed as a record of its own: file, i, off, succ (where the next record must start by its
-    length; null if it has no header), next (where the next magic string stands), and what ``parse`` reads."""
+def placed(rows: DataFrame) -> DataFrame:
+    """Add off, where the magic string of a segment stands, and next, where the following one does. ``rows``: file, split, i, len (bytes). A
+    read that starts inside a file yields what follows its first magic, so the sums of the lengths give offsets."""
     w = Window.partitionBy("file").orderBy("split", "i")
-    narrow = segs.select("file", "split", "i", F.octet_length("seg").cast("long").alias("len"), jump(F.col("seg")).alias("jump"), *parse(F.col("seg")))
     cum = F.sum(F.col("len") + len(MAGIC)).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    placed = narrow.withColumns({"k": F.row_number().over(w), "off": cum - F.col("len") - 2 * len(MAGIC)}).filter(F.col("k") > 1)
-    placed = placed.withColumns({"succ": F.col("off") + F.col("jump"), "next": F.col("off") + F.col("len") + len(MAGIC)}).drop("k", "jump", "len", "split")
-    return materialize(placed, "warc-candidates")
+    out = rows.withColumns({"k": F.row_number().over(w), "off": cum - F.col("len") - 2 * len(MAGIC)}).filter(F.col("k") > 1)
+    return out.withColumn("next", F.col("off") + F.col("len") + len(MAGIC)).drop("k")
+
+
+def candidates(spark: SparkSession, path: str) -> DataFrame:
+    """Every place of the magic string, parsed as a record of its own: file, off, succ (where the next record must start by its length;
+    null if it has no header), next (where the next magic string stands), and what ``parse`` reads. Payloads stay behind."""
+    s = F.col("seg")
+    narrow = segments(spark, path).select("file", "split", "i", F.octet_length("seg").cast("long").alias("len"), jump(s).alias("jump"), *parse(s))
+    narrow = materialize(narrow, "warc-parsed")
+    return materialize(placed(narrow).withColumn("succ", F.col("off") + F.col("jump")).drop("jump", "len", "split", "i"), "warc-candidates")
 
 
 def jump(seg: Column) -> Column:
@@ -88,18 +94,23 @@ def jump(seg: Column) -> Column:
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """The records of all archives under ``path``: page_id, record_type, refers_to, stated_digest, stated_bytes, digest and bytes of the
     payload that was read (null in revisits). Empty files have no records; text before the first record of a file is skipped."""
-    segs = segments(spark, path)
-    cand = candidates(segs)
+    cand = candidates(spark, path)
     good = reachable(cand.select("file", "off", "succ"))
     marked = cand.join(good.select(F.col("file").alias("gf"), F.col("off").alias("go")).hint("shuffle_hash"), (F.col("gf") == F.col("file")) & (F.col("go") == F.col("off")), "left")
     owner = F.last(F.when(F.col("gf").isNotNull(), F.col("off")), True).over(Window.partitionBy("file").orderBy("off"))
     owned = materialize(marked.withColumn("rec", owner).filter(F.col("rec").isNotNull()), "warc-owned")
     fields = ["page_id", "record_type", "refers_to", "stated_digest", "stated_bytes", "digest", "bytes"]
-    broken = owned.filter((F.col("rec") == F.col("off")) & (F.col("succ") > F.col("next"))).select("file", "rec")
-    whole = owned.filter((F.col("rec") == F.col("off")) & (F.col("succ") <= F.col("next"))).select(*fields)
-    # A record whose payload holds magic strings was split there: its pieces are put together again, in order.
-    pieces = materialize(owned.select("file", "rec", "off", "i").join(broken.hint("merge"), ["file", "rec"], "left_semi"), "warc-pieces")
-    parts = segs.select("i", "seg").join(_sized(pieces), "i").groupBy("file", "rec").agg(F.sort_array(F.collect_list(F.struct("off", "seg"))).alias("p"))
+    starts = owned.filter(F.col("rec") == F.col("off"))
+    whole = starts.filter(F.col("succ") <= F.col("next")).select(*fields)
+    broken = starts.filter(F.col("succ") > F.col("next")).select("file", "rec")
+    if not broken.limit(1).count():
+        return whole
+    # A record whose payload holds magic strings was split there: the files are read once more and its pieces put together, in order.
+    pieces = materialize(owned.select("file", "rec", "off").join(broken.hint("merge"), ["file", "rec"], "left_semi"), "warc-pieces")
+    segs = materialize(segments(spark, path), "warc-segments")
+    places = placed(segs.select("file", "split", "i", F.octet_length("seg").cast("long").alias("len"))).select("file", "off", "i")
+    wanted = materialize(places.join(pieces.hint("merge"), ["file", "off"]), "warc-wanted")
+    parts = segs.select("i", "seg").join(_sized(wanted), "i").groupBy("file", "rec").agg(F.sort_array(F.collect_list(F.struct("off", "seg"))).alias("p"))
     again = parts.select(F.array_join(F.transform("p", lambda x: x["seg"]), MAGIC).alias("seg")).select(*parse(F.col("seg")))
     return whole.unionByName(again)
 
