@@ -10,17 +10,17 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import materialize, release
 
 BITS = 64
-#: Leading bits of a variant that name its bucket.
-PREFIX = 10
+#: Fingerprints of a bucket, on average: the number of leading bits that name a bucket follows from it, 8 at least.
+BUCKET = 1024
 #: Variants that a task holds at a time; a fuller bucket is split by more leading bits.
 MOST_VARIANTS = 4_000_000
 _U = np.uint64
@@ -61,18 +61,16 @@ def _masks(bits: int, most: int, shift: int = 0) -> list[np.ndarray]:
     return [np.array([sum(1 << (shift + i) for i in c) for c in combinations(range(bits), n)], np.uint64) for n in range(most + 1)]
 
 
-def _join(parent: list[int], a: int, b: int) -> None:
+def _root(parent: list[int], a: int) -> int:
     while parent[a] != a:
         parent[a] = parent[parent[a]]
         a = parent[a]
-    while parent[b] != b:
-        parent[b] = parent[parent[b]]
-        b = parent[b]
-    parent[max(a, b)] = min(a, b)
+    return a
 
 
-def _link(fps: np.ndarray, ids: np.ndarray, bucket: int, prefix: int, half: int, parent: list[int]) -> None:
-    """Join those of ``fps`` (with numbers ``ids``) that share a variant whose leading ``prefix`` bits are ``bucket``."""
+def _link(fps: np.ndarray, ids: np.ndarray, bucket: int, prefix: int, half: int, parent: list[int], edges: list[tuple[int, int]], everyone: np.ndarray) -> None:
+    """Join those of ``fps`` (with numbers ``ids``) that share a variant whose leading ``prefix`` bits are ``bucket``. Pairs that are neighbours
+    among equal variants are taken nearest first, and those that join two trees are the edges of the forest."""
     low = BITS - prefix
     spent = np.bitwise_count((fps >> _U(low)) ^ _U(bucket)).astype(np.int64)
     near = spent <= half
@@ -82,7 +80,7 @@ def _link(fps: np.ndarray, ids: np.ndarray, bucket: int, prefix: int, half: int,
     sizes = np.cumsum([len(m) for m in _masks(low, half)]) if low > 0 else np.array([1] * (half + 1))
     if sizes[half - spent].sum() > MOST_VARIANTS and low >= 4:
         for sub in range(16):
-            _link(fps, ids, (bucket << 4) | sub, prefix + 4, half, parent)
+            _link(fps, ids, (bucket << 4) | sub, prefix + 4, half, parent, edges, everyone)
         return
     masks = _masks(low, half)
     tail = fps & _U((1 << low) - 1)
@@ -98,38 +96,38 @@ def _link(fps: np.ndarray, ids: np.ndarray, bucket: int, prefix: int, half: int,
     v, w = v[order], w[order]
     same = v[1:] == v[:-1]
     pairs = np.unique(np.stack((w[:-1][same], w[1:][same]), 1), axis=0)
-    for a, b in pairs.tolist():
-        _join(parent, a, b)
+    far = np.bitwise_count(everyone[pairs[:, 0]] ^ everyone[pairs[:, 1]])
+    for a, b in pairs[np.argsort(far, kind="stable")].tolist():
+        x, y = _root(parent, a), _root(parent, b)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            edges.append((min(a, b), max(a, b)))
 
 
 def links(fps: DataFrame, half: int = 2) -> DataFrame:
-    """``fps``: distinct fingerprints (fp). Edges (a, b), a < b as signed longs, that join every pair within ``2 * half`` bits to one
-    component; an edge stands for a chain of such pairs."""
-    tops = np.concatenate(_masks(PREFIX, half))
+    """``fps``: distinct (t, fp), t the number of a table of fingerprints. Edges (t, a, b) of a table, a < b as signed longs, that join every
+    pair within ``2 * half`` bits to one component; an edge stands for a chain of such pairs."""
+    n = fps.count()
+    prefix = max(8, int(np.ceil(np.log2(max(n, 1) / BUCKET))))
+    tops = np.concatenate(_masks(prefix, half))
 
     def spread(batches):
         for b in batches:
-            f = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for at in range(0, len(f), 10_000):
-                g = f[at : at + 10_000]
-                buckets = ((g >> _U(BITS - PREFIX))[:, None] ^ tops[None, :]).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int32)), pa.array(np.repeat(g.view(np.int64), len(tops)))], names=["bucket", "fp"])
-
-    def meet(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        f = np.sort(pdf["fp"].to_numpy()).view(np.uint64)
-        parent = list(range(len(f)))
-        _link(f, np.arange(len(f)), int(key[0]), PREFIX, half, parent)
-        other = [x for x in range(len(f)) if parent[x] != x]
-        root = []
-        for x in other:
-            r = x
-            while parent[r] != r:
-                r = parent[r]
-            root.append(r)
+            tables, fs = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+            for at in range(0, len(fs), 10_000):
+                t, g = tables[at : at + 10_000], fs[at : at + 10_000]
+                buckets = ((g >> _U(BITS - prefix))[:, None] ^ tops[None, :]).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(t, len(tops))), pa.array(buckets.view(np.int64)), pa.array(np.repeat(g.view(np.int64), len(tops)))], names=["t", "bucket", "fp"])
+
+    def meet(key: tuple, rows: pa.Table) -> pa.Table:
+        f = np.sort(rows.column("fp").to_numpy()).view(np.uint64)
+        edges: list[tuple[int, int]] = []
+        _link(f, np.arange(len(f)), int(key[1].as_py()), prefix, half, list(range(len(f))), edges, f)
         s = f.view(np.int64)
-        return pd.DataFrame({"a": s[root], "b": s[other]} if other else {"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        a, b = (s[[e[k] for e in edges]] if edges else [] for k in (0, 1))
+        return pa.table({"t": pa.array([key[0].as_py()] * len(edges), pa.int32()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return fps.select("fp").mapInArrow(spread, "bucket int, fp bigint").groupBy("bucket").applyInPandas(meet, "a bigint, b bigint")
+    return fps.select("t", "fp").mapInArrow(spread, "t int, bucket bigint, fp bigint").groupBy("t", "bucket").applyInArrow(meet, "t int, a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -168,10 +166,147 @@ def near_duplicates(docs: DataFrame, k: int = 5, half: int = 2, text: str = "tex
     Repeated rows are returned as often as they stand; other columns are ignored; an empty table gives an empty result."""
     marked = materialize(fingerprints(docs, k, text, key), "simhash-fingerprints")
     classes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-classes")
-    roots = components(links(classes, half))
+    roots = components(links(classes.select(F.lit(0).alias("t"), "fp"), half))
     release(docs.sparkSession)
     joined = classes.join(roots.hint("merge"), F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     label = joined.groupBy("root").agg(F.min("first").alias("component_id"))
     table = joined.join(label.hint("merge"), "root").select(F.col("fp").alias("cfp"), "component_id")
     table = materialize(table, "simhash-labels")
     return marked.join(table.hint("merge"), F.col("fp") == F.col("cfp")).select("doc_id", "fp", "component_id")
+
+
+#: Near copies are sought with so many fingerprints of the distinct words of a text, at up to 4 differing bits, and kept apart unless
+#: their sets of five-word shingles overlap by SIMILARITY or more.
+TABLES, SHINGLE, SIMILARITY = 6, 5, 0.8
+#: How many members of a candidate component, the smallest first, all later groups of it are compared with.
+LEADERS = 3
+
+
+def _word_prints(words: list[bytes]) -> np.ndarray:
+    """TABLES fingerprints of a set of words."""
+    if not words:
+        return np.zeros(TABLES, np.uint64)
+    h = np.array([xxhash.xxh64_intdigest(w, 42) for w in set(words)], np.uint64)
+    out = []
+    for t in range(TABLES):
+        g = h * _U(2 * t + 1)
+        g = (g ^ (g >> _U(29))) * _U(0xBF58476D1CE4E5B9) if t else g
+        g = g ^ (g >> _U(32))
+        ones = np.add.reduce(np.unpackbits(g.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), axis=0, dtype=np.int64)
+        out.append(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
+    return np.array(out, np.uint64)
+
+
+def _shingles(words: list[bytes]) -> np.ndarray:
+    """Sorted distinct hashes of the five-word shingles (of the whole text if it is shorter)."""
+    n = max(1, len(words) - SHINGLE + 1) if words else 0
+    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + SHINGLE]), 7) for i in range(n)], np.uint64))
+
+
+def copy_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """doc_id, th (hash of the lower-cased words), group_id of every row of ``docs``: documents whose words are equal, or whose shingle sets
+    overlap by SIMILARITY or more in a chain of compared pairs, share the smallest doc_id as group_id.
+
+    Texts of equal words are one class. Classes that agree in a fingerprint within 4 bits are candidates; compared are the edges
+    of the candidate forests and every member of a candidate component with its smallest member, so a crowded component
+    costs a number of comparisons in proportion to its members. Documents without words are no copies of each other.
+    Null ids take part; a group of null ids alone has a null group_id."""
+    spark = docs.sparkSession
+
+    def prints(batches):
+        for b in batches:
+            th, fps = [], []
+            for t in b.column(1).to_pylist():
+                words = t.lower().split()
+                th.append(xxhash.xxh64_intdigest(b" ".join(words), 3) if words else None)
+                fps.append(_word_prints(words).view(np.int64).tolist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if x is None else x - (1 << 64) * (x >> 63) for x in th], pa.int64()), pa.array(fps, pa.list_(pa.int64()))], names=["doc_id", "th", "fps"])
+
+    body = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
+    marked = materialize(body.mapInArrow(prints, "doc_id bigint, th bigint, fps array<bigint>"), "copies-prints")
+    worded = marked.filter(F.col("th").isNotNull())
+    classes = materialize(worded.groupBy("th").agg(F.min("doc_id").alias("first"), F.any_value("fps").alias("fps")), "copies-classes")
+    tables = classes.select("th", F.posexplode("fps").alias("t", "fp"))
+    # A fingerprint stands for the smallest class that has it; the others hang on that one.
+    heads = materialize(tables.groupBy("t", "fp").agg(F.min("th").alias("head")), "copies-heads")
+    named = lambda side: heads.select(F.col("t").alias(f"t{side}"), F.col("fp").alias(f"f{side}"), F.col("head").alias(f"n{side}")).hint("merge")
+    far = links(heads).alias("e").join(named("a"), (F.col("t") == F.col("ta")) & (F.col("a") == F.col("fa"))).join(named("b"), (F.col("t") == F.col("tb")) & (F.col("b") == F.col("fb")))
+    same = tables.join(heads.hint("merge"), ["t", "fp"]).filter(F.col("th") != F.col("head"))
+    pairs = far.select(F.col("na").alias("a"), F.col("nb").alias("b")).unionByName(same.select(F.col("head").alias("a"), F.col("th").alias("b")))
+    pairs = materialize(pairs.filter(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "copies-candidates")
+    release(spark)
+    rough = components(pairs)
+    nodes = materialize(pairs.select(F.col("a").alias("n")).union(pairs.select(F.col("b").alias("n"))).distinct(), "copies-nodes")
+
+    def sets(batches):
+        for b in batches:
+            th, rows = [], []
+            for t in b.column(0).to_pylist():
+                words = t.lower().split()
+                x = xxhash.xxh64_intdigest(b" ".join(words), 3)
+                th.append(x - (1 << 64) * (x >> 63))
+                rows.append(_shingles(words).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(th, pa.int64()), pa.array(rows, pa.binary())], names=["n", "s"])
+
+    # One document of each candidate class: its text is found by the class's smallest id (or by the class itself where ids are null).
+    chosen = classes.join(nodes.hint("merge"), F.col("th") == F.col("n"), "left_semi").select(F.col("first").alias("cf"))
+    chosen = materialize(chosen.distinct(), "copies-chosen")
+    shingled = body.join(chosen.hint("merge"), F.col("doc_id").eqNullSafe(F.col("cf")), "left_semi").select("t").mapInArrow(sets, "n bigint, s binary")
+    shingled = materialize(shingled.groupBy("n").agg(F.any_value("s").alias("s")), "copies-shingles")
+
+    def overlap(batches):
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= SIMILARITY * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    def prove(edges: DataFrame) -> DataFrame:
+        sided = edges.join(shingled.select(F.col("n").alias("a"), F.col("s").alias("sa")).hint("merge"), "a").join(shingled.select(F.col("n").alias("b"), F.col("s").alias("sb")).hint("merge"), "b")
+        return sided.select("a", "b", "sa", "sb").mapInArrow(overlap, "a bigint, b bigint")
+
+    proved = materialize(prove(pairs), "copies-proved")
+    roots = components(proved)
+    last = None
+    for _ in range(LEADERS):
+        # The groups of a candidate component are compared with its smallest group that has not led yet.
+        group = rough.select("node", F.col("root").alias("area")).join(roots.select(F.col("node").alias("rn"), F.col("root").alias("g")).hint("merge"), F.col("node") == F.col("rn"), "left")
+        group = group.select("area", F.coalesce("g", "node").alias("g")).distinct()
+        if last is not None:
+            group = group.join(last.hint("merge"), "area").filter(F.col("g") > F.col("leader")).drop("leader")
+        group = materialize(group, "copies-areas")
+        last = materialize(group.groupBy("area").agg(F.min("g").alias("leader")), "copies-leaders")
+        led = group.join(last.hint("merge"), "area").filter(F.col("g") != F.col("leader")).select(F.col("leader").alias("a"), F.col("g").alias("b"))
+        proved = materialize(proved.unionByName(prove(led)), "copies-proved")
+        roots = components(proved)
+    joined = classes.select("th", "first").join(roots.hint("merge"), F.col("th") == F.col("node"), "left").select("th", "first", F.coalesce("root", "th").alias("root"))
+    label = joined.groupBy("root").agg(F.min("first").alias("group_id"))
+    table = materialize(joined.join(label.hint("merge"), "root").select(F.col("th").alias("lt"), "group_id"), "copies-labels")
+    release(spark)
+    return marked.select("doc_id", "th").join(table.hint("merge"), F.col("th") == F.col("lt"), "left").select("doc_id", "th", F.when(F.col("th").isNull(), F.col("doc_id")).otherwise(F.col("group_id")).alias("group_id"))
+
+
+def drop_copies(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``docs`` with one row of each copy group (that of its smallest id, of repeated rows any one); columns unchanged."""
+    low = F.lit(-(2**63))
+    groups = materialize(copy_groups(docs, text, key), "copies-groups")
+    stays = groups.filter(F.col("doc_id").eqNullSafe(F.col("group_id"))).groupBy("doc_id").agg(F.min("th").alias("th"))
+    stays = materialize(stays.select(F.coalesce("doc_id", low).alias("k1"), F.coalesce("th", low).alias("k2")), "copies-stay")
+
+    row = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(key).cast("long"), low).alias("k1"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
+
+    def hashed(batches):
+        for b in batches:
+            th = []
+            for t in b.column(2).to_pylist():
+                words = t.lower().split()
+                x = xxhash.xxh64_intdigest(b" ".join(words), 3) if words else 1 << 63
+                th.append(x - (1 << 64) * (x >> 63))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(th, pa.int64())], names=["row", "k1", "k2"])
+
+    kind = row.schema["row"].dataType.simpleString()
+    keyed = row.mapInArrow(hashed, f"row {kind}, k1 bigint, k2 bigint").join(stays.hint("merge"), ["k1", "k2"])
+    one = F.row_number().over(Window.partitionBy("k1", "k2").orderBy(F.lit(1)))
+    return keyed.withColumn("one", one).filter(F.col("one") == 1).select("row.*")

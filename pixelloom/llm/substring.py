@@ -221,24 +221,26 @@ _RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_remove
 _RESULT_SQL = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string, spans array<struct<start:bigint,end:bigint>>"
 
 
-def _slim(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, int]:
-    """(doc, th, part, text) and the number of buckets and parts."""
+def _slim(docs: DataFrame, text: str, key: str, carry: bool) -> tuple[DataFrame, int]:
+    """(doc, th, part, text, and if asked rest: the other columns) and the number of buckets and parts."""
     total = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     buckets = int(max(shuffle_partitions(docs.sparkSession), total // BUCKET_BYTES + 1))
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    slim = docs.select(F.col(key).cast("long").alias("doc"), F.xxhash64(raw).alias("th"), raw.alias("text"))
+    rest = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("rest")] if carry else []
+    slim = docs.select(F.col(key).cast("long").alias("doc"), F.xxhash64(raw).alias("th"), raw.alias("text"), *rest)
     part = F.pmod(F.col("th").bitwiseXOR(F.coalesce("doc", F.lit(0).cast("long"))), F.lit(buckets).cast("long"))
     return slim.withColumn("part", part.cast("int")), buckets
 
 
-def remove_repeats(docs: DataFrame, window: int = 13, text: str = "text", key: str = "doc_id", with_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 13, text: str = "text", key: str = "doc_id", with_text: bool = True, carry: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space), spans (word ranges
-    [start, end) removed) and, if ``with_text``, kept: the text itself where nothing is removed, else the kept words joined by one space.
+    [start, end) removed), if ``with_text`` kept (the text itself where nothing is removed, else the kept words joined by one
+    space), and if ``carry`` rest (a struct of the other columns).
 
     A null or empty text has no words. A document without an id is neither a reference nor cleaned. Rows with one id do not
-    count as repeats of each other. Texts shorter than the window keep all words. Other columns are ignored."""
-    slim, buckets = _slim(docs, text, key)
-    found = covered_windows(slim.filter(F.col("doc").isNotNull()), window, buckets)
+    count as repeats of each other. Texts shorter than the window keep all words."""
+    slim, buckets = _slim(docs, text, key, carry)
+    found = covered_windows(slim.filter(F.col("doc").isNotNull()).drop("rest"), window, buckets)
 
     def finish(key, left: pa.Table, right: pa.Table) -> pa.Table:
         _, d, t, p = _unpack(right, np.uint8)
@@ -262,6 +264,17 @@ def remove_repeats(docs: DataFrame, window: int = 13, text: str = "text", key: s
                 words = [w for w, g in zip(words, gone.tolist()) if not g]
             kept = b" ".join(words)
             rows.append((doc, total, n, hashlib.sha256(kept).hexdigest(), (kept if n else raw).decode("utf-8", "replace") if with_text else None, spans))
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 6, _RESULT)], schema=_RESULT)
+        cols = [pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 6, _RESULT)]
+        names = list(_RESULT.names)
+        if carry:
+            cols, names = [*cols, left.column("rest")], [*names, "rest"]
+        return pa.Table.from_arrays(cols, names=names)
 
-    return slim.groupBy("part").cogroup(found.withColumnRenamed("bucket", "part").groupBy("part")).applyInArrow(finish, _RESULT_SQL)
+    schema = _RESULT_SQL + (f", rest {slim.schema['rest'].dataType.simpleString()}" if carry else "")
+    return slim.groupBy("part").cogroup(found.withColumnRenamed("bucket", "part").groupBy("part")).applyInArrow(finish, schema)
+
+
+def clean_passages(docs: DataFrame, window: int = 50, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``docs`` with every passage of ``window`` or more words taken out that also stands in a document of smaller id; columns unchanged."""
+    out = remove_repeats(docs, window, text, key, carry=True)
+    return out.select(*[F.col("kept").alias(text) if c == text else F.col(f"rest.`{c}`").alias(c) for c in docs.columns])
