@@ -1,3 +1,6 @@
 """All registered queries of the image-corpus toolkit and their SQL."""
-QUERIES: dict = {}
-SQL: dict = {}
+from . import q_images
+
+_MODULES = (q_images,)
+QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
