@@ -88,8 +88,22 @@ _PACKED = pa.schema([("bucket", pa.int32()), ("h", pa.binary()), ("doc", pa.bina
 _PACKED_SQL = "bucket int, h binary, doc binary, th binary, n binary, pos binary"
 
 
+def _small(a: np.ndarray) -> bytes:
+    """Integers in the smallest type that holds them, behind a letter for the type."""
+    for kind in "bhiq":
+        t = np.dtype(kind)
+        if not len(a) or (a.min() >= np.iinfo(t).min and a.max() <= np.iinfo(t).max):
+            return kind.encode() + a.astype(t).tobytes()
+    raise ValueError("not a signed integer array")
+
+
+def _wide(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, raw[:1].decode(), offset=1).astype(np.int64)
+
+
 def _pack(bucket: np.ndarray, h: np.ndarray | None, doc: np.ndarray, th: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
-    """One row per bucket. Entries of one document stand together: its id and text hash are stored once with a count."""
+    """One row per bucket. Entries of one document stand together: its id (as a difference to the one before) and its text hash (nothing
+    where all are 0) are stored once with a count."""
     order = np.argsort(bucket.astype(np.uint16) if len(bucket) and bucket.max() < 65536 else bucket, kind="stable")
     bucket, doc, th, pos = bucket[order], doc[order], th[order], pos[order].astype(np.uint32)
     h = None if h is None else h[order]
@@ -104,9 +118,10 @@ def _pack(bucket: np.ndarray, h: np.ndarray | None, doc: np.ndarray, th: np.ndar
         p = pos[a:b]
         rows["bucket"].append(int(bucket[a]))
         rows["h"].append(b"" if h is None else h[a:b].tobytes())
-        rows["doc"].append(doc[runs[r]].tobytes())
-        rows["th"].append(th[runs[r]].tobytes())
-        rows["n"].append(run_n[r].tobytes())
+        d, t = doc[runs[r]], th[runs[r]]
+        rows["doc"].append(d[:1].tobytes() + (_small(np.diff(d)) if -(2**62) < d.min() and d.max() < 2**62 else b"x" + d.tobytes()))
+        rows["th"].append(t.tobytes() if t.any() else b"")
+        rows["n"].append(_small(run_n[r]))
         rows["pos"].append((p.astype(np.uint16) if p.max() < 65536 else p).tobytes())
     return pa.RecordBatch.from_arrays([pa.array(rows[f.name], f.type) for f in _PACKED], schema=_PACKED)
 
@@ -114,11 +129,11 @@ def _pack(bucket: np.ndarray, h: np.ndarray | None, doc: np.ndarray, th: np.ndar
 def _unpack(table: pa.Table, hash_type) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     hs, docs, ths, poss = [], [], [], []
     for h, d, t, n, p in zip(*(table.column(c).to_pylist() for c in _PACKED.names[1:])):
-        n = np.frombuffer(n, np.uint32)
+        n = _wide(n)
         total = int(n.sum())
         hs.append(np.frombuffer(h, hash_type))
-        docs.append(np.repeat(np.frombuffer(d, np.int64), n))
-        ths.append(np.repeat(np.frombuffer(t, np.int64), n))
+        docs.append(np.repeat(np.frombuffer(d, np.int64, offset=9) if d[8:9] == b"x" else np.cumsum(np.concatenate((np.frombuffer(d[:8], np.int64), _wide(d[8:])))), n))
+        ths.append(np.repeat(np.frombuffer(t, np.int64) if t else np.zeros(len(n), np.int64), n))
         poss.append(np.frombuffer(p, np.uint16 if len(p) == 2 * total else np.uint32).astype(np.uint32))
     cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
     return cat(hs, hash_type), cat(docs, np.int64), cat(ths, np.int64), cat(poss, np.uint32)
@@ -174,6 +189,7 @@ def covered_windows(docs: DataFrame, window: int, buckets: int) -> DataFrame:
 
     probes = docs.select("doc", "th", "text").mapInArrow(probe, _PACKED_SQL)
     marks = materialize(probes.groupBy("bucket").applyInArrow(hit, _PACKED_SQL), "substring-marks")
+    del probes
     release(docs.sparkSession)
 
     def extend(key, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -213,6 +229,7 @@ def covered_windows(docs: DataFrame, window: int, buckets: int) -> DataFrame:
 
     windows = docs.groupBy("part").cogroup(marks.withColumnRenamed("bucket", "part").groupBy("part")).applyInArrow(extend, _PACKED_SQL)
     found = materialize(windows.groupBy("bucket").applyInArrow(settle, _PACKED_SQL), "substring-hits")
+    del windows
     release(docs.sparkSession)
     return found
 
@@ -226,8 +243,11 @@ def _slim(docs: DataFrame, text: str, key: str, carry: bool) -> tuple[DataFrame,
     total = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     buckets = int(max(shuffle_partitions(docs.sparkSession), total // BUCKET_BYTES + 1))
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
+    # Where an id stands twice, the hash of the text tells the rows apart; elsewhere the id is enough.
+    twice = docs.groupBy(F.col(key).cast("long").alias("k")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("k").isNotNull() & (F.col("n") > 1)).limit(1).count()
+    th = F.xxhash64(raw) if twice else F.lit(0).cast("long")
     rest = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("rest")] if carry else []
-    slim = docs.select(F.col(key).cast("long").alias("doc"), F.xxhash64(raw).alias("th"), raw.alias("text"), *rest)
+    slim = docs.select(F.col(key).cast("long").alias("doc"), th.alias("th"), raw.alias("text"), *rest)
     part = F.pmod(F.col("th").bitwiseXOR(F.coalesce("doc", F.lit(0).cast("long"))), F.lit(buckets).cast("long"))
     return slim.withColumn("part", part.cast("int")), buckets
 
