@@ -30,7 +30,7 @@ def stem_suffix(stem: Column) -> Column:
 
 def mix_hash(key: Column, seed: int) -> Column:
     """A linear hash that other engines share, in [0, 2 ** 31)."""
-    return F.pmod(key.cast("long") * 1103515245 + seed * 12345, F.lit(2147483648))
+    return F.pmod(F.pmod(key.cast("long"), F.lit(2147483648)) * 1103515245 + seed * 12345, F.lit(2147483648))
 
 
 def unit(h: Column) -> Column:

@@ -58,7 +58,7 @@ def shard_plan(keys: DataFrame, key: str, epochs: int, workers: int, batch: int,
     epochs are dealt to the workers in turn as one stream; a step takes ``batch`` rows over all workers."""
     n = keys.count()
     many = keys.select(F.col(key).cast("long").alias("id")).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
-    h = F.pmod(F.col("id") * 1103515245 + (F.lit(seed) + F.col("epoch")).cast("long") * 12345, F.lit(2147483648))
+    h = F.pmod(F.pmod(F.col("id"), F.lit(2147483648)) * 1103515245 + (F.lit(seed) + F.col("epoch")).cast("long") * 12345, F.lit(2147483648))
     g = global_index(many.withColumn("_h", h), ["epoch", "_h", "id"], "g").drop("_h")
     out = g.withColumns({"pos": F.col("g") - F.col("epoch") * n, "worker": (F.col("g") % workers).cast("int"), "slot": F.floor(F.col("g") / workers)})
     out = out.withColumn("step", F.floor(F.col("slot") / (batch // workers)))
