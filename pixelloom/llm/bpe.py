@@ -103,7 +103,7 @@ class Codec:
         return [b"".join([ids[w] for w in c]) for c in cut]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.frombuffer(b"".join(p), "<u4") for p in self.cache.pieces(texts)]
+        return [np.frombuffer(p, "<u4") for p in self.cache.encode_texts(texts)]
 
     def decode(self, arrays: list[np.ndarray]) -> list[bytes]:
         n = np.fromiter(map(len, arrays), np.int64, len(arrays))

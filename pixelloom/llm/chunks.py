@@ -1,8 +1,8 @@
-"""Cutting texts for byte-level BPE at single spaces, so that equal pieces are encoded once.
+"""Cutting texts for byte-level BPE, so that equal pieces are encoded once.
 
-The split pattern of the byte-level vocabularies attaches a single space to what follows it. A text may therefore be cut before each
-space, and the pieces encoded apart, unless a space stands between other white space (or before the end after white space),
-where a run would be cut. Such texts are encoded whole.
+The split pattern of the byte-level vocabularies attaches a single space to what follows it and makes a single line end a token of
+its own. A text may therefore be cut around a line end and before a space that stand between other characters than white space,
+and the pieces encoded apart. Where white space runs together, the text is left whole around the run.
 """
 from __future__ import annotations
 
@@ -11,29 +11,66 @@ from collections.abc import Callable
 from itertools import chain
 
 _RUN = re.compile(r"\s (?:\s|\Z)")
-#: Distinct pieces that a worker remembers; the memory is emptied beyond that.
+_MARKS = frozenset(".,;:!?")
+#: Distinct pieces in the younger half of a memory; when it is full it becomes the older half, and that is dropped.
 MOST = 400_000
 
 
-class PieceCache:
-    """``encode(list of str) -> list of values``; ``pieces(texts)`` gives, for each text, the values of its pieces in order."""
+def units(text: str) -> list[str]:
+    """The text cut at the line ends that stand between other characters than white space."""
+    out: list[str] = []
+    for line in text.split("\n"):
+        if out and (not line or line[0].isspace() or not out[-1] or out[-1][-1].isspace()):
+            out[-1] += "\n" + line
+        else:
+            out.append(line)
+    return out
+
 
-    def __init__(self, encode: Callable[[list[str]], list]):
-        self.encode, self.head, self.rest = encode, {}, {}
+class _Memory:
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], prefix: str):
+        self.encode, self.prefix, self.young, self.old = encode, prefix, {}, {}
 
-    def _fill(self, memory: dict, wanted: set, prefix: str) -> None:
-        new = list(wanted.difference(memory))
-        if len(memory) + len(new) > MOST:
-            memory.clear()
-            new = list(wanted)
+    def learn(self, wanted: set) -> None:
+        """Make sure that all of ``wanted`` are in the younger half."""
+        if len(self.young) > MOST:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        new, marked = set(), []
+        for x in wanted.difference(young):
+            v = old.get(x)
+            if v is not None:
+                young[x] = v
+            elif len(x) > 1 and x[-1] in _MARKS and x[:-1].isalpha():
+                # A mark behind letters is a word of its own for the split pattern.
+                marked.append(x)
+                if x[:-1] not in young:
+                    v = old.get(x[:-1])
+                    if v is None:
+                        new.add(x[:-1])
+                    else:
+                        young[x[:-1]] = v
+            else:
+                new.add(x)
         if new:
-            memory.update(zip(new, self.encode([prefix + x for x in new])))
-
-    def pieces(self, texts: list[str]) -> list[list]:
-        cut = [[t] if _RUN.search(t) else t.split(" ") for t in texts]
-        self._fill(self.head, {c[0] for c in cut}, "")
-        for c in cut:
-            c[0] = self.head[c[0]]
-        self._fill(self.rest, set(chain.from_iterable(c[1:] for c in cut)), " ")
-        get = self.rest.__getitem__
-        return [[c[0], *map(get, c[1:])] for c in cut]
+            order = list(new)
+            young.update(zip(order, self.encode([self.prefix + x for x in order])))
+        if marked:
+            marks = dict(zip(_MARKS, self.encode(list(_MARKS))))
+            young.update((x, young[x[:-1]] + marks[x[-1]]) for x in marked)
+
+
+class PieceCache:
+    """``encode(list of str) -> list of bytes``, where the bytes of a text are those of its words in a row."""
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]]):
+        self.encode, self.heads, self.rest, self.line = encode, _Memory(encode, ""), _Memory(encode, " "), None
+
+    def encode_texts(self, texts: list[str]) -> list[bytes]:
+        if self.line is None:
+            self.line = self.encode(["\n"])[0]
+        cut = [[[u] if _RUN.search(u) else u.split(" ") for u in units(t)] for t in texts]
+        self.heads.learn({u[0] for c in cut for u in c})
+        self.rest.learn(set(chain.from_iterable(u[1:] for c in cut for u in c)))
+        head, get = self.heads.young, self.rest.young.__getitem__
+        return [self.line.join([b"".join([head[u[0]], *map(get, u[1:])]) for u in c]) for c in cut]

@@ -21,11 +21,11 @@ from .common import discard, materialize, release, scratch, shuffle_partitions
 
 #: The frequencies sum to 2 ** SCALE; states live in [LOW, LOW << 32).
 SCALE, LOW = 20, 1 << 31
-LANES, CHECK_ROWS, BLOCK_IDS = 1024, 128, 1 << 18
+LANES, CHECK_ROWS, BLOCK_IDS = 4096, 128, 1 << 20
 #: Bytes of text whose ids make a shard of the files.
 SHARD_BYTES = 32 << 20
 _U = np.uint64
-_TEXTS = 512
+_TEXTS = 1024
 
 
 def scaled_frequencies(counts: np.ndarray) -> np.ndarray:
@@ -70,7 +70,8 @@ def encode_block(ids: np.ndarray, table: Table) -> dict:
         full = live >= limit * f
         words.append((live[full] & _U(0xFFFFFFFF)).astype(np.uint32))
         live = np.where(full, live >> _U(32), live)
-        x[: len(s)] = ((live // f) << _U(SCALE)) + live % f + table.start[s]
+        q = live // f
+        x[: len(s)] = (q << _U(SCALE)) + (live - q * f) + table.start[s]
         if r % CHECK_ROWS == 0:
             checks.append(x.copy())
     words.reverse()
@@ -106,18 +107,52 @@ def decode_block(block: dict, n: int, table: Table, check: int = 0) -> np.ndarra
     return out
 
 
+#: Pieces that are encoded as one text.
+_JOINED = 2000
 _TOKENIZERS: dict = {}
 
 
+class _Encoder:
+    """Packed ids of many short pieces. Pieces that neither start (behind their space) nor end with white space are encoded as one
+    text, which the split pattern cuts between them, and told apart by the lengths of their bytes."""
+
+    def __init__(self, path: str, kind: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.kind = Tokenizer.from_file(path), kind
+        self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab()
+        self.size = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, k in vocabulary.items():
+            self.size[k] = len(token)  # a byte-level token has one character a byte
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def __call__(self, pieces: list[str]) -> list[bytes]:
+        out: list = [None] * len(pieces)
+        plain = [k for k, x in enumerate(pieces) if len(x) > 1 and x[0] == " " and not x[1].isspace() and not x[-1].isspace()]
+        groups = [plain[at : at + _JOINED] for at in range(0, len(plain), _JOINED)]
+        for group, ids in zip(groups, self._ids(["".join([pieces[k] for k in g]) for g in groups])):
+            ends = np.cumsum([len(pieces[k].encode("utf-8", "replace")) for k in group])
+            reached = np.cumsum(self.size[ids])
+            cut = np.searchsorted(reached, ends) + 1
+            if len(ids) and (reached[cut - 1] == ends).all():
+                data, width, a = ids.astype(self.kind).tobytes(), np.dtype(self.kind).itemsize, 0
+                for k, b in zip(group, (cut * width).tolist()):
+                    out[k] = data[a:b]
+                    a = b
+        rest = [k for k, x in enumerate(out) if x is None]
+        for k, ids in zip(rest, self._ids([pieces[k] for k in rest])):
+            out[k] = ids.astype(self.kind).tobytes()
+        return out
+
+
 def _pieces(path: str, kind: str) -> PieceCache:
     """The tokenizer of a worker, with its memory of pieces (their ids as packed integers)."""
     if (path, kind) not in _TOKENIZERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
-        _TOKENIZERS[path, kind] = PieceCache(lambda xs: [np.array(e.ids, kind).tobytes() for e in t.encode_batch_fast(xs, add_special_tokens=False)])
+        _TOKENIZERS[path, kind] = PieceCache(_Encoder(path, kind))
     return _TOKENIZERS[path, kind]
 
 
@@ -148,9 +183,9 @@ def token_blocks(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: int,
         for b in batches:
             docs_, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for at in range(0, len(texts), _TEXTS):
-                for doc, p in zip(docs_[at : at + _TEXTS], cache.pieces(texts[at : at + _TEXTS])):
+                for doc, ids in zip(docs_[at : at + _TEXTS], cache.encode_texts(texts[at : at + _TEXTS])):
                     names.append(doc)
-                    data.append(b"".join(p) + end)
+                    data.append(ids + end)
                     size += len(data[-1])
                     if size >= BLOCK_IDS * len(end):
                         yield flush()
