@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from .common import materialize, words_of
 
-#: Metrics that are bad when high: (name, how many times median-to-q75 may be exceeded, least room above the median).
-HIGH = (("symbol_ratio", 6.0, 0.05), ("dup_ratio", 6.0, 0.25), ("repeat_ratio", 6.0, 0.2), ("upper_ratio", 6.0, 0.15))
+#: Metrics that are bad when high: (name, how many times the way from the median to the upper tail a value may lie above the median,
+#: least room above the median). The tail is a quantile beyond which a tenth of the group lies, so fences follow each group.
+HIGH = (("symbol_ratio", 4.0, 0.05), ("dup_ratio", 4.0, 0.4), ("repeat_ratio", 4.0, 0.44), ("upper_ratio", 4.0, 0.15))
 #: Metrics with a fence on either side.
-BOTH = (("word_len", 6.0, 1.5),)
+BOTH = (("word_len", 4.0, 1.5),)
+TAIL = 0.1
 #: Groups with fewer documents take the fences of their language, and languages those of the corpus.
 MIN_GROUP = 50
 SKETCH_K = 200
@@ -84,10 +86,10 @@ def fences(measured: DataFrame, lang: str = "lang", source: str = "source") -> D
         cols = []
         for m, k, room in HIGH:
             mid = quant(m, 0.5)
-            cols.append((mid + F.greatest(F.lit(k) * (quant(m, 0.75) - mid), F.lit(room))).alias(f"{m}_max"))
+            cols.append((mid + F.greatest(F.lit(k) * (quant(m, 1 - TAIL) - mid), F.lit(room))).alias(f"{m}_max"))
         for m, k, room in BOTH:
             mid = quant(m, 0.5)
-            cols += [(mid + F.greatest(F.lit(k) * (quant(m, 0.75) - mid), F.lit(room))).alias(f"{m}_max"), (mid - F.greatest(F.lit(k) * (mid - quant(m, 0.25)), F.lit(room))).alias(f"{m}_min")]
+            cols += [(mid + F.greatest(F.lit(k) * (quant(m, 1 - TAIL) - mid), F.lit(room))).alias(f"{m}_max"), (mid - F.greatest(F.lit(k) * (mid - quant(m, TAIL)), F.lit(room))).alias(f"{m}_min")]
         keys = [c for c in ("f_lang", "f_source") if c in df.columns]
         return df.filter(F.col("n") > 0).select(*keys, "n", F.struct(*cols).alias("f"))
 
