@@ -4,19 +4,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.scratch import materialize, scratch, shared_dir  # noqa: F401
+from ..sources.scratch import discard, discard_tables, materialize, scratch, shared_dir  # noqa: F401
 
 #: The white space that separates words in every operator here: space and U+0009 to U+000D.
 WS_CLASS = "[\\x20\\x09-\\x0D]+"
 WS_CHARS = " \t\n\x0b\f\r"
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    """Delete a scratch table that nothing reads any more."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop shuffle files of plans that are no longer referenced."""
     import gc

@@ -101,9 +101,8 @@ def fences(measured: DataFrame, lang: str = "lang", source: str = "source") -> D
     return out.select(F.col("g.f_lang").alias("f_lang"), F.col("g.f_source").alias("f_source"), best.alias("fence"))
 
 
-def judge(measured: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
-    """Add ``kept``. ``measured`` comes from ``with_metrics`` and should be a written table, as it is read twice."""
-    table = materialize(fences(measured, lang, source), "quality-fences")
+def judge(measured: DataFrame, table: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
+    """Add ``kept``, by the written table of ``fences``."""
     table = table.hint("broadcast") if table.count() <= BROADCAST_ROWS else table.hint("shuffle_hash")
     out = measured.join(table, F.col(lang).eqNullSafe(F.col("f_lang")) & F.col(source).eqNullSafe(F.col("f_source")), "left")
     bad = F.lit(False)
@@ -121,12 +120,15 @@ def quality_report(docs: DataFrame, text: str = "text", lang: str = "lang", sour
     Repeated rows are judged alike and all returned; an empty table gives an empty result; other columns are ignored."""
     slim = docs.select(F.col(key).alias("doc_id"), F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("text"))
     measured = materialize(with_metrics(slim).drop("text"), "quality-metrics")
-    out = judge(measured)
+    out = judge(measured, materialize(fences(measured), "quality-fences"))
     return out.select("doc_id", "q.n_words", "q.word_chars", "q.n_symbols", "q.n_dup_lines", "q.n_repeat_words", "q.base_failed", "kept")
 
 
 def quality_filter(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """The rows of ``docs`` that pass, with their columns unchanged. The measured rows are written once, texts included."""
+    """The rows of ``docs`` that pass, with their columns unchanged. The metrics are measured twice, once for the fences and once to
+    judge, so that no text is written or shuffled."""
     row = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source"))
-    measured = materialize(with_metrics(row).drop("text"), "quality-rows")
-    return judge(measured).filter("kept").select("row.*")
+    measured = materialize(with_metrics(row.drop("row")).drop("text"), "quality-metrics")
+    # The row number keeps the optimizer from moving the verdict, with all its expressions unfolded, below the metrics.
+    again = with_metrics(row).withColumn("_i", F.monotonically_increasing_id())
+    return judge(again, materialize(fences(measured), "quality-fences")).filter(F.col("kept") & (F.col("_i") >= 0)).select("row.*")

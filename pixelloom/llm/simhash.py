@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, release
+from .common import discard_tables, materialize, release
 
 BITS = 64
 #: Fingerprints of a bucket, on average: the number of leading bits that name a bucket follows from it, 8 at least.
@@ -107,7 +107,7 @@ def _link(fps: np.ndarray, ids: np.ndarray, bucket: int, prefix: int, half: int,
 def links(fps: DataFrame, half: int = 2) -> DataFrame:
     """``fps``: distinct (t, fp), t the number of a table of fingerprints. Edges (t, a, b) of a table, a < b as signed longs, that join every
     pair within ``2 * half`` bits to one component; an edge stands for a chain of such pairs."""
-    n = fps.count()
+    n = fps.groupBy("t").count().agg(F.max("count")).first()[0] or 0
     prefix = max(8, int(np.ceil(np.log2(max(n, 1) / BUCKET))))
     tops = np.concatenate(_masks(prefix, half))
 
@@ -117,17 +117,18 @@ def links(fps: DataFrame, half: int = 2) -> DataFrame:
             for at in range(0, len(fs), 10_000):
                 t, g = tables[at : at + 10_000], fs[at : at + 10_000]
                 buckets = ((g >> _U(BITS - prefix))[:, None] ^ tops[None, :]).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(t, len(tops))), pa.array(buckets.view(np.int64)), pa.array(np.repeat(g.view(np.int64), len(tops)))], names=["t", "bucket", "fp"])
+                key = np.repeat(t.astype(np.int64) << 40, len(tops)) | buckets.view(np.int64)  # table and bucket in one number
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(g.view(np.int64), len(tops)))], names=["bucket", "fp"])
 
     def meet(key: tuple, rows: pa.Table) -> pa.Table:
         f = np.sort(rows.column("fp").to_numpy()).view(np.uint64)
         edges: list[tuple[int, int]] = []
-        _link(f, np.arange(len(f)), int(key[1].as_py()), prefix, half, list(range(len(f))), edges, f)
+        _link(f, np.arange(len(f)), key[0].as_py() & ((1 << 40) - 1), prefix, half, list(range(len(f))), edges, f)
         s = f.view(np.int64)
         a, b = (s[[e[k] for e in edges]] if edges else [] for k in (0, 1))
-        return pa.table({"t": pa.array([key[0].as_py()] * len(edges), pa.int32()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        return pa.table({"t": pa.array([key[0].as_py() >> 40] * len(edges), pa.int32()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return fps.select("t", "fp").mapInArrow(spread, "t int, bucket bigint, fp bigint").groupBy("t", "bucket").applyInArrow(meet, "t int, a bigint, b bigint")
+    return fps.select("t", "fp").mapInArrow(spread, "bucket bigint, fp bigint").groupBy("bucket").applyInArrow(meet, "t int, a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -203,6 +204,19 @@ def _shingles(words: list[bytes]) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + SHINGLE]), 7) for i in range(n)], np.uint64))
 
 
+def _candidates(classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes that fingerprints propose: forests of each table, and classes of one fingerprint with the smallest of them."""
+    tables = classes.select("th", F.posexplode("fps").alias("t", "fp"))
+    # A fingerprint stands for the smallest class that has it; the others hang on that one.
+    heads = materialize(tables.groupBy("t", "fp").agg(F.min("th").alias("head")), "copies-heads")
+    named = lambda side: heads.select(F.col("t").alias(f"t{side}"), F.col("fp").alias(f"f{side}"), F.col("head").alias(f"n{side}")).hint("merge")
+    far = links(heads).alias("e").join(named("a"), (F.col("t") == F.col("ta")) & (F.col("a") == F.col("fa"))).join(named("b"), (F.col("t") == F.col("tb")) & (F.col("b") == F.col("fb")))
+    same = tables.join(heads.hint("merge"), ["t", "fp"]).filter(F.col("th") != F.col("head"))
+    pairs = far.select(F.col("na").alias("a"), F.col("nb").alias("b")).unionByName(same.select(F.col("head").alias("a"), F.col("th").alias("b")))
+    pairs = materialize(pairs.filter(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "copies-candidates")
+    return pairs
+
+
 def copy_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, th (hash of the lower-cased words), group_id of every row of ``docs``: documents whose words are equal, or whose shingle sets
     overlap by SIMILARITY or more in a chain of compared pairs, share the smallest doc_id as group_id.
@@ -226,14 +240,7 @@ def copy_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     marked = materialize(body.mapInArrow(prints, "doc_id bigint, th bigint, fps array<bigint>"), "copies-prints")
     worded = marked.filter(F.col("th").isNotNull())
     classes = materialize(worded.groupBy("th").agg(F.min("doc_id").alias("first"), F.any_value("fps").alias("fps")), "copies-classes")
-    tables = classes.select("th", F.posexplode("fps").alias("t", "fp"))
-    # A fingerprint stands for the smallest class that has it; the others hang on that one.
-    heads = materialize(tables.groupBy("t", "fp").agg(F.min("th").alias("head")), "copies-heads")
-    named = lambda side: heads.select(F.col("t").alias(f"t{side}"), F.col("fp").alias(f"f{side}"), F.col("head").alias(f"n{side}")).hint("merge")
-    far = links(heads).alias("e").join(named("a"), (F.col("t") == F.col("ta")) & (F.col("a") == F.col("fa"))).join(named("b"), (F.col("t") == F.col("tb")) & (F.col("b") == F.col("fb")))
-    same = tables.join(heads.hint("merge"), ["t", "fp"]).filter(F.col("th") != F.col("head"))
-    pairs = far.select(F.col("na").alias("a"), F.col("nb").alias("b")).unionByName(same.select(F.col("head").alias("a"), F.col("th").alias("b")))
-    pairs = materialize(pairs.filter(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "copies-candidates")
+    pairs = _candidates(classes)
     release(spark)
     rough = components(pairs)
     nodes = materialize(pairs.select(F.col("a").alias("n")).union(pairs.select(F.col("b").alias("n"))).distinct(), "copies-nodes")
@@ -251,8 +258,8 @@ def copy_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     # One document of each candidate class: its text is found by the class's smallest id (or by the class itself where ids are null).
     chosen = classes.join(nodes.hint("merge"), F.col("th") == F.col("n"), "left_semi").select(F.col("first").alias("cf"))
     chosen = materialize(chosen.distinct(), "copies-chosen")
-    shingled = body.join(chosen.hint("merge"), F.col("doc_id").eqNullSafe(F.col("cf")), "left_semi").select("t").mapInArrow(sets, "n bigint, s binary")
-    shingled = materialize(shingled.groupBy("n").agg(F.any_value("s").alias("s")), "copies-shingles")
+    shingled = materialize(body.join(chosen.hint("merge"), F.col("doc_id").eqNullSafe(F.col("cf")), "left_semi").select("t").mapInArrow(sets, "n bigint, s binary").groupBy("n").agg(F.any_value("s").alias("s")), "copies-shingles")
+    release(spark)
 
     def overlap(batches):
         for b in batches:
@@ -284,6 +291,7 @@ def copy_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     joined = classes.select("th", "first").join(roots.hint("merge"), F.col("th") == F.col("node"), "left").select("th", "first", F.coalesce("root", "th").alias("root"))
     label = joined.groupBy("root").agg(F.min("first").alias("group_id"))
     table = materialize(joined.join(label.hint("merge"), "root").select(F.col("th").alias("lt"), "group_id"), "copies-labels")
+    discard_tables(shingled)
     release(spark)
     return marked.select("doc_id", "th").join(table.hint("merge"), F.col("th") == F.col("lt"), "left").select("doc_id", "th", F.when(F.col("th").isNull(), F.col("doc_id")).otherwise(F.col("group_id")).alias("group_id"))
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release, shuffle_partitions
+from .common import discard_tables, materialize, release, shuffle_partitions
 
 #: Bytes of text whose words make the entries of one bucket.
 BUCKET_BYTES = 4 << 20
@@ -230,6 +230,7 @@ def covered_windows(docs: DataFrame, window: int, buckets: int) -> DataFrame:
     windows = docs.groupBy("part").cogroup(marks.withColumnRenamed("bucket", "part").groupBy("part")).applyInArrow(extend, _PACKED_SQL)
     found = materialize(windows.groupBy("bucket").applyInArrow(settle, _PACKED_SQL), "substring-hits")
     del windows
+    discard_tables(marks)
     release(docs.sparkSession)
     return found
 
