@@ -4,11 +4,8 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..functions import image as I
 from ..functions import metrics as M
 from ..operators import extend as EX
-from ..operators import manifest as MF
-from ..operators import sampling as S
 from ..sources import readers as RD
 from ..sources import sinks as K
 from ..sources.scratch import scratch

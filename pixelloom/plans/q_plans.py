@@ -1,8 +1,6 @@
 """Queries over plans, run logs, crop geometry, vectors and experiments."""
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import functions as F
 
 from ..functions import text as X
