@@ -1,7 +1,7 @@
 """License scans: ordered signature rules over the word sequence of a text.
 
-A rule is a regular expression over the lower-cased words joined by single spaces, with a label, a priority, a confidence and a
-keyword. A rule runs only where its keyword is among the words. Of overlapping detections, one that lies within a detection of
+A rule is a regular expression over the lower-cased words joined by single spaces, with a label, a priority, a confidence and
+keywords, one of which is a word of every text that the rule can match. A rule runs only where a keyword is among the words. Of overlapping detections, one that lies within a detection of
 higher priority, or within a longer one of the same priority, is suppressed.
 """
 from __future__ import annotations
@@ -24,26 +24,26 @@ class Rule(NamedTuple):
     label: str
     priority: int
     confidence: float
-    keyword: bytes
+    keywords: tuple[bytes, ...]
     base: bool
 
 
 #: Phrases whose every place counts, with their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-#: Label, keyword, names as they stand in word sequences (regular expressions).
+#: Label, keywords (every name holds one of them as a whole word), names as they stand in word sequences (regular expressions).
 NAMES = (
-    ("mit", "mit", "mit", "mit x11", "expat"),
-    ("apache", "apache", "apache", "apache (?:software )?license version \\d(?: \\d)?", "apache 2 0", "asl 2 0"),
-    ("gpl", "gpl", "gpl", "gnu gpl", "gpl ?v?[23](?: 0)?(?: or later| only)?"),
+    ("mit", "mit expat", "mit", "mit x11", "expat"),
+    ("apache", "apache asl", "apache", "apache (?:software )?license version \\d(?: \\d)?", "apache 2 0", "asl 2 0"),
+    ("gpl", "gpl gpl2 gpl3 gplv2 gplv3", "gpl", "gnu gpl", "gpl ?v?[23](?: 0)?(?: or later| only)?"),
     ("gpl", "gnu", "gnu general public license(?: version [23])?", "gnu public license"),
-    ("lgpl", "lgpl", "lgpl", "gnu lgpl", "lgpl ?v?[23](?: [01])?(?: or later| only)?"),
+    ("lgpl", "lgpl lgpl2 lgpl3 lgplv2 lgplv3", "lgpl", "gnu lgpl", "lgpl ?v?[23](?: [01])?(?: or later| only)?"),
     ("lgpl", "lesser", "lesser general public license", "gnu lesser general public license"),
     ("lgpl", "library", "library general public license"),
-    ("agpl", "agpl", "agpl", "gnu agpl", "agpl ?v?3(?: 0)?"),
+    ("agpl", "agpl agpl3 agplv3", "agpl", "gnu agpl", "agpl ?v?3(?: 0)?"),
     ("agpl", "affero", "affero general public license", "gnu affero general public license"),
     ("gfdl", "documentation", "gnu free documentation license", "free documentation license"),
-    ("bsd", "bsd", "bsd", "bsd [234] clause", "(?:simplified|modified|new|revised) bsd", "[234] clause bsd", "0bsd"),
+    ("bsd", "bsd 0bsd", "bsd", "bsd [234] clause", "(?:simplified|modified|new|revised) bsd", "[234] clause bsd", "0bsd"),
     ("isc", "isc", "isc", "isc style"),
     ("mpl", "mozilla", "mozilla public license(?: version)?(?: \\d \\d)?"),
     ("mpl", "mpl", "mpl", "mpl [12] [01]"),
@@ -62,7 +62,7 @@ NAMES = (
     ("openssl", "openssl", "openssl", "openssl ssleay"),
     ("ofl", "font", "sil open font license", "open font license(?: 1 1)?"),
     ("ofl", "ofl", "ofl", "ofl 1 1"),
-    ("eupl", "eupl", "eupl", "eupl ?v?1 [12]"),
+    ("eupl", "eupl eupl1 euplv1", "eupl", "eupl ?v?1 [12]"),
     ("eupl", "union", "european union public license"),
     ("cecill", "cecill", "cecill", "cecill [bc2]"),
     ("mspl", "microsoft", "microsoft public license", "microsoft reciprocal license"),
@@ -77,9 +77,9 @@ NAMES = (
     ("cc-by-nd", "cc", "cc by nd(?: \\d \\d)?"),
     ("cc-by-sa", "cc", "cc by sa(?: \\d \\d)?"),
     ("cc-by", "cc", "cc by(?: \\d \\d)?"),
-    ("cc-by-nc-nd", "noncommercial", "creative commons attribution non ?commercial no ?deriv[a-z]+(?: \\d \\d)?"),
-    ("cc-by-nc-sa", "noncommercial", "creative commons attribution non ?commercial share ?alike(?: \\d \\d)?"),
-    ("cc-by-nc", "noncommercial", "creative commons attribution non ?commercial(?: \\d \\d)?"),
+    ("cc-by-nc-nd", "attribution", "creative commons attribution non ?commercial no ?deriv[a-z]+(?: \\d \\d)?"),
+    ("cc-by-nc-sa", "attribution", "creative commons attribution non ?commercial share ?alike(?: \\d \\d)?"),
+    ("cc-by-nc", "attribution", "creative commons attribution non ?commercial(?: \\d \\d)?"),
     ("cc-by-sa", "attribution", "creative commons attribution share ?alike(?: \\d \\d)?"),
     ("cc-by", "attribution", "creative commons attribution(?: \\d \\d)?"),
     ("odbl", "database", "open database license"),
@@ -108,19 +108,21 @@ _NEEDS_CONTEXT = {"boost", "proprietary", "expat", "mit", "apache", "isc", "post
 def rules() -> tuple[Rule, ...]:
     """The rules in order: the base phrases, then every name in every context."""
     make = lambda p: re.compile(b"(?<= )" + p.encode() + b"(?= )")
-    out = [Rule(make(p), label, 3, 0.8, p.split()[0].encode(), True) for p, label in BASE]
-    for label, keyword, *names in NAMES:
+    out = [Rule(make(p), label, 3, 0.8, (p.split()[0].encode(),), True) for p, label in BASE]
+    for label, keywords, *names in NAMES:
         for before, after, priority, confidence in CONTEXTS:
             used = [n for n in names if before or after or n not in _NEEDS_CONTEXT]
-            out += [Rule(make(before + n + after), label, priority, confidence, keyword.encode(), False) for n in used]
+            out += [Rule(make(before + n + after), label, priority, confidence, tuple(keywords.encode().split()), False) for n in used]
     return tuple(out)
 
 
 @lru_cache(maxsize=1)
-def _gates() -> dict[bytes, list[Rule]]:
+def _gates() -> dict[bytes, list[int]]:
+    """The numbers of the rules that a word lets run."""
     gates = defaultdict(list)
-    for r in rules():
-        gates[r.keyword].append(r)
+    for i, r in enumerate(rules()):
+        for k in r.keywords:
+            gates[k].append(i)
     return dict(gates)
 
 
@@ -156,10 +158,10 @@ def scan(text: str | None) -> tuple:
         return len(words), 0, None, None, "", "", 0.0, []
     line = b" " + b" ".join(words) + b" "
     hits, base = [], []
-    for k in sorted(present):
-        for r in gates[k]:
-            for m in r.pattern.finditer(line):
-                (base if r.base else hits).append((r.priority, m.start(), m.end(), r))
+    for i in sorted({i for k in present for i in gates[k]}):
+        r = rules()[i]
+        for m in r.pattern.finditer(line):
+            (base if r.base else hits).append((r.priority, m.start(), m.end(), r))
     kept = _survivors(hits + base)
     at = lambda pos: line.count(b" ", 0, pos) - 1
     first = at(min(h[1] for h in base)) if base else None
