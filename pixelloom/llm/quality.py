@@ -1,22 +1,27 @@
 """Quality rules with adaptive thresholds (DataFrame functions only).
 
 Every metric of a document is computed inside its row. KLL sketches of the metrics are built per language and source,
-merged per language and over all, and turned into fences (median plus a multiple of the spread above or below it);
+merged per language and over all, and turned into fences (median plus a multiple of the quartile's distance from it, bounded by that
+of the language and the corpus);
 the table of fences is joined to the documents and the documents outside a fence are rejected.
 """
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, words_of
 
-#: Metrics that are bad when high: (name, how many times the way from the median to the upper tail a value may lie above the median,
-#: least room above the median). The tail is a quantile beyond which a tenth of the group lies, so fences follow each group.
-HIGH = (("symbol_ratio", 4.0, 0.05), ("dup_ratio", 4.0, 0.4), ("repeat_ratio", 4.0, 0.44), ("upper_ratio", 4.0, 0.15))
+#: Metrics that are bad when high: (name, how many times the way from the median to the upper quartile a value may lie above the median,
+#: least room above the median). Quartiles hold as long as less than a quarter of the group is bad.
+HIGH = (("symbol_ratio", 6.0, 0.05), ("dup_ratio", 6.0, 0.25), ("repeat_ratio", 6.0, 0.2), ("upper_ratio", 6.0, 0.15))
 #: Metrics with a fence on either side.
-BOTH = (("word_len", 4.0, 1.5),)
-TAIL = 0.1
+BOTH = (("word_len", 6.0, 1.5),)
+#: A language may lie so many times as far from its median as the whole corpus, and a source as far as its language or the corpus, so
+#: that a group of which a quarter to a half is bad does not set its own fence.
+BOUND = 2.0
 #: Groups with fewer documents take the fences of their language, and languages those of the corpus.
 MIN_GROUP = 50
 SKETCH_K = 200
@@ -81,15 +86,12 @@ def fences(measured: DataFrame, lang: str = "lang", source: str = "source") -> D
     by_lang = per.groupBy("f_lang").agg(*merged)
     overall = per.agg(*merged)
 
+    sides = [(m, k, room, "max", 0.75) for m, k, room in HIGH + BOTH] + [(m, k, room, "min", 0.25) for m, k, room in BOTH]
+
     def bounds(df: DataFrame) -> DataFrame:
         quant = lambda m, p: F.kll_sketch_get_quantile_double(F.col(m), F.lit(p))
-        cols = []
-        for m, k, room in HIGH:
-            mid = quant(m, 0.5)
-            cols.append((mid + F.greatest(F.lit(k) * (quant(m, 1 - TAIL) - mid), F.lit(room))).alias(f"{m}_max"))
-        for m, k, room in BOTH:
-            mid = quant(m, 0.5)
-            cols += [(mid + F.greatest(F.lit(k) * (quant(m, 1 - TAIL) - mid), F.lit(room))).alias(f"{m}_max"), (mid - F.greatest(F.lit(k) * (mid - quant(m, TAIL)), F.lit(room))).alias(f"{m}_min")]
+        cols = [quant(m, 0.5).alias(m) for m in DERIVED]
+        cols += [F.greatest(F.lit(k) * F.abs(quant(m, p) - quant(m, 0.5)), F.lit(room)).alias(f"{m}_{side}") for m, k, room, side, p in sides]
         keys = [c for c in ("f_lang", "f_source") if c in df.columns]
         return df.filter(F.col("n") > 0).select(*keys, "n", F.struct(*cols).alias("f"))
 
@@ -97,22 +99,41 @@ def fences(measured: DataFrame, lang: str = "lang", source: str = "source") -> D
     g = groups.alias("g")
     out = g.join(a, F.col("g.f_lang").eqNullSafe(F.col("a.f_lang")) & F.col("g.f_source").eqNullSafe(F.col("a.f_source")), "left")
     out = out.join(b, F.col("g.f_lang").eqNullSafe(F.col("b.f_lang")), "left").join(c.hint("broadcast"), F.lit(True), "left")
-    best = F.when(F.col("a.n") >= MIN_GROUP, F.col("a.f")).when(F.col("b.n") >= MIN_GROUP, F.col("b.f")).otherwise(F.col("c.f"))
+
+    def fence(m: str, side: str) -> Column:
+        mid, far = (lambda level: F.col(f"{level}.f.{m}")), (lambda level: F.col(f"{level}.f.{m}_{side}"))
+        by_b = F.least(far("b"), F.lit(BOUND) * far("c"))
+        by_a = F.least(far("a"), F.greatest(F.when(F.col("b.n") >= MIN_GROUP, by_b), far("c")))
+        pick = lambda x, y, z: F.when(F.col("a.n") >= MIN_GROUP, x).when(F.col("b.n") >= MIN_GROUP, y).otherwise(z)
+        sign = F.lit(1.0 if side == "max" else -1.0)
+        return pick(mid("a") + sign * by_a, mid("b") + sign * by_b, mid("c") + sign * far("c")).alias(f"{m}_{side}")
+
+    best = F.struct(*[fence(m, side) for m, _, _, side, _ in sides])
     return out.select(F.col("g.f_lang").alias("f_lang"), F.col("g.f_source").alias("f_source"), best.alias("fence"))
 
 
-def judge(measured: DataFrame, table: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
-    """Add ``kept``, by the written table of ``fences``."""
+def judge(measured: DataFrame, table: DataFrame, lang: str = "lang", source: str = "source", each: bool = False) -> DataFrame:
+    """Add ``kept``, by the written table of ``fences``, and with ``each`` a struct ``outside`` of the metrics that lie outside."""
     table = table.hint("broadcast") if table.count() <= BROADCAST_ROWS else table.hint("shuffle_hash")
     out = measured.join(table, F.col(lang).eqNullSafe(F.col("f_lang")) & F.col(source).eqNullSafe(F.col("f_source")), "left")
-    bad = F.lit(False)
-    for m, _, _ in HIGH:
-        bad = bad | F.coalesce(F.col(f"q.{m}") > F.col(f"fence.{m}_max"), F.lit(False))
-    for m, _, _ in BOTH:
-        bad = bad | F.coalesce((F.col(f"q.{m}") > F.col(f"fence.{m}_max")) | (F.col(f"q.{m}") < F.col(f"fence.{m}_min")), F.lit(False))
+    outside = [F.coalesce(F.col(f"q.{m}") > F.col(f"fence.{m}_max"), F.lit(False)) for m, _, _ in HIGH]
+    outside += [F.coalesce((F.col(f"q.{m}") > F.col(f"fence.{m}_max")) | (F.col(f"q.{m}") < F.col(f"fence.{m}_min")), F.lit(False)) for m, _, _ in BOTH]
+    if each:
+        out = out.withColumn("outside", F.struct(*[x.alias(m) for m, x in zip(DERIVED, outside)]))
+    bad = reduce(lambda x, y: x | y, outside)
     return out.withColumn("kept", ~F.col("q.base_failed") & ~bad).drop("f_lang", "f_source", "fence")
 
 
+def rejections(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+    """One row per language and source: its documents, how many fail the base rule, how many of the others lie outside the fence of
+    each metric (a document counts for every such metric), and how many are kept."""
+    measured = materialize(with_metrics(docs.select(F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("text"))).drop("text"), "quality-metrics")
+    out = judge(measured, materialize(fences(measured), "quality-fences"), each=True)
+    base = F.col("q.base_failed")
+    counts = [F.count_if(~base & F.col(f"outside.{m}")).alias(m) for m in DERIVED]
+    return out.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), F.count_if(base).alias("base"), *counts, F.count_if("kept").alias("kept"))
+
+
 def quality_report(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", key: str = "doc_id") -> DataFrame:
     """The counts and the verdict of every document, without texts.
 
