@@ -176,26 +176,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, half: int = 2, text: str = "tex
     return marked.join(table.hint("merge"), F.col("fp") == F.col("cfp")).select("doc_id", "fp", "component_id")
 
 
-#: Near copies are sought with so many fingerprints of the distinct words of a text, at up to 4 differing bits, and kept apart unless
-#: their sets of five-word shingles overlap by SIMILARITY or more.
-TABLES, SHINGLE, SIMILARITY = 6, 5, 0.8
-#: How many members of a candidate component, the smallest first, all later groups of it are compared with.
-LEADERS = 3
-
-
-def _word_prints(words: list[bytes]) -> np.ndarray:
-    """TABLES fingerprints of a set of words."""
-    if not words:
-        return np.zeros(TABLES, np.uint64)
-    h = np.array([xxhash.xxh64_intdigest(w, 42) for w in set(words)], np.uint64)
-    out = []
-    for t in range(TABLES):
-        g = h * _U(2 * t + 1)
-        g = (g ^ (g >> _U(29))) * _U(0xBF58476D1CE4E5B9) if t else g
-        g = g ^ (g >> _U(32))
-        ones = np.add.reduce(np.unpackbits(g.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), axis=0, dtype=np.int64)
-        out.append(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
-    return np.array(out, np.uint64)
+#: Near copies are texts whose sets of five-word shingles overlap (Jaccard) by SIMILARITY or more. Candidates agree in all ROWS min-hashes of
+#: one of BANDS bands: of pairs that overlap by 0.8, all but (1 - 0.8 ** 5) ** 32 = 3 in a million, wherever their edits lie.
+SHINGLE, SIMILARITY = 5, 0.8
+BANDS, ROWS = 32, 5
+_FACTORS = np.random.default_rng(17).integers(0, 2**63, (BANDS * ROWS, 1), np.uint64) * _U(2) + _U(1)
 
 
 def _shingles(words: list[bytes]) -> np.ndarray:
@@ -204,46 +189,61 @@ def _shingles(words: list[bytes]) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + SHINGLE]), 7) for i in range(n)], np.uint64))
 
 
-def _candidates(classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes that fingerprints propose: forests of each table, and classes of one fingerprint with the smallest of them."""
-    tables = classes.select("th", F.posexplode("fps").alias("t", "fp"))
-    # A fingerprint stands for the smallest class that has it; the others hang on that one.
-    heads = materialize(tables.groupBy("t", "fp").agg(F.min("th").alias("head")), "copies-heads")
-    named = lambda side: heads.select(F.col("t").alias(f"t{side}"), F.col("fp").alias(f"f{side}"), F.col("head").alias(f"n{side}")).hint("merge")
-    far = links(heads).alias("e").join(named("a"), (F.col("t") == F.col("ta")) & (F.col("a") == F.col("fa"))).join(named("b"), (F.col("t") == F.col("tb")) & (F.col("b") == F.col("fb")))
-    same = tables.join(heads.hint("merge"), ["t", "fp"]).filter(F.col("th") != F.col("head"))
-    pairs = far.select(F.col("na").alias("a"), F.col("nb").alias("b")).unionByName(same.select(F.col("head").alias("a"), F.col("th").alias("b")))
-    pairs = materialize(pairs.filter(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "copies-candidates")
-    return pairs
+def _bands(shingles: np.ndarray) -> np.ndarray:
+    """A key for each band of min-hashes of a set of shingles."""
+    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+    for at in range(0, len(shingles), 2048):
+        least = np.minimum(least, (_FACTORS * shingles[None, at : at + 2048]).min(axis=1))
+    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for column in least.reshape(BANDS, ROWS).T:
+        key = (key ^ column) * _U(0x9E3779B97F4A7C15)
+        key ^= key >> _U(32)
+    return key
+
+
+def _pairs(a: str, b: str, rows: DataFrame) -> DataFrame:
+    return rows.filter(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+
+
+def _ungrouped(live: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes with a band in common whose groups differ."""
+    label = live.select("key", "th").join(roots.hint("merge"), F.col("th") == F.col("node"), "left").select("key", "th", F.coalesce("root", "th").alias("g"))
+    label = materialize(label, "copies-labelled")
+    mixed = label.groupBy("key").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).filter("g0 != g1").select("key")
+    label = materialize(label.join(mixed.hint("merge"), "key"), "copies-mixed")
+    other = label.select(F.col("key").alias("k2"), F.col("th").alias("th2"), F.col("g").alias("g2"))
+    return _pairs("th", "th2", label.join(other.hint("merge"), (F.col("key") == F.col("k2")) & (F.col("g") < F.col("g2"))))
 
 
 def copy_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, th (hash of the lower-cased words), group_id of every row of ``docs``: documents whose words are equal, or whose shingle sets
-    overlap by SIMILARITY or more in a chain of compared pairs, share the smallest doc_id as group_id.
+    overlap by SIMILARITY or more in a chain of candidate pairs, share the smallest doc_id as group_id.
 
-    Texts of equal words are one class. Classes that agree in a fingerprint within 4 bits are candidates; compared are the edges
-    of the candidate forests and every member of a candidate component with its smallest member, so a crowded component
-    costs a number of comparisons in proportion to its members. Documents without words are no copies of each other.
+    Texts of equal words are one class. Classes that agree in a band are candidates. Every member of a band is compared with
+    its smallest member first; then every candidate pair that this has not brought into one group is compared, so
+    none is left out. Documents without words are no copies of each other.
     Null ids take part; a group of null ids alone has a null group_id."""
     spark = docs.sparkSession
 
     def prints(batches):
         for b in batches:
-            th, fps = [], []
+            th, bands = [], []
             for t in b.column(1).to_pylist():
                 words = t.lower().split()
                 th.append(xxhash.xxh64_intdigest(b" ".join(words), 3) if words else None)
-                fps.append(_word_prints(words).view(np.int64).tolist())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if x is None else x - (1 << 64) * (x >> 63) for x in th], pa.int64()), pa.array(fps, pa.list_(pa.int64()))], names=["doc_id", "th", "fps"])
+                bands.append(_bands(_shingles(words)).view(np.int64) if words else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if x is None else x - (1 << 64) * (x >> 63) for x in th], pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "th", "bands"])
 
     body = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
-    marked = materialize(body.mapInArrow(prints, "doc_id bigint, th bigint, fps array<bigint>"), "copies-prints")
+    marked = materialize(body.mapInArrow(prints, "doc_id bigint, th bigint, bands array<bigint>"), "copies-prints")
     worded = marked.filter(F.col("th").isNotNull())
-    classes = materialize(worded.groupBy("th").agg(F.min("doc_id").alias("first"), F.any_value("fps").alias("fps")), "copies-classes")
-    pairs = _candidates(classes)
+    classes = materialize(worded.groupBy("th").agg(F.min("doc_id").alias("first"), F.any_value("bands").alias("bands")), "copies-classes")
+    keyed = classes.select("th", F.explode("bands").alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("th").alias("head"), F.max("th").alias("top")).filter("head != top").select("key", "head")
+    live = materialize(keyed.join(shared.hint("merge"), "key"), "copies-live")
+    pairs = materialize(_pairs("head", "th", live), "copies-candidates")
     release(spark)
-    rough = components(pairs)
-    nodes = materialize(pairs.select(F.col("a").alias("n")).union(pairs.select(F.col("b").alias("n"))).distinct(), "copies-nodes")
+    nodes = materialize(live.select(F.col("th").alias("n")).distinct(), "copies-nodes")
 
     def sets(batches):
         for b in batches:
@@ -276,18 +276,9 @@ def copy_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
 
     proved = materialize(prove(pairs), "copies-proved")
     roots = components(proved)
-    last = None
-    for _ in range(LEADERS):
-        # The groups of a candidate component are compared with its smallest group that has not led yet.
-        group = rough.select("node", F.col("root").alias("area")).join(roots.select(F.col("node").alias("rn"), F.col("root").alias("g")).hint("merge"), F.col("node") == F.col("rn"), "left")
-        group = group.select("area", F.coalesce("g", "node").alias("g")).distinct()
-        if last is not None:
-            group = group.join(last.hint("merge"), "area").filter(F.col("g") > F.col("leader")).drop("leader")
-        group = materialize(group, "copies-areas")
-        last = materialize(group.groupBy("area").agg(F.min("g").alias("leader")), "copies-leaders")
-        led = group.join(last.hint("merge"), "area").filter(F.col("g") != F.col("leader")).select(F.col("leader").alias("a"), F.col("g").alias("b"))
-        proved = materialize(proved.unionByName(prove(led)), "copies-proved")
-        roots = components(proved)
+    rest = materialize(_ungrouped(live, roots).join(pairs.hint("merge"), ["a", "b"], "left_anti"), "copies-rest")
+    proved = materialize(proved.unionByName(prove(rest)), "copies-proved")
+    roots = components(proved)
     joined = classes.select("th", "first").join(roots.hint("merge"), F.col("th") == F.col("node"), "left").select("th", "first", F.coalesce("root", "th").alias("root"))
     label = joined.groupBy("root").agg(F.min("first").alias("group_id"))
     table = materialize(joined.join(label.hint("merge"), "root").select(F.col("th").alias("lt"), "group_id"), "copies-labels")
