@@ -28,3 +28,22 @@ def test_block_edits_are_found(spark):
     assert len(rows) > 600
     groups = {r["doc_id"]: r["group_id"] for r in simhash.copy_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert groups == {d: d // 10 * 10 for d, _ in rows}
+
+
+def test_every_pair_of_a_crowded_component_is_compared(spark):
+    """Texts over one set of words: blocks in another order, of which twins differ in one block of few words."""
+    rng = np.random.default_rng(6)
+    blocks = [[f"b{k}x{j}" for j in range(20)] for k in range(12)]
+    rows = []
+    for i in range(60):
+        mixed = [list(rng.permutation(b)) if rng.random() < 0.25 else b for b in blocks]
+        twin = [*mixed[:-1], list(rng.permutation(mixed[-1]))]
+        rows += [(2 * i, " ".join(w for b in mixed for w in b)), (2 * i + 1, " ".join(w for b in twin for w in b))]
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if jaccard(rows[a][1], rows[b][1]) >= 0.8:
+                x, y = group[a], group[b]
+                group = [min(x, y) if g in (x, y) else g for g in group]
+    got = {r["doc_id"]: r["group_id"] for r in simhash.copy_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == dict(enumerate(group)) and 3 < len(set(group)) < len(rows)
