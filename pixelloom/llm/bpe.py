@@ -1,48 +1,52 @@
 """Byte-level BPE by recursive queries in DuckDB, one in-memory database per worker.
 
 A worker cuts its texts into pieces, the pieces into words by the split pattern, and encodes every distinct word once: rows of
-(word, position, token) join the merge table, each step contracts the leftmost pair of least rank of every word, and the recursion
-ends where no pair is left. Decoding joins ids to the vocabulary and aggregates the bytes in order.
+token positions join the merge table, each step contracts the pair of least rank of every word at its places from the left, and the
+recursion ends where no pair is left. Decoding joins ids to the vocabulary and aggregates the bytes in order.
+
+All places of a word's least pair are contracted in one step. Contracting the leftmost alone, again and again, comes to the same as long as every
+token of the vocabulary encodes to itself: then a pair that arises from a token never ranks below it. ``check_ranks`` proves that of
+a rank file. Words are cut where two bytes meet that stand side by side in no token, since no pair can span that place.
 """
 from __future__ import annotations
 
 import base64
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import PieceCache
+from .chunks import PieceCache, gather
 
-#: Words of a recursive query; bytes beyond which a word is contracted by itself; texts that are handled at a time.
-WORDS, LONG, TEXTS = 50_000, 256, 512
+#: Bytes of words in a recursive query (a longer word has one of its own), and what a database may hold of memory.
+QUERY_BYTES, MEMORY = 512 << 10, "800MB"
 
+# The recursion keeps one row for each place g of a token t in part w of a word, with the place ng and token nt after it; a step
+# changes the rows of contracted places, and puts -1 where a token has gone. In a run of one token every second place is taken.
 _ENCODE = """
-WITH RECURSIVE s AS (
-  SELECT w, p, t, lead(p, 1, -1) OVER z AS np, lead(t, 1, -1) OVER z AS nt, 0 AS k FROM words WINDOW z AS (PARTITION BY w ORDER BY p)
-  UNION ALL
-  SELECT q.w, q.p, CASE WHEN q.p = b.p THEN b.m ELSE q.t END, CASE WHEN q.p = b.p THEN b.after_p ELSE q.np END,
-    CASE WHEN q.p = b.p THEN b.after_t WHEN q.np = b.p THEN b.m ELSE q.nt END, q.k + 1
-  FROM s q JOIN (
-    SELECT least_.*, n.np AS after_p, n.nt AS after_t
-    FROM (SELECT w, (min(c) >> 32)::INT AS m, (min(c) & 4294967295)::INT AS p, arg_min(np, c) AS np
-          FROM (SELECT s.w, (m::BIGINT << 32) | s.p AS c, s.np FROM s JOIN merges ON l = s.t AND r = s.nt) GROUP BY w) least_
-    JOIN s n ON n.w = least_.w AND n.p = least_.np) b ON q.w = b.w
-  WHERE q.p <> b.np)
-SELECT s.w, s.t FROM s JOIN (SELECT w, max(k) AS k FROM s GROUP BY w) e ON s.w = e.w AND s.k = e.k ORDER BY s.w, s.p"""
-
-# One step for a long word: the pair of least rank is contracted at its leftmost place; where no pair with the merged token ranks lower (``safe``), at
-# all its places from the left, which is what single steps would come to.
-_STEP = """
-CREATE OR REPLACE TEMP TABLE word AS
-WITH q AS (SELECT p, t, lead(t, 1, -1) OVER (ORDER BY p) AS nt, row_number() OVER (ORDER BY p) AS i FROM word),
-c AS (SELECT q.i, m FROM q JOIN merges ON l = q.t AND r = q.nt),
-b AS (SELECT min(m) AS m FROM c),
-o AS (SELECT i, c.m, i - row_number() OVER (ORDER BY i) AS island FROM c JOIN b ON c.m = b.m),
-u AS (SELECT i, m, (i - min(i) OVER (PARTITION BY island)) % 2 AS odd, row_number() OVER (ORDER BY i) AS nth FROM o),
-f AS (SELECT i, m FROM u WHERE odd = 0 AND (nth = 1 OR m IN (SELECT m FROM safe)))
-SELECT q.p, coalesce(f.m, q.t)::INT AS t FROM q LEFT JOIN f ON f.i = q.i WHERE q.i - 1 NOT IN (SELECT i FROM f)"""
+WITH RECURSIVE s(g, w, t, ng, nt) USING KEY (g) AS (
+  SELECT g, w, t, ng, nt FROM words
+  UNION
+  (WITH q AS (SELECT * FROM recurring.s WHERE t >= 0 AND w IN (SELECT w FROM s)),
+   c AS (SELECT g, w, ng, m, t = nt AS twin FROM q JOIN merges ON l = t AND r = nt),
+   least_ AS (SELECT w, min(m) AS m FROM c GROUP BY w),
+   o AS (SELECT c.* FROM c JOIN least_ ON least_.w = c.w AND least_.m = c.m),
+   runs AS (SELECT x.*, y.g IS NULL AS fresh, row_number() OVER (ORDER BY x.g) AS n FROM o x LEFT JOIN o y ON y.ng = x.g WHERE x.twin),
+   f AS (SELECT g, w, ng, m FROM o WHERE NOT twin
+         UNION ALL
+         SELECT g, w, ng, m FROM (SELECT *, n - max(CASE WHEN fresh THEN n END) OVER (ORDER BY n) AS nth FROM runs) WHERE nth % 2 = 0)
+   SELECT f.g, f.w, f.m, n.ng, coalesce(f2.m, n.nt) FROM f JOIN q n ON n.g = f.ng LEFT JOIN f f2 ON f2.g = n.ng
+   UNION ALL SELECT ng, w, -1, -1, -1 FROM f
+   UNION ALL SELECT q.g, q.w, q.t, q.ng, f.m FROM q JOIN f ON f.g = q.ng ANTI JOIN (SELECT unnest([g, ng]) AS d FROM f) ON d = q.g))
+SELECT g, t FROM s WHERE t >= 0 ORDER BY g"""
+
+
+def read_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
 class Codec:
@@ -52,15 +56,17 @@ class Codec:
         import duckdb
         import regex
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        ranks = read_ranks(path)
         self.split = regex.compile(pattern).findall
         self.byte_id = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "700MB", "temp_directory": ""})
+        self.joined = np.zeros((256, 256), bool)
+        for token in ranks:
+            b = np.frombuffer(token, np.uint8)
+            self.joined[b[:-1], b[1:]] = True
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": ""})
         triples = [(ranks[t[:i]], ranks[t[i:]], m) for t, m in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         self._table("merges", pa.table([pa.array(c, pa.int32()) for c in zip(*triples)], names=["l", "r", "m"]))
         self._table("vocabulary", pa.table([pa.array(list(ranks.values()), pa.int32()), pa.array([t.hex() for t in ranks])], names=["id", "bytes"]))
-        self.db.execute("CREATE TABLE safe AS SELECT DISTINCT m FROM merges WHERE m NOT IN (SELECT l FROM merges WHERE m < l UNION SELECT r FROM merges WHERE m < r)")
         self.cache = PieceCache(self._pieces)
 
     def _table(self, name: str, rows: pa.Table) -> None:
@@ -68,56 +74,58 @@ class Codec:
         self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM arrow_rows")
         self.db.unregister("arrow_rows")
 
-    def _long(self, word: bytes) -> np.ndarray:
-        ids = self.byte_id[np.frombuffer(word, np.uint8)]
-        self.db.register("arrow_rows", pa.table({"p": np.arange(len(ids)), "t": ids}))
-        self.db.execute("CREATE OR REPLACE TEMP TABLE word AS SELECT * FROM arrow_rows")
-        n, left = -1, len(ids)
-        while left != n:
-            n = left
-            self.db.execute(_STEP)
-            left = self.db.execute("SELECT count(*) FROM word").fetchall()[0][0]
-        return self.db.execute("SELECT t FROM word ORDER BY p").fetchnumpy()["t"].astype("<u4")
-
-    def words(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """The ids of distinct words, packed as little-endian 32-bit integers."""
-        out = {w: self._long(w).tobytes() for w in words if len(w) > LONG}
-        short = [w for w in words if 0 < len(w) <= LONG]
-        for at in range(0, len(short), WORDS):
-            part = short[at : at + WORDS]
-            n = np.fromiter(map(len, part), np.int64, len(part))
-            ids = self.byte_id[np.frombuffer(b"".join(part), np.uint8)]
-            w = np.repeat(np.arange(len(part), dtype=np.int32), n)
-            p = (np.arange(len(ids)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
-            self.db.register("words", pa.table({"w": w, "p": p, "t": ids}))
-            r = self.db.execute(_ENCODE).fetchnumpy()
-            self.db.unregister("words")
-            cut = np.searchsorted(r["w"], np.arange(len(part) + 1)).tolist()
-            data = memoryview(r["t"].astype("<u4").tobytes())
-            out.update((x, bytes(data[4 * a : 4 * b])) for x, a, b in zip(part, cut, cut[1:]))
-        return out
-
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        cut = [[w.encode("utf-8", "replace") for w in self.split(x)] for x in pieces]
-        ids = self.words(list({w for c in cut for w in c}))
-        return [b"".join([ids[w] for w in c]) for c in cut]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.frombuffer(p, "<u4") for p in self.cache.encode_texts(texts)]
-
-    def decode(self, arrays: list[np.ndarray]) -> list[bytes]:
-        n = np.fromiter(map(len, arrays), np.int64, len(arrays))
-        t = np.concatenate([np.asarray(a, np.int32) for a in arrays]) if len(arrays) else np.zeros(0, np.int32)
-        d = np.repeat(np.arange(len(arrays), dtype=np.int32), n)
-        self.db.register("ids", pa.table({"d": d, "p": np.arange(len(t), dtype=np.int32), "t": t}))
+    def _query(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        data = np.frombuffer(b"".join(words), np.uint8)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        last = np.append(~self.joined[data[:-1], data[1:]], True)
+        last[ends - 1] = True
+        t, g = self.byte_id[data], np.arange(len(data), dtype=np.int32)
+        rows = {"g": g, "w": (np.cumsum(last) - last).astype(np.int32), "t": t, "ng": np.where(last, -1, g + 1).astype(np.int32), "nt": np.where(last, -1, np.append(t[1:], -1)).astype(np.int32)}
+        self.db.register("words", pa.table(rows))
+        found = self.db.execute(_ENCODE).fetchnumpy()
+        self.db.unregister("words")
+        return found["t"].astype(np.uint32), np.diff(np.concatenate(([0], np.searchsorted(found["g"], ends))))
+
+    def words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words (none empty) in a row, and how many each has. Words of like length share a query, as they end after like numbers of steps."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(size, kind="stable")
+        full = np.cumsum(size[order])
+        flats, counts, a = [], [], 0
+        while a < len(order):
+            b = max(a + 1, int(np.searchsorted(full, (full[a - 1] if a else 0) + QUERY_BYTES, "right")))
+            flat, n = self._query([words[k] for k in order[a:b]])
+            flats.append(flat)
+            counts.append(n)
+            a = b
+        count = np.zeros(len(words), np.int64)
+        if len(words):
+            count[order] = np.concatenate(counts)
+        start = np.zeros(len(words), np.int64)
+        start[order] = np.cumsum(count[order]) - count[order]
+        return np.concatenate(flats) if flats else np.zeros(0, np.uint32), start, count
+
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        cut = [self.split(x) for x in pieces]
+        known = {w: k for k, w in enumerate(dict.fromkeys(w for c in cut for w in c))}
+        flat, start, count = self.words([w.encode("utf-8", "replace") for w in known])
+        at = np.array([known[w] for c in cut for w in c], np.int64)
+        n = np.concatenate(([0], np.cumsum(count[at])))
+        ends = np.cumsum([len(c) for c in cut])
+        return gather(flat, start[at], count[at]), np.diff(np.concatenate(([0], n[ends])))
+
+    def decode(self, flat: np.ndarray, count: np.ndarray) -> list[bytes]:
+        """``flat``: the ids of texts in a row, ``count``: how many each has."""
+        d = np.repeat(np.arange(len(count), dtype=np.int32), count)
+        self.db.register("ids", pa.table({"d": d, "p": np.arange(len(flat), dtype=np.int32), "t": flat.astype(np.int32)}))
         rows = self.db.execute("SELECT d, count(*) AS n, string_agg(bytes, '' ORDER BY p) AS x FROM ids JOIN vocabulary ON id = t GROUP BY d").fetchall()
         self.db.unregister("ids")
-        out = [b""] * len(arrays)
+        out = [b""] * len(count)
         for d, found, x in rows:
-            if found != n[d]:
+            if found != count[d]:
                 raise ValueError("an id is not in the vocabulary")
             out[d] = bytes.fromhex(x)
-        if len(rows) != int((n > 0).sum()):
+        if len(rows) != int((count > 0).sum()):
             raise ValueError("an id is not in the vocabulary")
         return out
 
@@ -131,21 +139,49 @@ def _codec(path: str, pattern: str) -> Codec:
     return _CODECS[path, pattern]
 
 
+@lru_cache(maxsize=8)
+def check_ranks(path: str) -> None:
+    """Raise if a token of the rank file does not encode to itself."""
+    ranks = read_ranks(path)
+    codec = Codec(path, r".+")
+    _, _, count = codec.words(list(ranks))
+    if (count != 1).any():
+        raise ValueError(f"{int((count != 1).sum())} tokens of {path} do not encode to themselves")
+
+
+def _lists(flat: np.ndarray, count: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))).astype(np.int32)), pa.array(flat.astype(np.int32)))
+
+
+def _body(docs: DataFrame, text: str, key: str) -> DataFrame:
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+
+
 def encode(docs: DataFrame, ranks: str, pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, ids (array) of every row of ``docs``. A null or empty text has no ids; repeated rows are encoded alike; other columns
-    are ignored. A single word longer than LONG bytes is contracted by queries of its own."""
+    are ignored; an empty table gives an empty result. Texts of any length are encoded whole; a rank file with tokens that do not encode to themselves is an error."""
+    check_ranks(ranks)
+
+    def run(batches):
+        codec = _codec(ranks, pattern)
+        for b in batches:
+            for at, to, flat, count in codec.cache.encode_texts(b.column(1)):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, to - at), _lists(flat, count)], names=["doc_id", "ids"])
+
+    return _body(docs, text, key).mapInArrow(run, "doc_id bigint, ids array<int>")
+
+
+def round_trip(docs: DataFrame, ranks: str, pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``encode`` with decoded (binary), what ``decode`` makes of the ids, by one codec in one pass."""
+    check_ranks(ranks)
 
     def run(batches):
         codec = _codec(ranks, pattern)
         for b in batches:
-            docs_, texts = b.column(0), b.column(1).to_pylist()
-            for at in range(0, len(texts), TEXTS):
-                ids = codec.encode(texts[at : at + TEXTS])
-                flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
-                ends = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([docs_.slice(at, TEXTS), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "ids"])
+            for at, to, flat, count in codec.cache.encode_texts(b.column(1)):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, to - at), _lists(flat, count), pa.array(codec.decode(flat, count), pa.binary())], names=["doc_id", "ids", "decoded"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t")).mapInArrow(run, "doc_id bigint, ids array<int>")
+    return _body(docs, text, key).mapInArrow(run, "doc_id bigint, ids array<int>, decoded binary")
 
 
 def decode(tokens: DataFrame, ranks: str, pattern: str) -> DataFrame:
@@ -154,11 +190,15 @@ def decode(tokens: DataFrame, ranks: str, pattern: str) -> DataFrame:
     def run(batches):
         codec = _codec(ranks, pattern)
         for b in batches:
-            for at in range(0, b.num_rows, TEXTS):
-                part = b.slice(at, TEXTS)
-                lists = part.column(1)
-                flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-                arrays = np.split(flat, ends[:-1]) if len(ends) else []
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(codec.decode(arrays), pa.binary())], names=["doc_id", "ids", "decoded"])
+            count = pc.fill_null(pc.list_value_length(b.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = b.column(1).flatten().to_numpy(zero_copy_only=False)
+            ends = np.cumsum(count)
+            a = 0
+            while a < len(count):
+                z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + (1 << 19), "right")))
+                lo, hi = int(ends[a - 1]) if a else 0, int(ends[z - 1])
+                part = b.slice(a, z - a)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(codec.decode(flat[lo:hi], count[a:z]), pa.binary())], names=["doc_id", "ids", "decoded"])
+                a = z
 
     return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, ids array<int>, decoded binary")

@@ -7,13 +7,21 @@ and the pieces encoded apart. Where white space runs together, the text is left
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
-from itertools import chain
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Texts with other white space than single spaces and line ends between other characters (for RE2, whose \s knows ASCII alone).
+_UNEVEN = r"^[ \n]|[ \n]$|[ \n][ \n]|[\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _RUN = re.compile(r"\s (?:\s|\Z)")
-_MARKS = frozenset(".,;:!?")
-#: Distinct pieces in the younger half of a memory; when it is full it becomes the older half, and that is dropped.
-MOST = 400_000
+#: Characters that make one word of their own behind letters.
+_MARKS = ".,;:!?#*$%&|<>()-"
+#: Distinct pieces in the younger half of the memory; when it is full it becomes the older half, and that is dropped.
+MOST = 250_000
+#: Bytes of text whose new pieces are encoded together, and ids that are handed out at a time (more only for one text).
+SLICE, IDS = 8 << 20, 1 << 19
 
 
 def units(text: str) -> list[str]:
@@ -27,50 +35,140 @@ def units(text: str) -> list[str]:
     return out
 
 
-class _Memory:
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], prefix: str):
-        self.encode, self.prefix, self.young, self.old = encode, prefix, {}, {}
+def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The ranges [start, start + size) of ``flat`` in a row."""
+    at = np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
+    return flat[at]
 
-    def learn(self, wanted: set) -> None:
-        """Make sure that all of ``wanted`` are in the younger half."""
-        if len(self.young) > MOST:
-            self.old, self.young = self.young, {}
+
+class _Half:
+    """Pieces with the place of their ids in one array. A piece behind a space is known without it (1), others as they are (0)."""
+
+    def __init__(self):
+        self.known: tuple[dict, dict] = ({}, {})
+        self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def __len__(self) -> int:
+        return len(self.start)
+
+    def add(self, kind: int, pieces: list[str], flat: np.ndarray, size: np.ndarray) -> None:
+        self.known[kind].update(zip(pieces, range(len(self), len(self) + len(pieces))))
+        self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(size) - size))
+        self.size, self.flat = np.concatenate((self.size, size)), np.concatenate((self.flat, flat))
+
+    def ids(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return gather(self.flat, self.start[slots], self.size[slots]), self.size[slots]
+
+
+class PieceCache:
+    """The ids of texts. ``encode(pieces)`` gives the ids of all pieces in a row and the number of each. A text that holds one of
+    ``special`` is encoded whole."""
+
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], special: tuple[str, ...] = ()):
+        self.encode, self.special, self.young, self.old = encode, special, _Half(), _Half()
+
+    def _learn(self, kind: int, pieces: list[str]) -> None:
+        """Make sure that all of ``pieces`` (distinct) are in the younger half."""
         young, old = self.young, self.old
-        new, marked = set(), []
-        for x in wanted.difference(young):
-            v = old.get(x)
-            if v is not None:
-                young[x] = v
-            elif len(x) > 1 and x[-1] in _MARKS and x[:-1].isalpha():
-                # A mark behind letters is a word of its own for the split pattern.
-                marked.append(x)
-                if x[:-1] not in young:
-                    v = old.get(x[:-1])
-                    if v is None:
-                        new.add(x[:-1])
-                    else:
-                        young[x[:-1]] = v
+        mine, theirs = young.known[kind], old.known[kind]
+        new = [x for x in pieces if x not in mine]
+        back = [x for x in new if x in theirs]
+        if back:
+            young.add(kind, back, *old.ids(np.array([theirs[x] for x in back])))
+            new = [x for x in new if x not in theirs]
+        plain, marked = [], []
+        for x in new:
+            body = x.rstrip(_MARKS)
+            if len(body) < len(x) and body.isalpha():
+                marked.append((x, body, x[len(body):]))
             else:
-                new.add(x)
-        if new:
-            order = list(new)
-            young.update(zip(order, self.encode([self.prefix + x for x in order])))
+                plain.append(x)
         if marked:
-            marks = dict(zip(_MARKS, self.encode(list(_MARKS))))
-            young.update((x, young[x[:-1]] + marks[x[-1]]) for x in marked)
+            self._learn(kind, list({b for _, b, _ in marked}.difference(plain)))
+            self._learn(0, list({t for _, _, t in marked}))
+        plain = [x for x in plain if x not in mine]
+        if plain:
+            young.add(kind, plain, *self.encode([" " + x for x in plain] if kind else plain))
+        if marked:
+            both = np.array([(mine[b], young.known[0][t]) for _, b, t in marked])
+            flat, size = young.ids(both.ravel())
+            young.add(kind, [x for x, _, _ in marked], flat, size.reshape(-1, 2).sum(1))
 
+    def _slots(self, kind: int, pieces: list[str]) -> np.ndarray:
+        self._learn(kind, pieces)
+        return np.fromiter(map(self.young.known[kind].__getitem__, pieces), np.int64, len(pieces))
 
-class PieceCache:
-    """``encode(list of str) -> list of bytes``, where the bytes of a text are those of its words in a row."""
-
-    def __init__(self, encode: Callable[[list[str]], list[bytes]]):
-        self.encode, self.heads, self.rest, self.line = encode, _Memory(encode, ""), _Memory(encode, " "), None
-
-    def encode_texts(self, texts: list[str]) -> list[bytes]:
-        if self.line is None:
-            self.line = self.encode(["\n"])[0]
-        cut = [[[u] if _RUN.search(u) else u.split(" ") for u in units(t)] for t in texts]
-        self.heads.learn({u[0] for c in cut for u in c})
-        self.rest.learn(set(chain.from_iterable(u[1:] for c in cut for u in c)))
-        head, get = self.heads.young, self.rest.young.__getitem__
-        return [self.line.join([b"".join([head[u[0]], *map(get, u[1:])]) for u in c]) for c in cut]
+    def _even(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Slots of the pieces of all texts in a row, and how many pieces each has."""
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n "), " ")
+        count = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        d = lists.flatten().dictionary_encode()
+        code = d.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        values = d.dictionary.to_numpy(zero_copy_only=False)
+        line = np.flatnonzero(values == "\n")
+        head = np.zeros(len(code) + 1, bool)
+        head[np.cumsum(count) - count] = True
+        if len(line):
+            ends = code == line[0]
+            head[:-1] |= ends
+            head[1:] |= ends
+        key = 2 * code + ~head[:-1]
+        used = np.zeros(2 * len(values), bool)
+        used[key] = True
+        slot = np.zeros(len(used), np.int64)
+        for kind in (0, 1):
+            at = np.flatnonzero(used[kind::2])
+            slot[2 * at + kind] = self._slots(kind, values[at].tolist())
+        return slot[key], count
+
+    def _uneven(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        rows = []
+        for t in texts:
+            row: list[tuple[int, str]] = []
+            for n, u in enumerate([t] if any(s in t for s in self.special) else units(t)):
+                if n:
+                    row.append((0, "\n"))
+                words = [u] if _RUN.search(u) or any(s in u for s in self.special) else u.split(" ")
+                row.append((0, words[0]))
+                row += [(1, w) for w in words[1:]]
+            rows.append(row)
+        for kind in (0, 1):
+            self._learn(kind, list({x for row in rows for k, x in row if k == kind}))
+        known = self.young.known
+        return np.array([known[k][x] for row in rows for k, x in row], np.int64), np.array([len(r) for r in rows], np.int64)
+
+    def _cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Slots of the pieces of all texts in a row, and how many pieces each has."""
+        if len(self.young) > MOST:
+            self.old, self.young = self.young, _Half()
+        odd = pc.match_substring_regex(texts, _UNEVEN)
+        for s in self.special:
+            odd = pc.or_(odd, pc.match_substring(texts, s))
+        odd = odd.to_numpy(zero_copy_only=False)
+        if not odd.any():
+            return self._even(texts)
+        parts = [(np.flatnonzero(odd), *self._uneven(texts.filter(pa.array(odd)).to_pylist()))]
+        if not odd.all():
+            parts.append((np.flatnonzero(~odd), *self._even(texts.filter(pa.array(~odd)))))
+        start, count, base = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), 0
+        for rows, slots, n in parts:
+            count[rows], start[rows] = n, base + np.cumsum(n) - n
+            base += len(slots)
+        return gather(np.concatenate([slots for _, slots, _ in parts]), start, count), count
+
+    def encode_texts(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """In runs [a, b) of the texts (no nulls): the ids of all in a row, and the number of each."""
+        texts = texts.cast(pa.large_string())
+        full = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+        a = 0
+        while a < len(texts):
+            b = max(a + 1, int(np.searchsorted(full, (full[a - 1] if a else 0) + SLICE, "right")))
+            slots, count = self._cut(texts.slice(a, b - a))
+            pieces = np.concatenate(([0], np.cumsum(count)))
+            ids = np.concatenate(([0], np.cumsum(self.young.size[slots])))[pieces]
+            x = 0
+            while x < b - a:
+                y = max(x + 1, int(np.searchsorted(ids, ids[x] + IDS, "right")) - 1)
+                yield a + x, a + y, self.young.ids(slots[pieces[x] : pieces[y]])[0], np.diff(ids[x : y + 1])
+                x = y
+            a = b
