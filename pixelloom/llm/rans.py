@@ -22,10 +22,9 @@ from .common import discard, materialize, release, scratch, shuffle_partitions
 #: The frequencies sum to 2 ** SCALE; states live in [LOW, LOW << 32).
 SCALE, LOW = 20, 1 << 31
 LANES, CHECK_ROWS, BLOCK_IDS = 4096, 128, 1 << 20
-#: Bytes of text whose ids make a shard of the files.
-SHARD_BYTES = 32 << 20
+#: Bytes of text whose ids make a shard of the files; shards grow beyond it where there would be more than SHARDS.
+SHARD_BYTES, SHARDS = 32 << 20, 20_000
 _U = np.uint64
-_TEXTS = 1024
 
 
 def scaled_frequencies(counts: np.ndarray) -> np.ndarray:
@@ -113,14 +112,14 @@ _TOKENIZERS: dict = {}
 
 
 class _Encoder:
-    """Packed ids of many short pieces. Pieces that neither start (behind their space) nor end with white space are encoded as one
+    """Ids of many short pieces. Pieces that neither start (behind their space) nor end with white space are encoded as one
     text, which the split pattern cuts between them, and told apart by the lengths of their bytes."""
 
-    def __init__(self, path: str, kind: str):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kind = Tokenizer.from_file(path), kind
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer = Tokenizer.from_file(path)
+        self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         vocabulary = self.tokenizer.get_vocab()
         self.size = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, k in vocabulary.items():
@@ -129,31 +128,32 @@ class _Encoder:
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def __call__(self, pieces: list[str]) -> list[bytes]:
-        out: list = [None] * len(pieces)
-        plain = [k for k, x in enumerate(pieces) if len(x) > 1 and x[0] == " " and not x[1].isspace() and not x[-1].isspace()]
+    def __call__(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        count = np.full(len(pieces), -1, np.int64)
+        parts: list = [None] * len(pieces)
+        plain = [k for k, x in enumerate(pieces) if len(x) > 1 and x[0] == " " and not x[1].isspace() and not x[-1].isspace() and not any(s in x for s in self.special)]
         groups = [plain[at : at + _JOINED] for at in range(0, len(plain), _JOINED)]
         for group, ids in zip(groups, self._ids(["".join([pieces[k] for k in g]) for g in groups])):
             ends = np.cumsum([len(pieces[k].encode("utf-8", "replace")) for k in group])
             reached = np.cumsum(self.size[ids])
             cut = np.searchsorted(reached, ends) + 1
-            if len(ids) and (reached[cut - 1] == ends).all():
-                data, width, a = ids.astype(self.kind).tobytes(), np.dtype(self.kind).itemsize, 0
-                for k, b in zip(group, (cut * width).tolist()):
-                    out[k] = data[a:b]
-                    a = b
-        rest = [k for k, x in enumerate(out) if x is None]
+            if len(ids) and cut[-1] <= len(ids) and (reached[cut - 1] == ends).all():
+                count[group] = np.diff(np.concatenate(([0], cut)))
+                for k, part in zip(group, np.split(ids, cut[:-1])):
+                    parts[k] = part
+        rest = [k for k, x in enumerate(parts) if x is None]
         for k, ids in zip(rest, self._ids([pieces[k] for k in rest])):
-            out[k] = ids.astype(self.kind).tobytes()
-        return out
+            parts[k], count[k] = ids, len(ids)
+        return np.concatenate(parts) if parts else np.zeros(0, np.uint32), count
 
 
-def _pieces(path: str, kind: str) -> PieceCache:
-    """The tokenizer of a worker, with its memory of pieces (their ids as packed integers)."""
-    if (path, kind) not in _TOKENIZERS:
+def _pieces(path: str) -> PieceCache:
+    """The tokenizer of a worker, with its memory of pieces."""
+    if path not in _TOKENIZERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _TOKENIZERS[path, kind] = PieceCache(_Encoder(path, kind))
-    return _TOKENIZERS[path, kind]
+        encoder = _Encoder(path)
+        _TOKENIZERS[path] = PieceCache(encoder, encoder.special)
+    return _TOKENIZERS[path]
 
 
 def _kind(vocabulary: int) -> str:
@@ -168,28 +168,35 @@ def token_blocks(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: int,
     """The documents in ascending order (null ids first, rows of one id by text hash), cut into blocks of whole documents: shard, block,
     docs, lengths, ids (packed, ``end_id`` after each document). A null text is empty and has the end id alone."""
     kind = _kind(vocabulary)
-    end = np.array([end_id], kind).tobytes()
     total = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
-    shards = int(max(shuffle_partitions(docs.sparkSession), total // SHARD_BYTES + 1))
+    shards = int(max(shuffle_partitions(docs.sparkSession), min(total // SHARD_BYTES + 1, SHARDS)))
 
     def run(batches):
-        cache, shard, block, names, data = _pieces(tokenizer, kind), TaskContext.get().partitionId(), 0, [], []
-        size = 0
+        cache, shard, block = _pieces(tokenizer), TaskContext.get().partitionId(), 0
+        names, lengths, ids = [], [], []
 
         def flush():
-            lengths = [len(x) // len(end) for x in data]
-            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((shard, block, list(names), lengths, b"".join(data)), _RAW)], schema=_RAW)
+            row = (shard, block, np.concatenate(names), np.concatenate(lengths), np.concatenate(ids).astype(kind).tobytes())
+            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _RAW)], schema=_RAW)
 
         for b in batches:
-            docs_, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for at in range(0, len(texts), _TEXTS):
-                for doc, ids in zip(docs_[at : at + _TEXTS], cache.encode_texts(texts[at : at + _TEXTS])):
-                    names.append(doc)
-                    data.append(ids + end)
-                    size += len(data[-1])
-                    if size >= BLOCK_IDS * len(end):
+            docs_ = b.column(0).to_pylist()
+            for at, to, flat, count in cache.encode_texts(b.column(1)):
+                ends = np.cumsum(count + 1)
+                data = np.full(int(ends[-1]), end_id, np.uint32)
+                data[np.delete(np.arange(len(data)), ends - 1)] = flat
+                a = 0
+                while a < to - at:
+                    # Documents up to the one with which the block is full.
+                    room = BLOCK_IDS - sum(map(len, ids))
+                    z = min(int(np.searchsorted(ends, (ends[a - 1] if a else 0) + room)) + 1, to - at)
+                    names.append(np.array(docs_[at + a : at + z], object))
+                    lengths.append(count[a:z] + 1)
+                    ids.append(data[ends[a - 1] if a else 0 : ends[z - 1]])
+                    if sum(map(len, ids)) >= BLOCK_IDS:
                         yield flush()
-                        names, data, size, block = [], [], 0, block + 1
+                        names, lengths, ids, block = [], [], [], block + 1
+                    a = z
         if names:
             yield flush()
 

@@ -4,13 +4,14 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pixelloom.llm import ann, bpe, chat, licenses, mixing, quality, rans, simhash
+from pixelloom.llm import ann, bpe, chat, chunks, licenses, mixing, quality, rans, simhash
 
 from . import brute
 
@@ -79,10 +80,23 @@ def test_simhash_finds_every_pair_in_the_ball(spark):
 
 def test_simhash_recursion_over_crowded_buckets(spark, monkeypatch):
     monkeypatch.setattr(simhash, "MOST_VARIANTS", 3000)
-    f = np.array([0, 3, 15, 255, 1 << 40, (1 << 40) | 7, (1 << 63) | 1], np.uint64)
-    edges = []
-    simhash._link(f, np.arange(len(f)), 0, 8, 2, list(range(len(f))), edges, f)
-    assert {frozenset(e) for e in edges} >= {frozenset((0, 1)), frozenset((0, 6))} or len(edges) >= 4
+    rng = np.random.default_rng(1)
+    low = sum(1 << k for k in range(56))
+    f = np.unique(np.array([0, 3, 15, 255, 1 << 40, (1 << 40) | 7, *(int(a) & low for a in rng.integers(0, 2**62, 30)), *(int(np.bitwise_or.reduce(1 << rng.choice(56, 3))) for _ in range(60))], np.uint64))
+    n = len(f)
+    near = {(a, b) for a in range(n) for b in range(a + 1, n) if bin(int(f[a]) ^ int(f[b])).count("1") <= 4}
+    every = lambda groups: simhash._unique_pairs(m for bucket in range(256) for m in simhash._meetings(f, np.arange(n), bucket, 8, 2, 64, groups))
+    group = np.arange(n) % 3
+    assert {tuple(x) for x in every(group).tolist()} == {(a, b) for a, b in near if group[a] != group[b]}
+    forest = simhash._forest(f, every(None)).tolist()
+    roots = {}
+    for edges in (near, forest):
+        parent = list(range(n))
+        for a, b in edges:
+            x, y = simhash._root(parent, a), simhash._root(parent, b)
+            parent[max(x, y)] = min(x, y)
+        roots[len(roots)] = [simhash._root(parent, k) for k in range(n)]
+    assert roots[0] == roots[1] and len(forest) < len(near)
 
 
 def test_components_of_chains_and_stars(spark):
@@ -154,7 +168,6 @@ def test_licenses(docs, none):
 
 def test_rans_round_trip(spark, docs, tmp_path):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     path = str(tmp_path / "tokens")
     rans.write_tokens(docs, path, public_tokenizers.path("byte_bpe_50k.json"), 2, 50_257)
     got = [tuple(r) for r in rans.read_tokens(spark, path, 50_257).collect()]
@@ -177,6 +190,34 @@ def test_rans_empty_and_null_ids(spark, none, tmp_path):
             assert min(out, key=lambda r: r["start"])["doc_id"] is None
 
 
+def test_rans_special_tokens_and_several_blocks(spark, tmp_path, monkeypatch):
+    """``start`` runs on over blocks and shards; control strings in a text are what the library makes of them."""
+    monkeypatch.setattr(rans, "BLOCK_IDS", 300)
+    monkeypatch.setattr(rans, "SHARD_BYTES", 2000)
+    path, t = str(tmp_path / "tokens"), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x\n<|endoftext|>\n y", " <|endoftext|><|endoftext|> ", "word " * 400, "", None] * 9
+    rans.write_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), path, public_tokenizers.path("byte_bpe_50k.json"), 2, 50_257)
+    assert spark.read.parquet(path + "/blocks").count() > 9
+    at = 0
+    for r, x in zip(rans.read_tokens(spark, path, 50_257).orderBy("doc_id").collect(), texts):
+        want = t.encode(x or "", add_special_tokens=False).ids + [2]
+        assert r["ids"] == want and r["start"] == at and r["n_tokens"] == len(want)
+        at += len(want)
+
+
+def test_piece_cache_turnover(monkeypatch):
+    """Pieces that are dropped and learnt again, in slices of a few texts."""
+    monkeypatch.setattr(chunks, "MOST", 20)
+    monkeypatch.setattr(chunks, "SLICE", 200)
+    monkeypatch.setattr(chunks, "IDS", 30)
+    path, t = public_tokenizers.path("byte_bpe_50k.json"), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(["ab", "cde", " ", "\n", ".", "é", "1", "'s", "\u3000", "\t", "##"], 60)) for _ in range(200)] + ["", "one two. one", "p q!\nr"]
+    cache = chunks.PieceCache(rans._Encoder(path))
+    got = [x.tolist() for _, _, flat, n in cache.encode_texts(pa.array(texts)) for x in np.split(flat, np.cumsum(n)[:-1])]
+    assert got == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_rans_blocks():
     rng = np.random.default_rng(1)
     for n in (1, 5, 1023, 1024, 1025, 200_001):
@@ -200,6 +241,7 @@ def test_bpe(docs, none):
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     out = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path, public_tokenizers.PATTERN).collect()
     same([(r["doc_id"], tuple(r["ids"]), bytes(r["decoded"]).decode()) for r in out], [(d, tuple(enc.encode_ordinary(t or "")), t or "") for d, t, _, _ in ROWS])
+    same([tuple(r) for r in bpe.round_trip(docs, path, public_tokenizers.PATTERN).collect()], [tuple(r) for r in out])
     assert bpe.encode(none, path, public_tokenizers.PATTERN).count() == 0
     bad = none.sparkSession.createDataFrame([(1, [99_999_999])], "doc_id bigint, ids array<int>")
     with pytest.raises(Exception, match="not in the vocabulary"):
@@ -213,9 +255,21 @@ def test_bpe_words_of_any_length():
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     rng = np.random.default_rng(5)
     words = ["".join(rng.choice(list("abcdeinorst"), n)) for n in (1, 2, 3, 9, 40, 256, 257, 900)] + ["a" * 999, "ab" * 333, "é" * 200]
-    got = codec.words([w.encode() for w in words])
-    for w in words:
-        assert np.frombuffer(got[w.encode()], "<u4").tolist() == enc.encode_ordinary(w), w[:20]
+    words += ["ATAT", "中文字符" * 50, "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 20_000))]
+    flat, start, count = codec.words([w.encode() for w in words])
+    for w, a, n in zip(words, start, count):
+        assert flat[a : a + n].tolist() == enc.encode_ordinary(w), w[:20]
+    _, _, count = codec.words([b"a" * 1_000_000])
+    assert count.sum() == 250_000
+    bpe.check_ranks(path)
+
+
+def test_bpe_rejects_ranks_with_unreachable_tokens(tmp_path):
+    ranks = [bytes([b]) for b in range(256)] + [b"ab", b"bcd", b"abcd", b"cd"]  # "abcd" would take ab, then cd, and bcd needs b beside cd
+    path = tmp_path / "odd.tiktoken"
+    path.write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % k for k, t in enumerate([*ranks, b"xyz"])))
+    with pytest.raises(ValueError, match="do not encode to themselves"):
+        bpe.check_ranks(str(path))
 
 
 def test_ann(spark):
