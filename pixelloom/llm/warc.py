@@ -1,11 +1,14 @@
 """WARC archives: writing records, and reading them back by boundary-chain verification.
 
 Spark's text writer lays the records into archive files. Reading splits the files at every magic string, wherever it stands;
-each such place is a candidate record and names the offset of its successor. Pointer jumping from the start of every file keeps
-the places that the chain of lengths reaches, so a magic string inside a payload never starts a record.
+each such place is a candidate record and names the offset of its successor. Pointer jumping from the first record of every file
+keeps the places that the chain of lengths reaches, so a magic string inside a payload never starts a record; where a chain
+breaks, the file is damaged, which is an error or reported.
 """
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,7 +17,7 @@ from .common import materialize, scratch
 
 MAGIC = "WARC/1.0\r\n"
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-#: Records a file holds at most: bounds a file's size and the rounds of pointer jumping.
+#: Records a written file holds at most.
 RECORDS_PER_FILE = 4096
 #: Rows of a narrow written table up to which it is broadcast (under 100 bytes a row); larger ones are shuffled.
 BROADCAST_ROWS = 100_000
@@ -42,11 +45,14 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     null url gives no target header. Rows with one page_id and one payload are all responses of their own."""
     body = F.coalesce(F.col("html"), F.lit(""))
     p = pages.select("page_id", "url", body.alias("html"), base32_sha1(body.cast("binary")).alias("digest"), F.octet_length(body).cast("long").alias("size"))
-    first = p.filter(F.col("size") >= min_bytes).groupBy(F.col("digest").alias("g"), F.col("size").alias("gs")).agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    # Only digests that stand more than once need a look-up; the others are responses.
-    repeated = materialize(first.filter(F.col("n") > 1).select("g", "gs", "first"), "warc-repeated")
-    p = p.join(_sized(repeated), (F.col("digest") == F.col("g")) & (F.col("size") == F.col("gs")), "left")
-    revisit = F.coalesce(~F.col("page_id").eqNullSafe(F.col("first")) & F.col("first").isNotNull(), F.lit(False))
+    # Digests that stand more than once are looked up on narrow rows; payloads meet the outcome by page, so that no digest gathers them.
+    narrow = materialize(p.select("page_id", "digest", "size").filter(F.col("size") >= min_bytes), "warc-digests")
+    first = narrow.groupBy(F.col("digest").alias("g"), F.col("size").alias("gs")).agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    repeated = materialize(first.filter((F.col("n") > 1) & F.col("first").isNotNull()).select("g", "gs", "first"), "warc-repeated")
+    again = narrow.join(_sized(repeated), (F.col("digest") == F.col("g")) & (F.col("size") == F.col("gs"))).filter(~F.col("page_id").eqNullSafe(F.col("first")))
+    again = materialize(again.select(F.col("page_id").alias("again"), "g", "first").distinct(), "warc-revisits")
+    p = p.join(_sized(again), F.col("page_id").eqNullSafe(F.col("again")) & (F.col("digest") == F.col("g")), "left")
+    revisit = F.col("first").isNotNull()
     uuid = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     block = F.when(revisit, F.lit(_HTTP)).otherwise(F.concat(F.lit(_HTTP), F.col("html")))
     length = F.when(revisit, F.lit(len(_HTTP))).otherwise(F.lit(len(_HTTP)) + F.col("size"))
@@ -62,7 +68,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
 def segments(spark: SparkSession, path: str) -> DataFrame:
     """The archives split at every magic string: file, split, i (order of rows in a split), seg (the bytes after the magic)."""
     return spark.read.option("lineSep", MAGIC).text(path).select(
-        F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("i"), F.col("value").alias("seg"))
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("i"), F.col("value").alias("seg"))
 
 
 def placed(rows: DataFrame) -> DataFrame:
@@ -91,16 +97,23 @@ def jump(seg: Column) -> Column:
     return F.when((end > 0) & (length != ""), F.lit(len(MAGIC) + 8) + F.octet_length(header) + length.try_cast("long"))
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
+def read_archives(spark: SparkSession, path: str, damaged: str = "raise") -> DataFrame:
     """The records of all archives under ``path``: page_id, record_type, refers_to, stated_digest, stated_bytes, digest and bytes of the
-    payload that was read (null in revisits). Empty files have no records; text before the first record of a file is skipped."""
+    payload that was read (null in revisits). Empty files have no records; text before the first record of a file is skipped.
+
+    A chain that breaks (see ``chains``) is an error. With ``damaged="skip"`` the records up to the break are returned, without one that is cut; what
+    lies behind it is not read, and ``damages`` tells where."""
     cand = candidates(spark, path)
-    good = reachable(cand.select("file", "off", "succ"))
-    marked = cand.join(good.select(F.col("file").alias("gf"), F.col("off").alias("go")).hint("shuffle_hash"), (F.col("gf") == F.col("file")) & (F.col("go") == F.col("off")), "left")
+    good = materialize(chains(cand), "warc-chains")
+    if damaged == "raise":
+        bad = good.filter("reason != ''").orderBy("file", "off").limit(3).collect()
+        if bad:
+            raise ValueError("damaged archives: " + "; ".join(f"{r['file']} at byte {r['off']}: {r['reason']}" for r in bad))
+    marked = cand.join(good.select(F.col("file").alias("gf"), F.col("off").alias("go"), "reason").hint("shuffle_hash"), (F.col("gf") == F.col("file")) & (F.col("go") == F.col("off")), "left")
     owner = F.last(F.when(F.col("gf").isNotNull(), F.col("off")), True).over(Window.partitionBy("file").orderBy("off"))
     owned = materialize(marked.withColumn("rec", owner).filter(F.col("rec").isNotNull()), "warc-owned")
     fields = ["page_id", "record_type", "refers_to", "stated_digest", "stated_bytes", "digest", "bytes"]
-    starts = owned.filter(F.col("rec") == F.col("off"))
+    starts = owned.filter((F.col("rec") == F.col("off")) & F.col("reason").isin("", GAP))
     whole = starts.filter(F.col("succ") <= F.col("next")).select(*fields)
     broken = starts.filter(F.col("succ") > F.col("next")).select("file", "rec")
     if not broken.limit(1).count():
@@ -115,24 +128,42 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return whole.unionByName(again)
 
 
-def reachable(cand: DataFrame) -> DataFrame:
-    """The places (file, off) that successors reach from offset 0 of their file. Each round doubles the stride of the links
-    and the length of the chain that is known."""
-    link = cand.filter(F.col("succ").isNotNull()).select("file", "off", "succ")
-    seen = cand.filter(F.col("off") == 0).select("file", "off")
-    known = materialize(seen, "warc-seen")
-    n = known.count()
-    while True:
-        step = known.join(link.select("file", F.col("off").alias("o"), "succ").hint("shuffle_hash"), (F.col("o") == F.col("off")) & (known["file"] == link["file"])).select(known["file"], F.col("succ").alias("off"))
-        real = step.join(cand.select(F.col("file").alias("cf"), F.col("off").alias("co")).hint("shuffle_hash"), (F.col("cf") == F.col("file")) & (F.col("co") == F.col("off")), "left_semi")
-        known = materialize(known.unionByName(real), "warc-seen")
-        now = known.count()
-        if now == n:
-            break
-        n = now
-        b = link.select(F.col("file").alias("bf"), F.col("off").alias("bo"), F.col("succ").alias("bs"))
-        link = materialize(link.join(b.hint("shuffle_hash"), (F.col("bf") == F.col("file")) & (F.col("bo") == F.col("succ"))).select("file", "off", F.col("bs").alias("succ")), "warc-links")
-    return known
+CUT, GAP, HEADLESS = "the record ends behind the file's end", "no record where the next one must start", "no header with a length"
+
+
+def damages(spark: SparkSession, path: str) -> DataFrame:
+    """Where the chains of the archives under ``path`` break: file, off (of the last record reached), reason, and unread, the bytes of the file from there
+    (for a record that is whole itself, from its end)."""
+    cand = candidates(spark, path)
+    end = cand.groupBy(F.col("file").alias("ef")).agg(F.max("next").alias("end"))
+    bad = chains(cand).filter("reason != ''").join(cand.select(F.col("file").alias("cf"), F.col("off").alias("co"), "succ").hint("merge"), (F.col("cf") == F.col("file")) & (F.col("co") == F.col("off")))
+    out = bad.join(end.hint("merge"), F.col("ef") == F.col("file"))
+    return out.select("file", "off", "reason", (F.col("end") - F.when(F.col("reason") == GAP, F.col("succ")).otherwise(F.col("off"))).alias("unread"))
+
+
+def chains(cand: DataFrame) -> DataFrame:
+    """The places (file, off, reason) that successors reach from the first record of their file. ``reason`` is empty where the chain goes on or ends
+    with the file, else it says why it breaks there. A file's narrow places come together in one task; each round of pointer jumping doubles the
+    stride of the links."""
+
+    def jump_(table: pa.Table) -> pa.Table:
+        t = table.sort_by("off")
+        off, next_ = t.column("off").to_numpy(), t.column("next").to_numpy()
+        succ = t.column("succ").fill_null(-1).to_numpy()
+        n, end = len(off), next_[-1]
+        at = np.minimum(np.searchsorted(off, succ), n - 1)
+        linked = off[at] == succ
+        link = np.append(np.where(linked, at, n), n)
+        seen = np.zeros(n + 1, bool)
+        seen[np.argmax(succ >= 0)] = True
+        while (link < n).any():
+            seen[link[seen]] = True
+            link = link[link]
+        k = np.flatnonzero(seen[:n])
+        reason = np.select([linked[k] | (succ[k] == end), succ[k] < 0, succ[k] > end], ["", HEADLESS, CUT], GAP)
+        return pa.table({"file": t.column("file").take(pa.array(k)), "off": pa.array(off[k]), "reason": pa.array(reason.tolist(), pa.string())})
+
+    return cand.select("file", "off", "succ", "next").groupBy("file").applyInArrow(jump_, "file string, off bigint, reason string")
 
 
 def parse(seg: Column) -> list[Column]:
