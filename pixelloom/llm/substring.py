@@ -1,13 +1,14 @@
 """Substring dedup by fixed-block anchors.
 
 Every document is cut into non-overlapping reference blocks of ``(window + 1) // 2`` words, so that any window of ``window`` words holds
-a whole one. The blocks are indexed and probed with the rolling block at every word. Around each hit the windows that hold
-it are compared exactly, which extends the hit to the maximal repeat, and the words of a window that also stands in a document
-of smaller id are covered.
+a whole one. The blocks are indexed and probed with the rolling block at every word. A hit is extended by the windows that hold
+it: those that also stand in a document of smaller id are joined into the maximal repeat, whose words are covered. Windows are told apart by
+a 64-bit hash of two independent hashes of each word, not word by word.
 
 Rows are packed: a task sends, for each bucket of hash values, one row with the arrays of all its entries, so the shuffles carry a few
 bytes a word. Buckets are counted from the size of the input, which keeps the entries of a bucket, and the chance of a false hit
-in it, alike at every size. Tables between the steps are written to the shared folder.
+in it, alike at every size. What a task sees in several documents it settles itself, and sends one or two entries of it on, so that a passage
+that stands everywhere fills no bucket. Tables between the steps are written to the shared folder.
 """
 from __future__ import annotations
 
@@ -155,12 +156,31 @@ def _groups(h: np.ndarray, doc: np.ndarray, as_reference: np.ndarray) -> tuple[n
     return low, high
 
 
-def _slices(docs: list, ths: list, texts: list):
-    """The rows in runs of about BLOCK_BYTES of text."""
+def _runs(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of the entries by hash and document, where each hash starts in it, and which hashes stand in several documents."""
+    order = np.lexsort((doc, h))
+    s, d = h[order], doc[order]
+    cuts = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+    last = np.concatenate((cuts[1:], [len(s)])) - 1
+    return order, cuts, d[cuts] != d[last]
+
+
+def _own(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows by part as rows that pass the next step unchanged: their bucket is below 0."""
+    part = batch.column(0).to_numpy()
+    return pa.RecordBatch.from_arrays([pa.array(-1 - part), *batch.columns[1:]], schema=_PACKED)
+
+
+def _passed(table: pa.Table) -> pa.Table:
+    return table.set_column(0, _PACKED.field(0), pa.array(-1 - table.column(0).to_numpy(), pa.int32()))
+
+
+def _slices(docs: list, ths: list, texts: list, most: int):
+    """The rows in runs of about ``most`` bytes of text."""
     at, size = 0, 0
     for k, t in enumerate(texts):
         size += len(t)
-        if size >= BLOCK_BYTES or k == len(texts) - 1:
+        if size >= most or k == len(texts) - 1:
             yield docs[at : k + 1], ths[at : k + 1], texts[at : k + 1]
             at, size = k + 1, 0
 
@@ -172,14 +192,28 @@ def covered_windows(docs: DataFrame, window: int, buckets: int) -> DataFrame:
 
     def probe(batches):
         for b in batches:
-            for doc, th, texts in _slices(*(b.column(k).to_pylist() for k in (0, 1, 2))):
+            for doc, th, texts in _slices(*(b.column(k).to_pylist() for k in (0, 1, 2)), BLOCK_BYTES):
                 h, counts = word_hashes(texts)
                 idx, text, pos = _places(counts, block)
                 if len(idx):
-                    r = rolling(h, block, 7)[idx]
-                    yield _pack(((r >> _U(32)) % _U(buckets)).astype(np.int32), r.astype(np.uint32), np.array(doc, np.int64)[text], np.array(th, np.int64)[text], pos)
-
-    def hit(table: pa.Table) -> pa.Table:
+                    r, d, t = rolling(h, block, 7)[idx], np.array(doc, np.int64)[text], np.array(th, np.int64)[text]
+                    order, cuts, common = _runs(r, d)
+                    sizes = np.diff(np.concatenate((cuts, [len(r)])))
+                    here = order[np.repeat(common, sizes)]
+                    send = np.ones(len(r), bool)
+                    if len(here):
+                        # A block of several documents of this slice is a hit in all of them. Others must know its largest and its smallest reference document.
+                        yield _own(_pack(_part(d[here], t[here], buckets), None, d[here], t[here], pos[here]))
+                        send[here] = False
+                        send[order[(cuts + sizes - 1)[common]]] = True
+                        first = np.minimum.reduceat(np.where(pos[order] % block == 0, np.arange(len(r)), len(r)), cuts)[common]
+                        send[order[first[first < len(r)]]] = True
+                    r, d, t, pos = r[send], d[send], t[send], pos[send]
+                    yield _pack(((r >> _U(32)) % _U(buckets)).astype(np.int32), r.astype(np.uint32), d, t, pos)
+
+    def hit(key: tuple, table: pa.Table) -> pa.Table:
+        if key[0].as_py() < 0:
+            return _passed(table)
         h, doc, th, pos = _unpack(table, np.uint32)
         reference = pos % block == 0
         low, high = _groups(h, doc, reference)
@@ -203,7 +237,7 @@ def covered_windows(docs: DataFrame, window: int, buckets: int) -> DataFrame:
             if (doc, th) in marks:
                 rows[doc, th] = text  # rows that are repeated as a whole count once
         keys = list(rows)
-        for doc, th, texts in _slices([k[0] for k in keys], [k[1] for k in keys], list(rows.values())):
+        for doc, th, texts in _slices([k[0] for k in keys], [k[1] for k in keys], list(rows.values()), BLOCK_BYTES):
             h, counts = word_hashes(texts)
             idx, text, pos = _places(counts, window)
             if not len(idx):
@@ -217,10 +251,22 @@ def covered_windows(docs: DataFrame, window: int, buckets: int) -> DataFrame:
             idx, text, pos = idx[near], text[near], pos[near]
             second, _ = word_hashes(texts, 2)
             a, b = rolling(h, window, 8)[idx], rolling(second, window, 9)[idx]
-            out.append(_pack((a % _U(buckets)).astype(np.int32), _mix(a + b * _U(3)), np.array(doc, np.int64)[text], np.array(th, np.int64)[text], pos))
+            r, d, t = _mix(a + b * _U(3)), np.array(doc, np.int64)[text], np.array(th, np.int64)[text]
+            if not len(r):
+                continue
+            # A window of several documents of this part is covered in all but the smallest, which alone others need to settle.
+            order, cuts, _ = _runs(r, d)
+            low = np.empty(len(r), np.int64)
+            low[order] = np.repeat(d[order][cuts], np.diff(np.concatenate((cuts, [len(r)]))))
+            sure = low < d
+            if sure.any():
+                out.append(_own(_pack(_part(d[sure], t[sure], buckets), None, d[sure], t[sure], pos[sure])))
+            out.append(_pack((a[~sure] % _U(buckets)).astype(np.int32), r[~sure], d[~sure], t[~sure], pos[~sure]))
         return pa.Table.from_batches(out, schema=_PACKED)
 
-    def settle(table: pa.Table) -> pa.Table:
+    def settle(key: tuple, table: pa.Table) -> pa.Table:
+        if key[0].as_py() < 0:
+            return _passed(table)
         h, doc, th, pos = _unpack(table, np.uint64)
         low, _ = _groups(h, doc, np.ones(len(doc), bool))
         mark = low < doc

@@ -25,6 +25,17 @@ def test_planted_passages(spark):
         assert run(spark, rows, window) == sorted(brute.substring(rows, window), key=str)
 
 
+def test_common_passages_over_many_slices(spark, monkeypatch):
+    """Passages of nearly all documents, within a slice and over slices, in texts that repeat words."""
+    rng = random.Random(2)
+    passages = [" ".join(rng.choice("abc") + str(rng.randrange(20)) for _ in range(n)) for n in (13, 20, 40)]
+    rows = [(rng.randrange(10**6), " ".join(rng.choice([*passages, "the the the the", f"u{k} v{k}", "x " * 30]) for _ in range(rng.randrange(1, 7)))) for k in range(150)]
+    for slice_, bucket in ((1 << 22, 1 << 22), (2000, 3000), (1, 10_000)):
+        monkeypatch.setattr(substring, "BLOCK_BYTES", slice_)
+        monkeypatch.setattr(substring, "BUCKET_BYTES", bucket)
+        assert run(spark, rows) == sorted(brute.substring(rows, 13), key=str)
+
+
 def test_nulls_ties_and_repeats(spark):
     long = " ".join(f"w{i}" for i in range(40))
     rows = [(1, long), (1, "x " + long), (2, None), (3, ""), (4, " \n "), (None, long), (None, None), (5, long), (5, long), (6, "short text"), (7, "short text"), (2**63 - 1, long), (-(2**63), "y " * 20)]
