@@ -4,6 +4,9 @@ Two fingerprints within distance ``2 * half`` share a variant: a value within ``
 that its variants fall in (a bucket is the leading bits of a variant), and the variants themselves are made inside the bucket's
 task, so a fingerprint is shuffled to dozens of buckets and not as thousands of variants. Equal variants prove a link; each
 bucket reports a spanning forest of its links. Linked fingerprints are joined into components by contraction.
+
+``near_duplicates`` links documents by one SimHash of their shingles. ``copy_groups`` finds texts by the overlap of their shingle sets: the same
+balls, over several fingerprints whose bits come from min-hashes, give the candidates, and the shingle sets decide.
 """
 from __future__ import annotations
 
@@ -68,67 +71,115 @@ def _root(parent: list[int], a: int) -> int:
     return a
 
 
-def _link(fps: np.ndarray, ids: np.ndarray, bucket: int, prefix: int, half: int, parent: list[int], edges: list[tuple[int, int]], everyone: np.ndarray) -> None:
-    """Join those of ``fps`` (with numbers ``ids``) that share a variant whose leading ``prefix`` bits are ``bucket``. Pairs that are neighbours
-    among equal variants are taken nearest first, and those that join two trees are the edges of the forest."""
-    low = BITS - prefix
+def _meetings(fps: np.ndarray, ids: np.ndarray, bucket: int, prefix: int, half: int, bits: int, groups: np.ndarray | None = None):
+    """Pairs (arrays of numbers from ``ids``) of ``fps`` that share a variant whose leading ``prefix`` bits are ``bucket``: neighbours among
+    equal variants, or with ``groups`` (by number) all pairs of different groups."""
+    low = bits - prefix
     spent = np.bitwise_count((fps >> _U(low)) ^ _U(bucket)).astype(np.int64)
     near = spent <= half
     fps, ids, spent = fps[near], ids[near], spent[near]
     if len(fps) < 2:
         return
-    sizes = np.cumsum([len(m) for m in _masks(low, half)]) if low > 0 else np.array([1] * (half + 1))
+    masks = _masks(low, half)
+    sizes = np.cumsum([len(m) for m in masks])
     if sizes[half - spent].sum() > MOST_VARIANTS and low >= 4:
         for sub in range(16):
-            _link(fps, ids, (bucket << 4) | sub, prefix + 4, half, parent, edges, everyone)
+            yield from _meetings(fps, ids, (bucket << 4) | sub, prefix + 4, half, bits, groups)
         return
-    masks = _masks(low, half)
     tail = fps & _U((1 << low) - 1)
     made, who = [], []
     for s in range(half + 1):
-        sel = spent == s
-        if sel.any():
+        sel = np.flatnonzero(spent == s)
+        if len(sel):
             flips = np.concatenate(masks[: half - s + 1])
             made.append((tail[sel][:, None] ^ flips[None, :]).ravel())
-            who.append(np.repeat(ids[sel], len(flips)))
+            who.append(np.repeat(sel, len(flips)))
     v, w = np.concatenate(made), np.concatenate(who)
-    order = np.argsort(v, kind="stable")
-    v, w = v[order], w[order]
-    same = v[1:] == v[:-1]
-    pairs = np.unique(np.stack((w[:-1][same], w[1:][same]), 1), axis=0)
-    far = np.bitwise_count(everyone[pairs[:, 0]] ^ everyone[pairs[:, 1]])
+    width = len(fps).bit_length()
+    if low + width <= 64:
+        v = np.sort((v << _U(width)) | w.astype(np.uint64))
+        v, w = v >> _U(width), (v & _U((1 << width) - 1)).astype(np.int64)
+    else:
+        order = np.argsort(v, kind="stable")
+        v, w = v[order], w[order]
+    d, same = 1, v[1:] == v[:-1]
+    while same.any():
+        a, b = ids[w[:-d][same]], ids[w[d:][same]]
+        if groups is None:
+            yield a, b
+            return
+        apart = groups[a] != groups[b]
+        yield a[apart], b[apart]
+        d += 1
+        same = v[d:] == v[:-d]
+
+
+def _unique_pairs(meetings) -> np.ndarray:
+    """Distinct (smaller, larger) pairs."""
+    found = [np.unique(np.minimum(a, b) << 32 | np.maximum(a, b)) for a, b in meetings]
+    key = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+    return np.stack((key >> 32, key & 0xFFFFFFFF), 1)
+
+
+def _forest(fps: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Of the pairs, nearest first, those that join two trees."""
+    parent, edges = list(range(len(fps))), []
+    far = np.bitwise_count(fps[pairs[:, 0]] ^ fps[pairs[:, 1]])
     for a, b in pairs[np.argsort(far, kind="stable")].tolist():
         x, y = _root(parent, a), _root(parent, b)
         if x != y:
             parent[max(x, y)] = min(x, y)
-            edges.append((min(a, b), max(a, b)))
+            edges.append((a, b))
+    return np.array(edges, np.int64).reshape(-1, 2)
 
 
-def links(fps: DataFrame, half: int = 2) -> DataFrame:
-    """``fps``: distinct (t, fp), t the number of a table of fingerprints. Edges (t, a, b) of a table, a < b as signed longs, that join every
-    pair within ``2 * half`` bits to one component; an edge stands for a chain of such pairs."""
-    n = fps.groupBy("t").count().agg(F.max("count")).first()[0] or 0
+def _spread(prints: DataFrame, half: int, bits: int) -> tuple[DataFrame, int]:
+    """``prints``: t (number of a table of fingerprints), fp, and other columns of long. A row (bucket, fp, others) for each bucket that the variants of fp
+    fall in, where a bucket is a table and leading bits; and the number of leading bits."""
+    n = prints.groupBy("t").count().agg(F.max("count")).first()[0] or 0
     prefix = max(8, int(np.ceil(np.log2(max(n, 1) / BUCKET))))
     tops = np.concatenate(_masks(prefix, half))
+    others = [c for c in prints.columns if c not in ("t", "fp")]
 
     def spread(batches):
         for b in batches:
-            tables, fs = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
-            for at in range(0, len(fs), 10_000):
-                t, g = tables[at : at + 10_000], fs[at : at + 10_000]
-                buckets = ((g >> _U(BITS - prefix))[:, None] ^ tops[None, :]).ravel()
-                key = np.repeat(t.astype(np.int64) << 40, len(tops)) | buckets.view(np.int64)  # table and bucket in one number
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(g.view(np.int64), len(tops)))], names=["bucket", "fp"])
-
-    def meet(key: tuple, rows: pa.Table) -> pa.Table:
-        f = np.sort(rows.column("fp").to_numpy()).view(np.uint64)
-        edges: list[tuple[int, int]] = []
-        _link(f, np.arange(len(f)), key[0].as_py() & ((1 << 40) - 1), prefix, half, list(range(len(f))), edges, f)
+            t, fp, *rest = (b.column(k).to_numpy(zero_copy_only=False) for k in range(b.num_columns))
+            for at in range(0, len(fp), 10_000):
+                part = slice(at, at + 10_000)
+                buckets = ((fp[part].view(np.uint64) >> _U(bits - prefix))[:, None] ^ tops[None, :]).ravel()
+                key = np.repeat(t[part].astype(np.int64) << 40, len(tops)) | buckets.view(np.int64)  # table and bucket in one number
+                yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(np.repeat(c[part], len(tops))) for c in (fp, *rest))], names=["bucket", "fp", *others])
+
+    return prints.select("t", "fp", *others).mapInArrow(spread, ", ".join(f"{c} bigint" for c in ("bucket", "fp", *others))), prefix
+
+
+def links(fps: DataFrame, half: int = 2, bits: int = BITS) -> DataFrame:
+    """``fps``: distinct (t, fp), t the number of a table of fingerprints of ``bits`` bits. Edges (t, a, b) of a table, a < b as signed longs, that join every
+    pair within ``2 * half`` bits to one component; an edge stands for a chain of such pairs."""
+    rows, prefix = _spread(fps.select("t", "fp"), half, bits)
+
+    def meet(key: tuple, table: pa.Table) -> pa.Table:
+        f = np.sort(table.column("fp").to_numpy()).view(np.uint64)
+        bucket = key[0].as_py()
+        edges = _forest(f, _unique_pairs(_meetings(f, np.arange(len(f)), bucket & ((1 << 40) - 1), prefix, half, bits)))
         s = f.view(np.int64)
-        a, b = (s[[e[k] for e in edges]] if edges else [] for k in (0, 1))
-        return pa.table({"t": pa.array([key[0].as_py() >> 40] * len(edges), pa.int32()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        return pa.table({"t": pa.array(np.full(len(edges), bucket >> 40, np.int32)), "a": pa.array(s[edges[:, 0]]), "b": pa.array(s[edges[:, 1]])})
+
+    return rows.groupBy("bucket").applyInArrow(meet, "t int, a bigint, b bigint")
+
+
+def rivals(marked: DataFrame, half: int, bits: int) -> DataFrame:
+    """``marked``: t, fp, th, g. The pairs (a, b) of th, a < b, of different g whose fingerprints in a table lie within ``2 * half`` bits (some
+    more than once)."""
+    rows, prefix = _spread(marked, half, bits)
 
-    return fps.select("t", "fp").mapInArrow(spread, "bucket bigint, fp bigint").groupBy("bucket").applyInArrow(meet, "t int, a bigint, b bigint")
+    def meet(key: tuple, table: pa.Table) -> pa.Table:
+        f, th, g = (table.column(c).to_numpy() for c in ("fp", "th", "g"))
+        pairs = _unique_pairs(_meetings(f.view(np.uint64), np.arange(len(f)), key[0].as_py() & ((1 << 40) - 1), prefix, half, bits, g))
+        x, y = th[pairs[:, 0]], th[pairs[:, 1]]
+        return pa.table({"a": pa.array(np.minimum(x, y)), "b": pa.array(np.maximum(x, y))})
+
+    return rows.groupBy("bucket").applyInArrow(meet, "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -170,17 +221,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, half: int = 2, text: str = "tex
     roots = components(links(classes.select(F.lit(0).alias("t"), "fp"), half))
     release(docs.sparkSession)
     joined = classes.join(roots.hint("merge"), F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    label = joined.groupBy("root").agg(F.min("first").alias("component_id"))
-    table = joined.join(label.hint("merge"), "root").select(F.col("fp").alias("cfp"), "component_id")
-    table = materialize(table, "simhash-labels")
+    table = materialize(_labelled(joined, "component_id").select(F.col("fp").alias("cfp"), "component_id"), "simhash-labels")
     return marked.join(table.hint("merge"), F.col("fp") == F.col("cfp")).select("doc_id", "fp", "component_id")
 
 
-#: Near copies are texts whose sets of five-word shingles overlap (Jaccard) by SIMILARITY or more. Candidates agree in all ROWS min-hashes of
-#: one of BANDS bands: of pairs that overlap by 0.8, all but (1 - 0.8 ** 5) ** 32 = 3 in a million, wherever their edits lie.
+def _labelled(joined: DataFrame, name: str) -> DataFrame:
+    """``joined``: root, first, and more. Adds the smallest ``first`` of each root. The labels are written, so that the join's other side, where one root
+    may stand in most rows, is a shuffle of its own, which Spark can split."""
+    joined = materialize(joined, "simhash-joined")
+    label = materialize(joined.groupBy("root").agg(F.min("first").alias(name)), "simhash-roots")
+    return joined.join(label.hint("merge"), "root")
+
+
+#: Near copies are texts whose sets of five-word shingles overlap (Jaccard) by SIMILARITY or more. Their fingerprints have one bit for each of PRINT_BITS
+#: min-hashes of the shingles, so that a bit differs with probability (1 - overlap) / 2 wherever the edits lie. Candidates lie within four bits
+#: in one of TABLES such fingerprints: of pairs that overlap by 0.8, all but 0.53 ** 12 = 5 in 10,000; of those by 0.85, all but one in a million.
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS = 32, 5
-_FACTORS = np.random.default_rng(17).integers(0, 2**63, (BANDS * ROWS, 1), np.uint64) * _U(2) + _U(1)
+TABLES, PRINT_BITS = 12, 48
+_FACTORS = np.random.default_rng(17).integers(0, 2**31, (TABLES * PRINT_BITS, 1), np.uint32) * np.uint32(2) + np.uint32(1)
+_SPREAD = np.uint32(0x9E3779B1)
 
 
 def _shingles(words: list[bytes]) -> np.ndarray:
@@ -189,61 +248,60 @@ def _shingles(words: list[bytes]) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + SHINGLE]), 7) for i in range(n)], np.uint64))
 
 
-def _bands(shingles: np.ndarray) -> np.ndarray:
-    """A key for each band of min-hashes of a set of shingles."""
-    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
-    for at in range(0, len(shingles), 2048):
-        least = np.minimum(least, (_FACTORS * shingles[None, at : at + 2048]).min(axis=1))
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for column in least.reshape(BANDS, ROWS).T:
-        key = (key ^ column) * _U(0x9E3779B97F4A7C15)
-        key ^= key >> _U(32)
-    return key
+def _prints(shingles: np.ndarray) -> np.ndarray:
+    """The fingerprints of a set of shingles, one of each table."""
+    x = (shingles >> _U(32)).astype(np.uint32)
+    least = np.full(TABLES * PRINT_BITS, 2**32 - 1, np.uint32)
+    for at in range(0, len(x), 512):
+        least = np.minimum(least, (_FACTORS * x[None, at : at + 512]).min(axis=1))
+    bit = ((least ^ (least >> np.uint32(15))) * _SPREAD >> np.uint32(31)).astype(np.uint64).reshape(TABLES, PRINT_BITS)
+    return (bit << np.arange(PRINT_BITS, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
 
 def _pairs(a: str, b: str, rows: DataFrame) -> DataFrame:
-    return rows.filter(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+    return rows.filter(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
 
 
-def _ungrouped(live: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes with a band in common whose groups differ."""
-    label = live.select("key", "th").join(roots.hint("merge"), F.col("th") == F.col("node"), "left").select("key", "th", F.coalesce("root", "th").alias("g"))
-    label = materialize(label, "copies-labelled")
-    mixed = label.groupBy("key").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).filter("g0 != g1").select("key")
-    label = materialize(label.join(mixed.hint("merge"), "key"), "copies-mixed")
-    other = label.select(F.col("key").alias("k2"), F.col("th").alias("th2"), F.col("g").alias("g2"))
-    return _pairs("th", "th2", label.join(other.hint("merge"), (F.col("key") == F.col("k2")) & (F.col("g") < F.col("g2"))))
+def _rooted(rows: DataFrame, roots: DataFrame, name: str) -> DataFrame:
+    """Add the root of ``th`` (itself without edges)."""
+    r = roots.select(F.col("node").alias("rn"), F.col("root").alias("rr"))
+    return rows.join(r.hint("merge"), F.col("th") == F.col("rn"), "left").withColumn(name, F.coalesce("rr", "th")).drop("rn", "rr")
 
 
 def copy_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, th (hash of the lower-cased words), group_id of every row of ``docs``: documents whose words are equal, or whose shingle sets
     overlap by SIMILARITY or more in a chain of candidate pairs, share the smallest doc_id as group_id.
 
-    Texts of equal words are one class. Classes that agree in a band are candidates. Every member of a band is compared with
-    its smallest member first; then every candidate pair that this has not brought into one group is compared, so
+    Texts of equal words are one class. Classes of one fingerprint, and fingerprints within a ball, are candidates, and a candidate is a
+    copy if the shingle sets prove it. Of each ball the edges of a spanning forest are compared first, and of the classes of one
+    fingerprint each with the smallest; then all candidate pairs that this has not brought into one group, so
     none is left out. Documents without words are no copies of each other.
-    Null ids take part; a group of null ids alone has a null group_id."""
+    Null ids take part; a group of null ids alone has a null group_id. Repeated rows are returned as often as they stand; other columns
+    are ignored; an empty table gives an empty result."""
     spark = docs.sparkSession
 
     def prints(batches):
         for b in batches:
-            th, bands = [], []
+            th, fps = [], []
             for t in b.column(1).to_pylist():
                 words = t.lower().split()
                 th.append(xxhash.xxh64_intdigest(b" ".join(words), 3) if words else None)
-                bands.append(_bands(_shingles(words)).view(np.int64) if words else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if x is None else x - (1 << 64) * (x >> 63) for x in th], pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "th", "bands"])
+                fps.append(_prints(_shingles(words)).view(np.int64) if words else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if x is None else x - (1 << 64) * (x >> 63) for x in th], pa.int64()), pa.array(fps, pa.list_(pa.int64()))], names=["doc_id", "th", "fps"])
 
     body = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
-    marked = materialize(body.mapInArrow(prints, "doc_id bigint, th bigint, bands array<bigint>"), "copies-prints")
+    marked = materialize(body.mapInArrow(prints, "doc_id bigint, th bigint, fps array<bigint>"), "copies-prints")
     worded = marked.filter(F.col("th").isNotNull())
-    classes = materialize(worded.groupBy("th").agg(F.min("doc_id").alias("first"), F.any_value("bands").alias("bands")), "copies-classes")
-    keyed = classes.select("th", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("th").alias("head"), F.max("th").alias("top")).filter("head != top").select("key", "head")
-    live = materialize(keyed.join(shared.hint("merge"), "key"), "copies-live")
-    pairs = materialize(_pairs("head", "th", live), "copies-candidates")
+    classes = materialize(worded.groupBy("th").agg(F.min("doc_id").alias("first"), F.any_value("fps").alias("fps")), "copies-classes")
+    keyed = classes.select("th", F.posexplode("fps").alias("t", "fp"))
+    balls = materialize(keyed.groupBy("t", "fp").agg(F.min("th").alias("head"), F.max("th").alias("top")), "copies-balls")
+    shared = balls.filter("head != top").select("t", "fp", "head")
+    edges = materialize(links(balls.select("t", "fp"), 2, PRINT_BITS), "copies-edges")
+    ends = [balls.select("t", F.col("fp").alias(x), F.col("head").alias(f"h{x}")).hint("merge") for x in ("a", "b")]
+    pairs = _pairs("ha", "hb", edges.join(ends[0], ["t", "a"]).join(ends[1], ["t", "b"]))
+    pairs = materialize(pairs.unionByName(_pairs("head", "th", keyed.join(shared.hint("merge"), ["t", "fp"]))).distinct(), "copies-candidates")
     release(spark)
-    nodes = materialize(live.select(F.col("th").alias("n")).distinct(), "copies-nodes")
+    nodes = materialize(pairs.select(F.explode(F.array("a", "b")).alias("n")).distinct(), "copies-nodes")
 
     def sets(batches):
         for b in batches:
@@ -275,13 +333,16 @@ def copy_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
         return sided.select("a", "b", "sa", "sb").mapInArrow(overlap, "a bigint, b bigint")
 
     proved = materialize(prove(pairs), "copies-proved")
-    roots = components(proved)
-    rest = materialize(_ungrouped(live, roots).join(pairs.hint("merge"), ["a", "b"], "left_anti"), "copies-rest")
-    proved = materialize(proved.unionByName(prove(rest)), "copies-proved")
-    roots = components(proved)
-    joined = classes.select("th", "first").join(roots.hint("merge"), F.col("th") == F.col("node"), "left").select("th", "first", F.coalesce("root", "th").alias("root"))
-    label = joined.groupBy("root").agg(F.min("first").alias("group_id"))
-    table = materialize(joined.join(label.hint("merge"), "root").select(F.col("th").alias("lt"), "group_id"), "copies-labels")
+    # What is left: pairs of different groups in one component of the candidates.
+    live = _rooted(nodes.select(F.col("n").alias("th")), components(proved), "g")
+    live = materialize(_rooted(live, components(pairs), "c"), "copies-live")
+    mixed = live.groupBy("c").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).filter("g0 != g1").select("c")
+    mixed = materialize(live.join(materialize(mixed, "copies-mixed").hint("merge"), "c").select(F.col("th").alias("mth"), "g"), "copies-mixed")
+    crowd = materialize(keyed.join(mixed.hint("merge"), F.col("th") == F.col("mth")).select("t", "fp", "th", "g"), "copies-crowd")
+    rest = rivals(crowd, 2, PRINT_BITS).distinct().join(pairs.hint("merge"), ["a", "b"], "left_anti")
+    proved = materialize(proved.unionByName(prove(materialize(rest, "copies-rest"))), "copies-proved")
+    joined = _rooted(classes.select("th", "first"), components(proved), "root")
+    table = materialize(_labelled(joined, "group_id").select(F.col("th").alias("lt"), "group_id"), "copies-labels")
     discard_tables(shingled)
     release(spark)
     return marked.select("doc_id", "th").join(table.hint("merge"), F.col("th") == F.col("lt"), "left").select("doc_id", "th", F.when(F.col("th").isNull(), F.col("doc_id")).otherwise(F.col("group_id")).alias("group_id"))
