@@ -1,9 +1,10 @@
 """Approximate nearest neighbours with a hash-prefix forest.
 
 Each tree gives every vector a 64-bit string of signs of random projections; a tree is the sorted array of its strings. A query
-descends to its longest prefix in every tree, then all trees ascend together: the common depth goes up until the entries below it
-are as many as asked for, and all of them are compared exactly. The arrays are kept in cells (tree, leading bits, salt); the salts
-split cells that hold many entries, so no task holds more than CELL entries of a tree.
+descends to its longest prefix in every tree, then the trees ascend together, one bit at a time, until the entries below are as
+many as asked for. The entries carry their vectors in one byte a component: with the rounding as a bound, those that cannot be among the nearest are left
+out, and the rest are fetched once by id and compared exactly. The arrays are kept in cells (tree, leading bits, salts); the salts
+split cells that hold many entries or are visited by many queries, so no task holds more than CELL and VISITS of them.
 """
 from __future__ import annotations
 
@@ -16,8 +17,8 @@ from pyspark.sql.window import Window
 from .common import materialize, release
 
 BITS = 64
-#: Entries of a cell in a task.
-CELL = 20_000
+#: Entries of a cell in a task, and queries that visit it there.
+CELL, VISITS = 20_000, 5_000
 _U = np.uint64
 
 
@@ -61,13 +62,20 @@ def _scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return (q * v).sum(1) / (np.sqrt((q * q).sum(1)) * np.sqrt((v * v).sum(1)))
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 5, trees: int = 24, share: float = 1.25, least: int = 4000, prefix: int | None = None, seed: int = 5) -> DataFrame:
+def _packed(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors in one byte a component, and the step of each."""
+    step = np.abs(v).max(1) / 127
+    return np.round(v / step[:, None]).astype(np.int8), step.astype(np.float32)
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 5, trees: int = 32, share: float = 0.65, least: int = 4000, prefix: int | None = None, seed: int = 5) -> DataFrame:
     """``vectors``, ``queries``: vec_id, v (from ``clean``; vectors that differ in length from that of the smallest id take no part). Returns query_id, rank, vec_id, score: the ``k`` nearest found.
 
-    A query ascends until its trees hold ``max(least, share * n)`` entries below the common depth (an entry counts in each tree), but
-    not above the ``prefix`` bits that name a cell (default: so many that a cell of an even tree keeps over 1,000 entries, 4 at most,
+    A query ascends until about ``max(least, share * n)`` entries lie below (an entry counts in each tree): the first trees come up to a depth and the others to the
+    one below it. It does not go above the ``prefix`` bits that name a cell (default: so many that a cell of an even tree keeps over 1,000 entries, 5 at most,
     since near neighbours in high dimensions share few leading bits). Queries that found fewer than ``k`` are compared with
-    all vectors, in blocks. Equal vectors are one entry with its ``k + 1`` smallest ids, which is all that a result can name; ids that stand twice count twice."""
+    all vectors, in blocks. Equal vectors are one entry with its ``k + 1`` smallest ids, which is all that a result can name; ids that stand twice count twice.
+    Without vectors or queries the result is empty; other columns are ignored."""
     spark = vectors.sparkSession
     dim = vectors.agg(F.min_by(F.size("v"), "vec_id")).first()[0] or 0
     vectors, queries = vectors.filter(F.size("v") == dim), queries.filter(F.size("v") == dim)
@@ -76,29 +84,36 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, trees: int = 24,
     entries = materialize(members.filter(F.col("nth") == 1).select("entry", "v"), "ann-entries")
     n = entries.count()
     if prefix is None:
-        prefix = int(max(0, min(4, np.floor(np.log2(max(n, 1) / 1000)))))
+        prefix = int(max(0, min(5, np.floor(np.log2(max(n, 1) / 1000)))))
     wanted = int(max(least, share * n))
 
-    def label(batches):
+    def label(batches, full: bool):
         for b in batches:
             if not b.num_rows:
                 continue
             v = _matrix(b.column(1))
-            z = _labels(v / np.sqrt((v * v).sum(1, keepdims=True)), trees, seed)
-            rows = np.repeat(np.arange(b.num_rows), trees)
-            label_ = z.ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(trees, dtype=np.int32), b.num_rows)), pa.array((label_ >> _U(BITS - prefix)).astype(np.int32) if prefix else np.zeros(len(label_), np.int32)), pa.array(label_.view(np.int64)), b.column(0).take(pa.array(rows)), b.column(1).take(pa.array(rows))], names=["tree", "cell", "label", "id", "v"])
-
-    schema = "tree int, cell int, label bigint, id bigint, v array<double>"
-    index = entries.mapInArrow(label, schema)
-    asked = materialize(queries.select("vec_id", "v").mapInArrow(label, schema), "ann-queries")
-    # Crowded cells are split: a cell of n entries has n / CELL + 1 salts, and a query visits them all.
-    cells = materialize(index.groupBy("tree", "cell").agg((F.count(F.lit(1)) / CELL + 1).cast("int").alias("salts")), "ann-cells")
-    index = index.join(cells.hint("merge"), ["tree", "cell"]).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts").cast("long")).cast("int"))
-    index = materialize(index.select("tree", "cell", "salt", "label", "id", "v"), "ann-forest")
-    visits = asked.join(cells.hint("merge"), ["tree", "cell"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    visits = materialize(visits.select("tree", "cell", "salt", "label", "id", "v"), "ann-visits")
-    keys = ["tree", "cell", "salt"]
+            v = v / np.sqrt((v * v).sum(1, keepdims=True))
+            rows = pa.array(np.repeat(np.arange(b.num_rows), trees))
+            label_ = _labels(v, trees, seed).ravel()
+            code, step = _packed(v)
+            vector = pa.array(v.astype(np.float32).tolist() if full else [x.tobytes() for x in code], pa.list_(pa.float32()) if full else pa.binary())
+            cols = [pa.array(np.tile(np.arange(trees, dtype=np.int32), b.num_rows)), pa.array((label_ >> _U(BITS - prefix)).astype(np.int32) if prefix else np.zeros(len(label_), np.int32)), pa.array(label_.view(np.int64)), b.column(0).take(rows), vector.take(rows)]
+            yield pa.RecordBatch.from_arrays(cols if full else [*cols, pa.array(step).take(rows)], names=["tree", "cell", "label", "id", "v", *([] if full else ["step"])])
+
+    schema = "tree int, cell int, label bigint, id bigint, v "
+    index = entries.mapInArrow(lambda x: label(x, False), schema + "binary, step float")
+    asked = materialize(queries.select("vec_id", "v").mapInArrow(lambda x: label(x, True), schema + "array<float>"), "ann-queries")
+    # Crowded cells are split: the entries into salts that a query visits all, the queries into blocks that the entries are copied to.
+    visitors = asked.groupBy(F.col("tree").alias("vt"), F.col("cell").alias("vc")).agg((F.count(F.lit(1)) / VISITS + 1).cast("int").alias("blocks"))
+    cells = index.groupBy("tree", "cell").agg((F.count(F.lit(1)) / CELL + 1).cast("int").alias("salts"))
+    cells = materialize(cells.join(visitors.hint("merge"), (F.col("tree") == F.col("vt")) & (F.col("cell") == F.col("vc"))).drop("vt", "vc"), "ann-cells")
+    part = lambda c: F.pmod(F.xxhash64("id"), F.col(c).cast("long")).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    index = index.join(cells.hint("merge"), ["tree", "cell"]).withColumn("salt", part("salts")).withColumn("block", every("blocks"))
+    index = materialize(index.select("tree", "cell", "salt", "block", "label", "id", "v", "step"), "ann-forest")
+    visits = asked.join(cells.hint("merge"), ["tree", "cell"]).withColumn("block", part("blocks")).withColumn("salt", every("salts"))
+    visits = materialize(visits.select("tree", "cell", "salt", "block", "label", "id", "v"), "ann-visits")
+    keys = ["tree", "cell", "salt", "block"]
 
     def descend(key, left: pa.Table, right: pa.Table) -> pa.Table:
         """How many entries of the cell lie at or below each depth of a query's path: two searches in the sorted array a depth."""
@@ -117,17 +132,23 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, trees: int = 24,
         return pa.table({"id": right.column("id").to_numpy()[r], "depth": pa.array((d + prefix).astype(np.int32)), "n": pa.array(n[r, d].astype(np.int64))})
 
     profile = index.select(*keys, "label").groupBy(*keys).cogroup(visits.select(*keys, "label", "id").groupBy(*keys)).applyInArrow(descend, "id bigint, depth int, n bigint")
-    ascent = profile.groupBy("id", "depth").agg(F.sum("n").alias("n")).groupBy("id").agg(F.max(F.when(F.col("n") >= wanted, F.col("depth"))).alias("deepest"))
-    ascent = materialize(ascent.select(F.col("id").alias("aid"), F.coalesce("deepest", F.lit(prefix)).alias("depth")), "ann-depths")
+    profile = profile.groupBy("id", "depth").agg(F.sum("n").alias("n"))
+    enough, depth = F.col("n") >= wanted, F.col("depth")
+    ascent = profile.groupBy("id").agg(F.max(F.when(enough, depth)).alias("d"), F.min(F.when(enough, F.col("n"))).alias("up"), F.coalesce(F.max(F.when(~enough, F.col("n"))), F.lit(0)).alias("down"))
+    # The trees that come up to depth d; the others stay one below.
+    risen = F.ceil(trees * (wanted - F.col("down")) / (F.col("up") - F.col("down")))
+    ascent = materialize(ascent.select(F.col("id").alias("aid"), F.coalesce("d", F.lit(prefix)).alias("depth"), F.coalesce(risen, F.lit(trees)).cast("int").alias("risen")), "ann-depths")
 
     def compare(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        """The entries below the depth of each query, compared exactly; the best ones of this cell are enough."""
+        """The entries below the depth of each query, with bounds of their scores; those that may be among the best of this cell are enough."""
         if not left.num_rows or not right.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "entry": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+            return pa.table({"query_id": pa.array([], pa.int64()), "entry": pa.array([], pa.int64()), "low": pa.array([], pa.float64()), "high": pa.array([], pa.float64())})
         order = np.argsort(left.column("label").to_numpy().view(np.uint64), kind="stable")
-        tree, entry, v = left.column("label").to_numpy().view(np.uint64)[order], left.column("id").to_numpy()[order], _matrix(left.column("v"))[order]
+        tree, entry = left.column("label").to_numpy().view(np.uint64)[order], left.column("id").to_numpy()[order]
+        step = left.column("step").to_numpy()[order]
+        v = np.frombuffer(b"".join(left.column("v").to_pylist()), np.int8).reshape(len(order), -1)[order].astype(np.float32) * step[:, None]
+        slack = step * (np.sqrt(v.shape[1]) / 2) + 1e-5
         q, qid, qv, depth = right.column("label").to_numpy().view(np.uint64), right.column("id").to_numpy(), _matrix(right.column("v")), right.column("depth").to_numpy()
-        norm = np.sqrt((v * v).sum(1))
         out = []
         for j in range(len(q)):
             d = int(depth[j])
@@ -135,33 +156,42 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, trees: int = 24,
             a, b = np.searchsorted(tree, q[j] & keep, "left"), np.searchsorted(tree, (q[j] & keep) | ~keep, "right")
             if a == b:
                 continue
-            s = (v[a:b] @ qv[j]) / norm[a:b]
-            best = np.arange(a, b)
-            if b - a > 4 * k + 8:
-                # What lies clearly below the (k + 1)-th best cannot be among the nearest; ties and rounding stay.
-                edge = np.partition(s, len(s) - (k + 1))[len(s) - (k + 1)]
-                best = best[s >= edge - 1e-9 * max(1.0, abs(edge))]
-            out.append((np.full(len(best), qid[j]), entry[best], _scores(qv[j][None, :], v[best])))
-        cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pa.table(dict(zip(("query_id", "entry", "score"), cols)))
-
-    shape = "query_id bigint, entry bigint, score double"
-    deep = visits.join(ascent.hint("merge"), F.col("id") == F.col("aid")).drop("aid")
+            s = v[a:b] @ qv[j]
+            best = np.arange(b - a)
+            if b - a > k + 1:
+                best = np.flatnonzero(s + slack[a:b] >= np.partition(s - slack[a:b], b - a - k - 1)[b - a - k - 1])
+            out.append((np.full(len(best), qid[j]), entry[a:b][best], (s - slack[a:b])[best].astype(np.float64), (s + slack[a:b])[best].astype(np.float64)))
+        cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)]
+        return pa.table(dict(zip(("query_id", "entry", "low", "high"), cols)))
+
+    def exact(batches):
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(_scores(_matrix(b.column(2)), _matrix(b.column(3))))], names=["query_id", "entry", "score"])
+
+    def settle(found: DataFrame) -> DataFrame:
+        """Of the entries found by a query, those that may be among the best of all, compared exactly."""
+        found = found.groupBy("query_id", "entry").agg(F.max("low").alias("low"), F.min("high").alias("high"))
+        nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("low")))
+        edge = F.min(F.when(F.col("nth") <= k + 1, F.col("low"))).over(Window.partitionBy("query_id"))
+        few = materialize(found.withColumn("nth", nth).withColumn("edge", edge).filter(F.col("high") >= F.col("edge")).select("query_id", "entry"), "ann-found")
+        sided = few.join(entries.hint("merge"), "entry").join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv")).distinct().hint("merge"), "query_id")
+        return _expand(sided.select("query_id", "entry", "qv", "v").mapInArrow(exact, "query_id bigint, entry bigint, score double"), members, k)
+
+    shape = "query_id bigint, entry bigint, low double, high double"
+    deep = visits.join(ascent.hint("merge"), F.col("id") == F.col("aid")).withColumn("depth", F.col("depth") + (F.col("tree") >= F.col("risen")).cast("int")).drop("aid", "risen")
     found = index.groupBy(*keys).cogroup(deep.groupBy(*keys)).applyInArrow(compare, shape)
-    found = materialize(found.distinct(), "ann-found")
+    top = materialize(settle(found), "ann-top")
     release(spark)
-    top = _expand(found, members, k)
-    top = materialize(top, "ann-top")
     # Queries with fewer than k results, although there are more vectors: all vectors, in blocks.
     full = top.groupBy("query_id").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= k).select("query_id")
-    short = queries.join(full.hint("merge"), F.col("vec_id") == F.col("query_id"), "left_anti").select("vec_id", "v")
-    short = materialize(short, "ann-short")
+    short = materialize(asked.filter("tree = 0").join(full.hint("merge"), F.col("id") == F.col("query_id"), "left_anti").select("id", "v"), "ann-short")
     if not short.limit(1).count():
         return top
     blocks = max(1, n // CELL)
-    e = entries.select(F.pmod(F.xxhash64("entry"), F.lit(blocks)).cast("int").alias("cell"), F.lit(0).cast("bigint").alias("label"), F.col("entry").alias("id"), "v")
-    s = short.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("cell"), F.lit(0).cast("bigint").alias("label"), F.col("vec_id").alias("id"), "v", F.lit(0).alias("depth"))
-    rest = _expand(e.groupBy("cell").cogroup(s.groupBy("cell")).applyInArrow(compare, shape), members, k)
+    e = entries.mapInArrow(lambda x: label(x, False), schema + "binary, step float").filter("tree = 0").select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("cell"), F.lit(0).cast("bigint").alias("label"), "id", "v", "step")
+    s = short.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("cell"), F.lit(0).cast("bigint").alias("label"), "id", "v", F.lit(0).alias("depth"))
+    rest = settle(e.groupBy("cell").cogroup(s.groupBy("cell")).applyInArrow(compare, shape))
     return top.join(full.hint("merge"), "query_id", "left_semi").unionByName(rest)
 
 
