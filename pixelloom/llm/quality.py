@@ -1,9 +1,10 @@
 """Quality rules with adaptive thresholds (DataFrame functions only).
 
-Every metric of a document is computed inside its row. KLL sketches of the metrics are built per language and source,
-merged per language and over all, and turned into fences (median plus a multiple of the quartile's distance from it, bounded by that
-of the language and the corpus);
-the table of fences is joined to the documents and the documents outside a fence are rejected.
+Every metric of a document is computed inside its row. KLL sketches of the metrics are built per language and source and
+merged per language and over all. The median and the distance of a quartile from it make a group's centre and spread; both are drawn to
+those of the language, and these to the corpus's, the more the fewer documents there are. The table of centres and spreads is joined to the documents,
+and a document is rejected where a metric lies further from the centre than a multiple of the spread and the sampling error of a
+document of its size allow.
 """
 from __future__ import annotations
 
@@ -14,22 +15,26 @@ from pyspark.sql import functions as F
 
 from .common import materialize, words_of
 
-#: Metrics that are bad when high: (name, how many times the way from the median to the upper quartile a value may lie above the median,
-#: least room above the median). Quartiles hold as long as less than a quarter of the group is bad.
-HIGH = (("symbol_ratio", 6.0, 0.05), ("dup_ratio", 6.0, 0.25), ("repeat_ratio", 6.0, 0.2), ("upper_ratio", 6.0, 0.15))
-#: Metrics with a fence on either side.
-BOTH = (("word_len", 6.0, 1.5),)
-#: A language may lie so many times as far from its median as the whole corpus, and a source as far as its language or the corpus, so
+#: Ratios that are bad when high: (name, what the document has in all of what is counted, so many of which never count as much). Repeated words are
+#: those beyond what repeated lines explain.
+HIGH = (("symbol_ratio", "word_chars", 5.0), ("dup_ratio", "n_lines", 2.0), ("repeat_ratio", "n_words", 12.0), ("upper_ratio", "word_chars", 5.0))
+#: Metrics with a fence on either side: (name, size). Lengths of words vary by about half their mean.
+BOTH = (("word_len", "n_words"),)
+#: Spreads, and standard errors of a document's own value, within which it may lie. Quartiles hold as long as less than a quarter of a group is bad.
+SPREADS, ERRORS = 6.0, 5.0
+#: A group's spread is at most so many times that of its language (and that of a language, the corpus's), or, for ratios, its own centre where that is more, so
 #: that a group of which a quarter to a half is bad does not set its own fence.
 BOUND = 2.0
-#: Groups with fewer documents take the fences of their language, and languages those of the corpus.
-MIN_GROUP = 50
+#: Documents with which a group's own values weigh as much as those of its language, and a language's as much as the corpus's.
+SHRINK = 10
 SKETCH_K = 200
 #: Up to so many distinct repeated windows a scan of them is cheaper than sorting positions.
 FEW = 48
 #: Rows of the fence table up to which it is broadcast (under 200 bytes a row).
 BROADCAST_ROWS = 20_000
 DERIVED = [m[0] for m in HIGH + BOTH]
+#: Metric, side of the fence, and the quartile whose distance from the median is the spread on that side.
+SIDES = [(m, "max", 0.75) for m in DERIVED] + [(m, "min", 0.25) for m, *_ in BOTH]
 
 
 def _covered(pos: Column) -> Column:
@@ -66,10 +71,10 @@ def with_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
     nw = n.cast("long")
     dup = (nl - F.size(F.array_distinct("_l"))).cast("long")
     q = F.struct(
-        nw.alias("n_words"), F.col("_chars").alias("word_chars"), F.col("_sym").alias("n_symbols"), dup.alias("n_dup_lines"), F.col("_rep").alias("n_repeat_words"),
+        nw.alias("n_words"), nl.cast("long").alias("n_lines"), F.col("_chars").alias("word_chars"), F.col("_sym").alias("n_symbols"), dup.alias("n_dup_lines"), F.col("_rep").alias("n_repeat_words"),
         ((nw < 50) | (100 * F.col("_rep") > 50 * nw)).alias("base_failed"),
         (F.col("_sym") / F.greatest(F.col("_chars"), F.lit(1))).alias("symbol_ratio"), (dup / F.greatest(nl, F.lit(1))).alias("dup_ratio"),
-        (F.col("_rep") / F.greatest(n, F.lit(1))).alias("repeat_ratio"), (F.col("_up") / F.greatest(F.col("_chars"), F.lit(1))).alias("upper_ratio"),
+        F.greatest(F.col("_rep") / F.greatest(n, F.lit(1)) - 2 * dup / F.greatest(nl, F.lit(1)), F.lit(0.0)).alias("repeat_ratio"), (F.col("_up") / F.greatest(F.col("_chars"), F.lit(1))).alias("upper_ratio"),
         (F.col("_chars") / F.greatest(n, F.lit(1))).alias("word_len"),
     )
     return out.withColumn("q", q).drop("_w", "_l", "_sym", "_up", "_h", "_s", "_d", "_z", "_p", "_rep", "_chars")
@@ -86,38 +91,49 @@ def fences(measured: DataFrame, lang: str = "lang", source: str = "source") -> D
     by_lang = per.groupBy("f_lang").agg(*merged)
     overall = per.agg(*merged)
 
-    sides = [(m, k, room, "max", 0.75) for m, k, room in HIGH + BOTH] + [(m, k, room, "min", 0.25) for m, k, room in BOTH]
-
-    def bounds(df: DataFrame) -> DataFrame:
+    def level(df: DataFrame) -> DataFrame:
         quant = lambda m, p: F.kll_sketch_get_quantile_double(F.col(m), F.lit(p))
         cols = [quant(m, 0.5).alias(m) for m in DERIVED]
-        cols += [F.greatest(F.lit(k) * F.abs(quant(m, p) - quant(m, 0.5)), F.lit(room)).alias(f"{m}_{side}") for m, k, room, side, p in sides]
+        cols += [F.abs(quant(m, p) - quant(m, 0.5)).alias(f"{m}_{side}") for m, side, p in SIDES]
         keys = [c for c in ("f_lang", "f_source") if c in df.columns]
-        return df.filter(F.col("n") > 0).select(*keys, "n", F.struct(*cols).alias("f"))
+        return df.filter(F.col("n") > 0).select(*keys, (F.col("n") / (F.col("n") + SHRINK)).alias("w"), F.struct(*cols).alias("f"))
 
-    a, b, c = bounds(per).alias("a"), bounds(by_lang).alias("b"), bounds(overall).alias("c")
+    a, b, c = level(per).alias("a"), level(by_lang).alias("b"), level(overall).alias("c")
     g = groups.alias("g")
     out = g.join(a, F.col("g.f_lang").eqNullSafe(F.col("a.f_lang")) & F.col("g.f_source").eqNullSafe(F.col("a.f_source")), "left")
     out = out.join(b, F.col("g.f_lang").eqNullSafe(F.col("b.f_lang")), "left").join(c.hint("broadcast"), F.lit(True), "left")
 
-    def fence(m: str, side: str) -> Column:
-        mid, far = (lambda level: F.col(f"{level}.f.{m}")), (lambda level: F.col(f"{level}.f.{m}_{side}"))
-        by_b = F.least(far("b"), F.lit(BOUND) * far("c"))
-        by_a = F.least(far("a"), F.greatest(F.when(F.col("b.n") >= MIN_GROUP, by_b), far("c")))
-        pick = lambda x, y, z: F.when(F.col("a.n") >= MIN_GROUP, x).when(F.col("b.n") >= MIN_GROUP, y).otherwise(z)
-        sign = F.lit(1.0 if side == "max" else -1.0)
-        return pick(mid("a") + sign * by_a, mid("b") + sign * by_b, mid("c") + sign * far("c")).alias(f"{m}_{side}")
+    def drawn(up: str, own: Column, parent: Column) -> Column:
+        w = F.coalesce(F.col(f"{up}.w"), F.lit(0.0))
+        return F.when(own.isNull(), parent).otherwise(w * own + (1 - w) * parent)
 
-    best = F.struct(*[fence(m, side) for m, _, _, side, _ in sides])
-    return out.select(F.col("g.f_lang").alias("f_lang"), F.col("g.f_source").alias("f_source"), best.alias("fence"))
+    cols = []
+    for m in DERIVED:
+        centre_b = drawn("b", F.col(f"b.f.{m}"), F.col(f"c.f.{m}"))
+        cols.append(drawn("a", F.col(f"a.f.{m}"), centre_b).alias(m))
+        own = 1.0 if m in {x for x, *_ in HIGH} else 0.0
+        for side in [x for name, x, _ in SIDES if name == m]:
+            s = f"{m}_{side}"
+            by_b = drawn("b", F.least(F.col(f"b.f.{s}"), F.greatest(BOUND * F.col(f"c.f.{s}"), own * F.col(f"b.f.{m}"))), F.col(f"c.f.{s}"))
+            by_a = drawn("a", F.least(F.col(f"a.f.{s}"), F.greatest(BOUND * by_b, own * F.col(f"a.f.{m}"))), by_b)
+            cols.append(by_a.alias(s))
+    return out.select(F.col("g.f_lang").alias("f_lang"), F.col("g.f_source").alias("f_source"), F.struct(*cols).alias("fence"))
 
 
 def judge(measured: DataFrame, table: DataFrame, lang: str = "lang", source: str = "source", each: bool = False) -> DataFrame:
     """Add ``kept``, by the written table of ``fences``, and with ``each`` a struct ``outside`` of the metrics that lie outside."""
     table = table.hint("broadcast") if table.count() <= BROADCAST_ROWS else table.hint("shuffle_hash")
     out = measured.join(table, F.col(lang).eqNullSafe(F.col("f_lang")) & F.col(source).eqNullSafe(F.col("f_source")), "left")
-    outside = [F.coalesce(F.col(f"q.{m}") > F.col(f"fence.{m}_max"), F.lit(False)) for m, _, _ in HIGH]
-    outside += [F.coalesce((F.col(f"q.{m}") > F.col(f"fence.{m}_max")) | (F.col(f"q.{m}") < F.col(f"fence.{m}_min")), F.lit(False)) for m, _, _ in BOTH]
+    outside = []
+    for m, size, events in HIGH:
+        n, r = F.greatest(F.col(f"q.{size}"), F.lit(1)), F.col(f"fence.{m}")
+        slack = ERRORS * F.sqrt(r * F.greatest(1 - r, F.lit(0.0)) / n) + events / n
+        outside.append(F.col(f"q.{m}") > r + SPREADS * F.col(f"fence.{m}_max") + slack)
+    for m, size in BOTH:
+        r = F.col(f"fence.{m}")
+        slack = ERRORS * r / 2 / F.sqrt(F.greatest(F.col(f"q.{size}"), F.lit(1)))
+        outside.append((F.col(f"q.{m}") > r + SPREADS * F.col(f"fence.{m}_max") + slack) | (F.col(f"q.{m}") < r - SPREADS * F.col(f"fence.{m}_min") - slack))
+    outside = [F.coalesce(x, F.lit(False)) for x in outside]
     if each:
         out = out.withColumn("outside", F.struct(*[x.alias(m) for m, x in zip(DERIVED, outside)]))
     bad = reduce(lambda x, y: x | y, outside)
@@ -146,7 +162,7 @@ def quality_report(docs: DataFrame, text: str = "text", lang: str = "lang", sour
 
 
 def quality_filter(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """The rows of ``docs`` that pass, with their columns unchanged. The metrics are measured twice, once for the fences and once to
+    """The rows of ``docs`` that pass, with their columns unchanged. Nulls, repeated rows and empty tables are treated as in ``quality_report``. The metrics are measured twice, once for the fences and once to
     judge, so that no text is written or shuffled."""
     row = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source"))
     measured = materialize(with_metrics(row.drop("row")).drop("text"), "quality-metrics")
