@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 
 from .common import materialize, words_of
 
-#: Ratios that are bad when high: (name, what the document has in all of what is counted, so many of which never count as much). Repeated words are
-#: those beyond what repeated lines explain.
-HIGH = (("symbol_ratio", "word_chars", 5.0), ("dup_ratio", "n_lines", 2.0), ("repeat_ratio", "n_words", 12.0), ("upper_ratio", "word_chars", 5.0))
+#: Ratios that are bad when high: (name, what the document has in all of what is counted, so many of which never count as much, and such a
+#: share). Repeated words are those beyond what repeated lines explain; the longer a text, the more phrases recur by chance, up to 0.02 of the words
+#: in texts of 5,000.
+HIGH = (("symbol_ratio", "word_chars", 5.0, 0.0), ("dup_ratio", "n_lines", 2.0, 0.0), ("repeat_ratio", "n_words", 12.0, 0.03), ("upper_ratio", "word_chars", 5.0, 0.0))
 #: Metrics with a fence on either side: (name, size). Lengths of words vary by about half their mean.
 BOTH = (("word_len", "n_words"),)
 #: Spreads, and standard errors of a document's own value, within which it may lie. Quartiles hold as long as less than a quarter of a group is bad.
@@ -125,9 +126,9 @@ def judge(measured: DataFrame, table: DataFrame, lang: str = "lang", source: str
     table = table.hint("broadcast") if table.count() <= BROADCAST_ROWS else table.hint("shuffle_hash")
     out = measured.join(table, F.col(lang).eqNullSafe(F.col("f_lang")) & F.col(source).eqNullSafe(F.col("f_source")), "left")
     outside = []
-    for m, size, events in HIGH:
+    for m, size, events, share in HIGH:
         n, r = F.greatest(F.col(f"q.{size}"), F.lit(1)), F.col(f"fence.{m}")
-        slack = ERRORS * F.sqrt(r * F.greatest(1 - r, F.lit(0.0)) / n) + events / n
+        slack = ERRORS * F.sqrt(r * F.greatest(1 - r, F.lit(0.0)) / n) + events / n + share
         outside.append(F.col(f"q.{m}") > r + SPREADS * F.col(f"fence.{m}_max") + slack)
     for m, size in BOTH:
         r = F.col(f"fence.{m}")
