@@ -26,11 +26,12 @@ def pixels(px: C, channels: int) -> C:
     return F.transform(_range(F.size(px) / channels), lambda i: F.slice(px, i * channels + 1, channels))
 
 
-def nearest_resize(px: C, height: C, width: C, out_h: int, out_w: int) -> C:
+def nearest_resize(px: C, height: C, width: C, out_h: C | int, out_w: C | int) -> C:
     """Nearest neighbour at half-pixel centres; label values stay as they are."""
+    out_h, out_w = (F.lit(n) if isinstance(n, int) else n for n in (out_h, out_w))
     row = lambda i: F.floor(((i / out_w).cast("int") + 0.5) * height / out_h).cast("int")
     col = lambda i: F.floor((i % out_w + 0.5) * width / out_w).cast("int")
-    return F.transform(F.sequence(F.lit(0), F.lit(out_h * out_w - 1)), lambda i: F.get(px, row(i) * width + col(i)))
+    return F.transform(F.sequence(F.lit(0), out_h * out_w - 1), lambda i: F.get(px, row(i) * width + col(i)))
 
 
 def gray_to_rgb(px: C) -> C:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.scratch import materialize
 
 
 #: Words that are settings and no paths, and marks of a path.
@@ -30,24 +31,49 @@ def suggestion(value: Column, allowed_prefix: str) -> Column:
     return F.when(~is_valid_path(value, allowed_prefix), F.regexp_replace(value, "^/+", ""))
 
 
-def flatten_config(rows: DataFrame, column: str, depth: int = 6) -> DataFrame:
-    """One row per leaf of a JSON document: key (``a.b[0]``) and value. Levels below ``depth`` stay JSON text. One generator per level."""
+def flatten_config(rows: DataFrame, column: str) -> DataFrame:
+    """One row per leaf of a JSON document: key (``a.b[0]``) and value. One generator a level, until no document has a deeper one; empty objects and lists
+    stay as JSON text, and broken documents as one row without value."""
     keep = [c for c in rows.columns if c != column]
-    out = rows.select(*keep, F.parse_json(F.col(column)).alias("_v"), F.lit("").alias("_k"))
-    for _ in range(depth):
-        # A leaf has nothing to explode: the outer form keeps it as one row without position.
-        level = out.lateralJoin(out.sparkSession.tvf.variant_explode_outer(F.col("_v").outer()))
-        path = F.when(F.col("pos").isNull(), F.col("_k")).when(F.col("key").isNull(), F.concat(F.col("_k"), F.lit("["), F.col("pos"), F.lit("]"))).otherwise(F.concat_ws(".", F.nullif(F.col("_k"), F.lit("")), F.col("key")))
-        out = level.select(*keep, F.when(F.col("pos").isNull(), F.col("_v")).otherwise(F.col("value")).alias("_v"), path.alias("_k"))
+    open_, done = rows.select(*keep, F.try_parse_json(F.col(column)).alias("_v"), F.lit("").alias("_k")), []
+    nested = F.coalesce(F.schema_of_variant("_v").rlike(r"^(OBJECT<.|ARRAY<)") & ~F.to_json("_v").isin("{}", "[]"), F.lit(False))
+    while True:
+        open_ = materialize(open_.withColumn("_n", nested), "config-level")
+        done.append(open_.filter(~F.col("_n")).drop("_n"))
+        deeper = open_.filter("_n").drop("_n")
+        if not deeper.limit(1).count():
+            break
+        level = deeper.lateralJoin(deeper.sparkSession.tvf.variant_explode(F.col("_v").outer()))
+        path = F.when(F.col("key").isNull(), F.concat(F.col("_k"), F.lit("["), F.col("pos"), F.lit("]"))).otherwise(F.concat_ws(".", F.nullif(F.col("_k"), F.lit("")), F.col("key")))
+        open_ = level.select(*keep, F.col("value").alias("_v"), path.alias("_k"))
+    out = reduce(lambda a, b: a.unionByName(b), done)
     return out.select(*keep, F.col("_k").alias("key"), F.try_variant_get("_v", "$", "string").alias("value"))
 
 
+#: What the key of a path setting contains.
+PATH_KEYS = ("path", "dir", "file")
+
+
+def path_settings(flat: DataFrame, allowed_prefix: str) -> DataFrame:
+    """The leaves of ``flatten_config`` whose own key (not that of a list they stand in) names a path and whose value is an absolute one, with a slash or a
+    drive letter in front, outside the allowed prefix."""
+    own = F.lower(F.substring_index("key", ".", -1))
+    named = reduce(lambda a, b: a | b, [F.contains(own, F.lit(k)) for k in PATH_KEYS]) & ~F.endswith(F.col("key"), F.lit("]"))
+    absolute = F.col("value").startswith("/") | F.coalesce(F.substring("value", 2, 1) == ":", F.lit(False))
+    return flat.filter(named & absolute & ~F.col("value").startswith(allowed_prefix))
+
+
 def parse_ops(lines: DataFrame, column: str) -> DataFrame:
-    """Operation log lines: at (the text before the third colon), kind, old_path, new_path, path. Blank lines are skipped."""
+    """Operation log lines: at (the text before the third colon, or the second of two), kind, old_path, new_path, path. Lines with fewer colons are
+    skipped, blank ones too."""
     line = X.strip(F.col(column))
-    words = F.split(F.regexp_extract(line, r"^[^:]*:[^:]*:[^:]*: (.*)$", 1), " ")
-    after = lambda w: F.try_element_at(words, F.array_position(words, w).cast("int") + 1)
-    verb = F.get(words, 0)
-    kind = F.when(verb == "Renamed", "rename").when(verb == "Deleted", "delete").otherwise("unknown")
-    return lines.filter(F.length(line) > 0).withColumns({"at": F.regexp_extract(line, r"^([^:]*:[^:]*:[^:]*):", 1), "kind": kind}).withColumns({
-        "old_path": F.when(F.col("kind") == "rename", after("Renamed")), "new_path": F.when(F.col("kind") == "rename", after("to")), "path": F.when(F.col("kind") == "delete", after("Deleted"))})
+    colons = F.size(F.split(line, ":")) - 1
+    head = F.when(colons >= 3, F.substring_index(line, ":", 3)).when(colons == 2, F.substring_index(line, ":", 2))
+    words = F.split(X.strip(F.substr(line, F.length(head) + 2)), r"\s+")
+    lower = F.transform(words, lambda w: F.lower(w))
+    to = F.array_position(lower, "to").cast("int") - 1
+    said = lambda verb: F.exists(lower, lambda w: F.contains(w, F.lit(verb)))
+    renamed = said("renamed") & (to >= 2) & (to + 1 < F.size(words))
+    kind = F.when(renamed, "rename").when(said("deleted") & (F.size(words) >= 2), "delete").otherwise("unknown")
+    out = lines.filter(head.isNotNull()).withColumns({"at": X.strip(head), "kind": kind})
+    return out.withColumns({"old_path": F.when(F.col("kind") == "rename", F.get(words, to - 1)), "new_path": F.when(F.col("kind") == "rename", F.get(words, to + 1)), "path": F.when(F.col("kind") == "delete", F.get(words, 1))})

@@ -1,34 +1,83 @@
 """Numpy kernels for what array expressions cannot say well, applied to Arrow batches of images.
 
-An image is (height, width, channels, px). ``map_images`` runs a function of an (h, w, c) array on every row; a failing row
-keeps its key and gets null pixels, so one bad image never stops a job.
+An image is (height, width, channels, px). The images of one shape in a batch are stacked to (n, h, w, c), and a kernel runs on the
+stack; an image that fails keeps its key and gets null pixels, so one bad image never stops a job.
 """
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Values that a stack holds, at most (one image at least).
+STACK = 8_000_000
+
+
+def _stacks(b: pa.RecordBatch, images: int) -> Iterator[tuple[np.ndarray, list[np.ndarray] | None]]:
+    """Row numbers and the stacks of their images, by shape. Columns: key, height, width, channels, then ``images`` columns of pixels. Rows
+    whose pixels are null or do not fit their shape come with None."""
+    shape = np.stack([pc.fill_null(b.column(k), 0).to_numpy(zero_copy_only=False) for k in (1, 2, 3)], 1).astype(np.int64)
+    size = shape.prod(1)
+    ok, flat, start = size > 0, [], []
+    for k in range(4, 4 + images):
+        px = b.column(k).cast(pa.list_(pa.float64()))
+        n = pc.fill_null(pc.list_value_length(px), -1).to_numpy(zero_copy_only=False)
+        ok &= n == size
+        flat.append(px.flatten().to_numpy(zero_copy_only=False))
+        start.append(np.cumsum(np.maximum(n, 0)) - np.maximum(n, 0))
+    if (~ok).any():
+        yield np.flatnonzero(~ok), None
+    rows = np.flatnonzero(ok)
+    kinds, which = np.unique(shape[rows], axis=0, return_inverse=True)
+    for k, kind in enumerate(kinds):
+        mine = rows[which.ravel() == k]
+        n = int(kind.prod())
+        step = max(1, STACK // n)
+        for at in range(0, len(mine), step):
+            part = mine[at : at + step]
+            yield part, [f[s[part][:, None] + np.arange(n)].reshape(-1, *kind) for f, s in zip(flat, start)]
+
+
+def _each(fn: Callable, part: np.ndarray, stacks: list[np.ndarray], rows: dict) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    """``fn`` over the stack, or where that fails, image by image."""
+    try:
+        yield part, fn(*stacks, rows)
+    except (TypeError, ValueError):
+        for j in range(len(part)):
+            try:
+                yield part[j : j + 1], fn(*[s[j : j + 1] for s in stacks], {c: v[j : j + 1] for c, v in rows.items()})
+            except (TypeError, ValueError):
+                yield part[j : j + 1], None
+
 
 def map_images(df: DataFrame, fn: Callable[[np.ndarray, dict], np.ndarray], key: str = "image_id", extra: tuple[str, ...] = ()) -> DataFrame:
-    """key, height, width, channels, px (doubles) of ``fn(image, row)``; ``extra`` names columns that ``fn`` gets in ``row``."""
+    """key, height, width, channels, px (doubles) of ``fn(stack, rows)``; ``extra`` names columns whose values ``fn`` gets as arrays in ``rows``."""
     kind = df.schema[key].dataType.simpleString()
+    names = [key, "height", "width", "channels", "px"]
+    types = [pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.float64())]
 
     def run(batches):
-        for pdf in batches:
-            out = []
-            for row in pdf.to_dict("records"):
-                try:
-                    im = fn(np.asarray(row["px"], float).reshape(int(row["height"]), int(row["width"]), int(row["channels"])), row)
-                    out.append((row[key], *im.shape, im.ravel()))
-                except (TypeError, ValueError):
-                    out.append((row[key], None, None, None, None))
-            yield pd.DataFrame(out, columns=[key, "height", "width", "channels", "px"])
+        for b in batches:
+            for part, stacks in _stacks(b, 1):
+                rows = {c: b.column(5 + k).take(pa.array(part)).to_numpy(zero_copy_only=False) for k, c in enumerate(extra)}
+                for some, im in _each(fn, part, stacks, rows) if stacks else [(part, None)]:
+                    n, keys = len(some), b.column(0).take(pa.array(some))
+                    if im is None:
+                        cols = [pa.nulls(n, t) for t in types]
+                    else:
+                        ends = pa.array(np.arange(n + 1, dtype=np.int32) * int(np.prod(im.shape[1:])))
+                        cols = [*(pa.array(np.full(n, x, np.int32)) for x in im.shape[1:]), pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(im, float).ravel()))]
+                    yield pa.RecordBatch.from_arrays([keys, *cols], names=names)
+
+    return df.select(key, "height", "width", "channels", "px", *extra).mapInArrow(run, f"{key} {kind}, height int, width int, channels int, px array<double>")
 
-    return df.select(key, "height", "width", "channels", "px", *extra).mapInPandas(run, f"{key} {kind}, height int, width int, channels int, px array<double>")
+
+#: Weights are multiples of 1 / FIXED, so that sums of bytes are exact and no engine rounds a half the other way.
+FIXED = 1 << 22
 
 
 def _weights(size: int, out: int, support: float, kernel) -> np.ndarray:
@@ -36,8 +85,9 @@ def _weights(size: int, out: int, support: float, kernel) -> np.ndarray:
     scale = max(size / out, 1.0)
     centre = (np.arange(out) + 0.5) * size / out
     x = (np.arange(size)[None, :] + 0.5 - centre[:, None]) / scale
-    w = np.where(np.abs(x) < support, kernel(x), 0.0)
-    return w / w.sum(1, keepdims=True)
+    w = np.where(np.abs(x) <= support, kernel(x), 0.0)
+    w = w / w.sum(1, keepdims=True)
+    return np.trunc(w * FIXED + np.copysign(0.5, w)) / FIXED
 
 
 def _lanczos(x: np.ndarray) -> np.ndarray:
@@ -49,10 +99,31 @@ def _cubic(x: np.ndarray) -> np.ndarray:
     return np.where(x < 1, (a + 2) * x**3 - (a + 3) * x**2 + 1, a * x**3 - 5 * a * x**2 + 8 * a * x - 4 * a)
 
 
+def _box(x: np.ndarray) -> np.ndarray:
+    return ((x > -0.5) & (x <= 0.5)).astype(float)
+
+
+_FILTERS = {"lanczos": (3.0, _lanczos), "bicubic": (2.0, _cubic), "box": (0.5, _box)}
+
+
+def to_byte(x: np.ndarray) -> np.ndarray:
+    return np.clip(np.floor(x + 0.5), 0, 255)
+
+
 def resample(im: np.ndarray, height: int, width: int, method: str = "lanczos") -> np.ndarray:
-    support, kernel = {"lanczos": (3.0, _lanczos), "bicubic": (2.0, _cubic)}[method]
-    rows = np.einsum("oh,hwc->owc", _weights(im.shape[0], height, support, kernel), im)
-    return np.clip(np.rint(np.einsum("pw,owc->opc", _weights(im.shape[1], width, support, kernel), rows)), 0, 255)
+    """Along the rows, then along the columns; 8-bit values after each, as 8-bit resamplers have it."""
+    support, kernel = _FILTERS[method]
+    if im.shape[2] != width:
+        im = to_byte(np.einsum("pw,nhwc->nhpc", _weights(im.shape[2], width, support, kernel), im))
+    if im.shape[1] != height:
+        im = to_byte(np.einsum("oh,nhwc->nowc", _weights(im.shape[1], height, support, kernel), im))
+    return im
+
+
+def nearest(im: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Nearest neighbour at half-pixel centres."""
+    y, x = (np.minimum(((np.arange(n) + 0.5) * size / n).astype(int), size - 1) for n, size in ((height, im.shape[1]), (width, im.shape[2])))
+    return im[:, y][:, :, x]
 
 
 def _odd(k: int) -> int:
@@ -64,67 +135,93 @@ def gaussian(im: np.ndarray, kernel_size: int = 5, sigma: float = 1.0) -> np.nda
     r = _odd(kernel_size) // 2
     w = np.exp(-(np.arange(-r, r + 1) ** 2) / (2 * sigma**2))
     w /= w.sum()
-    for axis in (0, 1):
-        pad = [(0, 0)] * 3
+    for axis in (1, 2):
+        pad = [(0, 0)] * 4
         pad[axis] = (r, r)
         p = np.pad(im, pad, mode="reflect")
         im = sum(c * np.take(p, np.arange(k, k + im.shape[axis]), axis) for k, c in enumerate(w))
-    return np.clip(np.rint(im), 0, 255)
+    return to_byte(im)
 
 
 def median(im: np.ndarray, kernel_size: int = 5) -> np.ndarray:
-    """Median of the square around each pixel, borders repeated; an even size is taken one larger."""
+    """Median of the square around each pixel, borders repeated; an even size is taken one larger. A few rows at a time, since every pixel
+    becomes a whole square of them."""
     k = _odd(kernel_size)
-    p = np.pad(im, ((k // 2, k // 2), (k // 2, k // 2), (0, 0)), mode="edge")
-    return np.median(np.lib.stride_tricks.sliding_window_view(p, (k, k), (0, 1)), axis=(-2, -1))
+    p = np.pad(im, ((0, 0), (k // 2, k // 2), (k // 2, k // 2), (0, 0)), mode="edge")
+    out = np.empty_like(im)
+    step = max(1, STACK // (k * k * im[0, 0].size))
+    for one, padded in zip(out, p):
+        for at in range(0, len(one), step):
+            view = np.lib.stride_tricks.sliding_window_view(padded[at : at + step + k - 1], (k, k), (0, 1))
+            one[at : at + step] = np.median(view, axis=(-2, -1))
+    return out
 
 
 def denoise(im: np.ndarray, method: str, kernel_size: int = 5, sigma: float = 1.0) -> np.ndarray:
-    """An unknown method leaves the image as it is."""
+    """An unknown method leaves the images as they are."""
     return {"gaussian": lambda: gaussian(im, kernel_size, sigma), "median": lambda: median(im, kernel_size)}.get(method, lambda: im)()
 
 
+def denoise_each(im: np.ndarray, methods: np.ndarray) -> np.ndarray:
+    """``denoise`` with a method for each image."""
+    out = im.copy()
+    for m in set(methods.tolist()):
+        out[methods == m] = denoise(im[methods == m], m)
+    return out
+
+
 def prepare(im: np.ndarray, size: int, denoising: str | None = None, normalise: bool = True) -> np.ndarray:
     """The preparation chain: three channels, Lanczos resize, optional denoising, scale to [0, 1], optional [-1, 1]."""
-    im = np.repeat(im, 3, axis=2) if im.shape[2] == 1 else im
+    im = np.repeat(im, 3, axis=3) if im.shape[3] == 1 else im
     im = resample(im, size, size)
     im = denoise(im, denoising) if denoising else im
     im = im / 255.0
     return im * 2 - 1 if normalise else im
 
 
-def rotate(im: np.ndarray, degrees: float) -> np.ndarray:
-    """Nearest-neighbour rotation around the centre, zero outside."""
-    h, w, _ = im.shape
+def rotate(im: np.ndarray, degrees: np.ndarray) -> np.ndarray:
+    """Nearest-neighbour rotation of each image around its centre, zero outside."""
+    n, h, w, _ = im.shape
     y, x = np.mgrid[:h, :w]
-    cy, cx, a = (h - 1) / 2, (w - 1) / 2, np.deg2rad(degrees)
-    sy = np.rint(np.sin(a) * (x - cx) + np.cos(a) * (y - cy) + cy).astype(int)
-    sx = np.rint(np.cos(a) * (x - cx) - np.sin(a) * (y - cy) + cx).astype(int)
+    a = np.deg2rad(np.asarray(degrees, float))[:, None, None]
+    cy, cx = (h - 1) / 2, (w - 1) / 2
+    sy = np.floor(np.sin(a) * (x - cx) + np.cos(a) * (y - cy) + cy + 0.5).astype(int)
+    sx = np.floor(np.cos(a) * (x - cx) - np.sin(a) * (y - cy) + cx + 0.5).astype(int)
     inside = (sy >= 0) & (sy < h) & (sx >= 0) & (sx < w)
-    return np.where(inside[..., None], im[np.clip(sy, 0, h - 1), np.clip(sx, 0, w - 1)], 0)
+    return np.where(inside[..., None], im[np.arange(n)[:, None, None], np.clip(sy, 0, h - 1), np.clip(sx, 0, w - 1)], 0)
 
 
 def center_crop(im: np.ndarray, size: int) -> np.ndarray:
-    """Halve by boxes while the short side is at least twice ``size``, scale it to ``size``, cut the centre."""
-    while min(im.shape[:2]) >= 2 * size:
-        h, w = im.shape[0] // 2 * 2, im.shape[1] // 2 * 2
-        im = np.rint(im[:h, :w].reshape(h // 2, 2, w // 2, 2, -1).mean((1, 3)))
-    scale = size / min(im.shape[:2])
-    im = resample(im, round(im.shape[0] * scale), round(im.shape[1] * scale), "bicubic")
-    top, left = (im.shape[0] - size) // 2, (im.shape[1] - size) // 2
-    return im[top : top + size, left : left + size]
-
-
-def windowed_ssim(a: np.ndarray, b: np.ndarray, window: int = 7, data_range: float = 255.0) -> float:
-    """Mean structural similarity over uniform windows, sample covariances, averaged over channels."""
-    view = lambda x: np.lib.stride_tricks.sliding_window_view(x, (window, window), (0, 1))
-    x, y = view(a), view(b)
-    n = window * window
-    mx, my = x.mean((-2, -1)), y.mean((-2, -1))
-    fix = n / (n - 1)
-    vx, vy, cov = fix * ((x * x).mean((-2, -1)) - mx**2), fix * ((y * y).mean((-2, -1)) - my**2), fix * ((x * y).mean((-2, -1)) - mx * my)
+    """Halve with boxes while the short side is at least twice ``size`` (odd sides lose half a pixel into its neighbours), scale it to
+    ``size``, cut the centre."""
+    while min(im.shape[1:3]) >= 2 * size:
+        im = resample(im, im.shape[1] // 2, im.shape[2] // 2, "box")
+    scale = size / min(im.shape[1:3])
+    im = resample(im, round(im.shape[1] * scale), round(im.shape[2] * scale), "bicubic")
+    top, left = (im.shape[1] - size) // 2, (im.shape[2] - size) // 2
+    return im[:, top : top + size, left : left + size]
+
+
+def _window_means(x: np.ndarray, window: int) -> np.ndarray:
+    """Means of all windows, by running sums along either axis."""
+    for axis in (1, 2):
+        s = np.cumsum(x, axis=axis)
+        s = np.insert(s, 0, 0.0, axis=axis)
+        n = s.shape[axis]
+        x = np.take(s, np.arange(window, n), axis) - np.take(s, np.arange(0, n - window), axis)
+    return x / (window * window)
+
+
+def windowed_ssim(a: np.ndarray, b: np.ndarray, window: int = 7, data_range: float = 255.0) -> np.ndarray:
+    """Mean structural similarity of each pair over uniform windows, sample covariances, averaged over channels."""
+    if a.shape != b.shape or min(a.shape[1:3]) < window:
+        raise ValueError("images differ in shape or are smaller than the window")
+    mean = lambda x: _window_means(x, window)
+    fix = window * window / (window * window - 1)
+    mx, my = mean(a), mean(b)
+    vx, vy, cov = fix * (mean(a * a) - mx**2), fix * (mean(b * b) - my**2), fix * (mean(a * b) - mx * my)
     c1, c2 = (0.01 * data_range) ** 2, (0.03 * data_range) ** 2
-    return float((((2 * mx * my + c1) * (2 * cov + c2)) / ((mx**2 + my**2 + c1) * (vx + vy + c2))).mean())
+    return (((2 * mx * my + c1) * (2 * cov + c2)) / ((mx**2 + my**2 + c1) * (vx + vy + c2))).mean((1, 2, 3))
 
 
 def pair_ssim(pairs: DataFrame, key: str = "image_id", window: int = 7) -> DataFrame:
@@ -132,17 +229,32 @@ def pair_ssim(pairs: DataFrame, key: str = "image_id", window: int = 7) -> DataF
     kind = pairs.schema[key].dataType.simpleString()
 
     def run(batches):
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                try:
-                    shape = (int(r.height), int(r.width), int(r.channels))
-                    out.append((getattr(r, key), windowed_ssim(np.asarray(r.px_a, float).reshape(shape), np.asarray(r.px_b, float).reshape(shape), window)))
-                except (TypeError, ValueError):
-                    out.append((getattr(r, key), None))
-            yield pd.DataFrame(out, columns=[key, "ssim"])
-
-    return pairs.select(key, "height", "width", "channels", "px_a", "px_b").mapInPandas(run, f"{key} {kind}, ssim double")
+        for b in batches:
+            for part, stacks in _stacks(b, 2):
+                for some, s in _each(lambda x, y, _: windowed_ssim(x, y, window), part, stacks, {}) if stacks else [(part, None)]:
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some)), pa.nulls(len(some), pa.float64()) if s is None else pa.array(s)], names=[key, "ssim"])
+
+    return pairs.select(key, "height", "width", "channels", "px_a", "px_b").mapInArrow(run, f"{key} {kind}, ssim double")
+
+
+def align(pairs: DataFrame, key: str = "image_id") -> DataFrame:
+    """``pairs``: key, and for a generated image (``_a``) and its reference (``_b``) height, width, channels and px. px_a of another size is
+    resampled to that of its reference (Lanczos); the rows keep height, width and channels of the reference."""
+    names = [f"{c}_{x}" for x in "ab" for c in ("height", "width", "channels", "px")]
+    rest = [c for c in pairs.columns if c not in names]
+    odd = (F.col("height_a") != F.col("height_b")) | (F.col("width_a") != F.col("width_b"))
+    plain = lambda d, px: d.select(*rest, *[F.col(f"{c}_b").alias(c) for c in ("height", "width", "channels")], px.cast("array<double>").alias("px_a"), F.col("px_b").cast("array<double>").alias("px_b"))
+
+    def fit(im: np.ndarray, rows: dict) -> np.ndarray:
+        h, w = {*rows["height_b"].tolist()}, {*rows["width_b"].tolist()}
+        if len(h) > 1 or len(w) > 1:
+            raise ValueError("targets differ")  # each image by itself
+        return resample(im, h.pop(), w.pop())
+
+    other = pairs.filter(odd)
+    fitted = map_images(other.select(key, *[F.col(f"{c}_a").alias(c) for c in ("height", "width", "channels", "px")], "height_b", "width_b"), fit, key, ("height_b", "width_b"))
+    fitted = fitted.select(F.col(key).alias("_k"), F.col("px").alias("_px"))
+    return plain(pairs.filter(~odd), F.col("px_a")).unionByName(plain(other.join(fitted.hint("merge"), F.col(key) == F.col("_k")), F.col("_px")))
 
 
 def median_exploded(images: DataFrame, kernel_size: int = 3) -> DataFrame:

@@ -5,6 +5,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .sampling import in_blocks
+
 
 def epoch_means(log: DataFrame) -> DataFrame:
     return log.groupBy("epoch").agg(F.avg("loss").alias("loss"))
@@ -19,28 +21,39 @@ def step_windows(log: DataFrame, every: int, *values: str) -> DataFrame:
     return out.filter("closed").drop("closed")
 
 
+def _running(rows: DataFrame, order: str, f, value: Column, upto: str, past: str) -> DataFrame:
+    """Add the running ``f`` (min or max) of ``value`` along ``order``: ``upto`` with the row itself, ``past`` without it. Inside blocks of rows, and over one
+    row for each block."""
+    g = in_blocks(rows.withColumn("_v", value), [order])
+    w = Window.partitionBy("_b").orderBy("_i")
+    per = g.groupBy(F.col("_b").alias("_cb")).agg(f("_v").alias("_all"))
+    carry = per.select("_cb", f("_all").over(Window.orderBy("_cb").rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
+    pick = F.least if f is F.min else F.greatest
+    out = g.withColumns({upto: f("_v").over(w.rowsBetween(Window.unboundedPreceding, 0)), past: f("_v").over(w.rowsBetween(Window.unboundedPreceding, -1))}).join(carry.hint("merge"), F.col("_b") == F.col("_cb"))
+    return out.withColumns({c: pick(F.col(c), F.col("_carry")) for c in (upto, past)}).drop("_i", "_b", "_v", "_cb", "_carry")
+
+
 def throughput(windows: DataFrame, start: Column, batch: int) -> DataFrame:
     """Seconds per step and items per second of each window: from the close of the one before (the run's start for the first)."""
-    before = F.coalesce(F.lag("closed_at").over(Window.orderBy("window")), start)
-    seconds = (F.unix_micros("closed_at") - F.unix_micros(before)) / 1e6
-    return windows.withColumns({"seconds_per_step": F.try_divide(seconds, F.col("n")), "items_per_second": F.try_divide(batch * F.col("n"), seconds)})
+    g = in_blocks(windows, ["window"])
+    ends = g.groupBy(F.col("_b").alias("_eb")).agg(F.max_by("closed_at", "_i").alias("_end"))
+    carry = ends.select((F.col("_eb") + 1).alias("_eb"), "_end")
+    out = g.withColumn("_before", F.lag("closed_at").over(Window.partitionBy("_b").orderBy("_i"))).join(carry.hint("merge"), F.col("_b") == F.col("_eb"), "left")
+    seconds = (F.unix_micros("closed_at") - F.unix_micros(F.coalesce("_before", "_end", start))) / 1e6
+    return out.withColumns({"seconds_per_step": F.try_divide(seconds, F.col("n")), "items_per_second": F.try_divide(batch * F.col("n"), seconds)}).drop("_i", "_b", "_before", "_eb", "_end")
 
 
-def best_so_far(epochs: DataFrame, value: str, smaller: bool = True, partition: list[str] | None = None) -> DataFrame:
+def best_so_far(epochs: DataFrame, value: str, smaller: bool = True) -> DataFrame:
     """Add best (up to this epoch) and is_best: strictly better than all before."""
-    w = Window.partitionBy(*(partition or [])).orderBy("epoch")
-    past, upto = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0)
-    f = F.min if smaller else F.max
-    before = f(value).over(past)
-    better = F.col(value) < before if smaller else F.col(value) > before
-    return epochs.withColumns({"best": f(value).over(upto), "is_best": F.coalesce(better, F.lit(True))})
+    out = _running(epochs, "epoch", F.min if smaller else F.max, F.col(value), "best", "_past")
+    better = F.col(value) < F.col("_past") if smaller else F.col(value) > F.col("_past")
+    return out.withColumn("is_best", F.coalesce(better, F.lit(True))).drop("_past")
 
 
 def early_stop(epochs: DataFrame, value: str, patience: int) -> DataFrame:
     """The first epoch that comes ``patience`` epochs after the last strict improvement (null: none)."""
-    b = best_so_far(epochs, value)
-    last = F.max(F.when(F.col("is_best"), F.col("epoch"))).over(Window.orderBy("epoch").rowsBetween(Window.unboundedPreceding, 0))
-    return b.withColumn("since", F.col("epoch") - last).agg(F.min(F.when(F.col("since") >= patience, F.col("epoch"))).alias("stop_epoch"))
+    b = _running(best_so_far(epochs, value), "epoch", F.max, F.when(F.col("is_best"), F.col("epoch")), "_last", "_past")
+    return b.withColumn("since", F.col("epoch") - F.col("_last")).agg(F.min(F.when(F.col("since") >= patience, F.col("epoch"))).alias("stop_epoch"))
 
 
 def numbered(names: DataFrame, name: str = "name") -> DataFrame:

@@ -37,11 +37,14 @@ def exact_sample(df: DataFrame, key: str, ratio: float, seed: int) -> DataFrame:
 
 
 def exact_sample_per_group(df: DataFrame, group: str, key: str, ratios: DataFrame, seed: int) -> DataFrame:
-    """``ratios``: group, ratio. Of every group floor(n * ratio) rows in hash order (groups without a ratio stay whole)."""
-    n = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    limit = n.join(ratios, group, "left").select(group, F.floor(F.col("_n") * F.coalesce("ratio", F.lit(1.0))).alias("_k"))
-    ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(mix_hash(F.col(key), seed), key)))
-    return ranked.join(limit, group).filter(F.col("_r") <= F.col("_k")).drop("_r", "_k")
+    """``ratios``: group, ratio. Of every group floor(n * ratio) rows in hash order (groups without a ratio stay whole). The positions are
+    counted over all groups, so that a group of any size is spread over many tasks."""
+    ranked = global_index(df, [group, mix_hash(F.col(key), seed), key], "_r")
+    per = ranked.groupBy(F.col(group).alias("_g")).agg(F.min("_r").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    ratios = ratios.select(F.col(group).alias("_rg"), "ratio")
+    limit = per.join(ratios, F.col("_g").eqNullSafe(F.col("_rg")), "left").select("_g", "_first", F.floor(F.col("_n") * F.coalesce("ratio", F.lit(1.0))).alias("_k"))
+    out = ranked.join(limit.hint("merge"), F.col(group).eqNullSafe(F.col("_g")))
+    return out.filter(F.col("_r") - F.col("_first") < F.col("_k")).drop("_r", "_g", "_first", "_k")
 
 
 def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
@@ -82,12 +85,25 @@ def batches(indexed: DataFrame, size: int, micro: int | None = None, drop_last:
     return out
 
 
+#: Rows of a block in a running aggregate: a window holds one block, or one row for each block.
+BLOCK = 1 << 16
+
+
+def in_blocks(df: DataFrame, order: list) -> DataFrame:
+    """Add _i, the position over all rows, and _b, its block: what runs along the order can then run inside blocks, with a carry between them."""
+    return global_index(df, order, "_i").withColumn("_b", F.floor(F.col("_i") / BLOCK))
+
+
 def fallback_items(rows: DataFrame, group: str) -> DataFrame:
     """``rows``: group, idx, valid (a value, null if unreadable). Adds used: the valid value itself, else the nearest valid one before it in the
     group, else the group's last; null in a group without any."""
-    before = F.last("valid", True).over(Window.partitionBy(group).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0))
-    end = rows.filter(F.col("valid").isNotNull()).groupBy(F.col(group).alias("_g")).agg(F.max_by("valid", "idx").alias("_end"))
-    return rows.withColumn("_before", before).join(end, F.col(group).eqNullSafe(F.col("_g")), "left").withColumn("used", F.coalesce("_before", "_end")).drop("_before", "_g", "_end")
+    g = in_blocks(rows, [group, "idx"])
+    inside = F.last("valid", True).over(Window.partitionBy("_b", group).orderBy("_i").rowsBetween(Window.unboundedPreceding, 0))
+    per = g.groupBy(F.col(group).alias("_g"), F.col("_b").alias("_gb")).agg(F.max_by("valid", F.when(F.col("valid").isNotNull(), F.col("_i"))).alias("_last"))
+    w = Window.partitionBy("_g").orderBy("_gb")
+    carry = per.select("_g", "_gb", F.last("_last", True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.last("_last", True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_end"))
+    out = g.withColumn("_inside", inside).join(carry.hint("merge"), F.col(group).eqNullSafe(F.col("_g")) & (F.col("_b") == F.col("_gb")), "left")
+    return out.withColumn("used", F.coalesce("_inside", "_before", "_end")).drop("_i", "_b", "_inside", "_g", "_gb", "_before", "_end")
 
 
 def seed_list(given: Column, k: int, default: int = 42) -> Column:

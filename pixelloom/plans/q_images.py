@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import image as I
 from ..functions import metrics as M
+from ..functions import text as X
 from ..operators import kernels as K
+from ..sources.scratch import materialize
 from . import views as V
 
 QUERIES: dict = {}
@@ -163,53 +165,121 @@ def i7(spark, sf):
     return K.median_exploded(V.gray_images(spark, sf), 3)
 
 
-@query("i1_lanczos_resize")
+# Images as rows (image_id, y, x, ch, v) in SQL, and separable filters over them.
+_KERNELS = {"lanczos": "CASE WHEN x = 0 THEN 1.0 WHEN abs(x) <= 3 THEN sin(pi() * x) / (pi() * x) * sin(pi() * x / 3) / (pi() * x / 3) ELSE 0 END",
+            "bicubic": "CASE WHEN abs(x) < 1 THEN 1.5 * abs(x) ^ 3 - 2.5 * x * x + 1 WHEN abs(x) <= 2 THEN -0.5 * abs(x) ^ 3 + 2.5 * x * x - 4 * abs(x) + 2 ELSE 0 END", "box": "(x > -0.5 AND x <= 0.5)::INT"}
+
+
+def rows_sql(rel: str, side: int, channels: int) -> str:
+    return f"SELECT image_id, i // {side * channels} AS y, i // {channels} % {side} AS x, i % {channels} AS ch, px[i + 1]::DOUBLE AS v FROM {rel}, range(0, {side * side * channels}) t(i)"
+
+
+def _axis_sql(rows: str, axis: str, size: int, out: int, kernel: str) -> str:
+    other = "y" if axis == "x" else "x"
+    weights = f"SELECT o, i, trunc(k / s * 4194304 + 0.5 * sign(k)) / 4194304.0::DOUBLE AS w FROM (SELECT *, sum(k) OVER (PARTITION BY o) AS s FROM (SELECT o, i, {_KERNELS[kernel]} AS k FROM (SELECT o, i, (i + 0.5::DOUBLE - (o + 0.5) * {size} / {out}) / {max(size / out, 1.0)}::DOUBLE AS x FROM range(0, {out}) a(o), range(0, {size}) b(i))))"
+    return f"SELECT image_id, {other}, o AS {axis}, ch, greatest(0, least(255, floor(sum(v * w) + 0.5))) AS v FROM ({rows}) r JOIN ({weights}) w ON r.{axis} = w.i GROUP BY image_id, {other}, o, ch"
+
+
+def resample_sql(rows: str, size: int, out: int, kernel: str = "lanczos") -> str:
+    return _axis_sql(_axis_sql(rows, "x", size, out, kernel), "y", size, out, kernel)
+
+
+def gauss_sql(rows: str, size: int) -> str:
+    """A 5 x 5 blur of deviation 1, mirrored at the borders."""
+    at = lambda c: f"(CASE WHEN {c} + d < 0 THEN -({c} + d) WHEN {c} + d > {size - 1} THEN {2 * (size - 1)} - ({c} + d) ELSE {c} + d END)"
+    w = "(SELECT d, exp(-d * d / 2.0::DOUBLE) / sum(exp(-d * d / 2.0::DOUBLE)) OVER () AS w FROM range(-2, 3) t(d))"
+    grid = f"SELECT a.c AS c, {at('a.c')} AS s, w FROM range(0, {size}) a(c), {w}"
+    return f"SELECT r.image_id, p.c AS y, q.c AS x, r.ch, greatest(0, least(255, floor(sum(v * p.w * q.w) + 0.5))) AS v FROM ({rows}) r JOIN ({grid}) p ON r.y = p.s JOIN ({grid}) q ON r.x = q.s GROUP BY r.image_id, p.c, q.c, r.ch"
+
+
+def median_sql(rows: str, size: int, r: int) -> str:
+    clamp = lambda c: f"greatest(0, least({size - 1}, {c} + d))"
+    grid = f"SELECT c, {clamp('c')} AS s FROM range(0, {size}) a(c), range({-r}, {r + 1}) b(d)"
+    return f"SELECT r.image_id, p.c AS y, q.c AS x, r.ch, median(v) AS v FROM ({rows}) r JOIN ({grid}) p ON r.y = p.s JOIN ({grid}) q ON r.x = q.s GROUP BY r.image_id, p.c, q.c, r.ch"
+
+
+def gathered_sql(rows: str, value: str = "v::INT") -> str:
+    return f"SELECT image_id, array_to_string(list({value} ORDER BY y, x, ch), ',') AS px FROM ({rows}) GROUP BY image_id"
+
+
+def shown(images: DataFrame) -> DataFrame:
+    return images.select("image_id", text(F.col("px").cast("array<int>")).alias("px"))
+
+
+_MICRO = "round(({0}) * 1e6)::BIGINT"
+_GRAY, _RGB = rows_sql("gray_images", 8, 1), rows_sql("rgb_images", 8, 3)
+_PREPARED = "v / 255.0::DOUBLE * 2 - 1"
+
+
+@query("i1_lanczos_resize", gathered_sql(resample_sql(_GRAY, 8, 4)))
 def i1(spark, sf):
-    return K.map_images(V.gray_images(spark, sf), lambda im, _: K.resample(im, 4, 4))
+    return shown(K.map_images(V.gray_images(spark, sf), lambda im, _: K.resample(im, 4, 4)))
 
 
-@query("i6_gaussian_blur")
+@query("i6_gaussian_blur", gathered_sql(gauss_sql(_GRAY, 8)))
 def i6(spark, sf):
-    return K.map_images(V.gray_images(spark, sf), lambda im, _: K.gaussian(im, 5, 1.0))
+    return shown(K.map_images(V.gray_images(spark, sf), lambda im, _: K.gaussian(im, 5, 1.0)))
 
 
-@query("i8_denoise")
+@query("i8_denoise", " UNION ALL ".join(gathered_sql(f"SELECT * FROM ({rows}) WHERE image_id % 3 = {k}") for k, rows in enumerate((gauss_sql(_GRAY, 8), median_sql(_GRAY, 8, 2), _GRAY))))
 def i8(spark, sf):
     plan = V.gray_images(spark, sf).withColumn("method", F.get(F.array(F.lit("gaussian"), F.lit("median"), F.lit("none")), (F.col("image_id") % 3).cast("int")))
-    return K.map_images(plan, lambda im, row: K.denoise(im, row["method"]), extra=("method",))
+    return shown(K.map_images(plan, lambda im, rows: K.denoise_each(im, rows["method"]), extra=("method",)))
 
 
-@query("i9_prepare")
+@query("i9_prepare", gathered_sql(gauss_sql(resample_sql(_RGB, 8, 6), 6), _MICRO.format(_PREPARED)))
 def i9(spark, sf):
-    return K.map_images(V.rgb_images(spark, sf), lambda im, _: K.prepare(im, 6, "gaussian"))
+    return K.map_images(V.rgb_images(spark, sf), lambda im, _: K.prepare(im, 6, "gaussian")).select("image_id", micro(F.col("px")).alias("px"))
 
 
-@query("i22_center_crop_pixels")
+@query("i22_center_crop_pixels", gathered_sql(resample_sql(resample_sql(_RGB, 8, 4, "box"), 4, 3, "bicubic")))
 def i22p(spark, sf):
-    return K.map_images(V.rgb_images(spark, sf), lambda im, _: K.center_crop(im, 3))
+    return shown(K.map_images(V.rgb_images(spark, sf), lambda im, _: K.center_crop(im, 3)))
+
+
+def rotated_sql(rel: str, degrees: str) -> str:
+    """Nearest-neighbour rotation of 8 x 8 images of three channels around their centre."""
+    turned = f"SELECT image_id, px, y, x, floor(sin(a) * (x - 3.5) + cos(a) * (y - 3.5) + 4)::INT AS sy, floor(cos(a) * (x - 3.5) - sin(a) * (y - 3.5) + 4)::INT AS sx FROM (SELECT *, radians({degrees}) AS a FROM {rel}), range(0, 8) a(y), range(0, 8) b(x)"
+    return f"SELECT image_id, y, x, ch, CASE WHEN sy BETWEEN 0 AND 7 AND sx BETWEEN 0 AND 7 THEN px[sy * 24 + sx * 3 + ch + 1] ELSE 0 END::DOUBLE AS v FROM ({turned}), range(0, 3) c(ch)"
+
+
+_ANGLE = "((image_id * 37 % 2001 - 1000) / 100.0::DOUBLE)"
 
 
-@query("i27_rotate")
+@query("i27_rotate", gathered_sql(rotated_sql("rgb_images", _ANGLE)))
 def i27(spark, sf):
-    angle = (F.pmod(F.xxhash64("image_id", F.lit(3)), F.lit(2001)) - 1000) / 100.0
-    return K.map_images(V.rgb_images(spark, sf).withColumn("angle", angle), lambda im, row: K.rotate(im, row["angle"]), extra=("angle",))
+    images = V.rgb_images(spark, sf).withColumn("angle", (F.col("image_id") * 37 % 2001 - 1000) / 100.0)
+    return shown(K.map_images(images, lambda im, rows: K.rotate(im, rows["angle"]), extra=("angle",)))
 
 
 def _factor(seed: int) -> Column:
-    return 0.8 + 0.4 * F.pmod(F.xxhash64("image_id", F.lit(seed)), F.lit(2**31)) / 2.0**31
+    return 0.8 + 0.4 * X.unit(X.mix_hash(F.col("image_id"), seed))
+
+
+_FACTOR = lambda seed: f"(0.8::DOUBLE + 0.4::DOUBLE * (((image_id * 1103515245 + {seed * 12345}) % 2147483648) / 2147483648.0::DOUBLE))"
+
+
+def jittered_sql(rows: str) -> str:
+    lit = f"SELECT *, least(255.0::DOUBLE, v * {_FACTOR(11)}) AS b FROM ({rows})"
+    return f"SELECT image_id, y, x, ch, floor(greatest(0, least(255, m + (b - m) * {_FACTOR(12)}))) AS v FROM (SELECT *, avg(b) OVER (PARTITION BY image_id) AS m FROM ({lit}))"
 
 
-@query("i28_jitter")
+@query("i28_jitter", gathered_sql(jittered_sql(_RGB)))
 def i28(spark, sf):
-    return V.rgb_images(spark, sf).select("image_id", I.jitter(F.col("px"), _factor(11), _factor(12)).alias("px"))
+    return shown(V.rgb_images(spark, sf).select("image_id", I.jitter(F.col("px"), _factor(11), _factor(12)).alias("px")))
 
 
-@query("i29_train_transform")
+_STANDARD = _MICRO.format("(v / 255.0::DOUBLE - [0.485, 0.456, 0.406][ch + 1]::DOUBLE) / [0.229, 0.224, 0.225][ch + 1]::DOUBLE")
+_FLIPPED = f"(SELECT image_id, CASE WHEN {_FACTOR(13)} < 1.0 THEN list_transform(range(0, 192), lambda i: px[i // 24 * 24 + (7 - i // 3 % 8) * 3 + i % 3 + 1]) ELSE px END AS px FROM rgb_images)"
+
+
+@query("i29_train_transform", f"SELECT image_id, 'train' AS split, px FROM ({gathered_sql(jittered_sql(rotated_sql(_FLIPPED, _ANGLE)), _STANDARD)}) UNION ALL SELECT image_id, 'validation', px FROM ({gathered_sql(_RGB, _STANDARD)})")
 def i29(spark, sf):
-    train = V.rgb_images(spark, sf).transform(lambda d: d.withColumn("px", F.when(_factor(13) < 1.0, I.flip_rows(F.col("px"), F.col("height"), F.col("width"), 3)).otherwise(F.col("px"))))
-    train = K.map_images(train, lambda im, row: K.rotate(im, (row["image_id"] * 37 % 2001 - 1000) / 100.0)).transform(lambda d: d.withColumn("px", I.jitter(F.col("px"), _factor(11), _factor(12))))
-    out = train.select("image_id", F.lit("train").alias("split"), I.standardise(F.col("px")).alias("px"))
-    return out.unionByName(V.rgb_images(spark, sf).select("image_id", F.lit("validation").alias("split"), I.standardise(F.col("px")).alias("px")))
+    rgb = V.rgb_images(spark, sf)
+    train = rgb.withColumns({"px": F.when(_factor(13) < 1.0, I.flip_rows(F.col("px"), F.col("height"), F.col("width"), 3)).otherwise(F.col("px")), "angle": (F.col("image_id") * 37 % 2001 - 1000) / 100.0})
+    train = K.map_images(train, lambda im, rows: K.rotate(im, rows["angle"]), extra=("angle",)).withColumn("px", I.jitter(F.col("px"), _factor(11), _factor(12)))
+    out = train.select("image_id", F.lit("train").alias("split"), micro(I.standardise(F.col("px"))).alias("px"))
+    return out.unionByName(rgb.select("image_id", F.lit("validation").alias("split"), micro(I.standardise(F.col("px"))).alias("px")))
 
 
 # --- metrics of pairs
@@ -258,9 +328,18 @@ def a5(spark, sf):
     return pairs(spark, sf).select("image_id", r6(M.global_ssim(F.col("px_a"), F.col("px_b"))).alias("ssim"))
 
 
-@query("a6_windowed_ssim")
+def windowed_sql(px: str) -> str:
+    """Mean of the four 7 x 7 windows of 8 x 8 images. ``px``: image_id, y, x, v and w (the pair's values)."""
+    sums = f"SELECT image_id, a, b, avg(v) AS mx, avg(w) AS my, var_samp(v) AS vx, var_samp(w) AS vy, covar_samp(v, w) AS c FROM ({px}), range(0, 2) p(a), range(0, 2) q(b) WHERE y BETWEEN a AND a + 6 AND x BETWEEN b AND b + 6 GROUP BY image_id, a, b"
+    return f"SELECT image_id, avg((2 * mx * my + 6.5025) * (2 * c + 58.5225) / ((mx * mx + my * my + 6.5025) * (vx + vy + 58.5225))) AS s FROM ({sums}) GROUP BY image_id"
+
+
+_PAIR_ROWS = "SELECT image_id, i // 8 AS y, i % 8 AS x, px_a[i + 1]::DOUBLE AS v, px_b[i + 1]::DOUBLE AS w FROM pairs, range(0, 64) t(i)"
+
+
+@query("a6_windowed_ssim", f"SELECT image_id, round(s, 6) AS ssim FROM ({windowed_sql(_PAIR_ROWS)})")
 def a6(spark, sf):
-    return K.pair_ssim(pairs(spark, sf))
+    return K.pair_ssim(pairs(spark, sf)).select("image_id", r6(F.col("ssim")).alias("ssim"))
 
 
 _OVERLAP = """SELECT image_id, sum((a AND b)::INT) AS i, sum(a::INT) AS na, sum(b::INT) AS nb FROM (
@@ -285,11 +364,25 @@ def f5(spark, sf):
     return d.select("image_id", r6(M.iou_of_dice(F.col("d"))).alias("iou"), r6(M.dice_of_iou(F.col("i"))).alias("dice"))
 
 
+def aligned(spark, sf) -> DataFrame:
+    """Generated images with their references, resampled to their size where they differ."""
+    a = V.generated(spark, sf).select("image_id", *[F.col(c).alias(f"{c}_a") for c in ("height", "width", "channels", "px")])
+    b = V.gray_images(spark, sf).select((F.col("image_id") - 1).alias("image_id"), *[F.col(c).alias(f"{c}_b") for c in ("height", "width", "channels", "px")])
+    return K.align(a.join(b, "image_id"))
+
+
 def evaluated(spark, sf) -> DataFrame:
-    """Every pair with its quality metrics."""
+    """The evaluation of every pair: MSE, MAE, PSNR, windowed SSIM, and Dice and IoU of the lesions of the generated image against its input mask (null
+    where it has none). A gray image stands for three equal channels."""
     a, b = F.col("px_a"), F.col("px_b")
-    p = pairs(spark, sf).select("image_id", M.mse(a, b).alias("mse"), M.mae(a, b).alias("mae"), M.global_ssim(a, b).alias("ssim"), M.dice(a, b).alias("dice"), M.iou(a, b).alias("iou"))
-    return p.withColumn("psnr", M.psnr_of(F.col("mse")))
+    p = materialize(aligned(spark, sf), "aligned")
+    found = F.transform(I.lesion_mask(I.gray_to_rgb(a), "red_channel", 0.5), lambda v: v * 255)
+    m = V.sized_masks(spark, sf).select("image_id", F.col("height").alias("mh"), F.col("width").alias("mw"), F.col("px").alias("mask"))
+    q = p.join(m.hint("merge"), "image_id", "left").withColumns({"found": found, "mask": I.nearest_resize(F.col("mask"), F.col("mh"), F.col("mw"), F.col("height"), F.col("width"))})
+    there = F.col("mask").isNotNull()
+    q = q.select("image_id", M.mse(a, b).alias("mse"), M.mae(a, b).alias("mae"), F.when(there, M.dice(F.col("found"), F.col("mask"))).alias("dice"), F.when(there, M.iou(F.col("found"), F.col("mask"))).alias("iou"))
+    s = materialize(K.pair_ssim(p), "ssim")
+    return q.join(s.hint("merge"), "image_id").withColumn("psnr", M.psnr_of(F.col("mse")))
 
 
 def summary(values: DataFrame, metrics: tuple[str, ...]) -> DataFrame:
@@ -303,7 +396,15 @@ def summary(values: DataFrame, metrics: tuple[str, ...]) -> DataFrame:
     return long.filter((F.col("n") > 0) | (F.col("metric") == "psnr")).withColumns(fill)
 
 
-_EVAL = f"SELECT image_id, mse, mae, {_PSNR.format('mse')} AS psnr FROM (SELECT image_id, avg((x - y) * (x - y)) AS mse, avg(abs(x - y)) AS mae FROM pair_px GROUP BY image_id)"
+# Generated images of half the size are resampled to that of their references.
+_HALVES = "SELECT image_id, i // 4 AS y, i % 4 AS x, 0 AS ch, px[i + 1]::DOUBLE AS v FROM generated, range(0, 16) t(i) WHERE side = 4"
+_FULL = f"SELECT image_id, i // 8 AS y, i % 8 AS x, px[i + 1]::DOUBLE AS v FROM generated, range(0, 64) t(i) WHERE side = 8 UNION ALL SELECT image_id, y, x, v FROM ({resample_sql(_HALVES, 4, 8)})"
+_ALIGNED = f"SELECT g.image_id, g.y, g.x, g.v, b.px[g.y * 8 + g.x + 1]::DOUBLE AS w FROM ({_FULL}) g JOIN gray_images b ON b.image_id = g.image_id + 1"
+_MEANS = f"SELECT image_id, avg((v - w) * (v - w)) AS mse, avg(abs(v - w)) AS mae FROM ({_ALIGNED}) GROUP BY image_id"
+_EVAL = f"SELECT image_id, mse, mae, {_PSNR.format('mse')} AS psnr FROM ({_MEANS})"
+_MASK = "(CASE WHEN side = 4 THEN px[y // 2 * 4 + x // 2 + 1] ELSE px[y * 8 + x + 1] END > 127.5)::INT"
+_FOUND = f"SELECT image_id, sum(f * m) AS i, sum(f) AS na, sum(m) AS nb FROM (SELECT g.image_id, (g.v / (CASE WHEN max(g.v) OVER (PARTITION BY g.image_id) > 1 THEN 255.0 ELSE 1.0 END) > 0.5)::INT AS f, {_MASK} AS m FROM ({_FULL}) g JOIN sized_masks k ON k.image_id = g.image_id) GROUP BY image_id"
+_DICE, _IOU = "CASE WHEN na + nb = 0 THEN 1.0 ELSE 2.0::DOUBLE * i / (na + nb) END", "CASE WHEN na + nb - i = 0 THEN 1.0 ELSE i::DOUBLE / (na + nb - i) END"
 
 
 def _summary_sql(rel: str, metrics: tuple[str, ...]) -> str:
@@ -320,7 +421,7 @@ def a9(spark, sf):
     return _rounded(summary(evaluated(spark, sf), ("psnr", "mae", "mse")))
 
 
-@query("e2_pair_evaluation", _summary_sql(f"SELECT e.*, s.s AS ssim, CASE WHEN na + nb = 0 THEN 1.0 ELSE 2.0::DOUBLE * i / (na + nb) END AS dice, CASE WHEN na + nb - i = 0 THEN 1.0 ELSE i::DOUBLE / (na + nb - i) END AS iou FROM ({_EVAL}) e JOIN ({_SSIM}) s USING (image_id) JOIN ({_OVERLAP}) o USING (image_id)", ("psnr", "ssim", "mae", "mse", "dice", "iou")))
+@query("e2_pair_evaluation", _summary_sql(f"SELECT e.*, s.s AS ssim, {_DICE} AS dice, {_IOU} AS iou FROM ({_EVAL}) e JOIN ({windowed_sql(_ALIGNED)}) s USING (image_id) LEFT JOIN ({_FOUND}) o USING (image_id)", ("psnr", "ssim", "mae", "mse", "dice", "iou")))
 def e2(spark, sf):
     return _rounded(summary(evaluated(spark, sf), ("psnr", "ssim", "mae", "mse", "dice", "iou")))
 
@@ -332,18 +433,19 @@ def p19(spark, sf):
 
 
 def structure(spark, sf) -> DataFrame:
-    """Red-channel lesions of an image against its input mask; where a mask is missing, Dice and IoU are null and the row stays."""
-    rgb = V.rgb_images(spark, sf).select("image_id", F.transform(I.lesion_mask(F.col("px"), "red_channel", 0.5), lambda p: p * 255).alias("found"))
-    m = V.masks(spark, sf).select("image_id", F.col("px").alias("mask"))
+    """Red-channel lesions of an image against its input mask, resized to the image where it has another size; where a mask is missing, Dice
+    and IoU are null and the row stays."""
+    rgb = V.rgb_images(spark, sf).select("image_id", "height", "width", F.transform(I.lesion_mask(F.col("px"), "red_channel", 0.5), lambda p: p * 255).alias("found"))
+    m = V.sized_masks(spark, sf).select("image_id", I.nearest_resize(F.col("px"), F.col("height"), F.col("width"), 8, 8).alias("mask"))
     j = rgb.join(m, "image_id", "left")
-    ok = F.col("mask").isNotNull() & (F.size("mask") == F.size("found"))
-    return j.select("image_id", F.when(ok, M.dice(F.col("found"), F.col("mask"))).alias("dice"), F.when(ok, M.iou(F.col("found"), F.col("mask"))).alias("iou"))
+    there = F.col("mask").isNotNull()
+    return j.select("image_id", F.when(there, M.dice(F.col("found"), F.col("mask"))).alias("dice"), F.when(there, M.iou(F.col("found"), F.col("mask"))).alias("iou"))
 
 
-_STRUCT = """SELECT image_id, CASE WHEN any_value(mk) IS NULL THEN NULL WHEN sum(f) + sum(m) = 0 THEN 1.0 ELSE 2.0::DOUBLE * sum(f * m) / (sum(f) + sum(m)) END AS dice,
+_STRUCT = f"""SELECT image_id, CASE WHEN any_value(mk) IS NULL THEN NULL WHEN sum(f) + sum(m) = 0 THEN 1.0 ELSE 2.0::DOUBLE * sum(f * m) / (sum(f) + sum(m)) END AS dice,
   CASE WHEN any_value(mk) IS NULL THEN NULL WHEN sum(f) + sum(m) - sum(f * m) = 0 THEN 1.0 ELSE sum(f * m)::DOUBLE / (sum(f) + sum(m) - sum(f * m)) END AS iou FROM (
-  SELECT r.image_id, m.image_id AS mk, unnest(list_transform(range(1, 65), lambda i: (r.px[3*i-2] / (CASE WHEN list_max(r.px) > 1 THEN 255.0 ELSE 1.0 END) > 0.5)::INT)) AS f,
-    unnest(coalesce(list_transform(m.px, lambda v: (v > 127.5)::INT), list_transform(range(0, 64), lambda v: 0))) AS m FROM rgb_images r LEFT JOIN masks m USING (image_id)) GROUP BY image_id"""
+  SELECT r.image_id, m.image_id AS mk, (r.px[3 * i + 1] / (CASE WHEN list_max(r.px) > 1 THEN 255.0 ELSE 1.0 END) > 0.5)::INT AS f, CASE WHEN m.image_id IS NULL THEN 0 ELSE {_MASK.replace('px[', 'm.px[')} END AS m
+  FROM (SELECT *, i // 8 AS y, i % 8 AS x FROM rgb_images, range(0, 64) t(i)) r LEFT JOIN sized_masks m ON m.image_id = r.image_id) GROUP BY image_id"""
 
 
 @query("e3_structure_evaluation", f"SELECT image_id, round(dice, 6) AS dice, round(iou, 6) AS iou FROM ({_STRUCT})")
@@ -383,10 +485,10 @@ def p23(spark, sf):
 _MODALITY = "(VALUES " + ", ".join(f"({i}, '{n}', {p}, {d}, '{m}')" for i, (n, p, d, m) in enumerate(M.MODALITIES)) + ") t(k, modality, least_psnr, least_dice, method)"
 
 
-@query("p26_modality_acceptance", f"SELECT image_id, modality, method, psnr > least_psnr AND dice > least_dice AS accepted FROM (SELECT e.image_id, psnr + 15 AS psnr, CASE WHEN na + nb = 0 THEN 1.0 ELSE 2.0::DOUBLE * i / (na + nb) END AS dice FROM ({_EVAL}) e JOIN ({_OVERLAP}) o USING (image_id)) x JOIN {_MODALITY} ON k = image_id % 3")
+@query("p26_modality_acceptance", f"SELECT image_id, modality, method, psnr > least_psnr AND dice > least_dice AS accepted FROM (SELECT e.image_id, psnr + 15 AS psnr, {_DICE} AS dice FROM ({_EVAL}) e JOIN ({_FOUND}) o USING (image_id)) x JOIN {_MODALITY} ON k = image_id % 3")
 def p26(spark, sf):
     limits = spark.createDataFrame([(i, *m) for i, m in enumerate(M.MODALITIES)], "k int, modality string, least_psnr double, least_dice double, method string")
-    e = evaluated(spark, sf).select("image_id", (F.col("psnr") + 15).alias("psnr"), "dice")
+    e = evaluated(spark, sf).filter(F.col("dice").isNotNull()).select("image_id", (F.col("psnr") + 15).alias("psnr"), "dice")
     return e.join(F.broadcast(limits), F.col("image_id") % 3 == F.col("k")).select("image_id", "modality", "method", ((F.col("psnr") > F.col("least_psnr")) & (F.col("dice") > F.col("least_dice"))).alias("accepted"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import audit as AU
 from ..operators import manifest as MF
+from ..sources.scratch import materialize
 from . import views as V
 
 QUERIES: dict = {}
@@ -367,16 +368,43 @@ def e8(spark, sf):
     return j8(spark, sf).join(split, "doc_id").select("doc_id", "label", F.coalesce("hard", "soft").alias("lesion"), "split")
 
 
-@query("e9_batches", "SELECT doc_id // 4 AS batch, count(*) AS n, count(mask_path) AS with_mask, string_agg(coalesce(mask_path, 'zero'), ',' ORDER BY doc_id) AS masks FROM manifest GROUP BY 1")
+@query("e9_batches", """WITH r AS (SELECT g.image_id, g.image_id // 4 AS batch, m.image_id IS NOT NULL AS masked, unnest(range(0, 64)) AS i, unnest(coalesce(m.px, list_transform(range(0, 64), lambda i: 0))) AS v FROM gray_images g LEFT JOIN masks m USING (image_id))
+SELECT batch, count(DISTINCT image_id) AS n, count(DISTINCT image_id) FILTER (masked) AS with_mask, array_to_string(list(v::INT ORDER BY image_id, i), ',') AS masks FROM r GROUP BY batch""")
 def e9(spark, sf):
-    b = V.manifest(spark, sf).groupBy(F.floor(F.col("doc_id") / 4).alias("batch")).agg(F.count(F.lit(1)).alias("n"), F.count("mask_path").alias("with_mask"), F.sort_array(F.collect_list(F.struct("doc_id", F.coalesce("mask_path", F.lit("zero")).alias("m")))).alias("r"))
-    return b.select("batch", "n", "with_mask", F.array_join(F.transform("r", lambda x: x["m"]), ",").alias("masks"))
+    """Batches of four images with their masks; text-only rows get zero masks of the image's size."""
+    from ..functions import image as I
 
+    m = V.masks(spark, sf).select("image_id", F.col("px").alias("mask"))
+    rows = V.gray_images(spark, sf).select("image_id", "height", "width").join(m, "image_id", "left")
+    rows = rows.select(F.floor(F.col("image_id") / 4).alias("batch"), F.struct("image_id", I.zero_mask(F.col("mask"), F.col("height"), F.col("width")).cast("array<int>").alias("m")).alias("r"), F.col("mask").isNotNull().cast("long").alias("masked"))
+    b = rows.groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.sum("masked").alias("with_mask"), F.sort_array(F.collect_list("r")).alias("r"))
+    return b.select("batch", "n", "with_mask", F.array_join(F.flatten(F.transform("r", lambda x: x["m"])).cast("array<string>"), ",").alias("masks"))
 
-@query("e11_item_view")
-def e11(spark, sf):
+
+def item_view(items: DataFrame, images: DataFrame, masks: DataFrame, size: int, auto_caption: bool) -> DataFrame:
+    """``items``: doc_id, label, caption. Training items: the prepared image, the caption (``auto_caption``: that of the label), the mask resized to the image
+    or null, and whether the item is text-only."""
+    from ..functions import image as I
     from ..operators import kernels as K
 
-    m = V.manifest(spark, sf).select("doc_id", "label", "mask_path")
-    pixels = K.map_images(V.gray_images(spark, sf), lambda im, _: K.prepare(im, 8)).select(F.col("image_id").alias("pid"), "px")
-    return m.join(pixels, F.col("doc_id") == F.col("pid")).select("doc_id", X.label_to_caption(F.col("label").cast("string")).alias("caption"), F.col("mask_path").isNull().alias("text_only"), "px")
+    pixels = materialize(K.map_images(images, lambda im, _: K.prepare(im, size)).select(F.col("image_id").alias("pid"), "px"), "items-pixels")
+    m = masks.select(F.col("image_id").alias("mid"), I.nearest_resize(F.col("px"), F.col("height"), F.col("width"), size, size).alias("mask"))
+    out = items.join(pixels.hint("merge"), F.col("doc_id") == F.col("pid")).join(m.hint("merge"), F.col("doc_id") == F.col("mid"), "left")
+    caption = X.label_to_caption(F.col("label").cast("string")) if auto_caption else F.col("caption")
+    return out.select("doc_id", caption.alias("caption"), F.col("mask").isNull().alias("text_only"), "mask", "px")
+
+
+def _items_sql() -> str:
+    from .q_images import _GRAY, _MICRO, _PREPARED, gathered_sql, resample_sql
+
+    value = _MICRO.format(_PREPARED)
+    px = gathered_sql(resample_sql(_GRAY, 8, 4), f"concat({value}, ',', {value}, ',', {value})")
+    half = "array_to_string(list_transform(range(0, 16), lambda k: px[(2 * (k // 4) + 1) * 8 + 2 * (k % 4) + 2]), ',')"
+    return f"SELECT doc_id, {_CAPTION.format('label::VARCHAR')} AS caption, m.image_id IS NULL AS text_only, {half.replace('px[', 'm.px[')} AS mask, p.px FROM manifest d JOIN ({px}) p ON p.image_id = d.doc_id LEFT JOIN masks m ON m.image_id = d.doc_id"
+
+
+@query("e11_item_view", _items_sql())
+def e11(spark, sf):
+    items = item_view(V.manifest(spark, sf).select("doc_id", "label", "caption"), V.gray_images(spark, sf), V.masks(spark, sf), 4, auto_caption=True)
+    px = F.array_join(F.transform("px", lambda v: F.round(v * 1e6).cast("long").cast("string")), ",")
+    return items.select("doc_id", "caption", "text_only", F.array_join(F.col("mask").cast("array<string>"), ",").alias("mask"), px.alias("px"))

@@ -9,6 +9,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.image import nearest_resize
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -34,6 +36,23 @@ def masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gray_images(spark, sf_dir).filter(F.col("image_id") % 2 == 0).select("image_id", "height", "width", px.alias("px"))
 
 
+def generated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gray images as a generator would leave them: every tenth has half the size."""
+    return _some_halved(gray_images(spark, sf_dir), 10, "channels")
+
+
+def sized_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The masks, some of another size than their images."""
+    return _some_halved(masks(spark, sf_dir), 6)
+
+
+def _some_halved(images: DataFrame, every: int, *more: str) -> DataFrame:
+    small = F.col("image_id") % every == 0
+    size = F.when(small, 4).otherwise(8)
+    out = images.withColumn("px", F.when(small, nearest_resize(F.col("px"), F.col("height"), F.col("width"), 4, 4)).otherwise(F.col("px")))
+    return out.select("image_id", size.alias("height"), size.alias("width"), *more, "px")
+
+
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, lab = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select(F.col("doc_id").alias("lid")).distinct()
     mask = F.when(F.col("lid").isNotNull(), F.concat(F.lit("masks/"), F.col("doc_id"), F.lit(".png")))
@@ -64,10 +83,15 @@ def image_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("image_id"), (256 + n % 2048).cast("int").alias("width"), (256 + (n * 7) % 1536).cast("int").alias("height"))
 
 
+#: Every second pixel of an 8 x 8 array, as nearest neighbours at half size take them.
+_HALF = "list_transform(range(0, 16), lambda k: px[(2 * (k // 4) + 1) * 8 + 2 * (k % 4) + 2])"
+
 SQL = {
     "gray_images": "SELECT vec_id AS image_id, 8 AS height, 8 AS width, 1 AS channels, list_transform(embedding, lambda e: floor(greatest(0.0::DOUBLE, least(1.0::DOUBLE, (e::DOUBLE + 1.0) / 2.0)) * 255.0)::INT) AS px FROM embeddings",
     "rgb_images": "SELECT a.image_id // 3 AS image_id, 8 AS height, 8 AS width, 3 AS channels, flatten(list_transform(range(1, 65), lambda i: [a.px[i], b.px[i], c.px[i]])) AS px FROM gray_images a JOIN gray_images b ON b.image_id = a.image_id + 1 JOIN gray_images c ON c.image_id = a.image_id + 2 WHERE a.image_id % 3 = 0",
     "masks": "SELECT image_id, height, width, list_transform(px, lambda p: CASE WHEN p > 127 THEN 255 ELSE 0 END) AS px FROM gray_images WHERE image_id % 2 = 0",
+    "generated": f"SELECT image_id, CASE WHEN image_id % 10 = 0 THEN 4 ELSE 8 END AS side, CASE WHEN image_id % 10 = 0 THEN {_HALF} ELSE px END AS px FROM gray_images",
+    "sized_masks": f"SELECT image_id, CASE WHEN image_id % 6 = 0 THEN 4 ELSE 8 END AS side, CASE WHEN image_id % 6 = 0 THEN {_HALF} ELSE px END AS px FROM masks",
     "manifest": "SELECT d.doc_id, source || '/' || d.doc_id || '.png' AS image_path, text AS caption, CASE WHEN l.doc_id IS NOT NULL THEN 'masks/' || d.doc_id || '.png' END AS mask_path, (d.doc_id % 5)::INT AS label, source AS grp FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = d.doc_id",
     "manifest_lines": """SELECT event_id AS line_no, CASE WHEN event_id % 10 = 0 THEN '' WHEN event_id % 10 = 1 THEN props || 'x' WHEN event_id % 10 = 2 THEN props
       WHEN event_id % 10 = 3 THEN '{"image_path": "img/' || event_id || '.png", "caption": null}'

@@ -3,6 +3,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,11 +37,16 @@ def read_json_array(spark: SparkSession, path: str, schema: str = RECORD) -> Dat
 
 
 def read_jsonl_strict(spark: SparkSession, path: str, required: tuple[str, ...] = MF.REQUIRED) -> DataFrame:
-    """Every line must be a whole record: the first bad one raises an error with its file and text."""
-    c = MF.classify_lines(read_lines(spark, path), required=required)
-    bad = F.raise_error(F.concat(F.lit("bad record ("), F.col("reason"), F.lit(") in "), F.col("file"), F.lit(": "), F.substring("line", 1, 80))).cast("string")
-    checked = c.filter(F.col("reason") != "blank").withColumn("line", F.when(F.col("reason") == "ok", F.col("line")).otherwise(bad))
-    return checked.select("file", F.from_json("line", RECORD).alias("r")).select("file", "r.*")
+    """Every line must be a whole record: the first bad one of a file is an error that names file and line (from 0). The files are checked before they
+    are read."""
+    lines = spark.read.option("recursiveFileLookup", "true").text(path)
+    lines = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("i"), F.col("value").alias("line"))
+    c = MF.classify_lines(lines, required=required)
+    bad = c.filter(~F.col("reason").isin("ok", "blank")).select(F.min(F.struct("file", "split", "i", "reason", F.substring("line", 1, 80).alias("start"))).alias("b")).first()["b"]
+    if bad:
+        number = lines.filter((F.col("file") == bad["file"]) & (F.struct("split", "i") < F.struct(F.lit(bad["split"]).alias("split"), F.lit(bad["i"]).alias("i")))).count()
+        raise ValueError(f"bad record ({bad['reason']}) in {bad['file']}, line {number}: {bad['start']}")
+    return c.filter(F.col("reason") == "ok").select("file", F.from_json("line", RECORD).alias("r")).select("file", "r.*")
 
 
 def read_catalogue(spark: SparkSession, sources: list[dict]) -> DataFrame:
@@ -63,13 +70,17 @@ def read_catalogue(spark: SparkSession, sources: list[dict]) -> DataFrame:
 def read_images(spark: SparkSession, path: str) -> DataFrame:
     """path, height, width, channels, px (RGB order). The decoder gives BGR; broken files are dropped."""
     raw = spark.read.format("image").option("dropInvalid", "true").load(path).select("image.*")
-    n = F.col("height") * F.col("width") * F.col("nChannels")
-    c = F.col("nChannels")
-    byte = lambda i: F.conv(F.hex(F.substring(F.col("data"), i + 1, F.lit(1))), 16, 10).cast("int")
-    # Channel k of a pixel is stored as channel 2 - k, but for images of one channel.
-    flip = lambda i: F.when(c >= 3, i - i % c + F.when(i % c < 3, 2 - i % c).otherwise(i % c)).otherwise(i)
-    px = F.transform(F.sequence(F.lit(0), n - 1), lambda i: byte(flip(i)))
-    return raw.select(F.col("origin").alias("path"), "height", "width", c.alias("channels"), px.alias("px"))
+
+    def run(batches):
+        for b in batches:
+            px = []
+            for c, data in zip(b.column(3).to_pylist(), b.column(4)):
+                im = np.frombuffer(data.as_buffer(), np.uint8).reshape(-1, c)
+                px.append((im[:, [2, 1, 0, *range(3, c)]] if c >= 3 else im).ravel().astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(px, pa.list_(pa.int32()))], names=["path", "height", "width", "channels", "px"])
+
+    slim = raw.select("origin", "height", "width", "nChannels", "data")
+    return slim.mapInArrow(run, "path string, height int, width int, channels int, px array<int>")
 
 
 def read_masks(spark: SparkSession, path: str) -> DataFrame:

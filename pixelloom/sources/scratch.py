@@ -1,6 +1,7 @@
 """Tables between the steps of a job, written to the folder that all executors share."""
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -8,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Taken from the session; a local one is set only where none is named."""
+    """The folder all executors share, as the session names it. Where none is named, a session in one process gets a local one; on a cluster that
+    is an error, since executors would not see each other's files."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")

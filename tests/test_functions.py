@@ -73,19 +73,61 @@ def test_images(spark):
 
 
 def test_kernels():
-    im = np.random.default_rng(0).integers(0, 256, (20, 24, 3)).astype(float)
+    im = np.random.default_rng(0).integers(0, 256, (3, 20, 24, 3)).astype(float)
     assert K.gaussian(im, 4).shape == im.shape and K.median(im, 4).shape == im.shape
     assert (K.denoise(im, "other") == im).all()
-    flat = np.full((16, 16, 3), 77.0)
+    flat = np.full((2, 16, 16, 3), 77.0)
     assert (K.resample(flat, 7, 9) == 77).all() and (K.gaussian(flat) == 77).all()
-    assert K.center_crop(im, 6).shape == (6, 6, 3)
-    assert (K.rotate(im, 0) == im).all()
-    colour = np.tile([0.0, 128.0, 255.0], (128, 128, 1))
+    assert K.center_crop(im, 6).shape == (3, 6, 6, 3)
+    assert (K.rotate(im, np.zeros(3)) == im).all()
+    colour = np.tile([0.0, 128.0, 255.0], (1, 128, 128, 1))
     assert abs(K.prepare(colour, 64).mean()) < 0.1
     assert K.windowed_ssim(im, im) == pytest.approx(1.0)
 
 
+def test_kernels_on_odd_and_large_images(monkeypatch):
+    """Stacks, odd sides and strips against plain loops over one image."""
+    rng = np.random.default_rng(1)
+    im = rng.integers(0, 256, (2, 37, 53, 3)).astype(float)
+    monkeypatch.setattr(K, "STACK", 9000)
+    want = np.array([[[[np.median(np.pad(x, ((2, 2), (2, 2), (0, 0)), mode="edge")[i : i + 5, j : j + 5, c]) for c in range(3)] for j in range(53)] for i in range(37)] for x in im])
+    assert (K.median(im, 5) == want).all()
+    other = rng.integers(0, 256, im.shape).astype(float)
+
+    def ssim(a, b):
+        out = []
+        for c in range(3):
+            for i in range(31):
+                for j in range(47):
+                    x, y = a[i : i + 7, j : j + 7, c].ravel(), b[i : i + 7, j : j + 7, c].ravel()
+                    v = np.cov(x, y)
+                    out.append((2 * x.mean() * y.mean() + 6.5025) * (2 * v[0, 1] + 58.5225) / ((x.mean() ** 2 + y.mean() ** 2 + 6.5025) * (v[0, 0] + v[1, 1] + 58.5225)))
+        return np.mean(out)
+
+    assert K.windowed_ssim(im, other) == pytest.approx([ssim(a, b) for a, b in zip(im, other)])
+    # A box over an odd side: each of the 18 columns takes 37 / 18 pixels, those at its border or not at all.
+    half = K.resample(im, 18, 26, "box")
+    assert half.shape == (2, 18, 26, 3) and abs(half.mean() - im.mean()) < 3
+    assert K.center_crop(im, 9).shape == (2, 9, 9, 3)
+    large = rng.integers(0, 256, (1, 1024, 1024, 3)).astype(float)
+    assert K.windowed_ssim(large, large) == pytest.approx([1.0]) and K.center_crop(large, 256).shape == (1, 256, 256, 3)
+
+
+def test_alignment_of_other_sizes(spark):
+    rows = [(1, 4, 4, 1, [7] * 16, 8, 8, 1, [7] * 64), (2, 2, 2, 1, [1, 2, 3, 4], 2, 2, 1, [1, 2, 3, 4]), (3, 16, 4, 1, [9] * 64, 2, 6, 1, [9] * 12), (4, 3, 3, 1, None, 2, 2, 1, [0] * 4)]
+    df = spark.createDataFrame(rows, "image_id bigint, height_a int, width_a int, channels_a int, px_a array<int>, height_b int, width_b int, channels_b int, px_b array<int>")
+    got = {r["image_id"]: r for r in K.align(df).collect()}
+    assert all(got[k]["px_a"] == got[k]["px_b"] for k in (1, 2, 3)) and got[4]["px_a"] is None and (got[3]["height"], got[3]["width"]) == (2, 6)
+
+
 def test_failing_image_keeps_its_row(spark):
-    df = spark.createDataFrame([(1, 2, 2, 1, [1, 2, 3, 4]), (2, 3, 3, 1, [1]), (3, None, None, None, None)], "image_id bigint, height int, width int, channels int, px array<int>")
+    df = spark.createDataFrame([(1, 2, 2, 1, [1, 2, 3, 4]), (2, 3, 3, 1, [1]), (3, None, None, None, None), (4, 2, 2, 1, [5, 6, 7, 8])], "image_id bigint, height int, width int, channels int, px array<int>")
     got = {r["image_id"]: r["px"] for r in K.map_images(df, lambda im, _: im + 1).collect()}
-    assert got == {1: [2, 3, 4, 5], 2: None, 3: None}
+    assert got == {1: [2, 3, 4, 5], 2: None, 3: None, 4: [6, 7, 8, 9]}
+
+    def picky(im, rows):
+        if (im == 1).any():
+            raise ValueError("no")
+        return im
+
+    assert {r["image_id"]: r["px"] is None for r in K.map_images(df, picky).collect()} == {1: True, 2: True, 3: True, 4: False}

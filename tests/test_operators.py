@@ -40,8 +40,8 @@ def test_readers(spark, tmp_path):
     (tmp_path / "m" / "a.jsonl").write_text("\n".join(LINES))
     (tmp_path / "m" / "skip.csv").write_text(LINES[0])
     assert RD.read_jsonl_folder(spark, str(tmp_path / "m")).count() == 3
-    with pytest.raises(Exception, match="bad record"):
-        RD.read_jsonl_strict(spark, str(tmp_path / "m" / "a.jsonl")).collect()
+    with pytest.raises(ValueError, match=r"bad record \(missing_key\) in .*a.jsonl, line 4: "):
+        RD.read_jsonl_strict(spark, str(tmp_path / "m" / "a.jsonl"))
     (tmp_path / "arr.json").write_text(json.dumps([{"image_path": "p", "caption": "c"}] * 8, indent=1))
     assert RD.read_json_array(spark, str(tmp_path / "arr.json")).count() == 8
     assert RD.read_jsonl(spark, str(tmp_path / "arr.json")).count() == 0  # a printed array has no valid lines
@@ -69,6 +69,18 @@ def test_audit(spark):
     assert got == [(True, True), (True, True), (True, False), (False, True), (False, True), (False, False), (False, False), (True, True)]
     doc = spark.createDataFrame([(1, '{"a": {"b": [1, {"c": "x"}]}, "d": null}')], "i int, j string")
     assert {r["key"]: r["value"] for r in AU.flatten_config(doc, "j").collect()} == {"a.b[0]": "1", "a.b[1].c": "x", "d": None}
+    deep = '{"k": ' * 9 + '{"data_dir": "/etc/x", "files": ["/etc/y"], "log_file": "C:\\\\x", "out_path": "/home/a/z", "rel_path": "z", "name": "/etc/n", "none_dir": null, "empty": {}}' + "}" * 9
+    flat = AU.flatten_config(spark.createDataFrame([(1, deep), (2, "broken {"), (3, None), (4, "7")], "i int, j string"), "j")
+    assert flat.filter("i = 1").count() == 8 and [r["value"] for r in flat.filter("i > 1").orderBy("i").collect()] == [None, None, "7"]
+    assert sorted(r["key"].split(".")[-1] for r in AU.path_settings(flat, "/home/a").collect()) == ["data_dir", "log_file"]
+
+
+def test_operation_logs(spark):
+    lines = ["2024-01-01 12:00:00: Renamed codes to codes_backup", "12:30: Deleted  old_dir", "no colon", "a: b", " ", "1:2:3: renamed to x", "1:2:3: moved a to b", "1:2:3: DELETED x: y"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, line string")
+    got = {r["i"]: (r["at"], r["kind"], r["old_path"], r["new_path"], r["path"]) for r in AU.parse_ops(df, "line").collect()}
+    assert got == {0: ("2024-01-01 12:00:00", "rename", "codes", "codes_backup", None), 1: ("12:30", "delete", None, None, "old_dir"), 5: ("1:2:3", "unknown", None, None, None),
+                   6: ("1:2:3", "unknown", None, None, None), 7: ("1:2:3", "delete", None, None, "x:")}
 
 
 def test_sampling_properties(spark):
@@ -90,6 +102,32 @@ def test_fallback(spark):
     assert got == {("a", 0): "y", ("a", 1): "x", ("a", 2): "x", ("a", 3): "y", ("b", 0): None, (None, 0): "z", (None, 1): "z"}
 
 
+def test_running_values_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK", 4)
+    rows = [("a" if i < 30 else "b", i, None if i % 7 and i % 5 else f"v{i}") for i in range(50)]
+    df = spark.createDataFrame(rows, "g string, idx int, valid string").repartition(5)
+    last, want = {}, {}
+    for g, i, v in rows:
+        last[g] = v or last.get(g)
+        want[g, i] = last[g]
+    assert {(r["g"], r["idx"]): r["used"] for r in S.fallback_items(df, "g").collect()} == want
+    losses = [(i, float((i * 37 % 23) - i // 6)) for i in range(40)]
+    ep = spark.createDataFrame(losses, "epoch int, loss double").repartition(5)
+    best, want = float("inf"), {}
+    for i, v in losses:
+        want[i] = (min(best, v), v < best)
+        best = min(best, v)
+    assert {r["epoch"]: (r["best"], r["is_best"]) for r in R.best_so_far(ep, "loss").collect()} == want
+    w = spark.createDataFrame([(i, 2, 10 * i * i) for i in range(1, 12)], "window int, n int, at int").selectExpr("window", "n", "timestamp_seconds(at) AS closed_at")
+    assert [r["seconds_per_step"] for r in R.throughput(w, F.timestamp_seconds(F.lit(0)), 8).orderBy("window").collect()] == [5.0 * (2 * i - 1) for i in range(1, 12)]
+    many = spark.createDataFrame([("x" if i % 10 else "y", i) for i in range(100)], "g string, k int")
+    ratios = spark.createDataFrame([("x", 0.5)], "g string, ratio double")
+    assert {r["g"]: r["count"] for r in S.exact_sample_per_group(many, "g", "k", ratios, 3).groupBy("g").count().collect()} == {"x": 45, "y": 10}
+    plan = S.shard_plan(many, "k", 3, 4, 8, 11, max_steps=20, resume_step=5)
+    whole = S.shard_plan(many, "k", 3, 4, 8, 11)
+    assert plan.count() == whole.filter("step >= 5 AND step < 20").count() == 15 * 8
+
+
 def test_crop_buckets(spark):
     got = {(r["w"], r["h"]) for r in B.crop_buckets(spark, 64, 1).collect()}
     want, w, h = set(), 64, 1
