@@ -1,8 +1,9 @@
 """License scans: ordered signature rules over the word sequence of a text.
 
-A rule is a regular expression over the lower-cased words joined by single spaces, with a label, a priority, a confidence and
-keywords, one of which is a word of every text that the rule can match. A rule runs only where a keyword is among the words. Of overlapping detections, one that lies within a detection of
-higher priority, or within a longer one of the same priority, is suppressed.
+A rule is a regular expression over the lower-cased words joined by single spaces, with an id, a label, a priority, a confidence and
+keywords, one of which is a word of every text that the rule can match. A rule runs only where a keyword is among the words. The rules
+are, in order: the base phrases, sentences of license texts, and every name of a license in every context that makes it a statement. Of overlapping
+detections, one that lies within a detection of higher priority, or within a longer one of the same priority, is suppressed.
 """
 from __future__ import annotations
 
@@ -20,6 +21,7 @@ _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
 class Rule(NamedTuple):
+    id: str
     pattern: re.Pattern
     label: str
     priority: int
@@ -31,6 +33,46 @@ class Rule(NamedTuple):
 #: Phrases whose every place counts, with their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
+#: Label, a word of the sentence, sentence of the license's own text as it stands in word sequences (regular expressions).
+SENTENCES = (
+    ("mit", "hereby", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
+    ("mit", "sublicense", "to use copy modify merge publish distribute sublicense and or sell copies of the software"),
+    ("mit", "noninfringement", "warranties of merchantability fitness for a particular purpose and noninfringement"),
+    ("isc", "hereby", "permission to use copy modify (?:and or|and) distribute this software for any purpose with or without fee is hereby granted"),
+    ("isc", "disclaims", "the software is provided as is and the author disclaims all warranties"),
+    ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd", "redistributions", "redistributions of source code must retain the above copyright notice"),
+    ("bsd", "endorse", "may be used to endorse or promote products derived from this software"),
+    ("apache", "compliance", "you may not use this file except in compliance with the license"),
+    ("apache", "unless", "unless required by applicable law or agreed to in writing software distributed under the license"),
+    ("gpl", "redistribute", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("gpl", "received", "you should have received a copy of the gnu general public license"),
+    ("lgpl", "redistribute", "this library is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license"),
+    ("lgpl", "received", "you should have received a copy of the gnu (?:lesser|library) general public license"),
+    ("agpl", "redistribute", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license"),
+    ("agpl", "received", "you should have received a copy of the gnu affero general public license"),
+    ("gfdl", "granted", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    ("mpl", "subject", "this source code form is subject to the terms of the mozilla public license"),
+    ("epl", "accompanying", "this program and the accompanying materials are made available under the terms of the eclipse public license"),
+    ("cddl", "subject", "the contents of this file are subject to the terms of the common development and distribution license"),
+    ("zlib", "misrepresented", "the origin of this software must not be misrepresented"),
+    ("zlib", "altered", "altered source versions must be plainly marked as such"),
+    ("boost", "organization", "granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain"),
+    ("cc0", "deed", "the person who associated a work with this deed has dedicated the work to the public domain"),
+    ("cc0", "waives", "waives all of his or her rights to the work worldwide under copyright law"),
+    ("cc-by-sa", "remix", "if you remix transform or build upon the material you must distribute your contributions under the same license"),
+    ("ofl", "font", "this font software is licensed under the sil open font license"),
+    ("psf", "psf", "psf hereby grants licensee a nonexclusive royalty free world ?wide license"),
+    ("openssl", "openssl", "this product includes software developed by the openssl project"),
+    ("php", "php", "this product includes php software freely available from"),
+    ("postgresql", "agreement", "to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+    ("artistic", "artistic", "you may distribute under the terms of either the gnu general public license or the artistic license"),
+    ("proprietary", "unauthorized", "unauthorized (?:copying|use|reproduction|distribution) of this (?:file|software|program|document)"),
+    ("proprietary", "disclosed", "may not be (?:reproduced|copied) or disclosed"),
+    ("proprietary", "trade", "contains trade secrets"),
+)
+
 #: Label, keywords (every name holds one of them as a whole word), names as they stand in word sequences (regular expressions).
 NAMES = (
     ("mit", "mit expat", "mit", "mit x11", "expat"),
@@ -106,13 +148,14 @@ _NEEDS_CONTEXT = {"boost", "proprietary", "expat", "mit", "apache", "isc", "post
 
 @lru_cache(maxsize=1)
 def rules() -> tuple[Rule, ...]:
-    """The rules in order: the base phrases, then every name in every context."""
+    """The rules in order: base phrases, sentences, then every name in every context. An id is a license, a kind and a number."""
     make = lambda p: re.compile(b"(?<= )" + p.encode() + b"(?= )")
-    out = [Rule(make(p), label, 3, 0.8, (p.split()[0].encode(),), True) for p, label in BASE]
-    for label, keywords, *names in NAMES:
-        for before, after, priority, confidence in CONTEXTS:
+    out = [Rule(f"{label}:base", make(p), label, 3, 0.8, (p.split()[0].encode(),), True) for p, label in BASE]
+    out += [Rule(f"{label}:sentence:{i}", make(p), label, 5, 0.95, (word.encode(),), False) for i, (label, word, p) in enumerate(SENTENCES)]
+    for i, (label, keywords, *names) in enumerate(NAMES):
+        for j, (before, after, priority, confidence) in enumerate(CONTEXTS):
             used = [n for n in names if before or after or n not in _NEEDS_CONTEXT]
-            out += [Rule(make(before + n + after), label, priority, confidence, tuple(keywords.encode().split()), False) for n in used]
+            out += [Rule(f"{label}:name:{i}.{k}.{j}", make(before + n + after), label, priority, confidence, tuple(keywords.encode().split()), False) for k, n in enumerate(used)]
     return tuple(out)
 
 
@@ -168,19 +211,20 @@ def scan(text: str | None) -> tuple:
     last = at(max(h[1] for h in base)) if base else None
     base_labels = {h[3].label for h in base}
     labels = base_labels | {h[3].label for h in kept}
-    found = [{"label": h[3].label, "start": h[1] - 1, "end": h[2] - 1, "score": h[3].confidence} for h in sorted(kept, key=lambda h: h[1:3])]
+    found = [{"rule": h[3].id, "label": h[3].label, "start": h[1] - 1, "end": h[2] - 1, "score": h[3].confidence} for h in sorted(kept, key=lambda h: h[1:3])]
     score = max((h[3].confidence for h in kept), default=0.8 if base else 0.0)
     return len(words), len(base), first, last, ",".join(sorted(base_labels)), ",".join(sorted(labels)), score, found
 
 
-_SCHEMA = "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, detections array<struct<label:string,start:bigint,end:bigint,score:double>>"
+_SCHEMA = "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, detections array<struct<rule:string,label:string,start:bigint,end:bigint,score:double>>"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()),
-                    ("detections", pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])))])
+                    ("detections", pa.list_(pa.struct([("rule", pa.string()), ("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])))])
 
 
 def scan_licenses(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: counts, places, labels and the surviving detections (byte ranges in the joined words).
-    Null and empty texts have no words, no labels and score 0; repeated rows are scanned alike; other columns are ignored."""
+    Null and empty texts have no words, no labels and score 0; repeated rows are scanned alike; other columns are ignored; texts of any length
+    are scanned whole; an empty table gives an empty result."""
 
     def run(batches):
         for b in batches:

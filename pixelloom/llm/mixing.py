@@ -16,8 +16,9 @@ from .common import materialize, n_words_of
 
 #: Weights of the sources in order, repeating; share of all tokens; most copies of a document.
 WEIGHTS, SHARE, CAP = (5.0, 2.0, 1.0), 1.5, 2.0
-#: The Newton iterations end when every source's tokens are so near (relative) to its target, or after ROUNDS.
-TOLERANCE, ROUNDS = 1e-6, 40
+#: The Newton iterations end when every source's tokens are so near (relative) to its target; with the bracket halved where Newton leaves it they do
+#: after a few dozens. More than ROUNDS are an error.
+TOLERANCE, ROUNDS = 1e-6, 300
 #: Documents of one source and size are ranked in so many salted groups.
 SALTS = 64
 
@@ -70,6 +71,8 @@ def dual_rates(cells: DataFrame, targets: DataFrame, cap: float = CAP) -> DataFr
         state = materialize(x.select("source", "target", "total", "mean", F.when(gap > TOLERANCE, step).otherwise(F.col("lam")).alias("lam"), "lo", "hi", gap.alias("gap")), "mixing-dual")
         if (state.agg(F.max("gap")).first()[0] or 0.0) <= TOLERANCE:
             break
+    else:
+        raise RuntimeError(f"the rates did not reach the targets in {ROUNDS} rounds")
     full = F.when(F.col("target") >= cap * F.col("total"), F.lit(cap)).otherwise(F.least(F.exp(F.least(F.col("lam") * F.col("size") / F.col("mean"), F.lit(50.0))), F.lit(cap)))
     return cells.join(state.withColumnRenamed("source", "ss").hint("merge"), F.col("source").eqNullSafe(F.col("ss"))).select("source", "size", "n", "target", full.alias("rate"))
 

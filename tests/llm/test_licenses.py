@@ -1,4 +1,5 @@
 """Every licence rule runs on the texts that its own pattern describes."""
+import random
 import re
 from itertools import islice, product
 
@@ -53,3 +54,24 @@ def test_names_within_words(text, label):
 
 def test_a_rule_with_two_keywords_in_a_text_counts_once():
     assert len(licenses.scan("Licensed under GPLv3 and licensed under LGPLv3 or GPL")[7]) == 3
+
+
+def test_sentences_without_a_name():
+    body = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files"
+    assert licenses.scan(body)[4:6] == ("", "mit") and licenses.scan(body)[7][0]["rule"] == "mit:sentence:0"
+    assert licenses.scan("Redistribution and use in source and binary forms, with or without\n modification, are permitted")[5] == "bsd"
+    assert licenses.scan("you can redistribute it and permission was granted")[5] == ""
+    assert len({r.id for r in licenses.rules()}) == len(licenses.rules())
+
+
+def test_suppression_against_all_pairs():
+    rng = random.Random(3)
+    rules = {p: licenses.Rule(f"r{p}", None, "x", p, 0.5, (), False) for p in range(4)}
+    for _ in range(300):
+        hits = []
+        for _ in range(rng.randrange(1, 25)):
+            p, a = rng.randrange(4), rng.randrange(30)
+            hits.append((p, a, a + rng.randrange(1, 12), rules[p]))
+        within = lambda h, o: o[1] <= h[1] and h[2] <= o[2]
+        want = {h[:3] for h in hits if not any(within(h, o) and (o[0] > h[0] or (o[0] == h[0] and o[2] - o[1] > h[2] - h[1])) for o in hits)}
+        assert {h[:3] for h in licenses._survivors(hits)} == want
