@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelloom.llm import bpe, mixing, quality, simhash, substring
-from pixelloom.llm.common import materialize
+from pixelloom.llm.common import discard_tables, materialize
 
 #: Words of a passage that may not repeat across documents.
 PASSAGE = 50
@@ -44,7 +44,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, done = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard_tables(*done)
+        done = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
