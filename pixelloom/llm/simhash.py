@@ -72,8 +72,9 @@ def _root(parent: list[int], a: int) -> int:
 
 
 def _meetings(fps: np.ndarray, ids: np.ndarray, bucket: int, prefix: int, half: int, bits: int, groups: np.ndarray | None = None):
-    """Pairs (arrays of numbers from ``ids``) of ``fps`` that share a variant whose leading ``prefix`` bits are ``bucket``: neighbours among
-    equal variants, or with ``groups`` (by number) all pairs of different groups."""
+    """Pairs (arrays of numbers from ``ids``) of ``fps`` that share a variant whose leading ``prefix`` bits are ``bucket``: of each variant its hub with every
+    other, with the hub's weight, or with ``groups`` (by number) all pairs of different groups. A fingerprint weighs as much as it shares variants
+    with others, so that the middle of a crowd becomes a hub."""
     low = bits - prefix
     spent = np.bitwise_count((fps >> _U(low)) ^ _U(bucket)).astype(np.int64)
     near = spent <= half
@@ -103,11 +104,20 @@ def _meetings(fps: np.ndarray, ids: np.ndarray, bucket: int, prefix: int, half:
         order = np.argsort(v, kind="stable")
         v, w = v[order], w[order]
     d, same = 1, v[1:] == v[:-1]
+    if groups is None:
+        twin = np.concatenate(([False], same)) | np.concatenate((same, [False]))
+        v, w = v[twin], w[twin]
+        if len(v):
+            starts = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
+            size = np.diff(np.concatenate((starts, [len(v)])))
+            weight = np.bincount(w, weights=np.repeat(size - 1, size), minlength=len(fps))
+            top = np.repeat(np.maximum.reduceat(weight[w], starts), size)
+            hub = np.repeat(np.minimum.reduceat(np.where(weight[w] == top, w, len(fps)), starts), size)
+            other = w != hub
+            yield ids[hub[other]], ids[w[other]], top[other]
+        return
     while same.any():
         a, b = ids[w[:-d][same]], ids[w[d:][same]]
-        if groups is None:
-            yield a, b
-            return
         apart = groups[a] != groups[b]
         yield a[apart], b[apart]
         d += 1
@@ -121,11 +131,18 @@ def _unique_pairs(meetings) -> np.ndarray:
     return np.stack((key >> 32, key & 0xFFFFFFFF), 1)
 
 
-def _forest(fps: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    """Of the pairs, nearest first, those that join two trees."""
-    parent, edges = list(range(len(fps))), []
-    far = np.bitwise_count(fps[pairs[:, 0]] ^ fps[pairs[:, 1]])
-    for a, b in pairs[np.argsort(far, kind="stable")].tolist():
+def _forest(n: int, meetings) -> np.ndarray:
+    """Of the pairs among ``n`` numbers, those of heavy hubs first, the ones that join two trees."""
+    found = list(meetings)
+    if not found:
+        return np.zeros((0, 2), np.int64)
+    a, b, weight = (np.concatenate(x) for x in zip(*found))
+    order = np.argsort(-weight, kind="stable")
+    key = (np.minimum(a, b) << 32 | np.maximum(a, b))[order]
+    _, first = np.unique(key, return_index=True)
+    key = key[np.sort(first)]
+    parent, edges = list(range(n)), []
+    for a, b in zip((key >> 32).tolist(), (key & 0xFFFFFFFF).tolist()):
         x, y = _root(parent, a), _root(parent, b)
         if x != y:
             parent[max(x, y)] = min(x, y)
@@ -161,7 +178,7 @@ def links(fps: DataFrame, half: int = 2, bits: int = BITS) -> DataFrame:
     def meet(key: tuple, table: pa.Table) -> pa.Table:
         f = np.sort(table.column("fp").to_numpy()).view(np.uint64)
         bucket = key[0].as_py()
-        edges = _forest(f, _unique_pairs(_meetings(f, np.arange(len(f)), bucket & ((1 << 40) - 1), prefix, half, bits)))
+        edges = _forest(len(f), _meetings(f, np.arange(len(f)), bucket & ((1 << 40) - 1), prefix, half, bits))
         s = f.view(np.int64)
         return pa.table({"t": pa.array(np.full(len(edges), bucket >> 40, np.int32)), "a": pa.array(s[edges[:, 0]]), "b": pa.array(s[edges[:, 1]])})
 
@@ -262,10 +279,16 @@ def _pairs(a: str, b: str, rows: DataFrame) -> DataFrame:
     return rows.filter(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
 
 
-def _rooted(rows: DataFrame, roots: DataFrame, name: str) -> DataFrame:
-    """Add the root of ``th`` (itself without edges)."""
+def _rooted(rows: DataFrame, on: str, roots: DataFrame, name: str) -> DataFrame:
+    """Add the root of the node ``on`` (itself without edges)."""
     r = roots.select(F.col("node").alias("rn"), F.col("root").alias("rr"))
-    return rows.join(r.hint("merge"), F.col("th") == F.col("rn"), "left").withColumn(name, F.coalesce("rr", "th")).drop("rn", "rr")
+    return rows.join(r.hint("merge"), F.col(on) == F.col("rn"), "left").withColumn(name, F.coalesce("rr", on)).drop("rn", "rr")
+
+
+def _group_pairs(pairs: DataFrame, live: DataFrame) -> DataFrame:
+    """The pairs of different groups (a, b) of the pairs' ends. ``live``: th, g."""
+    sides = [live.select(F.col("th").alias(c), F.col("g").alias(f"g{c}")).hint("merge") for c in ("a", "b")]
+    return _pairs("ga", "gb", pairs.join(sides[0], "a").join(sides[1], "b")).distinct()
 
 
 def copy_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -273,7 +296,7 @@ def copy_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     overlap by SIMILARITY or more in a chain of candidate pairs, share the smallest doc_id as group_id.
 
     Texts of equal words are one class. Classes of one fingerprint, and fingerprints within a ball, are candidates, and a candidate is a
-    copy if the shingle sets prove it. Of each ball the edges of a spanning forest are compared first, and of the classes of one
+    copy if the shingle sets prove it. Of each ball the edges of a spanning forest around its hubs are compared first, and of the classes of one
     fingerprint each with the smallest; then all candidate pairs that this has not brought into one group, so
     none is left out. Documents without words are no copies of each other.
     Null ids take part; a group of null ids alone has a null group_id. Repeated rows are returned as often as they stand; other columns
@@ -332,16 +355,17 @@ def copy_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
         sided = edges.join(shingled.select(F.col("n").alias("a"), F.col("s").alias("sa")).hint("merge"), "a").join(shingled.select(F.col("n").alias("b"), F.col("s").alias("sb")).hint("merge"), "b")
         return sided.select("a", "b", "sa", "sb").mapInArrow(overlap, "a bigint, b bigint")
 
-    proved = materialize(prove(pairs), "copies-proved")
-    # What is left: pairs of different groups in one component of the candidates.
-    live = _rooted(nodes.select(F.col("n").alias("th")), components(proved), "g")
-    live = materialize(_rooted(live, components(pairs), "c"), "copies-live")
-    mixed = live.groupBy("c").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).filter("g0 != g1").select("c")
-    mixed = materialize(live.join(materialize(mixed, "copies-mixed").hint("merge"), "c").select(F.col("th").alias("mth"), "g"), "copies-mixed")
-    crowd = materialize(keyed.join(mixed.hint("merge"), F.col("th") == F.col("mth")).select("t", "fp", "th", "g"), "copies-crowd")
-    rest = rivals(crowd, 2, PRINT_BITS).distinct().join(pairs.hint("merge"), ["a", "b"], "left_anti")
-    proved = materialize(proved.unionByName(prove(materialize(rest, "copies-rest"))), "copies-proved")
-    joined = _rooted(classes.select("th", "first"), components(proved), "root")
+    roots = components(materialize(prove(pairs), "copies-proved"))
+    live = materialize(_rooted(nodes.select(F.col("n").alias("th")), "th", roots, "g"), "copies-live")
+    joined = _rooted(classes.select("th", "first"), "th", roots, "root")
+    # Where candidates of different groups are no copies, all pairs of those groups that are candidates have their turn.
+    mixed = materialize(_group_pairs(pairs, live).select(F.explode(F.array("a", "b")).alias("g")).distinct(), "copies-mixed")
+    if mixed.limit(1).count():
+        crowd = materialize(live.join(mixed.hint("merge"), "g").select(F.col("th").alias("mth"), "g"), "copies-crowd")
+        crowd = materialize(keyed.join(crowd.hint("merge"), F.col("th") == F.col("mth")).select("t", "fp", "th", "g"), "copies-crowd")
+        rest = materialize(rivals(crowd, 2, PRINT_BITS).distinct().join(pairs.hint("merge"), ["a", "b"], "left_anti"), "copies-rest")
+        more = components(_group_pairs(materialize(prove(rest), "copies-proved"), live))
+        joined = _rooted(joined.withColumnRenamed("root", "g"), "g", more, "root").drop("g")
     table = materialize(_labelled(joined, "group_id").select(F.col("th").alias("lt"), "group_id"), "copies-labels")
     discard_tables(shingled)
     release(spark)

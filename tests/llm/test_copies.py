@@ -47,3 +47,25 @@ def test_every_pair_of_a_crowded_component_is_compared(spark):
                 group = [min(x, y) if g in (x, y) else g for g in group]
     got = {r["doc_id"]: r["group_id"] for r in simhash.copy_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == dict(enumerate(group)) and 3 < len(set(group)) < len(rows)
+
+
+def test_a_crowd_around_one_text_is_linked_by_its_middle():
+    """Copies with an edit each are near the text that they come from, not each other: the hubs of the balls find it."""
+    rng = np.random.default_rng(8)
+    base = [f"w{int(x)}" for x in rng.integers(0, 9999, 54)]
+    texts = [base]
+    for _ in range(600):
+        w = list(base)
+        w[int(rng.integers(5, 49))] = f"x{int(rng.integers(0, 10**9))}"
+        texts.append(w)
+    sets = [set(simhash._shingles([x.encode() for x in t]).tolist()) for t in texts]
+    prints = np.array([simhash._prints(np.array(sorted(s), np.uint64)) for s in sets])
+    proved = set()
+    for t in range(simhash.TABLES):
+        f, first = np.unique(prints[:, t], return_index=True)
+        for bucket in range(256):
+            for a, b in simhash._forest(len(f), simhash._meetings(f, np.arange(len(f)), bucket, 8, 2, 48)).tolist():
+                a, b = first[a], first[b]
+                if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                    proved |= {a, b}
+    assert len(proved) > 0.95 * len({p.tobytes() for p in prints})

@@ -85,10 +85,10 @@ def test_simhash_recursion_over_crowded_buckets(spark, monkeypatch):
     f = np.unique(np.array([0, 3, 15, 255, 1 << 40, (1 << 40) | 7, *(int(a) & low for a in rng.integers(0, 2**62, 30)), *(int(np.bitwise_or.reduce(1 << rng.choice(56, 3))) for _ in range(60))], np.uint64))
     n = len(f)
     near = {(a, b) for a in range(n) for b in range(a + 1, n) if bin(int(f[a]) ^ int(f[b])).count("1") <= 4}
-    every = lambda groups: simhash._unique_pairs(m for bucket in range(256) for m in simhash._meetings(f, np.arange(n), bucket, 8, 2, 64, groups))
+    every = lambda groups: (m for bucket in range(256) for m in simhash._meetings(f, np.arange(n), bucket, 8, 2, 64, groups))
     group = np.arange(n) % 3
-    assert {tuple(x) for x in every(group).tolist()} == {(a, b) for a, b in near if group[a] != group[b]}
-    forest = simhash._forest(f, every(None)).tolist()
+    assert {tuple(x) for x in simhash._unique_pairs(every(group)).tolist()} == {(a, b) for a, b in near if group[a] != group[b]}
+    forest = simhash._forest(n, every(None)).tolist()
     roots = {}
     for edges in (near, forest):
         parent = list(range(n))
