@@ -124,6 +124,18 @@ def _meetings(fps: np.ndarray, ids: np.ndarray, bucket: int, prefix: int, half:
         same = v[d:] == v[:-d]
 
 
+def _middle(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """A variant half way between fingerprints: the smaller one with the lower half of the differing bits of the other."""
+    x, y = np.minimum(x, y), np.maximum(x, y)
+    rest = x ^ y
+    take = (np.bitwise_count(rest).astype(np.int64) + 1) // 2
+    for k in range(int(take.max(initial=0))):
+        low = rest & (~rest + _U(1))
+        x = np.where(take > k, x ^ low, x)
+        rest ^= low
+    return x
+
+
 def _unique_pairs(meetings) -> np.ndarray:
     """Distinct (smaller, larger) pairs."""
     found = [np.unique(np.minimum(a, b) << 32 | np.maximum(a, b)) for a, b in meetings]
@@ -151,7 +163,7 @@ def _forest(n: int, meetings) -> np.ndarray:
 
 
 def _spread(prints: DataFrame, half: int, bits: int) -> tuple[DataFrame, int]:
-    """``prints``: t (number of a table of fingerprints), fp, and other columns of long. A row (bucket, fp, others) for each bucket that the variants of fp
+    """``prints``: t (number of a table of fingerprints), fp, and other columns. A row (bucket, fp, others) for each bucket that the variants of fp
     fall in, where a bucket is a table and leading bits; and the number of leading bits."""
     n = prints.groupBy("t").count().agg(F.max("count")).first()[0] or 0
     prefix = max(8, int(np.ceil(np.log2(max(n, 1) / BUCKET))))
@@ -160,14 +172,15 @@ def _spread(prints: DataFrame, half: int, bits: int) -> tuple[DataFrame, int]:
 
     def spread(batches):
         for b in batches:
-            t, fp, *rest = (b.column(k).to_numpy(zero_copy_only=False) for k in range(b.num_columns))
+            t, fp = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             for at in range(0, len(fp), 10_000):
                 part = slice(at, at + 10_000)
                 buckets = ((fp[part].view(np.uint64) >> _U(bits - prefix))[:, None] ^ tops[None, :]).ravel()
                 key = np.repeat(t[part].astype(np.int64) << 40, len(tops)) | buckets.view(np.int64)  # table and bucket in one number
-                yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(np.repeat(c[part], len(tops))) for c in (fp, *rest))], names=["bucket", "fp", *others])
+                rows = pa.array(np.repeat(np.arange(at, at + len(t[part])), len(tops)))
+                yield pa.RecordBatch.from_arrays([pa.array(key), *(c.take(rows) for c in b.columns[1:])], names=["bucket", "fp", *others])
 
-    return prints.select("t", "fp", *others).mapInArrow(spread, ", ".join(f"{c} bigint" for c in ("bucket", "fp", *others))), prefix
+    return prints.select("t", "fp", *others).mapInArrow(spread, "bucket bigint, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in prints.select("fp", *others).schema)), prefix
 
 
 def links(fps: DataFrame, half: int = 2, bits: int = BITS) -> DataFrame:
@@ -185,14 +198,27 @@ def links(fps: DataFrame, half: int = 2, bits: int = BITS) -> DataFrame:
     return rows.groupBy("bucket").applyInArrow(meet, "t int, a bigint, b bigint")
 
 
-def rivals(marked: DataFrame, half: int, bits: int) -> DataFrame:
-    """``marked``: t, fp, th, g. The pairs (a, b) of th, a < b, of different g whose fingerprints in a table lie within ``2 * half`` bits (some
-    more than once)."""
+def rivals(marked: DataFrame, half: int, bits: int, most: int) -> DataFrame:
+    """``marked``: t, fp, th, g, fps (the fingerprints of all tables). The pairs (a, b) of th, a < b, of different g whose fingerprints lie within
+    ``2 * half`` bits in a table and within ``most`` bits in all together. A pair is given in the first such table, by the bucket of one variant
+    that both ends agree on."""
     rows, prefix = _spread(marked, half, bits)
 
     def meet(key: tuple, table: pa.Table) -> pa.Table:
         f, th, g = (table.column(c).to_numpy() for c in ("fp", "th", "g"))
-        pairs = _unique_pairs(_meetings(f.view(np.uint64), np.arange(len(f)), key[0].as_py() & ((1 << 40) - 1), prefix, half, bits, g))
+        every = table.column("fps").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(f), -1)
+
+        t, bucket = key[0].as_py() >> 40, key[0].as_py() & ((1 << 40) - 1)
+
+        def near():
+            for a, b in _meetings(f.view(np.uint64), np.arange(len(f)), bucket, prefix, half, bits, g):
+                for at in range(0, len(a), 100_000):
+                    x, y = a[at : at + 100_000], b[at : at + 100_000]
+                    far = np.bitwise_count(every[x] ^ every[y])
+                    ok = (far.sum(1, dtype=np.int64) <= most) & (np.argmax(far <= 2 * half, axis=1) == t) & (_middle(every[x, t], every[y, t]) >> _U(bits - prefix) == _U(bucket))
+                    yield x[ok], y[ok]
+
+        pairs = _unique_pairs(near())
         x, y = th[pairs[:, 0]], th[pairs[:, 1]]
         return pa.table({"a": pa.array(np.minimum(x, y)), "b": pa.array(np.maximum(x, y))})
 
@@ -252,9 +278,10 @@ def _labelled(joined: DataFrame, name: str) -> DataFrame:
 
 #: Near copies are texts whose sets of five-word shingles overlap (Jaccard) by SIMILARITY or more. Their fingerprints have one bit for each of PRINT_BITS
 #: min-hashes of the shingles, so that a bit differs with probability (1 - overlap) / 2 wherever the edits lie. Candidates lie within four bits
-#: in one of TABLES such fingerprints: of pairs that overlap by 0.8, all but 0.53 ** 12 = 5 in 10,000; of those by 0.85, all but one in a million.
+#: in one of TABLES such fingerprints: of pairs that overlap by 0.8, all but 0.53 ** 12 = 5 in 10,000; of those by 0.85, all but one in a million. In crowds they also
+#: lie within ALL_BITS in all the fingerprints together: the 58 bits expected at 0.8 and four standard deviations, which 3 in 100,000 pairs exceed.
 SHINGLE, SIMILARITY = 5, 0.8
-TABLES, PRINT_BITS = 12, 48
+TABLES, PRINT_BITS, ALL_BITS = 12, 48, 87
 _FACTORS = np.random.default_rng(17).integers(0, 2**31, (TABLES * PRINT_BITS, 1), np.uint32) * np.uint32(2) + np.uint32(1)
 _SPREAD = np.uint32(0x9E3779B1)
 
@@ -362,8 +389,8 @@ def copy_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     mixed = materialize(_group_pairs(pairs, live).select(F.explode(F.array("a", "b")).alias("g")).distinct(), "copies-mixed")
     if mixed.limit(1).count():
         crowd = materialize(live.join(mixed.hint("merge"), "g").select(F.col("th").alias("mth"), "g"), "copies-crowd")
-        crowd = materialize(keyed.join(crowd.hint("merge"), F.col("th") == F.col("mth")).select("t", "fp", "th", "g"), "copies-crowd")
-        rest = materialize(rivals(crowd, 2, PRINT_BITS).distinct().join(pairs.hint("merge"), ["a", "b"], "left_anti"), "copies-rest")
+        crowd = materialize(classes.join(crowd.hint("merge"), F.col("th") == F.col("mth")).select(F.posexplode("fps").alias("t", "fp"), "th", "g", "fps"), "copies-crowd")
+        rest = materialize(rivals(crowd, 2, PRINT_BITS, ALL_BITS).distinct().join(pairs.hint("merge"), ["a", "b"], "left_anti"), "copies-rest")
         more = components(_group_pairs(materialize(prove(rest), "copies-proved"), live))
         joined = _rooted(joined.withColumnRenamed("root", "g"), "g", more, "root").drop("g")
     table = materialize(_labelled(joined, "group_id").select(F.col("th").alias("lt"), "group_id"), "copies-labels")

@@ -69,3 +69,19 @@ def test_a_crowd_around_one_text_is_linked_by_its_middle():
                 if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
                     proved |= {a, b}
     assert len(proved) > 0.95 * len({p.tobytes() for p in prints})
+
+
+def test_rivals_are_given_once(spark):
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**48, (3, 12), np.uint64)
+    rows = []
+    for i in range(90):
+        f = base[i % 3].copy()
+        for t in range(12):
+            f[t] ^= np.uint64(sum(1 << int(k) for k in rng.choice(48, int(rng.integers(0, 6)), replace=False)))
+        rows.append((i * 7 - 300, i % 4, [int(x) for x in f]))
+    df = spark.createDataFrame(rows, "th bigint, g bigint, fps array<bigint>").selectExpr("posexplode(fps) AS (t, fp)", "th", "g", "fps")
+    got = [(r["a"], r["b"]) for r in simhash.rivals(df, 2, 48, 70).collect()]
+    far = lambda x, y: [bin(a ^ b).count("1") for a, b in zip(x, y)]
+    want = {(min(x[0], y[0]), max(x[0], y[0])) for x in rows for y in rows if x[1] < y[1] and min(far(x[2], y[2])) <= 4 and sum(far(x[2], y[2])) <= 70}
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
