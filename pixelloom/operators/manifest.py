@@ -11,26 +11,33 @@ from ..functions import text as X
 REQUIRED = ("image_path", "caption")
 
 
-def valid_json(line: Column) -> Column:
-    """Strict validity: Spark's parser stops after the first value, so the line must also parse inside a list and inside an object."""
-    in_list, in_map = (F.try_parse_json(F.concat(F.lit(a), line, F.lit(b))) for a, b in (("[", "]"), ('{"r":', "}")))
-    return in_list.isNotNull() & in_map.isNotNull()
+def _parsed(line: Column) -> Column:
+    """The line as a variant under ``r``, null if it is no JSON. Spark's parser stops after the first value, so the line must parse inside an object and
+    inside a list."""
+    in_map, in_list = (F.try_parse_json(F.concat(F.lit(a), line, F.lit(b))) for a, b in (('{"r":', "}"), ("[", "]")))
+    return F.when(in_list.isNotNull(), in_map)
 
 
 def classify_lines(lines: DataFrame, line: str = "line", required: tuple[str, ...] = REQUIRED) -> DataFrame:
     """Add reason: blank, bad_json, not_object, missing_key or ok. A key whose value is null is present."""
-    s = X.strip(F.col(line))
-    keys = F.json_object_keys(s)
-    missing = ~reduce(lambda a, b: a & b, [F.array_contains(keys, k) for k in required])
-    reason = F.when(s.isNull() | (s == ""), "blank").when(~valid_json(s), "bad_json").when(~s.startswith("{"), "not_object").when(F.coalesce(missing, F.lit(True)), "missing_key").otherwise("ok")
-    return lines.withColumn("reason", reason)
+    return _classified(lines, line, required).drop("_s", "_v")
+
+
+def _classified(lines: DataFrame, line: str, required: tuple[str, ...]) -> DataFrame:
+    """With _s, the stripped line, and _v, the parsed one: a line is parsed once, and all else is read from the variant."""
+    out = lines.withColumn("_s", X.strip(F.col(line))).withColumn("_v", _parsed(F.col("_s")))
+    s, v = F.col("_s"), F.col("_v")
+    there = reduce(lambda a, b: a & b, [F.try_variant_get(v, f"$.r.{k}", "variant").isNotNull() for k in required])
+    reason = F.when(s.isNull() | (s == ""), "blank").when(v.isNull(), "bad_json").when(~s.startswith("{"), "not_object").when(~there, "missing_key").otherwise("ok")
+    return out.withColumn("reason", reason)
 
 
 def parse_lines(lines: DataFrame, key: str, line: str = "line") -> DataFrame:
     """The records of valid lines: ``key``, image_path, caption, mask_path, text_only, extra (the whole record as a variant)."""
-    ok = classify_lines(lines, line).filter(F.col("reason") == "ok")
-    r = F.from_json(X.strip(F.col(line)), "image_path string, caption string, mask_path string")
-    return ok.select(key, r["image_path"].alias("image_path"), r["caption"].alias("caption"), r["mask_path"].alias("mask_path"), r["mask_path"].isNull().alias("text_only"), F.parse_json(F.col(line)).alias("extra"))
+    ok = _classified(lines, line, REQUIRED).filter(F.col("reason") == "ok")
+    field = lambda k: F.try_variant_get(F.col("_v"), f"$.r.{k}", "string").alias(k)
+    out = ok.select(key, field("image_path"), field("caption"), field("mask_path"), F.try_variant_get(F.col("_v"), "$.r", "variant").alias("extra"))
+    return out.select(key, "image_path", "caption", "mask_path", F.col("mask_path").isNull().alias("text_only"), "extra")
 
 
 def resolve_existing(rows: DataFrame, listing: DataFrame, column: str) -> DataFrame:
