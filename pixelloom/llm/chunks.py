@@ -67,36 +67,39 @@ class PieceCache:
     def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], special: tuple[str, ...] = ()):
         self.encode, self.special, self.young, self.old = encode, special, _Half(), _Half()
 
-    def _learn(self, kind: int, pieces: list[str]) -> None:
-        """Make sure that all of ``pieces`` (distinct) are in the younger half."""
+    def _learn(self, kind: int, new: list[str]) -> None:
+        """Put ``new`` (distinct, none of them there) into the younger half."""
         young, old = self.young, self.old
         mine, theirs = young.known[kind], old.known[kind]
-        new = [x for x in pieces if x not in mine]
-        back = [x for x in new if x in theirs]
-        if back:
-            young.add(kind, back, *old.ids(np.array([theirs[x] for x in back])))
-            new = [x for x in new if x not in theirs]
+        if theirs:
+            back = [x for x in new if x in theirs]
+            if back:
+                young.add(kind, back, *old.ids(np.array([theirs[x] for x in back])))
+                new = [x for x in new if x not in theirs]
         plain, marked = [], []
         for x in new:
             body = x.rstrip(_MARKS)
-            if len(body) < len(x) and body.isalpha():
-                marked.append((x, body, x[len(body):]))
-            else:
+            if len(body) == len(x) or not body.isalpha():
                 plain.append(x)
-        if marked:
-            self._learn(kind, list({b for _, b, _ in marked}.difference(plain)))
-            self._learn(0, list({t for _, _, t in marked}))
-        plain = [x for x in plain if x not in mine]
+            else:
+                marked.append((x, body, x[len(body):]))
         if plain:
             young.add(kind, plain, *self.encode([" " + x for x in plain] if kind else plain))
         if marked:
-            both = np.array([(mine[b], young.known[0][t]) for _, b, t in marked])
-            flat, size = young.ids(both.ravel())
+            bodies, tails = self._slots(kind, [b for _, b, _ in marked]), self._slots(0, [t for _, _, t in marked])
+            flat, size = young.ids(np.stack((bodies, tails), 1).ravel())
             young.add(kind, [x for x, _, _ in marked], flat, size.reshape(-1, 2).sum(1))
 
     def _slots(self, kind: int, pieces: list[str]) -> np.ndarray:
-        self._learn(kind, pieces)
-        return np.fromiter(map(self.young.known[kind].__getitem__, pieces), np.int64, len(pieces))
+        """The places of ``pieces`` in the younger half, which learns those that it has not."""
+        known = self.young.known[kind]
+        slots = list(map(known.get, pieces))
+        missing = [k for k, v in enumerate(slots) if v is None]
+        if missing:
+            self._learn(kind, list(dict.fromkeys([pieces[k] for k in missing])))
+            for k in missing:
+                slots[k] = known[pieces[k]]
+        return np.array(slots, np.int64)
 
     def _even(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Slots of the pieces of all texts in a row, and how many pieces each has."""
@@ -132,10 +135,11 @@ class PieceCache:
                 row.append((0, words[0]))
                 row += [(1, w) for w in words[1:]]
             rows.append(row)
+        kinds = np.array([k for row in rows for k, _ in row], np.int64)
+        slots = np.zeros(len(kinds), np.int64)
         for kind in (0, 1):
-            self._learn(kind, list({x for row in rows for k, x in row if k == kind}))
-        known = self.young.known
-        return np.array([known[k][x] for row in rows for k, x in row], np.int64), np.array([len(r) for r in rows], np.int64)
+            slots[kinds == kind] = self._slots(kind, [x for row in rows for k, x in row if k == kind])
+        return slots, np.array([len(r) for r in rows], np.int64)
 
     def _cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Slots of the pieces of all texts in a row, and how many pieces each has."""

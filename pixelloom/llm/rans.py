@@ -7,16 +7,18 @@ reader may start, and a checksum of the ids. The files are Parquet tables whose
 from __future__ import annotations
 
 import os
+import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .chunks import PieceCache
+from .chunks import PieceCache, gather
 from .common import discard, materialize, release, scratch, shuffle_partitions
 
 #: The frequencies sum to 2 ** SCALE; states live in [LOW, LOW << 32).
@@ -120,6 +122,7 @@ class _Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.short, self.control = min(map(len, self.special), default=1 << 60), re.compile("|".join(map(re.escape, self.special)) or "(?!)").search
         vocabulary = self.tokenizer.get_vocab()
         self.size = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, k in vocabulary.items():
@@ -129,22 +132,26 @@ class _Encoder:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        count = np.full(len(pieces), -1, np.int64)
-        parts: list = [None] * len(pieces)
-        plain = [k for k, x in enumerate(pieces) if len(x) > 1 and x[0] == " " and not x[1].isspace() and not x[-1].isspace() and not any(s in x for s in self.special)]
-        groups = [plain[at : at + _JOINED] for at in range(0, len(plain), _JOINED)]
+        bytes_ = pc.binary_length(pa.array(pieces, pa.large_string())).to_numpy(zero_copy_only=False)
+        joined = [k for k, x in enumerate(pieces) if len(x) > 1 and x[0] == " " and not x[1].isspace() and not x[-1].isspace() and (len(x) < self.short or not self.control(x))]
+        order, counts, flats, rest = [], [], [], np.ones(len(pieces), bool)
+        groups = [np.array(joined[at : at + _JOINED]) for at in range(0, len(joined), _JOINED)]
         for group, ids in zip(groups, self._ids(["".join([pieces[k] for k in g]) for g in groups])):
-            ends = np.cumsum([len(pieces[k].encode("utf-8", "replace")) for k in group])
-            reached = np.cumsum(self.size[ids])
+            ends, reached = np.cumsum(bytes_[group]), np.cumsum(self.size[ids])
             cut = np.searchsorted(reached, ends) + 1
             if len(ids) and cut[-1] <= len(ids) and (reached[cut - 1] == ends).all():
-                count[group] = np.diff(np.concatenate(([0], cut)))
-                for k, part in zip(group, np.split(ids, cut[:-1])):
-                    parts[k] = part
-        rest = [k for k, x in enumerate(parts) if x is None]
-        for k, ids in zip(rest, self._ids([pieces[k] for k in rest])):
-            parts[k], count[k] = ids, len(ids)
-        return np.concatenate(parts) if parts else np.zeros(0, np.uint32), count
+                order.append(group)
+                counts.append(np.diff(np.concatenate(([0], cut))))
+                flats.append(ids)
+                rest[group] = False
+        alone = np.flatnonzero(rest)
+        ids = self._ids([pieces[k] for k in alone])
+        order.append(alone)
+        counts.append(np.array([len(x) for x in ids], np.int64))
+        order, size, flat = np.concatenate(order), np.concatenate(counts), np.concatenate([*flats, *ids, np.zeros(0, np.uint32)])
+        start, count = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        start[order], count[order] = np.cumsum(size) - size, size
+        return gather(flat, start, count), count
 
 
 def _pieces(path: str) -> PieceCache:
