@@ -111,6 +111,7 @@ def linear_messages(turns: DataFrame) -> DataFrame:
 
 
 def format_conversations(turns: DataFrame) -> DataFrame:
-    """Every conversation as one formatted text with its loss mask (columns of ``format_paths``)."""
+    """Every conversation as one formatted text with its loss mask (columns of ``format_paths``). Nulls, ties and repeated rows are as in
+    ``linear_messages``; other columns are ignored; an empty table gives an empty result."""
     messages = materialize(linear_messages(turns), "chat-messages")
     return format_paths(root_paths(messages), messages)

@@ -235,7 +235,8 @@ _BLOCK_SQL = "shard int, block int, n_ids bigint, docs array<bigint>, lengths ar
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, vocabulary: int, text: str = "text", key: str = "doc_id") -> None:
-    """Write the ids of ``docs`` and the frequency table under ``path``."""
+    """Write the ids of ``docs`` and the frequency table under ``path``. Nulls, empty texts, repeated rows and ties are as in ``token_blocks``; other columns
+    are ignored; an empty table gives files without blocks."""
     spark, kind = docs.sparkSession, _kind(vocabulary)
     raw = scratch(spark, "tokens-raw")
     token_blocks(docs, tokenizer, end_id, vocabulary, text, key).write.option("compression", "zstd").parquet(raw)

@@ -305,7 +305,8 @@ def remove_repeats(docs: DataFrame, window: int = 13, text: str = "text", key: s
     space), and if ``carry`` rest (a struct of the other columns).
 
     A null or empty text has no words. A document without an id is neither a reference nor cleaned. Rows with one id do not
-    count as repeats of each other. Texts shorter than the window keep all words."""
+    count as repeats of each other. Texts shorter than the window keep all words; texts of any length are read whole; an empty table gives an empty
+    result; other columns only come along with ``carry``."""
     slim, buckets = _slim(docs, text, key, carry)
     found = covered_windows(slim.filter(F.col("doc").isNotNull()).drop("rest"), window, buckets)
 
