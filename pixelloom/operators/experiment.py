@@ -56,3 +56,26 @@ def fit_and_score(train: DataFrame, valid: DataFrame, features: str = "embedding
     vec = lambda d: d.select(array_to_vector(features).alias("features"), F.col(label).cast("double").alias("label"))
     model = LogisticRegression(maxIter=max_iter, regParam=0.01).fit(vec(train))
     return model.transform(vec(valid)).select(F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("pred"))
+
+
+def best_run(train: DataFrame, valid: DataFrame, epochs: tuple[int, ...] = (2, 5, 20), **more) -> tuple[int, float, DataFrame]:
+    """The number of epochs (iterations) with the best validation accuracy (of equals the first), that accuracy, and its predictions."""
+    best = None
+    for n in epochs:
+        p = fit_and_score(train, valid, max_iter=n, **more)
+        a = accuracy(p).first()["accuracy"] or 0.0
+        if best is None or a > best[1]:
+            best = (n, a, p)
+    return best
+
+
+def ab_experiment(base: DataFrame, more: DataFrame, valid: DataFrame, classes: list[int], epochs: tuple[int, ...] = (2, 5, 20)) -> dict[str, DataFrame]:
+    """Train on ``base``, then on ``base`` and ``more``, judge both on ``valid``. ``summary``: run, best_epoch, accuracy, points (over the first run),
+    verdict; ``report`` and ``confusion``: those of the predictions of each run's best epoch."""
+    runs = {"baseline": best_run(base, valid, epochs), "augmented": best_run(base.unionByName(more), valid, epochs)}
+    spark, first = base.sparkSession, runs["baseline"][1]
+    rows = spark.createDataFrame([(k, n, float(a), first) for k, (n, a, _) in runs.items()], "run string, best_epoch int, accuracy double, first double")
+    points, verdict = improvement(F.col("first"), F.col("accuracy"))
+    tagged = lambda f: [f(p).withColumn("run", F.lit(k)) for k, (_, _, p) in runs.items()]
+    reports, tables = tagged(report), tagged(lambda p: confusion(p, classes))
+    return {"summary": rows.withColumns({"points": points, "verdict": verdict}).drop("first"), "report": reports[0].unionByName(reports[1]), "confusion": tables[0].unionByName(tables[1])}

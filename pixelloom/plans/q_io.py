@@ -100,15 +100,23 @@ def s11(spark, sf):
     return files.select(F.from_json("value", "caption string, dr_grade string, seed int").alias("m")).select("m.*")
 
 
-@query("s12_file_listing")
+def _listed(spark, sf, rows, name: str):
+    """Files of a folder for each group of ``rows``, written and listed: grp."""
+    path = scratch(spark, name)
+    rows.select("grp", "doc_id").repartition("grp").write.partitionBy("grp").json(path)
+    return RD.list_files(spark, path, "*.json").select(F.regexp_extract("path", "grp=([^/]+)/", 1).alias("grp"), "length").filter("length > 0").select("grp").distinct()
+
+
+@query("s12_file_listing", "SELECT DISTINCT grp FROM manifest")
 def s12(spark, sf):
-    return RD.list_files(spark, sf, "*.parquet").select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
+    return _listed(spark, sf, V.manifest(spark, sf), "listing")
 
 
-@query("u5_two_listings")
+@query("u5_two_listings", "SELECT DISTINCT 'png' AS kind, grp FROM manifest WHERE doc_id % 3 = 0 UNION ALL SELECT DISTINCT 'jpg', grp FROM manifest WHERE doc_id % 3 = 1")
 def u5(spark, sf):
-    one = lambda pattern: RD.list_files(spark, sf, pattern).select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
-    return one("d*.parquet").unionByName(one("e*.parquet"))
+    m = V.manifest(spark, sf)
+    parts = [_listed(spark, sf, m.filter(F.col("doc_id") % 3 == k), kind).select(F.lit(kind).alias("kind"), "grp") for k, kind in enumerate(("png", "jpg"))]
+    return parts[0].unionByName(parts[1])
 
 
 def _evaluation(spark, sf) -> str:

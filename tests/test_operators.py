@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pixelloom.operators import audit as AU
 from pixelloom.operators import buckets as B
+from pixelloom.operators import experiment as EX
 from pixelloom.operators import manifest as MF
 from pixelloom.operators import runlog as R
 from pixelloom.operators import sampling as S
@@ -149,6 +150,20 @@ def test_run_log(spark):
     assert R.early_stop(ep, "loss", 2).first()["stop_epoch"] == 4
 
 
+def test_experiment(spark):
+    """Two separable classes, of which the first run has seen one only in part; the second run has all it needs."""
+    point = lambda i, k: (i, [float(k * 2 - 1), float(i % 7) / 7], k)
+    base = spark.createDataFrame([point(i, 0) for i in range(40)] + [(100, [-1.0, 0.5], 1)], "vec_id int, embedding array<double>, label int")
+    more = spark.createDataFrame([point(200 + i, 1) for i in range(40)], base.schema)
+    valid = spark.createDataFrame([point(i, i % 2) for i in range(30)], base.schema)
+    out = EX.ab_experiment(base, more, valid, [0, 1])
+    got = {r["run"]: r for r in out["summary"].collect()}
+    assert got["augmented"]["accuracy"] == 1.0 and got["augmented"]["points"] == pytest.approx(100 * (1 - got["baseline"]["accuracy"])) and got["baseline"]["points"] == 0
+    assert got["augmented"]["verdict"] == "improved" and got["baseline"]["accuracy"] == 0.5
+    assert {(r["run"], r["label"], r["p0"], r["p1"]) for r in out["confusion"].collect()} == {("baseline", 0, 15, 0), ("baseline", 1, 15, 0), ("augmented", 0, 15, 0), ("augmented", 1, 0, 15)}
+    assert {r["support"] for r in out["report"].filter("name = 'accuracy'").collect()} == {30}
+
+
 def test_sinks_and_streams(spark, tmp_path):
     df = spark.createDataFrame([(1, None, "a"), (2, "m", "b")], "k int, mask_path string, caption string")
     K.write_manifest(df, str(tmp_path / "man"))
