@@ -43,7 +43,8 @@ def exact_sample_per_group(df: DataFrame, group: str, key: str, ratios: DataFram
     per = ranked.groupBy(F.col(group).alias("_g")).agg(F.min("_r").alias("_first"), F.count(F.lit(1)).alias("_n"))
     ratios = ratios.select(F.col(group).alias("_rg"), "ratio")
     limit = per.join(ratios, F.col("_g").eqNullSafe(F.col("_rg")), "left").select("_g", "_first", F.floor(F.col("_n") * F.coalesce("ratio", F.lit(1.0))).alias("_k"))
-    out = ranked.join(limit.hint("merge"), F.col(group).eqNullSafe(F.col("_g")))
+    # One row for each group: Spark broadcasts it if its measured size is small, and splits a hot group else.
+    out = ranked.join(limit, F.col(group).eqNullSafe(F.col("_g")))
     return out.filter(F.col("_r") - F.col("_first") < F.col("_k")).drop("_r", "_g", "_first", "_k")
 
 
