@@ -53,7 +53,6 @@ class Codec:
     """The vocabulary of a rank file in a database of its own."""
 
     def __init__(self, path: str, pattern: str):
-        import duckdb
         import regex
 
         ranks = read_ranks(path)
@@ -63,16 +62,29 @@ class Codec:
         for token in ranks:
             b = np.frombuffer(token, np.uint8)
             self.joined[b[:-1], b[1:]] = True
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": ""})
         triples = [(ranks[t[:i]], ranks[t[i:]], m) for t, m in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-        self._table("merges", pa.table([pa.array(c, pa.int32()) for c in zip(*triples)], names=["l", "r", "m"]))
-        self._table("vocabulary", pa.table([pa.array(list(ranks.values()), pa.int32()), pa.array([t.hex() for t in ranks])], names=["id", "bytes"]))
+        self.tables = {"merges": pa.table([pa.array(c, pa.int32()) for c in zip(*triples)], names=["l", "r", "m"]),
+                       "vocabulary": pa.table([pa.array(list(ranks.values()), pa.int32()), pa.array([t.hex() for t in ranks])], names=["id", "bytes"])}
+        self._db = None
         self.cache = PieceCache(self._pieces)
 
-    def _table(self, name: str, rows: pa.Table) -> None:
-        self.db.register("arrow_rows", rows)
-        self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM arrow_rows")
-        self.db.unregister("arrow_rows")
+    @property
+    def db(self):
+        if self._db is None:
+            import duckdb
+
+            self._db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": ""})
+            for name, rows in self.tables.items():
+                self._db.register("arrow_rows", rows)
+                self._db.execute(f"CREATE TABLE {name} AS SELECT * FROM arrow_rows")
+                self._db.unregister("arrow_rows")
+        return self._db
+
+    def rest(self) -> None:
+        """Give the database's memory back: a worker outlives its task, and others run in between."""
+        if self._db is not None:
+            self._db.close()
+            self._db = None
 
     def _query(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         data = np.frombuffer(b"".join(words), np.uint8)
@@ -145,6 +157,7 @@ def check_ranks(path: str) -> None:
     ranks = read_ranks(path)
     codec = Codec(path, r".+")
     _, _, count = codec.words(list(ranks))
+    codec.rest()
     if (count != 1).any():
         raise ValueError(f"{int((count != 1).sum())} tokens of {path} do not encode to themselves")
 
@@ -167,6 +180,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text: str = "text", key: s
         for b in batches:
             for at, to, flat, count in codec.cache.encode_texts(b.column(1)):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, to - at), _lists(flat, count)], names=["doc_id", "ids"])
+        codec.rest()
 
     return _body(docs, text, key).mapInArrow(run, "doc_id bigint, ids array<int>")
 
@@ -180,6 +194,7 @@ def round_trip(docs: DataFrame, ranks: str, pattern: str, text: str = "text", ke
         for b in batches:
             for at, to, flat, count in codec.cache.encode_texts(b.column(1)):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, to - at), _lists(flat, count), pa.array(codec.decode(flat, count), pa.binary())], names=["doc_id", "ids", "decoded"])
+        codec.rest()
 
     return _body(docs, text, key).mapInArrow(run, "doc_id bigint, ids array<int>, decoded binary")
 
@@ -200,5 +215,6 @@ def decode(tokens: DataFrame, ranks: str, pattern: str) -> DataFrame:
                 part = b.slice(a, z - a)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(codec.decode(flat[lo:hi], count[a:z]), pa.binary())], names=["doc_id", "ids", "decoded"])
                 a = z
+        codec.rest()
 
     return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, ids array<int>, decoded binary")
