@@ -20,6 +20,12 @@ def label_to_caption(label: Column, mapping: dict[int, str] | None = None) -> Co
     return F.when(number.isNotNull(), F.coalesce(F.try_element_at(F.create_map(*pairs), number), F.concat(F.lit("Unknown grade: "), number))).otherwise(label)
 
 
+def integer_label(label: Column) -> Column:
+    """A label as integer; white space around it, a sign and leading zeros are allowed. Any other text, and null, is an error in every mode of Spark."""
+    n = strip(label).try_cast("int")
+    return F.when(n.isNotNull(), n).otherwise(F.raise_error(F.concat(F.lit("no integer label: "), F.coalesce(label, F.lit("null")))).cast("int"))
+
+
 def resolve_path(path: Column, base: str) -> Column:
     return F.when(path.startswith("/"), path).otherwise(F.concat_ws("/", F.lit(base), path))
 

@@ -13,67 +13,126 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.image import LUMA
+
 #: Values that a stack holds, at most (one image at least).
 STACK = 8_000_000
 
 
-def _stacks(b: pa.RecordBatch, images: int) -> Iterator[tuple[np.ndarray, list[np.ndarray] | None]]:
-    """Row numbers and the stacks of their images, by shape. Columns: key, height, width, channels, then ``images`` columns of pixels. Rows
-    whose pixels are null or do not fit their shape come with None."""
-    shape = np.stack([pc.fill_null(b.column(k), 0).to_numpy(zero_copy_only=False) for k in (1, 2, 3)], 1).astype(np.int64)
-    size = shape.prod(1)
-    ok, flat, start = size > 0, [], []
-    for k in range(4, 4 + images):
-        px = b.column(k).cast(pa.list_(pa.float64()))
-        n = pc.fill_null(pc.list_value_length(px), -1).to_numpy(zero_copy_only=False)
-        ok &= n == size
-        flat.append(px.flatten().to_numpy(zero_copy_only=False))
-        start.append(np.cumsum(np.maximum(n, 0)) - np.maximum(n, 0))
+def _values(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All values of a column of pixels (lists, or packed bytes) in a row, and where each image starts and how many values it has (-1: null)."""
+    if pa.types.is_binary(col.type):
+        n = pc.fill_null(pc.binary_length(col), -1).to_numpy(zero_copy_only=False)
+        ends = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1]
+        return np.frombuffer(col.buffers()[2] or b"", np.uint8), ends[:-1].astype(np.int64), n
+    px = col.cast(pa.list_(pa.float64()))
+    n = pc.fill_null(pc.list_value_length(px), -1).to_numpy(zero_copy_only=False)
+    return px.flatten().to_numpy(zero_copy_only=False), np.cumsum(np.maximum(n, 0)) - np.maximum(n, 0), n
+
+
+def shaped(shapes: list[pa.Array], pixels: list[pa.Array]) -> Iterator[tuple[np.ndarray, list[np.ndarray] | None]]:
+    """Row numbers and the (n, h, w, c) stacks of their images, rows of like shapes together. ``shapes``: height, width, channels of each of the
+    ``pixels`` columns, one after the other. Rows of which an image is null or does not fit its shape come with None."""
+    shape = np.stack([pc.fill_null(c, 0).to_numpy(zero_copy_only=False) for c in shapes], 1).astype(np.int64)
+    sizes = shape.reshape(len(shape), -1, 3).prod(2)
+    ok, flat, start = (sizes > 0).all(1), [], []
+    for k, col in enumerate(pixels):
+        f, s, n = _values(col)
+        ok &= n == sizes[:, k]
+        flat.append(f)
+        start.append(s)
     if (~ok).any():
         yield np.flatnonzero(~ok), None
     rows = np.flatnonzero(ok)
     kinds, which = np.unique(shape[rows], axis=0, return_inverse=True)
     for k, kind in enumerate(kinds):
         mine = rows[which.ravel() == k]
-        n = int(kind.prod())
-        step = max(1, STACK // n)
+        each = kind.reshape(-1, 3)
+        step = max(1, STACK // int(each.prod(1).max()))
         for at in range(0, len(mine), step):
             part = mine[at : at + step]
-            yield part, [f[s[part][:, None] + np.arange(n)].reshape(-1, *kind) for f, s in zip(flat, start)]
+            yield part, [np.stack([f[a : a + n] for a in s[part]]).astype(np.float64).reshape(-1, *one) for f, s, one, n in zip(flat, start, each, each.prod(1))]
+
+
+def stacks(b: pa.RecordBatch, images: int) -> Iterator[tuple[np.ndarray, list[np.ndarray] | None]]:
+    """``shaped`` for batches of key, height, width, channels, then ``images`` columns of pixels that share the shape."""
+    return shaped([b.column(1), b.column(2), b.column(3)] * images, [b.column(4 + k) for k in range(images)])
 
 
-def _each(fn: Callable, part: np.ndarray, stacks: list[np.ndarray], rows: dict) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+def _each(fn: Callable, part: np.ndarray, ims: list[np.ndarray], rows: dict) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
     """``fn`` over the stack, or where that fails, image by image."""
     try:
-        yield part, fn(*stacks, rows)
+        yield part, fn(*ims, rows)
     except (TypeError, ValueError):
         for j in range(len(part)):
             try:
-                yield part[j : j + 1], fn(*[s[j : j + 1] for s in stacks], {c: v[j : j + 1] for c, v in rows.items()})
+                yield part[j : j + 1], fn(*[s[j : j + 1] for s in ims], {c: v[j : j + 1] for c, v in rows.items()})
             except (TypeError, ValueError):
                 yield part[j : j + 1], None
 
 
-def map_images(df: DataFrame, fn: Callable[[np.ndarray, dict], np.ndarray], key: str = "image_id", extra: tuple[str, ...] = ()) -> DataFrame:
-    """key, height, width, channels, px (doubles) of ``fn(stack, rows)``; ``extra`` names columns whose values ``fn`` gets as arrays in ``rows``."""
+def map_images(df: DataFrame, fn: Callable[[np.ndarray, dict], np.ndarray], key: str = "image_id", extra: tuple[str, ...] = (), packed: bool = False) -> DataFrame:
+    """key, height, width, channels, px (doubles; ``packed``: bytes) of ``fn(stack, rows)``; ``extra`` names columns whose values ``fn`` gets as arrays in ``rows``."""
     kind = df.schema[key].dataType.simpleString()
     names = [key, "height", "width", "channels", "px"]
-    types = [pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.float64())]
+    types = [pa.int32(), pa.int32(), pa.int32(), pa.binary() if packed else pa.list_(pa.float64())]
 
     def run(batches):
         for b in batches:
-            for part, stacks in _stacks(b, 1):
+            for part, ims in stacks(b, 1):
                 rows = {c: b.column(5 + k).take(pa.array(part)).to_numpy(zero_copy_only=False) for k, c in enumerate(extra)}
-                for some, im in _each(fn, part, stacks, rows) if stacks else [(part, None)]:
+                for some, im in _each(fn, part, ims, rows) if ims else [(part, None)]:
                     n, keys = len(some), b.column(0).take(pa.array(some))
                     if im is None:
                         cols = [pa.nulls(n, t) for t in types]
                     else:
                         ends = pa.array(np.arange(n + 1, dtype=np.int32) * int(np.prod(im.shape[1:])))
-                        cols = [*(pa.array(np.full(n, x, np.int32)) for x in im.shape[1:]), pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(im, float).ravel()))]
+                        px = pa.array([x.tobytes() for x in im.astype(np.uint8)], pa.binary()) if packed else pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(im, float).ravel()))
+                        cols = [*(pa.array(np.full(n, x, np.int32)) for x in im.shape[1:]), px]
                     yield pa.RecordBatch.from_arrays([keys, *cols], names=names)
 
-    return df.select(key, "height", "width", "channels", "px", *extra).mapInArrow(run, f"{key} {kind}, height int, width int, channels int, px array<double>")
+    return df.select(key, "height", "width", "channels", "px", *extra).mapInArrow(run, f"{key} {kind}, height int, width int, channels int, px {'binary' if packed else 'array<double>'}")
+
+
+def _replaced(df: DataFrame, px: str, make: Callable[[pa.Array], pa.Array], kind: str) -> DataFrame:
+    fields = ", ".join(f"`{f.name}` {kind if f.name == px else f.dataType.simpleString()}" for f in df.schema)
+    at = df.columns.index(px)
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([make(c) if k == at else c for k, c in enumerate(b.columns)], names=b.schema.names)
+
+    return df.mapInArrow(run, fields)
+
+
+def pack(df: DataFrame, px: str = "px") -> DataFrame:
+    """The arrays of pixels in ``px`` as packed bytes, a quarter of the size; the other columns stay. Nulls stay null; values beyond 0 to 255 are an error."""
+
+    def make(col: pa.Array) -> pa.Array:
+        flat, start, n = _values(col)
+        if len(flat) and (flat.min() < 0 or flat.max() > 255):
+            raise ValueError("pixels must lie within 0 and 255")
+        flat = flat.astype(np.uint8)
+        return pa.array([None if k < 0 else flat[a : a + k].tobytes() for a, k in zip(start, n)], pa.binary())
+
+    return _replaced(df, px, make, "binary")
+
+
+def unpack(df: DataFrame, px: str = "px") -> DataFrame:
+    """Packed bytes as arrays of integers; nulls stay null."""
+
+    def make(col: pa.Array) -> pa.Array:
+        flat, start, n = _values(col)
+        return pa.array([None if k < 0 else flat[a : a + k].astype(np.int32) for a, k in zip(start, n)], pa.list_(pa.int32()))
+
+    return _replaced(df, px, make, "array<int>")
+
+
+def to_luma(im: np.ndarray, rows: dict | None = None) -> np.ndarray:
+    """One channel: the luma of three or more, else the first."""
+    if im.shape[3] < 3:
+        return im[..., :1]
+    return (im[..., :3].astype(np.int64) @ np.array(LUMA) + 32768 >> 16)[..., None].astype(float)
 
 
 #: Weights are multiples of 1 / FIXED, so that sums of bytes are exact and no engine rounds a half the other way.
@@ -230,8 +289,8 @@ def pair_ssim(pairs: DataFrame, key: str = "image_id", window: int = 7) -> DataF
 
     def run(batches):
         for b in batches:
-            for part, stacks in _stacks(b, 2):
-                for some, s in _each(lambda x, y, _: windowed_ssim(x, y, window), part, stacks, {}) if stacks else [(part, None)]:
+            for part, ims in stacks(b, 2):
+                for some, s in _each(lambda x, y, _: windowed_ssim(x, y, window), part, ims, {}) if ims else [(part, None)]:
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some)), pa.nulls(len(some), pa.float64()) if s is None else pa.array(s)], names=[key, "ssim"])
 
     return pairs.select(key, "height", "width", "channels", "px_a", "px_b").mapInArrow(run, f"{key} {kind}, ssim double")

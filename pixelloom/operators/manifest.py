@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.image import let
 
 REQUIRED = ("image_path", "caption")
 
@@ -20,16 +21,18 @@ def _parsed(line: Column) -> Column:
 
 def classify_lines(lines: DataFrame, line: str = "line", required: tuple[str, ...] = REQUIRED) -> DataFrame:
     """Add reason: blank, bad_json, not_object, missing_key or ok. A key whose value is null is present."""
-    return _classified(lines, line, required).drop("_s", "_v")
+    return _classified(lines, line, required).drop("_v")
 
 
 def _classified(lines: DataFrame, line: str, required: tuple[str, ...]) -> DataFrame:
-    """With _s, the stripped line, and _v, the parsed one: a line is parsed once, and all else is read from the variant."""
-    out = lines.withColumn("_s", X.strip(F.col(line))).withColumn("_v", _parsed(F.col("_s")))
-    s, v = F.col("_s"), F.col("_v")
-    there = reduce(lambda a, b: a & b, [F.try_variant_get(v, f"$.r.{k}", "variant").isNotNull() for k in required])
-    reason = F.when(s.isNull() | (s == ""), "blank").when(v.isNull(), "bad_json").when(~s.startswith("{"), "not_object").when(~there, "missing_key").otherwise("ok")
-    return out.withColumn("reason", reason)
+    """With _v, the parsed line. Both come out of one generator, as what is computed there is never computed again by a filter that stands above."""
+
+    def judged(s: Column, v: Column) -> Column:
+        there = reduce(lambda a, b: a & b, [F.try_variant_get(v, f"$.r.{k}", "variant").isNotNull() for k in required])
+        reason = F.when(s.isNull() | (s == ""), "blank").when(v.isNull(), "bad_json").when(~s.startswith("{"), "not_object").when(~there, "missing_key").otherwise("ok")
+        return F.array(F.struct(reason.alias("reason"), v.alias("_v")))
+
+    return lines.select("*", F.inline(let(X.strip(F.col(line)), lambda s: let(_parsed(s), lambda v: judged(s, v)))))
 
 
 def parse_lines(lines: DataFrame, key: str, line: str = "line") -> DataFrame:
@@ -50,6 +53,11 @@ def prefix_paths(rows: DataFrame, root: str, columns: tuple[str, ...] = ("path",
     return rows.withColumns({c: F.concat_ws("/", F.lit(root), c) for c in columns if c in rows.columns})
 
 
+def with_root(rows: DataFrame, root: Column | str | None) -> DataFrame:
+    """Attach a source's root as _image_root; a source without one has null."""
+    return rows.withColumn("_image_root", F.lit(root).cast("string"))
+
+
 def attach_masks(rows: DataFrame, masks: DataFrame) -> DataFrame:
     """``masks``: mask (paths that exist or decode). A row whose mask is not among them becomes text-only and stays."""
     return rows.drop("text_only").join(masks, F.col("mask_path") == F.col("mask"), "left").withColumn("text_only", F.col("mask").isNull())

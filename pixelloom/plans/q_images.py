@@ -8,7 +8,10 @@ from ..functions import image as I
 from ..functions import metrics as M
 from ..functions import text as X
 from ..operators import kernels as K
-from ..sources.scratch import materialize
+from ..operators import pair_metrics as PM
+from ..sources import files as FL
+from ..sources import readers as RD
+from ..sources.scratch import scratch
 from . import views as V
 
 QUERIES: dict = {}
@@ -50,6 +53,57 @@ def pairs(spark, sf) -> DataFrame:
     return a.join(b, "image_id")
 
 
+def packed_pairs(spark, sf) -> DataFrame:
+    """``pairs`` with packed pixels."""
+    a = K.pack(V.gray_images(spark, sf)).withColumnRenamed("px", "px_a")
+    b = K.pack(V.gray_images(spark, sf).select((F.col("image_id") - 1).alias("image_id"), "px")).withColumnRenamed("px", "px_b")
+    return a.join(b.hint("merge"), "image_id")
+
+
+# --- image files
+
+#: Written names: of every ten files one is cut in half, one holds no image, and one is empty.
+_STATE = "CASE image_id % 10 WHEN 3 THEN 'cut' WHEN 5 THEN 'noise' WHEN 8 THEN 'empty' ELSE 'whole' END"
+
+
+def image_folder(spark, sf, images: DataFrame) -> str:
+    """The images as files in a new folder, some of them broken."""
+    path, k = scratch(spark, "images"), F.regexp_extract("name", r"(\d+)", 1).cast("long") % 10
+    data = F.when(k == 3, F.substring("data", F.lit(1), (F.length("data") / 2).cast("int"))).when(k == 5, F.encode("name", "utf-8")).when(k != 8, F.col("data"))
+    FL.write_files(FL.to_png(images.withColumn("name", F.format_string("%06d.png", "image_id"))).select("name", data.alias("data")), path)
+    return path
+
+
+def _id() -> Column:
+    return F.regexp_extract("path", r"(\d+)\.png$", 1).cast("long").alias("image_id")
+
+
+@query("s7_image_scan", f"SELECT image_id, height, width, channels, {T.format('px')} AS px FROM rgb_images WHERE {_STATE} = 'whole'")
+def s7(spark, sf):
+    files = RD.read_images(spark, image_folder(spark, sf, V.rgb_images(spark, sf)))
+    return files.select(_id(), "height", "width", "channels", text(F.col("px")).alias("px"))
+
+
+@query("s7_broken_files", f"SELECT {_STATE} AS state, count(*) AS n FROM rgb_images WHERE {_STATE} <> 'whole' GROUP BY 1")
+def s7_broken(spark, sf):
+    path = image_folder(spark, sf, V.rgb_images(spark, sf))
+    lost = RD.broken_images(FL.walk_files(spark, path), RD.scan_images(spark, path))
+    state = F.when(F.col("length") == 0, "empty").when(F.col("length") == 10, "noise").otherwise("cut")
+    return lost.groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_LUMA = "(px[3 * i + 1] * 19595 + px[3 * i + 2] * 38470 + px[3 * i + 3] * 7471 + 32768) >> 16"
+
+
+@query("s8_mask_scan", f"SELECT image_id, height, width, {T.format(f'list_transform(range(0, 64), lambda i: {_LUMA})')} AS px FROM rgb_images WHERE image_id % 2 = 1 AND {_STATE} = 'whole' UNION ALL SELECT image_id, height, width, {T.format('px')} FROM masks WHERE {_STATE} = 'whole'")
+def s8(spark, sf):
+    """Mask files of one channel, and of three, which are turned to luma."""
+    gray = V.masks(spark, sf).withColumn("channels", F.lit(1))
+    both = gray.unionByName(V.rgb_images(spark, sf).filter(F.col("image_id") % 2 == 1))
+    files = RD.read_masks(spark, image_folder(spark, sf, both))
+    return files.select(_id(), "height", "width", text(F.col("px")).alias("px"))
+
+
 # --- array functions of images
 
 @query("i2_nearest_resize", "SELECT image_id, " + T.format("list_transform(range(0, 16), lambda i: px[1 + floor((i // 4 + 0.5) * 2)::INT * 8 + floor((i % 4 + 0.5) * 2)::INT])") + " AS px FROM masks")
@@ -302,8 +356,7 @@ def j3(spark, sf):
 
 @query("a3_mse_mae", "SELECT image_id, round(avg((x - y) * (x - y)), 6) AS mse, round(avg(abs(x - y)), 6) AS mae FROM pair_px GROUP BY image_id")
 def a3(spark, sf):
-    a, b = F.col("px_a"), F.col("px_b")
-    return pairs(spark, sf).select("image_id", r6(M.mse(a, b)).alias("mse"), r6(M.mae(a, b)).alias("mae"))
+    return PM.pair_scores(packed_pairs(spark, sf), ("mse", "mae")).select("image_id", r6(F.col("mse")).alias("mse"), r6(F.col("mae")).alias("mae"))
 
 
 _PSNR = "CASE WHEN {0} = 0 THEN 'inf'::DOUBLE ELSE 20 * log10(255.0::DOUBLE / sqrt({0})) END"
@@ -311,7 +364,7 @@ _PSNR = "CASE WHEN {0} = 0 THEN 'inf'::DOUBLE ELSE 20 * log10(255.0::DOUBLE / sq
 
 @query("a4_psnr", f"SELECT image_id, round({_PSNR.format('m')}, 6) AS psnr FROM (SELECT image_id, avg((x - y) * (x - y)) AS m FROM pair_px GROUP BY image_id)")
 def a4(spark, sf):
-    return pairs(spark, sf).select("image_id", r6(M.psnr(F.col("px_a"), F.col("px_b"))).alias("psnr"))
+    return PM.pair_scores(packed_pairs(spark, sf), ("mse",)).select("image_id", r6(M.psnr_of(F.col("mse"))).alias("psnr"))
 
 
 @query("f4_psnr_of_mse", f"SELECT step, round({_PSNR.format('(loss * loss)')}, 6) AS psnr FROM run_log")
@@ -325,7 +378,7 @@ FROM (SELECT image_id, avg(x) AS mx, avg(y) AS my, var_pop(x) AS vx, var_pop(y)
 
 @query("a5_global_ssim", f"SELECT image_id, round(s, 6) AS ssim FROM ({_SSIM})")
 def a5(spark, sf):
-    return pairs(spark, sf).select("image_id", r6(M.global_ssim(F.col("px_a"), F.col("px_b"))).alias("ssim"))
+    return PM.pair_scores(packed_pairs(spark, sf), ("ssim",)).select("image_id", r6(F.col("ssim")).alias("ssim"))
 
 
 def windowed_sql(px: str) -> str:
@@ -339,7 +392,7 @@ _PAIR_ROWS = "SELECT image_id, i // 8 AS y, i % 8 AS x, px_a[i + 1]::DOUBLE AS v
 
 @query("a6_windowed_ssim", f"SELECT image_id, round(s, 6) AS ssim FROM ({windowed_sql(_PAIR_ROWS)})")
 def a6(spark, sf):
-    return K.pair_ssim(pairs(spark, sf)).select("image_id", r6(F.col("ssim")).alias("ssim"))
+    return PM.pair_scores(packed_pairs(spark, sf), ("windowed_ssim",)).select("image_id", r6(F.col("windowed_ssim")).alias("ssim"))
 
 
 _OVERLAP = """SELECT image_id, sum((a AND b)::INT) AS i, sum(a::INT) AS na, sum(b::INT) AS nb FROM (
@@ -349,12 +402,12 @@ _OVERLAP = """SELECT image_id, sum((a AND b)::INT) AS i, sum(a::INT) AS na, sum(
 
 @query("a7_dice", f"SELECT image_id, round(CASE WHEN na + nb = 0 THEN 1.0 ELSE 2.0::DOUBLE * i / (na + nb) END, 6) AS dice FROM ({_OVERLAP})")
 def a7(spark, sf):
-    return pairs(spark, sf).select("image_id", r6(M.dice(F.col("px_a"), F.col("px_b"))).alias("dice"))
+    return PM.pair_scores(packed_pairs(spark, sf), ("dice",)).select("image_id", r6(F.col("dice")).alias("dice"))
 
 
 @query("a8_iou", f"SELECT image_id, round(CASE WHEN na + nb - i = 0 THEN 1.0 ELSE i::DOUBLE / (na + nb - i) END, 6) AS iou FROM ({_OVERLAP})")
 def a8(spark, sf):
-    return pairs(spark, sf).select("image_id", r6(M.iou(F.col("px_a"), F.col("px_b"))).alias("iou"))
+    return PM.pair_scores(packed_pairs(spark, sf), ("iou",)).select("image_id", r6(F.col("iou")).alias("iou"))
 
 
 @query("f5_dice_iou_identity", f"SELECT image_id, round(i::DOUBLE / (na + nb - i), 6) AS iou, round(2.0::DOUBLE * i / (na + nb), 6) AS dice FROM ({_OVERLAP}) WHERE na + nb > 0")
@@ -364,25 +417,17 @@ def f5(spark, sf):
     return d.select("image_id", r6(M.iou_of_dice(F.col("d"))).alias("iou"), r6(M.dice_of_iou(F.col("i"))).alias("dice"))
 
 
-def aligned(spark, sf) -> DataFrame:
-    """Generated images with their references, resampled to their size where they differ."""
-    a = V.generated(spark, sf).select("image_id", *[F.col(c).alias(f"{c}_a") for c in ("height", "width", "channels", "px")])
-    b = V.gray_images(spark, sf).select((F.col("image_id") - 1).alias("image_id"), *[F.col(c).alias(f"{c}_b") for c in ("height", "width", "channels", "px")])
-    return K.align(a.join(b, "image_id"))
+def _sided(images: DataFrame, side: str) -> DataFrame:
+    return K.pack(images).select("image_id", *[F.col(c).alias(f"{c}_{side}") for c in ("height", "width", "channels", "px")])
 
 
 def evaluated(spark, sf) -> DataFrame:
     """The evaluation of every pair: MSE, MAE, PSNR, windowed SSIM, and Dice and IoU of the lesions of the generated image against its input mask (null
-    where it has none). A gray image stands for three equal channels."""
-    a, b = F.col("px_a"), F.col("px_b")
-    p = materialize(aligned(spark, sf), "aligned")
-    found = F.transform(I.lesion_mask(I.gray_to_rgb(a), "red_channel", 0.5), lambda v: v * 255)
-    m = V.sized_masks(spark, sf).select("image_id", F.col("height").alias("mh"), F.col("width").alias("mw"), F.col("px").alias("mask"))
-    q = p.join(m.hint("merge"), "image_id", "left").withColumns({"found": found, "mask": I.nearest_resize(F.col("mask"), F.col("mh"), F.col("mw"), F.col("height"), F.col("width"))})
-    there = F.col("mask").isNotNull()
-    q = q.select("image_id", M.mse(a, b).alias("mse"), M.mae(a, b).alias("mae"), F.when(there, M.dice(F.col("found"), F.col("mask"))).alias("dice"), F.when(there, M.iou(F.col("found"), F.col("mask"))).alias("iou"))
-    s = materialize(K.pair_ssim(p), "ssim")
-    return q.join(s.hint("merge"), "image_id").withColumn("psnr", M.psnr_of(F.col("mse")))
+    where it has none). Packed pixels are joined by key and judged in one pass."""
+    a, m = _sided(V.generated(spark, sf), "a"), _sided(V.sized_masks(spark, sf).withColumn("channels", F.lit(1)), "m")
+    b = _sided(V.gray_images(spark, sf).withColumn("image_id", F.col("image_id") - 1), "b")
+    p = a.join(b.hint("merge"), "image_id").join(m.hint("merge"), "image_id", "left")
+    return PM.evaluate(p).withColumn("psnr", M.psnr_of(F.col("mse")))
 
 
 def summary(values: DataFrame, metrics: tuple[str, ...]) -> DataFrame:
@@ -435,11 +480,8 @@ def p19(spark, sf):
 def structure(spark, sf) -> DataFrame:
     """Red-channel lesions of an image against its input mask, resized to the image where it has another size; where a mask is missing, Dice
     and IoU are null and the row stays."""
-    rgb = V.rgb_images(spark, sf).select("image_id", "height", "width", F.transform(I.lesion_mask(F.col("px"), "red_channel", 0.5), lambda p: p * 255).alias("found"))
-    m = V.sized_masks(spark, sf).select("image_id", I.nearest_resize(F.col("px"), F.col("height"), F.col("width"), 8, 8).alias("mask"))
-    j = rgb.join(m, "image_id", "left")
-    there = F.col("mask").isNotNull()
-    return j.select("image_id", F.when(there, M.dice(F.col("found"), F.col("mask"))).alias("dice"), F.when(there, M.iou(F.col("found"), F.col("mask"))).alias("iou"))
+    m = _sided(V.sized_masks(spark, sf).withColumn("channels", F.lit(1)), "m")
+    return PM.structure_scores(_sided(V.rgb_images(spark, sf), "a").join(m.hint("merge"), "image_id", "left"))
 
 
 _STRUCT = f"""SELECT image_id, CASE WHEN any_value(mk) IS NULL THEN NULL WHEN sum(f) + sum(m) = 0 THEN 1.0 ELSE 2.0::DOUBLE * sum(f * m) / (sum(f) + sum(m)) END AS dice,

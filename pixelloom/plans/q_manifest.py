@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import audit as AU
 from ..operators import manifest as MF
-from ..sources.scratch import materialize
+from ..sources import files as FL
+from ..sources import readers as RD
+from ..sources.scratch import materialize, scratch
 from . import views as V
 
 QUERIES: dict = {}
@@ -60,12 +62,22 @@ def p3(spark, sf):
     return m.select("doc_id", X.resolve_path(F.col("p"), "base").alias("path"))
 
 
+def listed(spark, names: DataFrame) -> DataFrame:
+    """Files of the given names (name), written to a new folder and listed: path (relative, as manifests have it), length. The list is written out, as its size is
+    known only then."""
+    path = scratch(spark, "files")
+    FL.write_files(names, path)
+    return materialize(FL.walk_files(spark, path).select(F.col("name").alias("path"), "length"), "listing")
+
+
 def listing(spark, sf) -> DataFrame:
-    """Paths of the images that exist: those of documents whose id is no multiple of 7."""
-    return V.manifest(spark, sf).filter(F.col("doc_id") % 7 != 0).select(F.col("image_path").alias("path"))
+    """The image files that exist: none where the id is a multiple of 7; names in other case where it is one of 5; empty ones where it is one of 11."""
+    i = F.col("doc_id")
+    name = F.when(i % 5 == 0, F.concat(F.substring_index("image_path", ".", 1), F.lit(".PNG"))).otherwise(F.col("image_path"))
+    return listed(spark, V.manifest(spark, sf).filter(i % 7 != 0).select(name.alias("name"), F.when(i % 11 != 0, F.encode("grp", "utf-8")).alias("data")))
 
 
-_LIST = "(SELECT image_path AS path FROM manifest WHERE doc_id % 7 <> 0)"
+_LIST = "(SELECT image_path AS path FROM manifest WHERE doc_id % 7 <> 0 AND doc_id % 5 <> 0)"
 
 
 @query("p4_resolve_or_null", f"SELECT m.doc_id, l.path AS resolved FROM manifest m LEFT JOIN {_LIST} l ON l.path = m.image_path")
@@ -79,9 +91,12 @@ def p5(spark, sf):
     return MF.prefix_paths(m, "root")
 
 
-@query("p6_source_attribute", "SELECT doc_id, 'root' AS _image_root FROM manifest")
+@query("p6_source_attribute", "SELECT doc_id, CASE WHEN label % 2 = 0 THEN '/mnt/' || grp END AS _image_root, CASE WHEN label % 2 = 0 THEN '/mnt/' || grp || '/' ELSE '' END || image_path AS image FROM manifest")
 def p6(spark, sf):
-    return V.manifest(spark, sf).select("doc_id", F.lit("root").alias("_image_root"))
+    """Sources by group, every second label's without a root; the attribute then resolves the paths."""
+    m = V.manifest(spark, sf)
+    parts = [MF.with_root(m.filter(F.col("label") % 2 == k), F.concat(F.lit("/mnt/"), "grp") if k == 0 else None) for k in (0, 1)]
+    return MF.union_all(parts).select("doc_id", "_image_root", F.concat_ws("/", "_image_root", "image_path").alias("image"))
 
 
 _REQ = "(SELECT doc_id, mask_path, CASE WHEN doc_id % 4 = 0 THEN '' ELSE grp END AS text, CASE WHEN doc_id % 6 = 0 THEN 'None' ELSE label::VARCHAR END AS grade, doc_id % 2 = 0 AS use_mask, doc_id % 11 - 5 AS seed FROM manifest)"
@@ -192,15 +207,25 @@ def p22(spark, sf):
     return V.manifest(spark, sf).select("doc_id", X.drop_label(F.col("label"), X.mix_hash(F.col("doc_id"), 5), 0.2, 5, F.col("doc_id") % 50 == 0).alias("label"))
 
 
-@query("p24_label_cast", "SELECT doc_id, (label::VARCHAR)::INT AS label FROM manifest")
+_LABEL_TEXTS = "CASE doc_id % 4 WHEN 0 THEN label::VARCHAR WHEN 1 THEN ' ' || label || chr(9) WHEN 2 THEN '+' || label ELSE '-0' || label END"
+
+
+@query("p24_label_cast", f"SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN -label ELSE label END AS label FROM (SELECT doc_id, label, {_LABEL_TEXTS} AS t FROM manifest)")
 def p24(spark, sf):
-    return V.manifest(spark, sf).select("doc_id", F.col("label").cast("string").cast("int").alias("label"))
+    """Labels as texts of several forms; a text that is no integer is an error (tests)."""
+    i, label = F.col("doc_id") % 4, F.col("label").cast("string")
+    t = F.when(i == 0, label).when(i == 1, F.concat(F.lit(" "), label, F.lit("\t"))).when(i == 2, F.concat(F.lit("+"), label)).otherwise(F.concat(F.lit("-0"), label))
+    return V.manifest(spark, sf).select("doc_id", X.integer_label(t).alias("label"))
 
 
 @query("p25_mask_downgrade", "SELECT m.doc_id, d.mask AS mask, m.mask_path IS NULL OR d.mask IS NULL AS text_only FROM manifest m LEFT JOIN (SELECT mask_path AS mask FROM manifest WHERE mask_path IS NOT NULL AND doc_id % 3 <> 0) d ON d.mask = m.mask_path")
 def p25(spark, sf):
-    m = V.manifest(spark, sf)
-    decoded = m.filter(F.col("mask_path").isNotNull() & (F.col("doc_id") % 3 != 0)).select(F.col("mask_path").alias("mask"))
+    """The masks of every third document are files that break off."""
+    m, path = V.manifest(spark, sf), scratch(spark, "masks")
+    there = m.filter(F.col("mask_path").isNotNull()).select(F.col("mask_path").alias("name"), F.lit(4).alias("height"), F.lit(4).alias("width"), F.lit(1).alias("channels"), F.array_repeat((F.col("doc_id") % 256).cast("int"), 16).alias("px"))
+    cut = F.regexp_extract("name", r"(\d+)", 1).cast("long") % 3 == 0
+    FL.write_files(FL.to_png(there).select("name", F.when(cut, F.substring("data", 1, 40)).otherwise(F.col("data")).alias("data")), path)
+    decoded = materialize(RD.scan_masks(spark, path).select(F.regexp_extract("path", "(masks/[^/]+)$", 1).alias("mask")), "decoded")
     return MF.attach_masks(m, decoded).select("doc_id", "mask", "text_only")
 
 
@@ -244,8 +269,8 @@ def j4(spark, sf):
 @query("j5_mask_existence", "SELECT m.doc_id, d.p AS mask_path, d.p IS NULL AS text_only FROM manifest m LEFT JOIN (SELECT mask_path AS p FROM manifest WHERE doc_id % 2 = 0 AND mask_path IS NOT NULL) d ON d.p = m.mask_path")
 def j5(spark, sf):
     m = V.manifest(spark, sf)
-    there = m.filter((F.col("doc_id") % 2 == 0) & F.col("mask_path").isNotNull()).select(F.col("mask_path").alias("mask"))
-    return MF.attach_masks(m, there).select("doc_id", F.col("mask").alias("mask_path"), "text_only")
+    there = listed(spark, m.filter((F.col("doc_id") % 2 == 0) & F.col("mask_path").isNotNull()).select(F.col("mask_path").alias("name"), F.lit(None).cast("binary").alias("data")))
+    return MF.attach_masks(m, there.select(F.col("path").alias("mask"))).select("doc_id", F.col("mask").alias("mask_path"), "text_only")
 
 
 _SIDE = "(SELECT doc_id::VARCHAR AS suffix, grp AS s_caption, label AS s_grade FROM manifest WHERE doc_id % 3 = 0)"
@@ -346,9 +371,12 @@ def w14(spark, sf):
 def e1(spark, sf):
     lines = V.manifest_lines(spark, sf)
     records = MF.parse_lines(lines, "line_no")
-    images = lines.filter(F.col("line_no") % 7 != 0).select(F.concat(F.lit("img/"), F.col("line_no"), F.lit(".png")).alias("path"))
-    there = lines.filter(F.col("line_no") % 4 == 0).select(F.concat(F.lit("m/"), F.col("line_no"), F.lit(".png")).alias("mask"))
-    kept = records.join(images, F.col("image_path") == F.col("path"), "left_semi")
+    i, k = F.col("line_no"), F.col("line_no") % 10
+    file = lambda folder: F.concat(F.lit(folder), i, F.lit(".png"))
+    names = F.filter(F.array(F.when((i % 7 != 0) & (k > 2), file("img/")), F.when((i % 4 == 0) & k.between(4, 6), file("m/"))), lambda x: x.isNotNull())
+    files = listed(spark, lines.select(F.explode(names).alias("name"), F.lit(None).cast("binary").alias("data")))
+    kept = records.join(files, F.col("image_path") == F.col("path"), "left_semi")
+    there = files.filter(F.col("path").startswith("m/")).select(F.col("path").alias("mask"))
     return MF.attach_masks(kept, there).select("line_no", "image_path", "caption", F.col("mask").alias("mask_path"), "text_only")
 
 

@@ -8,9 +8,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import image as I
 from ..functions import text as X
+from ..operators import kernels as K
 from ..operators import manifest as MF
+from ..operators.kernels import unpack
 
 RECORD = "image_path string, caption string, mask_path string, label int"
 
@@ -67,26 +68,42 @@ def read_catalogue(spark: SparkSession, sources: list[dict]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """path, height, width, channels, px (RGB order). The decoder gives BGR; broken files are dropped."""
-    raw = spark.read.format("image").option("dropInvalid", "true").load(path).select("image.*")
+def scan_images(spark: SparkSession, path: str) -> DataFrame:
+    """path, height, width, channels, px: images packed as bytes, row by row, in RGB order (the decoder gives BGR). Broken files, whether no image at all, cut off or
+    empty, are left out; ``broken_images`` counts them."""
+    raw = spark.read.format("image").option("dropInvalid", "true").option("ignoreCorruptFiles", "true").option("recursiveFileLookup", "true").load(path).select("image.*")
 
     def run(batches):
         for b in batches:
             px = []
             for c, data in zip(b.column(3).to_pylist(), b.column(4)):
                 im = np.frombuffer(data.as_buffer(), np.uint8).reshape(-1, c)
-                px.append((im[:, [2, 1, 0, *range(3, c)]] if c >= 3 else im).ravel().astype(np.int32))
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(px, pa.list_(pa.int32()))], names=["path", "height", "width", "channels", "px"])
+                px.append((im[:, [2, 1, 0, *range(3, c)]] if c >= 3 else im).tobytes())
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(px, pa.binary())], names=["path", "height", "width", "channels", "px"])
+
+    return raw.select("origin", "height", "width", "nChannels", "data").mapInArrow(run, "path string, height int, width int, channels int, px binary")
+
+
+def broken_images(files: DataFrame, images: DataFrame) -> DataFrame:
+    """The files of a listing (path) that ``scan_images`` could not decode. Paths may have a scheme or not."""
+    plain = lambda c: F.regexp_replace(c, "^[a-z0-9]+:/+", "/")
+    good = images.select(plain(F.col("path")).alias("_p"))
+    return files.join(good.hint("merge"), plain(F.col("path")) == F.col("_p"), "left_anti")
+
+
+def read_images(spark: SparkSession, path: str) -> DataFrame:
+    """``scan_images`` with the pixels as an array."""
+    return unpack(scan_images(spark, path))
+
 
-    slim = raw.select("origin", "height", "width", "nChannels", "data")
-    return slim.mapInArrow(run, "path string, height int, width int, channels int, px array<int>")
+def scan_masks(spark: SparkSession, path: str) -> DataFrame:
+    """path, height, width, px: one 8-bit channel, packed. Files of three or more channels are turned to luma."""
+    return K.map_images(scan_images(spark, path), K.to_luma, "path", packed=True).drop("channels")
 
 
 def read_masks(spark: SparkSession, path: str) -> DataFrame:
-    """path, height, width, px: one 8-bit channel."""
-    m = read_images(spark, path)
-    return m.select("path", "height", "width", F.when(F.col("channels") >= 3, I.rgb_to_luma(F.col("px"))).otherwise(F.col("px")).alias("px"))
+    """``scan_masks`` with the pixels as an array."""
+    return unpack(scan_masks(spark, path))
 
 
 def read_captions(spark: SparkSession, path: str) -> DataFrame:
