@@ -316,6 +316,83 @@ def align(pairs: DataFrame, key: str = "image_id") -> DataFrame:
     return plain(pairs.filter(~odd), F.col("px_a")).unionByName(plain(other.join(fitted.hint("merge"), F.col(key) == F.col("_k")), F.col("_px")))
 
 
+def _maxima(key: str, spare: int) -> Callable:
+    """Batches of key, salt, height, width, px -> the pixel-wise maximum of the masks of each key and salt. Up to ``spare`` values are held at a time; when there are more, what
+    has been gathered is given out, to be merged later."""
+    names = [key, "salt", "height", "width", "px"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        room = spare
+
+        def give(kinds) -> pa.RecordBatch:
+            cols = [[k[j] for k in held] for j in range(4)] + [[v.tobytes() for v in held.values()]]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
+
+        kinds = None
+        for b in batches:
+            kinds = [b.column(j).type for j in range(5)]
+            for *at, px in zip(*(b.column(j).to_pylist() for j in range(5))):
+                new, old = np.frombuffer(px, np.uint8), held.get(tuple(at))
+                if old is None:
+                    held[tuple(at)] = new.copy()
+                    room -= len(new)
+                    if room < 0:
+                        yield give(kinds)
+                        room = spare
+                else:
+                    np.maximum(old, new, out=old)
+        if held:
+            yield give(kinds)
+
+    return run
+
+
+#: Values of masks that a task of ``merge_masks`` holds, and salts over which the masks of one image are spread.
+HELD, SALTS = 64_000_000, 32
+
+
+def merge_masks(masks: DataFrame, key: str = "image_id") -> DataFrame:
+    """``masks``: key, height, width, px (packed, one channel). The pixel-wise maximum of all masks of an image: key, height, width, px.
+
+    Each task first merges what it reads, so few rows of an image are shuffled; these meet by image and salt, and then by image. Rows stand by image there, so
+    a task holds one mask at a time (before the shuffles: HELD values), and an image may have any number of masks. Masks of one image must share their size, else
+    each size gives a row; null pixels are left out; an empty table gives an empty result."""
+    kind = f"{key} {masks.schema[key].dataType.simpleString()}, salt int, height int, width int, px binary"
+    n = int(masks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salt = F.pmod(F.spark_partition_id(), F.lit(SALTS)).cast("int").alias("salt")
+    out = masks.filter(F.col("px").isNotNull()).select(key, salt, "height", "width", "px").mapInArrow(_maxima(key, HELD), kind)
+    for by in ([key, "salt"], [key]):
+        rows = out.repartition(n, *by).select(key, F.col("salt") if len(by) > 1 else F.lit(0).alias("salt"), "height", "width", "px")
+        out = rows.sortWithinPartitions(*by, "height", "width").mapInArrow(_sorted_maxima(key), kind)
+    return out.drop("salt")
+
+
+def _sorted_maxima(key: str) -> Callable:
+    """``_maxima`` for rows that stand together by key, salt and size: one mask is held."""
+    names = [key, "salt", "height", "width", "px"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, kinds = None, None, None
+        for b in batches:
+            kinds, done = [b.column(j).type for j in range(5)], []
+            for *at, px in zip(*(b.column(j).to_pylist() for j in range(5))):
+                new = np.frombuffer(px, np.uint8)
+                if held is not None and at == now:
+                    np.maximum(held, new, out=held)
+                else:
+                    if held is not None:
+                        done.append((*now, held.tobytes()))
+                    now, held = at, new.copy()
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), kinds)], names=names)
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip((*now, held.tobytes()), kinds)], names=names)
+
+    return run
+
+
 def median_exploded(images: DataFrame, kernel_size: int = 3) -> DataFrame:
     """The median filter of one-channel images as rows: image_id, y, x, v. Every pixel meets its neighbours by a generated offset and
     the border is repeated by clamping, so no join is needed."""

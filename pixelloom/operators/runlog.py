@@ -1,10 +1,14 @@
 """Run-log analytics: step windows, best so far, early stopping, retention, smoothing."""
 from __future__ import annotations
 
+import math
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.scratch import materialize
 from .sampling import in_blocks
 
 
@@ -77,10 +81,57 @@ def periodic(log: DataFrame, every: int) -> DataFrame:
     return log.join(F.broadcast(last), ((F.col("step") + 1) % every == 0) | (F.col("step") == F.col("last"))).drop("last")
 
 
+def _fold(table: pa.Table, whole: bool) -> pa.Table:
+    """One block of rows (_i, _key, _a, _c, _s, _x): the values x = _a * x + _c along _i within each _key, from _x, what came before (null: nothing, so the first
+    value is _s). ``whole``: instead a row for each key, with the one step that the block comes to (_a, _c, _s)."""
+    t = table.sort_by("_i")
+    keys, x = t.column("_key").to_pylist(), t.column("_x").to_pylist()
+    a, c, s = ([math.nan if v is None else v for v in t.column(n).to_pylist()] for n in ("_a", "_c", "_s"))
+    rows: list[tuple] = []
+    now, first = object(), True
+    for k, key in enumerate(keys):
+        if first or key != now:
+            if whole and not first:
+                rows.append((now, fa, fc, v))
+            now, first = key, False
+            fa, fc = a[k], c[k]
+            v = s[k] if x[k] is None else a[k] * x[k] + c[k]
+        else:
+            fa, fc, v = fa * a[k], a[k] * fc + c[k], a[k] * v + c[k]
+        if not whole:
+            rows.append(v)
+    if not whole:
+        return pa.table({"_i": t.column("_i"), "_v": pa.array(rows, pa.float64(), from_pandas=True)})
+    if keys:
+        rows.append((now, fa, fc, v))
+    cols = list(zip(*rows)) or [(), (), (), ()]
+    return pa.table({"_b": pa.array([t.column("_b")[0].as_py()] * len(rows), pa.int64()), "_key": pa.array(cols[0], t.schema.field("_key").type), **{n: pa.array(v, pa.float64(), from_pandas=True) for n, v in zip(("_a", "_c", "_s"), cols[1:])}})
+
+
+def affine_scan(rows: DataFrame, key: str, order: str, a: Column, c: Column, start: Column) -> DataFrame:
+    """Add _v: x = a * x + c along ``order`` for each ``key``; the first row of a key has ``start``.
+
+    Such steps can be put together before they are applied: every block of rows comes to one step for each key in it, the steps of the blocks are scanned in the
+    same way, and the value that so enters a block starts its rows. So a series of any length is spread over many tasks, and a task holds one block."""
+    g = in_blocks(rows.withColumns({"_key": F.col(key), "_a": a.cast("double"), "_c": c.cast("double"), "_s": start.cast("double")}), [key, order])
+    kind = rows.schema[key].dataType.simpleString()
+    slim = g.select("_i", "_b", "_key", "_a", "_c", "_s")
+    last = g.agg(F.max("_b")).first()[0]
+    if not last:
+        entered = slim.withColumn("_x", F.lit(None).cast("double"))
+    else:
+        steps = slim.withColumn("_x", F.lit(None).cast("double")).groupBy("_b").applyInArrow(lambda t: _fold(t, True), f"_b bigint, _key {kind}, _a double, _c double, _s double")
+        steps = materialize(steps, "scan-steps")
+        after = affine_scan(steps.select(F.col("_b").alias("at"), F.col("_key").alias("k"), F.col("_a").alias("sa"), F.col("_c").alias("sc"), F.col("_s").alias("ss")), "k", "at", F.col("sa"), F.col("sc"), F.col("ss"))
+        # A key's blocks follow one another, so the block before has its value, if it began before.
+        after = materialize(after.select(F.col("k").alias("_ek"), (F.col("at") + 1).alias("_eb"), F.col("_v").alias("_x")), "scan-entries")
+        entered = slim.join(after.hint("merge"), (F.col("_b") == F.col("_eb")) & F.col("_key").eqNullSafe(F.col("_ek")), "left").drop("_eb", "_ek")
+    values = entered.groupBy("_b").applyInArrow(lambda t: _fold(t, False), "_i bigint, _v double")
+    return g.join(values.withColumnRenamed("_i", "_vi").hint("merge"), F.col("_i") == F.col("_vi")).drop("_i", "_b", "_key", "_a", "_c", "_s", "_vi")
+
+
 def ema(series: DataFrame, key: str, order: str, value: str, decay: float) -> DataFrame:
-    """Exponential moving average of the series of each key at its last point: the ordered points are folded in one expression. Meant for
-    series of bounded length (points per key and window)."""
-    points = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))))
-    s = series.groupBy(key).agg(points.alias("p"))
-    fold = F.aggregate(F.slice("p", F.lit(2), F.size("p")), F.get("p", 0)["v"], lambda a, x: a * decay + x["v"] * (1.0 - decay))
-    return s.select(key, fold.alias("ema"), F.size("p").alias("n"))
+    """Add ema to every point: the exponential moving average of its key's series up to it, which begins with the first value. Series of any length; points of one
+    order stand in any order; a null key is a key; a null value makes the averages from there on null."""
+    v = F.col(value).cast("double")
+    return affine_scan(series, key, order, F.lit(float(decay)), v * (1.0 - decay), v).withColumnRenamed("_v", "ema")

@@ -534,12 +534,27 @@ def p26(spark, sf):
     return e.join(F.broadcast(limits), F.col("image_id") % 3 == F.col("k")).select("image_id", "modality", "method", ((F.col("psnr") > F.col("least_psnr")) & (F.col("dice") > F.col("least_dice"))).alias("accepted"))
 
 
-@query("a18_merge_masks", "SELECT image_id, array_to_string(list(v ORDER BY i), ',') AS px FROM (SELECT image_id // 8 AS image_id, i, max(v) AS v FROM (SELECT image_id, unnest(range(0, 64)) AS i, unnest(px) AS v FROM masks) GROUP BY ALL) GROUP BY image_id")
+_MERGED = "SELECT image_id, array_to_string(list(v ORDER BY i), ',') AS px FROM (SELECT {0} AS image_id, i, max(v) AS v FROM (SELECT image_id, unnest(range(0, 64)) AS i, unnest(px) AS v FROM masks) GROUP BY ALL) GROUP BY image_id"
+
+
+def _merged(masks: DataFrame) -> DataFrame:
+    return K.unpack(K.merge_masks(K.pack(masks))).select("image_id", text(F.col("px")).alias("px"))
+
+
+@query("a18_merge_masks", "WITH m AS (" + _MERGED.format("image_id // 8") + ") SELECT k AS image_id, coalesce(px, array_to_string(list_transform(range(0, 64), lambda i: 0), ',')) AS px FROM (SELECT DISTINCT image_id // 8 AS k FROM gray_images UNION SELECT -1) g LEFT JOIN m ON m.image_id = k")
 def a18(spark, sf):
-    """Few masks an image: they are gathered and merged pixel by pixel, without exploding pixels."""
-    m = V.masks(spark, sf).groupBy(F.floor(F.col("image_id") / 8).cast("long").alias("image_id")).agg(F.collect_list("px").alias("all"))
-    merged = F.aggregate("all", F.array_repeat(F.lit(0), 64), lambda a, x: F.zip_with(a, x, lambda p, q: F.greatest(p, q)))
-    return m.select("image_id", text(merged).alias("px"))
+    """Several masks an image, and none for image -1: its mask is zero."""
+    of = lambda d: d.withColumn("image_id", F.floor(F.col("image_id") / 8).cast("long"))
+    images = of(V.gray_images(spark, sf).select("image_id")).distinct().unionByName(spark.range(1).select((F.col("id") - 1).alias("image_id")))
+    merged = _merged(of(V.masks(spark, sf))).withColumnRenamed("image_id", "mid")
+    out = images.join(merged.hint("merge"), F.col("image_id") == F.col("mid"), "left")
+    return out.select("image_id", F.coalesce("px", text(F.array_repeat(F.lit(0), 64))).alias("px"))
+
+
+@query("a18_merge_many_masks", _MERGED.format("image_id % 3"))
+def a18_many(spark, sf):
+    """A third of all masks belongs to each of three images."""
+    return _merged(V.masks(spark, sf).withColumn("image_id", F.col("image_id") % 3))
 
 
 @query("a25_distinct_labels", "SELECT image_id, array_to_string(list_sort(list_distinct(px)), ',') AS labels, len(list_distinct(px))::INT AS n FROM masks")

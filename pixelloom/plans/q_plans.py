@@ -229,11 +229,19 @@ def w9(spark, sf):
     return R.latest(names(spark, sf))
 
 
-@query("w11_ema", """WITH RECURSIVE p AS (SELECT epoch, loss, row_number() OVER (PARTITION BY epoch ORDER BY step) AS k FROM run_log),
-e AS (SELECT epoch, k, loss AS v FROM p WHERE k = 1 UNION ALL SELECT p.epoch, p.k, e.v * 0.9 + p.loss * 0.1 FROM e JOIN p ON p.epoch = e.epoch AND p.k = e.k + 1)
-SELECT epoch, round(arg_max(v, k), 6) AS ema, max(k)::INT AS n FROM e GROUP BY epoch""")
+@query("w11_ema", """WITH RECURSIVE p AS (SELECT step, epoch, loss, row_number() OVER (PARTITION BY epoch ORDER BY step) AS k FROM run_log),
+e AS (SELECT step, epoch, k, loss AS v FROM p WHERE k = 1 UNION ALL SELECT p.step, p.epoch, p.k, e.v * 0.9 + p.loss * 0.1 FROM e JOIN p ON p.epoch = e.epoch AND p.k = e.k + 1)
+SELECT step, epoch, round(v, 6) AS ema FROM e""")
 def w11(spark, sf):
-    return R.ema(V.run_log(spark, sf), "epoch", "step", "loss", 0.9).select("epoch", r6(F.col("ema")).alias("ema"), "n")
+    return R.ema(V.run_log(spark, sf).select("step", "epoch", "loss"), "epoch", "step", "loss", 0.9).select("step", "epoch", r6(F.col("ema")).alias("ema"))
+
+
+# 0.9 ** 400 is beyond what a double has beside 1.
+@query("w11_ema_series", "SELECT a.step, round(sum(b.loss * pow(0.9, a.step - b.step) * CASE WHEN b.step = 0 THEN 1 ELSE 0.1 END), 6) AS ema FROM run_log a JOIN run_log b ON b.step BETWEEN a.step - 400 AND a.step GROUP BY a.step")
+def w11_series(spark, sf):
+    """All events as one series."""
+    log = V.run_log(spark, sf).select(F.lit("run").alias("run"), "step", "loss")
+    return R.ema(log, "run", "step", "loss", 0.9).select("step", r6(F.col("ema")).alias("ema"))
 
 
 @query("w15_periodic_steps", "SELECT step FROM run_log WHERE (step + 1) % 100 = 0 OR step = (SELECT max(step) FROM run_log)")
