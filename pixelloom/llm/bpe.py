@@ -7,6 +7,9 @@ recursion ends where no pair is left. Decoding joins ids to the vocabulary and a
 All places of a word's least pair are contracted in one step. Contracting the leftmost alone, again and again, comes to the same as long as every
 token of the vocabulary encodes to itself: then a pair that arises from a token never ranks below it. ``check_ranks`` proves that of
 a rank file. Words are cut where two bytes meet that stand side by side in no token, since no pair can span that place.
+
+A long word is encoded in windows from left to right. Each begins at a token of the one before, some way from its end. Two encodings that stand side by side
+are the encoding of both texts together if the tokens that meet encode, as one text, to themselves; where they do not, the window begins earlier.
 """
 from __future__ import annotations
 
@@ -21,8 +24,10 @@ from pyspark.sql import functions as F
 
 from .chunks import PieceCache, gather
 
-#: Bytes of words in a recursive query (a longer word has one of its own), and what a database may hold of memory.
+#: Bytes of words in a recursive query, and what a database may hold of memory.
 QUERY_BYTES, MEMORY = 512 << 10, "800MB"
+#: Bytes of a window of a longer word, and ids of a text that are decoded in one string.
+WINDOW, DECODED = 128 << 10, 1 << 18
 
 # The recursion keeps one row for each place g of a token t in part w of a word, with the place ng and token nt after it; a step
 # changes the rows of contracted places, and puts -1 where a token has gone. In a run of one token every second place is taken.
@@ -57,6 +62,9 @@ class Codec:
 
         ranks = read_ranks(path)
         self.split = regex.compile(pattern).findall
+        self.size = np.zeros(max(ranks.values()) + 1, np.int64)
+        for token, rank in ranks.items():
+            self.size[rank] = len(token)
         self.byte_id = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.joined = np.zeros((256, 256), bool)
         for token in ranks:
@@ -98,8 +106,44 @@ class Codec:
         self.db.unregister("words")
         return found["t"].astype(np.uint32), np.diff(np.concatenate(([0], np.searchsorted(found["g"], ends))))
 
-    def words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of words (none empty) in a row, and how many each has. Words of like length share a query, as they end after like numbers of steps."""
+    def _windows(self, word: bytes) -> np.ndarray:
+        """The ids of a word of any length, window by window."""
+        ids, ends = self._window(word, 0)
+        while ends[-1] < len(word):
+            # Begin at the end of a token a quarter of a window back, or further where the tokens do not go together.
+            back = WINDOW // 4
+            while True:
+                k = int(np.searchsorted(ends, ends[-1] - back, "right")) - 1
+                if k < 0:
+                    raise ValueError(f"no two windows of a word of {len(word)} bytes go together")
+                more, at = self._window(word, int(ends[k]))
+                met = word[int(ends[k - 1]) if k else 0 : int(at[0])]
+                if np.array_equal(self._query([met])[0], [ids[k], more[0]]):
+                    break
+                back *= 2
+            ids, ends = np.concatenate((ids[: k + 1], more)), np.concatenate((ends[: k + 1], at))
+        return ids
+
+    def _window(self, word: bytes, start: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the window that begins at ``start``, and where each ends in the word."""
+        ids = self._query([word[start : start + WINDOW]])[0]
+        return ids, start + np.cumsum(self.size[ids])
+
+    def words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of words (none empty) in a row, and where each begins and how many it has. Words of like length share a query, as they end after like numbers
+        of steps; words longer than a window are encoded by themselves."""
+        long = [k for k, w in enumerate(words) if len(w) > WINDOW]
+        if long:
+            flat, start, count = self.words([w for w in words if len(w) <= WINDOW])
+            at = np.array([k for k, w in enumerate(words) if len(w) <= WINDOW], np.int64)
+            starts, counts = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+            starts[at], counts[at] = start, count
+            flats, end = [flat], len(flat)
+            for k in long:
+                flats.append(self._windows(words[k]))
+                starts[k], counts[k] = end, len(flats[-1])
+                end += len(flats[-1])
+            return np.concatenate(flats), starts, counts
         size = np.fromiter(map(len, words), np.int64, len(words))
         order = np.argsort(size, kind="stable")
         full = np.cumsum(size[order])
@@ -128,6 +172,21 @@ class Codec:
 
     def decode(self, flat: np.ndarray, count: np.ndarray) -> list[bytes]:
         """``flat``: the ids of texts in a row, ``count``: how many each has."""
+        parts = -(-count // DECODED)
+        text = np.repeat(np.arange(len(count)), parts)
+        size = np.full(len(text), DECODED, np.int64)
+        last = np.cumsum(parts)[parts > 0] - 1
+        size[last] = count[parts > 0] - (parts[parts > 0] - 1) * DECODED
+        out: list[list[bytes]] = [[] for _ in count]
+        ends, a = np.cumsum(size), 0
+        while a < len(text):
+            z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + 2 * DECODED, "right")))
+            for k, x in zip(text[a:z].tolist(), self._decoded(flat[(ends[a - 1] if a else 0) : ends[z - 1]], size[a:z])):
+                out[k].append(x)
+            a = z
+        return [b"".join(x) for x in out]
+
+    def _decoded(self, flat: np.ndarray, count: np.ndarray) -> list[bytes]:
         d = np.repeat(np.arange(len(count), dtype=np.int32), count)
         self.db.register("ids", pa.table({"d": d, "p": np.arange(len(flat), dtype=np.int32), "t": flat.astype(np.int32)}))
         rows = self.db.execute("SELECT d, count(*) AS n, string_agg(bytes, '' ORDER BY p) AS x FROM ids JOIN vocabulary ON id = t GROUP BY d").fetchall()
@@ -137,7 +196,7 @@ class Codec:
             if found != count[d]:
                 raise ValueError("an id is not in the vocabulary")
             out[d] = bytes.fromhex(x)
-        if len(rows) != int((count > 0).sum()):
+        if len(rows) != len(count):
             raise ValueError("an id is not in the vocabulary")
         return out
 
@@ -177,10 +236,12 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text: str = "text", key: s
 
     def run(batches):
         codec = _codec(ranks, pattern)
-        for b in batches:
-            for at, to, flat, count in codec.cache.encode_texts(b.column(1)):
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, to - at), _lists(flat, count)], names=["doc_id", "ids"])
-        codec.rest()
+        try:
+            for b in batches:
+                for at, to, flat, count in codec.cache.encode_texts(b.column(1)):
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(at, to - at), _lists(flat, count)], names=["doc_id", "ids"])
+        finally:
+            codec.rest()
 
     return _body(docs, text, key).mapInArrow(run, "doc_id bigint, ids array<int>")
 
@@ -191,10 +252,12 @@ def round_trip(docs: DataFrame, ranks: str, pattern: str, text: str = "text", ke
 
     def run(batches):
         codec = _codec(ranks, pattern)
-        for b in batches:
-            for at, to, flat, count in codec.cache.encode_texts(b.column(1)):
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, to - at), _lists(flat, count), pa.array(codec.decode(flat, count), pa.binary())], names=["doc_id", "ids", "decoded"])
-        codec.rest()
+        try:
+            for b in batches:
+                for at, to, flat, count in codec.cache.encode_texts(b.column(1)):
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(at, to - at), _lists(flat, count), pa.array(codec.decode(flat, count), pa.binary())], names=["doc_id", "ids", "decoded"])
+        finally:
+            codec.rest()
 
     return _body(docs, text, key).mapInArrow(run, "doc_id bigint, ids array<int>, decoded binary")
 
@@ -204,17 +267,19 @@ def decode(tokens: DataFrame, ranks: str, pattern: str) -> DataFrame:
 
     def run(batches):
         codec = _codec(ranks, pattern)
-        for b in batches:
-            count = pc.fill_null(pc.list_value_length(b.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            flat = b.column(1).flatten().to_numpy(zero_copy_only=False)
-            ends = np.cumsum(count)
-            a = 0
-            while a < len(count):
-                z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + (1 << 19), "right")))
-                lo, hi = int(ends[a - 1]) if a else 0, int(ends[z - 1])
-                part = b.slice(a, z - a)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(codec.decode(flat[lo:hi], count[a:z]), pa.binary())], names=["doc_id", "ids", "decoded"])
-                a = z
-        codec.rest()
+        try:
+            for b in batches:
+                count = pc.fill_null(pc.list_value_length(b.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                flat = b.column(1).flatten().to_numpy(zero_copy_only=False)
+                ends = np.cumsum(count)
+                a = 0
+                while a < len(count):
+                    z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + (1 << 19), "right")))
+                    lo, hi = int(ends[a - 1]) if a else 0, int(ends[z - 1])
+                    part = b.slice(a, z - a)
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(codec.decode(flat[lo:hi], count[a:z]), pa.binary())], names=["doc_id", "ids", "decoded"])
+                    a = z
+        finally:
+            codec.rest()
 
     return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, ids array<int>, decoded binary")

@@ -334,3 +334,23 @@ def test_chat_long_chain_and_ties(spark):
     assert [t["text"] for t in out[2]["turns"]] == ["a", "a", "b"] and out[None]["n_turns"] == 1
     assert chat.format_conversations(df.limit(0)).count() == 0
     assert hashlib.sha256(b"").hexdigest()
+
+
+def test_words_longer_than_a_window(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    codec = bpe.Codec(path, public_tokenizers.PATTERN)
+    plain = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})._core_bpe.encode_single_piece
+    rng = np.random.default_rng(2)
+    letters = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 30_000))
+    words = ["x" + "a" * 9001, letters, "q" + "abc" * 3000, "short", "é日" * 3000, "".join("a" * int(k) + "the" * int(k % 7) for k in rng.integers(1, 400, 60))]
+    for window in (256, 1024, 1 << 17):
+        monkeypatch.setattr(bpe, "WINDOW", window)
+        flat, start, count = codec.words([w.encode() for w in words])
+        assert [flat[a : a + n].tolist() for a, n in zip(start, count)] == [plain(w.encode()) for w in words]
+    monkeypatch.setattr(bpe, "DECODED", 100)
+    ids = [flat[a : a + n] for a, n in zip(start, count)] + [flat[:0]]
+    assert codec.decode(np.concatenate(ids), np.array([len(x) for x in ids])) == [w.encode() for w in words] + [b""]
+    huge = b"a" * 4_000_000
+    flat, _, _ = codec.words([huge])
+    assert codec.decode(flat, np.array([len(flat)])) == [huge] and len(flat) == 1_000_000
+    codec.rest()
