@@ -35,6 +35,13 @@ def _classified(lines: DataFrame, line: str, required: tuple[str, ...]) -> DataF
     return lines.select("*", F.inline(let(X.strip(F.col(line)), lambda s: let(_parsed(s), lambda v: judged(s, v)))))
 
 
+def judged_lines(lines: DataFrame, key: str, line: str = "line") -> DataFrame:
+    """All lines: ``key``, image_path, caption, mask_path, text_only (of valid ones), line, reason."""
+    field = lambda k: F.when(F.col("reason") == "ok", F.try_variant_get(F.col("_v"), f"$.r.{k}", "string")).alias(k)
+    out = _classified(lines, line, REQUIRED).select(key, field("image_path"), field("caption"), field("mask_path"), F.col(line).alias("line"), "reason")
+    return out.select(key, "image_path", "caption", "mask_path", F.when(F.col("reason") == "ok", F.col("mask_path").isNull()).alias("text_only"), "line", "reason")
+
+
 def parse_lines(lines: DataFrame, key: str, line: str = "line") -> DataFrame:
     """The records of valid lines: ``key``, image_path, caption, mask_path, text_only, extra (the whole record as a variant)."""
     ok = _classified(lines, line, REQUIRED).filter(F.col("reason") == "ok")

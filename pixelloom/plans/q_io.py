@@ -43,19 +43,42 @@ def s2(spark, sf):
     return RD.read_jsonl(spark, _lines_folder(spark, sf)).select("image_path", "caption", "mask_path", "text_only")
 
 
+def _ingested(spark, sf) -> str:
+    """Shards that arrive in two goes, taken in by two calls, two files to a micro-batch."""
+    path, lines = scratch(spark, "stream"), V.manifest_lines(spark, sf)
+    for part in (F.col("line_no") % 5 < 3, F.col("line_no") % 5 >= 3):
+        lines.filter(part).select("line").repartition(4).write.mode("append").text(f"{path}/in")
+        ST.ingest_shards(spark, f"{path}/in", f"{path}/out", f"{path}/checkpoint", 2)
+    return f"{path}/out"
+
+
 @query("t1_stream_ingest", _REC)
 def t1(spark, sf):
-    path = scratch(spark, "stream")
-    ST.ingest_shards(spark, _lines_folder(spark, sf), f"{path}/out", f"{path}/checkpoint")
-    return spark.read.parquet(f"{path}/out").select("image_path", "caption", "mask_path", "text_only")
+    return ST.read_records(spark, _ingested(spark, sf)).select("image_path", "caption", "mask_path", "text_only")
+
+
+@query("t1_stream_rejected", f"SELECT reason, count(*) AS n, sum(length(line))::BIGINT AS chars FROM (SELECT {QM._REASON} AS reason, line FROM manifest_lines) WHERE reason <> 'ok' GROUP BY reason")
+def t1_rejected(spark, sf):
+    return ST.read_rejected(spark, _ingested(spark, sf)).groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("line")).alias("chars"))
+
+
+@query("t1_stream_counters", QM.SQL["a2_load_counters"])
+def t1_counters(spark, sf):
+    return ST.read_counters(spark, _ingested(spark, sf)).groupBy("reason").agg(F.sum("n").alias("n"))
 
 
-@query("t2_stream_windows", "SELECT step // 30 AS \"window\", round(avg(loss), 6) AS loss, count(*) AS n FROM run_log GROUP BY 1")
+# Windows whose last step came, and a step behind it.
+@query("t2_stream_windows", "SELECT step // 30 AS \"window\", round(avg(loss), 6) AS loss, count(*) AS n FROM run_log WHERE step % 211 < 200 GROUP BY 1 HAVING bool_or((step + 1) % 30 = 0) AND (step // 30 + 2) * 30 <= (SELECT max(step) FROM run_log WHERE step % 211 < 200)")
 def t2(spark, sf):
-    path = scratch(spark, "stream")
-    V.run_log(spark, sf).select("step", "loss").repartition(3, "step").write.parquet(f"{path}/in")
-    ST.step_monitor(spark, f"{path}/in", f"{path}/out", f"{path}/checkpoint", 30)
-    return ST.latest_windows(spark, f"{path}/out").select("window", F.round("loss", 6).alias("loss"), "n")
+    """The log comes in five files, rows up to 25 steps late; the monitor is stopped and started between them. Some steps are missing."""
+    path, log = scratch(spark, "stream"), V.run_log(spark, sf).filter(F.col("step") % 211 < 200).select("step", "loss")
+    size = (log.agg(F.max("step")).first()[0] or 0) // 5 + 1
+    part = F.floor((F.col("step") + F.when(F.col("step") % 7 == 0, 25).otherwise(0)) / size)
+    for k in range(6):
+        log.filter(part == k).coalesce(1).write.mode("append").parquet(f"{path}/in")
+        if k in (2, 5):
+            ST.step_monitor(spark, f"{path}/in", f"{path}/out", f"{path}/checkpoint", 30, 30, 1)
+    return ST.read_windows(spark, f"{path}/out").select("window", F.round("loss", 6).alias("loss"), "n")
 
 
 _MANIFEST = "SELECT image_path, caption, mask_path, label FROM manifest"
@@ -75,13 +98,33 @@ def s4(spark, sf):
     return RD.read_jsonl_strict(spark, path).select("image_path", "caption", "mask_path", "label")
 
 
-@query("s3_json_array", "SELECT grp AS image_path, count(*)::INT AS label FROM manifest GROUP BY grp")
+@query("s3_json_array", _MANIFEST)
 def s3(spark, sf):
-    """The rows of each file stand in one array: here one small array of the groups."""
+    """Arrays of 64 rows."""
     path = scratch(spark, "array")
-    g = V.manifest(spark, sf).groupBy("grp").agg(F.count(F.lit(1)).cast("int").alias("label"))
-    g.agg(F.to_json(F.collect_list(F.struct(F.col("grp").alias("image_path"), "label"))).alias("value")).write.text(path)
-    return RD.read_json_array(spark, path).select("image_path", "label")
+    m = V.manifest(spark, sf).select("image_path", "caption", "mask_path", "label", "doc_id")
+    K.write_json_arrays(m, path, F.floor(F.col("doc_id") / 64))
+    return RD.read_json_array(spark, path).select("image_path", "caption", "mask_path", "label")
+
+
+_ID = "CAST(regexp_extract(image_path, '([0-9]+)[.]png', 1) AS BIGINT)"
+_SOURCES = """WITH r AS (SELECT *, doc_id % 3 AS k, row_number() OVER (PARTITION BY doc_id % 3 ORDER BY (doc_id * 1103515245) % 2147483648, doc_id) AS n, count(*) OVER (PARTITION BY doc_id % 3) AS c FROM manifest)
+SELECT CASE k WHEN 0 THEN 'first/' || image_path ELSE image_path END AS image_path, CASE WHEN k <> 1 THEN label END AS label, CASE WHEN k = 2 THEN length(grp)::INT END AS width, CASE k WHEN 1 THEN 'lines' WHEN 2 THEN 'tables' ELSE 'default' END AS _type,
+  CASE k WHEN 1 THEN '/mnt/lines' END AS _image_root FROM r WHERE n <= floor(c * CASE k WHEN 0 THEN 0.5 WHEN 1 THEN 1.0 ELSE 0.25 END)"""
+
+
+@query("s5_catalogue", V.with_views(_SOURCES))
+def s5_catalogue(spark, sf):
+    """A catalogue that is a table, of a source of JSON arrays, one of JSON lines and one of Parquet, whose columns differ."""
+    path, m = scratch(spark, "sources"), V.manifest(spark, sf)
+    part = lambda k, *cols: m.filter(F.col("doc_id") % 3 == k).select("image_path", "caption", *cols)
+    K.write_json_arrays(part(0, "label", "doc_id"), f"{path}/a.json", F.floor(F.col("doc_id") / 64))
+    K.write_manifest(part(1, "mask_path"), f"{path}/b.jsonl")
+    part(2, "label", F.length("grp").alias("width")).write.parquet(f"{path}/c.parquet")
+    kind = "path string, type string, ratio double, key string, root string, image_root string"
+    rows = [(f"{path}/a.json", None, 0.5, _ID, "first", None), (f"{path}/b.jsonl", "lines", 1.0, None, None, "/mnt/lines"), (f"{path}/c.parquet", "tables", 0.25, _ID, None, None)]
+    spark.createDataFrame(rows, kind).write.parquet(f"{path}/catalogue")
+    return RD.read_catalogue(spark, spark.read.parquet(f"{path}/catalogue")).select("image_path", "label", "width", "_type", "_image_root")
 
 
 @query("s10_grades_csv", "SELECT image_path AS image_id, label AS DR_grade FROM manifest")

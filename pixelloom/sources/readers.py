@@ -1,8 +1,6 @@
 """Sources: manifests in several formats, images, listings, logs. All reads are lazy and declare their schemas."""
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,8 +31,8 @@ def read_jsonl_folder(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_json_array(spark: SparkSession, path: str, schema: str = RECORD) -> DataFrame:
-    """A file that is one JSON array."""
-    return spark.read.schema(schema).json(path, multiLine=True)
+    """Files that are one JSON array each, in any folder below ``path``."""
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").json(path, multiLine=True)
 
 
 def read_jsonl_strict(spark: SparkSession, path: str, required: tuple[str, ...] = MF.REQUIRED) -> DataFrame:
@@ -50,22 +48,39 @@ def read_jsonl_strict(spark: SparkSession, path: str, required: tuple[str, ...]
     return c.filter(F.col("reason") == "ok").select("file", F.from_json("line", RECORD).alias("r")).select("file", "r.*")
 
 
-def read_catalogue(spark: SparkSession, sources: list[dict]) -> DataFrame:
-    """Several sources with options (path, type, ratio, root, image_root), concatenated. Unknown extensions are refused before any read."""
+FORMATS = (".json", ".jsonl", ".parquet")
+
+
+def _source(spark: SparkSession, s: dict) -> DataFrame:
+    p = s["path"].rstrip("/")
+    return spark.read.parquet(p) if p.endswith(".parquet") else read_json_array(spark, p) if p.endswith(".json") else read_jsonl_strict(spark, p).drop("file")
+
+
+def read_catalogue(spark: SparkSession, catalogue: DataFrame | list[dict]) -> DataFrame:
+    """Several sources as one table. ``catalogue`` is a table or a list of: path, and if wanted type (default ``default``), ratio (of the rows, an exact number of them, the first by
+    a hash of ``key``, an expression; without one, of the whole row), root (joined to all path columns there are), image_root (attached as _image_root).
+
+    The format follows the path's ending (.json: files that are one array; .jsonl: strict lines; .parquet); any other is refused before anything is read. Sources may have different
+    columns: what one lacks is null, and a column whose types differ is an error that names it. The catalogue has a row a source and is read to the driver, the sources
+    are not."""
     from ..operators.sampling import exact_sample
 
+    sources = [r.asDict() for r in catalogue.collect()] if isinstance(catalogue, DataFrame) else catalogue
     for s in sources:
-        if not s["path"].rstrip("/").endswith((".json", ".jsonl", ".parquet")):
+        if not s["path"].rstrip("/").endswith(FORMATS):
             raise ValueError(f"unknown source format: {s['path']}")
-    parts = []
+    parts, kinds = [], {}
     for s in sources:
-        p = s["path"].rstrip("/")
-        d = spark.read.parquet(p) if p.endswith(".parquet") else read_json_array(spark, p) if p.endswith(".json") else read_jsonl_strict(spark, p).drop("file")
-        if s.get("ratio", 1.0) < 1.0:
-            d = exact_sample(d.withColumn("_k", F.xxhash64(F.to_json(F.struct("*")))), "_k", s["ratio"], 0).drop("_k")
+        d, ratio = _source(spark, s), s.get("ratio")
+        for name, kind in d.dtypes:
+            if kinds.setdefault(name, kind) != kind:
+                raise ValueError(f"column {name} of {s['path']} is {kind}, not {kinds[name]} as in an earlier source")
+        if ratio is not None and ratio < 1.0:
+            key = F.expr(s["key"]) if s.get("key") else F.xxhash64(F.to_json(F.struct("*")))
+            d = exact_sample(d.withColumn("_k", key), "_k", ratio, 0).drop("_k")
         d = MF.prefix_paths(d, s["root"], ("path", "image_url", "image", "image_path")) if s.get("root") else d
-        parts.append(d.withColumns({"_type": F.lit(s.get("type", "default")), "_image_root": F.lit(s.get("image_root"))}))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        parts.append(MF.with_root(d, s.get("image_root")).withColumn("_type", F.lit(s.get("type") or "default")))
+    return MF.union_all(parts)
 
 
 def scan_images(spark: SparkSession, path: str) -> DataFrame:

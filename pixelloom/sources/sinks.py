@@ -1,10 +1,12 @@
 """Sinks: results, batches, manifests, shards, caches, logs."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from .files import write_files
+
 
 def write_run(results: DataFrame, path: str, run_id: str) -> None:
     """Results under a run id of their own; several runs share the table."""
@@ -28,6 +30,12 @@ def write_manifest(manifest: DataFrame, path: str) -> None:
     manifest.write.option("ignoreNullFields", "false").json(path)
 
 
+def write_json_arrays(rows: DataFrame, path: str, chunk: Column) -> None:
+    """Files that are one JSON array each, of the rows that share ``chunk`` (its value is the file's name); nulls are written."""
+    arrays = rows.groupBy(chunk.cast("string").alias("c")).agg(F.to_json(F.collect_list(F.struct(*rows.columns)), {"ignoreNullFields": "false"}).alias("a"))
+    write_files(arrays.select(F.concat("c", F.lit(".json")).alias("name"), F.encode("a", "utf-8").alias("data")), path)
+
+
 def write_evaluation(results: DataFrame, summary: DataFrame, path: str) -> None:
     """Results per pair as a table and the summary as JSON; infinite values, which JSON has not, become null there."""
     results.write.parquet(f"{path}/results")

@@ -15,7 +15,6 @@ from pixelloom.operators import runlog as R
 from pixelloom.operators import sampling as S
 from pixelloom.sources import readers as RD
 from pixelloom.sources import sinks as K
-from pixelloom.streaming import stream as ST
 
 
 def png(path, width, height, rows):
@@ -172,11 +171,3 @@ def test_sinks_and_streams(spark, tmp_path):
     once = K.materialise_once(df, str(tmp_path / "once"))
     assert K.materialise_once(df.limit(0), str(tmp_path / "once")).count() == once.count() == 2
     assert K.cache_path("x", "a/b.c?!") == "x/a-b-c--"
-    src, out, cp = (str(tmp_path / x) for x in ("src", "out", "cp"))
-    spark.createDataFrame([(x,) for x in LINES], "v string").coalesce(1).write.text(src)
-    ST.ingest_shards(spark, src, out, cp)
-    ST.ingest_shards(spark, src, out, cp)  # nothing new
-    assert spark.read.parquet(out).count() == 3
-    spark.createDataFrame([(LINES[0],)], "v string").coalesce(1).write.mode("append").text(src)
-    ST.ingest_shards(spark, src, out, cp)
-    assert spark.read.parquet(out).count() == 4
