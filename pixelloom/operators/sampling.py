@@ -5,24 +5,57 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.image import let
 from ..functions.text import mix_hash
 from ..sources.scratch import materialize
 
 
+#: Rows of a range (a task numbers one range), most ranges, and keys of a range in the sample that sets its bounds.
+RANGE_ROWS, MOST_RANGES, SAMPLED = 1 << 15, 10_000, 20
+
+
+def _bounds(keys: DataFrame, ranges: int, n: int) -> list:
+    """The keys at which ranges of like size begin, from a sample of SAMPLED keys a range."""
+    some = keys.sample(min(1.0, SAMPLED * ranges / n), seed=1).orderBy(*keys.columns).collect()
+    cut = [some[len(some) * k // ranges] for k in range(1, ranges)] if some else []
+    return list(dict.fromkeys(cut))
+
+
+def _range_of(keys: list[Column], bounds: list, schema) -> Column:
+    """How many of the sorted ``bounds`` are not over the keys, by halving."""
+    literal = F.array(*[F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(b, schema)]) for b in bounds])
+    at = F.struct(*[k.alias(f.name) for k, f in zip(keys, schema)])
+
+    def half(s: Column, _: Column) -> Column:
+        mid = ((s["lo"] + s["hi"]) / 2).cast("int")
+        over = let(mid, lambda m: F.when(at >= F.get(literal, m), F.struct((m + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), m.alias("hi"))))
+        return F.when(s["lo"] < s["hi"], over).otherwise(s)
+
+    steps = F.array(*[F.lit(0)] * (len(bounds).bit_length() + 1))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi")), half)["lo"]
+
+
 def global_index(df: DataFrame, order: list, name: str = "idx") -> DataFrame:
-    """A dense 0-based position in the order of ``order`` over all rows, without pulling them into one task: the rows are range
-    partitioned, counted per partition, and numbered inside each with the sum of the counts before it."""
+    """A dense 0-based position of all rows in the ascending order (nulls first) of ``order``, names or expressions.
+
+    The rows are counted, and a sample of their keys is cut into ranges of RANGE_ROWS rows. With these bounds, which stay the same in every pass, the keys are counted by range, and the
+    rows are numbered within their range, behind the sum of the counts before it. Only keys and counts are read in the passes before the last, and nothing is
+    written; so the rows must be the same each time they are read. Rows that share all of ``order`` stand in one range, in any order."""
     cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # The sorted rows are written once: the bounds of the ranges come from a sample, so a second run could cut elsewhere.
-    ranged = df.repartitionByRange(n, *cols).sortWithinPartitions(*cols).withColumn("_m", F.monotonically_increasing_id())
-    ranged = materialize(ranged.withColumn("_p", F.shiftright("_m", 33)), "index")
-    # _m grows by one inside a partition from a start that its number gives, so the local position needs no window.
-    local = F.col("_m") - F.shiftleft("_p", 33)
-    counts = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
-    base = counts.select(F.col("_p").alias("_bp"), F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    # One row per partition: bounded by the partition count.
-    return ranged.join(F.broadcast(base), F.col("_p") == F.col("_bp")).withColumn(name, (F.col("_b") + local).cast("long")).drop("_p", "_m", "_bp", "_b")
+    keys = df.select(*[c.alias(f"k{i}") for i, c in enumerate(cols)])
+    n = keys.count()
+    ranges = min(-(-n // RANGE_ROWS), MOST_RANGES)
+    bounds = _bounds(keys, ranges, n) if ranges > 1 else []
+    if not bounds:  # RANGE_ROWS rows or fewer
+        return df.withColumn(name, (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*cols)) - 1).cast("long"))
+    names = [F.col(c) for c in keys.columns]
+    counts = keys.groupBy(_range_of(names, bounds, keys.schema).alias("r")).count().collect()
+    before, total = [0] * (len(bounds) + 1), {r["r"]: r["count"] for r in counts}
+    for k in range(len(bounds)):
+        before[k + 1] = before[k] + total.get(k, 0)
+    out = df.withColumn("_range", _range_of(cols, bounds, keys.schema))
+    local = F.row_number().over(Window.partitionBy("_range").orderBy(*cols)) - 1
+    return out.withColumn(name, (F.get(F.array(*[F.lit(x).cast("long") for x in before]), F.col("_range")) + local).cast("long")).drop("_range")
 
 
 def group_ranges(indexed: DataFrame, group: str) -> DataFrame:
@@ -39,7 +72,7 @@ def exact_sample(df: DataFrame, key: str, ratio: float, seed: int) -> DataFrame:
 def exact_sample_per_group(df: DataFrame, group: str, key: str, ratios: DataFrame, seed: int) -> DataFrame:
     """``ratios``: group, ratio. Of every group floor(n * ratio) rows in hash order (groups without a ratio stay whole). The positions are
     counted over all groups, so that a group of any size is spread over many tasks."""
-    ranked = global_index(df, [group, mix_hash(F.col(key), seed), key], "_r")
+    ranked = materialize(global_index(df, [group, mix_hash(F.col(key), seed), key], "_r"), "ranked")
     per = ranked.groupBy(F.col(group).alias("_g")).agg(F.min("_r").alias("_first"), F.count(F.lit(1)).alias("_n"))
     ratios = ratios.select(F.col(group).alias("_rg"), "ratio")
     limit = per.join(ratios, F.col("_g").eqNullSafe(F.col("_rg")), "left").select("_g", "_first", F.floor(F.col("_n") * F.coalesce("ratio", F.lit(1.0))).alias("_k"))
@@ -91,8 +124,9 @@ BLOCK = 1 << 16
 
 
 def in_blocks(df: DataFrame, order: list) -> DataFrame:
-    """Add _i, the position over all rows, and _b, its block: what runs along the order can then run inside blocks, with a carry between them."""
-    return global_index(df, order, "_i").withColumn("_b", F.floor(F.col("_i") / BLOCK))
+    """Add _i, the position over all rows, and _b, its block: what runs along the order can then run inside blocks, with a carry between them. The rows are
+    written, as blocks and carries are read apart."""
+    return materialize(global_index(df, order, "_i").withColumn("_b", F.floor(F.col("_i") / BLOCK)), "blocks")
 
 
 def fallback_items(rows: DataFrame, group: str) -> DataFrame:

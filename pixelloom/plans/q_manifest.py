@@ -175,7 +175,7 @@ def l7(spark, sf):
     from ..operators.sampling import global_index
 
     lines = ops_lines(spark, sf).filter(F.trim("line") != "").select("event_id")
-    return global_index(lines, [F.desc("event_id")]).select("event_id", (F.col("idx") + 1).cast("int").alias("replay"))
+    return global_index(lines, [-F.col("event_id")]).select("event_id", (F.col("idx") + 1).cast("int").alias("replay"))
 
 
 @query("p18_augmented_label", f"SELECT doc_id, coalesce(g, 0) AS label, {_CAPTION.format('coalesce(g, 0)::VARCHAR')} AS caption, NULL::VARCHAR AS mask_path FROM (SELECT doc_id, CASE WHEN mask_path IS NOT NULL THEN label END AS g FROM manifest)")

@@ -22,12 +22,11 @@ def gray_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rgb_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three gray images as the channels of one: ids 3k, 3k + 1, 3k + 2, gathered with one aggregation."""
+    """Three gray images as the channels of one: ids 3k, 3k + 1, 3k + 2, gathered with one aggregation. Channels that the last ids do not fill are zero."""
     g = gray_images(spark, sf_dir)
     plane = lambda c: F.max(F.when(F.col("image_id") % 3 == c, F.col("px")))
     k = g.groupBy(F.floor(F.col("image_id") / 3).cast("long").alias("image_id")).agg(plane(0).alias("r"), plane(1).alias("g"), plane(2).alias("b"))
-    k = k.filter(F.col("r").isNotNull() & F.col("g").isNotNull() & F.col("b").isNotNull())
-    px = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.array(F.get("r", i), F.get("g", i), F.get("b", i))))
+    px = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.array(*[F.coalesce(F.get(c, i), F.lit(0)) for c in "rgb"])))
     return k.select("image_id", F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(3).alias("channels"), px.alias("px"))
 
 
@@ -88,7 +87,7 @@ _HALF = "list_transform(range(0, 16), lambda k: px[(2 * (k // 4) + 1) * 8 + 2 *
 
 SQL = {
     "gray_images": "SELECT vec_id AS image_id, 8 AS height, 8 AS width, 1 AS channels, list_transform(embedding, lambda e: floor(greatest(0.0::DOUBLE, least(1.0::DOUBLE, (e::DOUBLE + 1.0) / 2.0)) * 255.0)::INT) AS px FROM embeddings",
-    "rgb_images": "SELECT a.image_id // 3 AS image_id, 8 AS height, 8 AS width, 3 AS channels, flatten(list_transform(range(1, 65), lambda i: [a.px[i], b.px[i], c.px[i]])) AS px FROM gray_images a JOIN gray_images b ON b.image_id = a.image_id + 1 JOIN gray_images c ON c.image_id = a.image_id + 2 WHERE a.image_id % 3 = 0",
+    "rgb_images": "SELECT a.image_id // 3 AS image_id, 8 AS height, 8 AS width, 3 AS channels, flatten(list_transform(range(1, 65), lambda i: [a.px[i], coalesce(b.px[i], 0), coalesce(c.px[i], 0)])) AS px FROM gray_images a LEFT JOIN gray_images b ON b.image_id = a.image_id + 1 LEFT JOIN gray_images c ON c.image_id = a.image_id + 2 WHERE a.image_id % 3 = 0",
     "masks": "SELECT image_id, height, width, list_transform(px, lambda p: CASE WHEN p > 127 THEN 255 ELSE 0 END) AS px FROM gray_images WHERE image_id % 2 = 0",
     "generated": f"SELECT image_id, CASE WHEN image_id % 10 = 0 THEN 4 ELSE 8 END AS side, CASE WHEN image_id % 10 = 0 THEN {_HALF} ELSE px END AS px FROM gray_images",
     "sized_masks": f"SELECT image_id, CASE WHEN image_id % 6 = 0 THEN 4 ELSE 8 END AS side, CASE WHEN image_id % 6 = 0 THEN {_HALF} ELSE px END AS px FROM masks",

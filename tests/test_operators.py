@@ -171,3 +171,19 @@ def test_sinks_and_streams(spark, tmp_path):
     once = K.materialise_once(df, str(tmp_path / "once"))
     assert K.materialise_once(df.limit(0), str(tmp_path / "once")).count() == once.count() == 2
     assert K.cache_path("x", "a/b.c?!") == "x/a-b-c--"
+
+
+def test_positions_over_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(S, "RANGE_ROWS", 60)
+    rows = [(f"g{i * 7 % 5}" if i % 11 else None, (i * 7919) % 1009 if i % 13 else None, float(i % 3), i) for i in range(1500)]
+    df = spark.createDataFrame(rows, "g string, k bigint, v double, i int").repartition(5)
+    key = lambda r: ((r[0] is not None, r[0] or ""), (r[1] is not None, r[1] or 0), r[3])
+    want = {r[3]: n for n, r in enumerate(sorted(rows, key=key))}
+    assert {r["i"]: r["at"] for r in S.global_index(df, ["g", "k", "i"], "at").collect()} == want
+    down = {r["i"]: r["idx"] for r in S.global_index(df, [-F.col("i")]).collect()}
+    assert down == {i: 1499 - i for i in range(1500)}
+    same = S.global_index(df.withColumn("one", F.lit(1)), ["one"]).select("idx").collect()
+    assert sorted(r["idx"] for r in same) == list(range(1500))
+    assert S.global_index(df.limit(0), ["i"]).count() == 0
+    ranges = S.global_index(df, ["i"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in ranges and "_range" in ranges
