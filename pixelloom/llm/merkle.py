@@ -123,7 +123,7 @@ def manifest(docs: DataFrame, columns: tuple[str, ...] = COLUMNS, group: str = "
     carry = carry or {}
     row = F.struct(*[c.alias(k) for k, c in carry.items()]) if carry else F.lit(None).cast("int")
     slim = materialize(docs.select(F.col(group).cast("string").alias("g"), F.col(key).alias("k"), leaf_of(*[F.col(c) for c in columns]).alias("digest"), row.alias("c")), "merkle-leaves")
-    placed = global_index(slim, ["g", "k", "digest"], "at")
+    placed = materialize(global_index(slim, ["g", "k", "digest"], "at"), "merkle-placed")
     groups = placed.groupBy("g").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
     groups = materialize(global_index(groups, ["g"], "s").withColumn("height", height_of(F.col("n"))), "merkle-groups")
     n_groups, highest = groups.agg(F.count(F.lit(1)), F.coalesce(F.max("height"), F.lit(0))).first()
@@ -154,6 +154,6 @@ def manifest(docs: DataFrame, columns: tuple[str, ...] = COLUMNS, group: str = "
     for k in range(rounds):
         out = _jump(out, links[k], few[k])
     out = out.join(subroots.select(F.col("s").alias("ss"), F.col("digest").alias("subroot")).hint(names), F.col("s") == F.col("ss"))
-    discard_tables(slim, groups, *blocks[1:], *top_blocks)
+    discard_tables(slim, placed, groups, *blocks[1:], *top_blocks)
     fields = [F.col(f"c.{k}").alias(k) for k in carry]
     return out.select(F.col("k").alias(key), F.col("g").alias(group), F.col("digest").alias("leaf"), "subroot", F.lit(root["digest"] if root else None).cast("string").alias("root"), F.col("steps").alias("proof"), *fields)
