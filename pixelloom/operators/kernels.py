@@ -265,9 +265,9 @@ def _window_means(x: np.ndarray, window: int) -> np.ndarray:
     """Means of all windows, by running sums along either axis."""
     for axis in (1, 2):
         s = np.cumsum(x, axis=axis)
-        s = np.insert(s, 0, 0.0, axis=axis)
-        n = s.shape[axis]
-        x = np.take(s, np.arange(window, n), axis) - np.take(s, np.arange(0, n - window), axis)
+        cut = lambda a, z: (*[slice(None)] * axis, slice(a, z))  # noqa: B023, E731
+        x = s[cut(window - 1, None)].copy()
+        x[cut(1, None)] -= s[cut(0, -window)]
     return x / (window * window)
 
 
