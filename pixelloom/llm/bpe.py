@@ -26,6 +26,8 @@ from .chunks import PieceCache, gather
 
 #: Bytes of words in a recursive query, and what a database may hold of memory.
 QUERY_BYTES, MEMORY = 512 << 10, "800MB"
+#: Distinct pieces in the younger half of a worker's memory.
+PIECES = 320_000
 #: Bytes of a window of a longer word, and ids of a text that are decoded in one string.
 WINDOW, DECODED = 128 << 10, 1 << 18
 
@@ -74,7 +76,7 @@ class Codec:
         self.tables = {"merges": pa.table([pa.array(c, pa.int32()) for c in zip(*triples)], names=["l", "r", "m"]),
                        "vocabulary": pa.table([pa.array(list(ranks.values()), pa.int32()), pa.array([t.hex() for t in ranks])], names=["id", "bytes"])}
         self._db = None
-        self.cache = PieceCache(self._pieces)
+        self.cache = PieceCache(self._pieces, most=PIECES)
 
     @property
     def db(self):

@@ -64,8 +64,8 @@ class PieceCache:
     """The ids of texts. ``encode(pieces)`` gives the ids of all pieces in a row and the number of each. A text that holds one of
     ``special`` is encoded whole."""
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], special: tuple[str, ...] = ()):
-        self.encode, self.special, self.young, self.old = encode, special, _Half(), _Half()
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], special: tuple[str, ...] = (), most: int | None = None):
+        self.encode, self.special, self.most, self.young, self.old = encode, special, most, _Half(), _Half()
 
     def _learn(self, kind: int, new: list[str]) -> None:
         """Put ``new`` (distinct, none of them there) into the younger half."""
@@ -143,7 +143,7 @@ class PieceCache:
 
     def _cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Slots of the pieces of all texts in a row, and how many pieces each has."""
-        if len(self.young) > MOST:
+        if len(self.young) > (self.most or MOST):
             self.old, self.young = self.young, _Half()
         odd = pc.match_substring_regex(texts, _UNEVEN)
         for s in self.special:
