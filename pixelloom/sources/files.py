@@ -97,7 +97,8 @@ class BinaryFiles(DataSource):
 
 def write_files(rows: DataFrame, path: str, mode: str = "append") -> None:
     """``rows``: name (with folders, if any), data. A file for each row; a null is an empty file. Names must be unique within a task; rows of one name in different
-    tasks become files in the folders of different tasks. Nothing is visible before all is written. The folder may be local, or in any store that pyarrow opens."""
+    tasks become files in the folders of different tasks. Nothing is visible before all is written. The folder may be in any file system that pyarrow opens and that
+    can rename folders (a shared disk, HDFS)."""
     rows.sparkSession.dataSource.register(BinaryFiles)
     rows.select("name", "data").write.format("binary_files").mode(mode).save(path)
 
