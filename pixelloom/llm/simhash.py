@@ -198,16 +198,61 @@ def links(fps: DataFrame, half: int = 2, bits: int = BITS) -> DataFrame:
     return rows.groupBy("bucket").applyInArrow(meet, "t int, a bigint, b bigint")
 
 
-def rivals(marked: DataFrame, half: int, bits: int, most: int) -> DataFrame:
-    """``marked``: t, fp, th, g, fps (the fingerprints of all tables). The pairs (a, b) of th, a < b, of different g whose fingerprints lie within
-    ``2 * half`` bits in a table and within ``most`` bits in all together. A pair is given in the first such table, by the bucket of one variant
-    that both ends agree on."""
+def parities(values: np.ndarray) -> np.ndarray:
+    """A bit for each class of hashes (of a set, by their trailing bits): whether the set has an odd number of them. Bits in which two sets differ are no more than
+    the members that only one of them has, however large what they share. Words of 64 bits, a power of two of them and three bits a member at least,
+    up to MOST_PARITY words; folded in half by exclusive or, they are those of half as many classes."""
+    words = 1
+    while 64 * words < 3 * len(values) and words < MOST_PARITY:
+        words *= 2
+    odd = np.bincount((values & _U(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+class _Parities:
+    """The parities of many sets, of different lengths, for comparing pairs of them."""
+
+    def __init__(self, rows: pa.ListArray, size: np.ndarray, similarity: float):
+        self.size, self.similarity, self.at = size, similarity, {}
+        flat, ends = rows.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.cumsum(rows.value_lengths().to_numpy(zero_copy_only=False))
+        self.length = np.diff(np.concatenate(([0], ends)))
+        folded = None
+        for n in np.unique(self.length)[::-1].tolist():
+            own = np.flatnonzero(self.length == n)
+            part = flat[(ends[own] - n)[:, None] + np.arange(n)]
+            if folded is not None:
+                who, longer = folded
+                while longer.shape[1] > n:
+                    longer = longer[:, : longer.shape[1] // 2] ^ longer[:, longer.shape[1] // 2 :]
+                own, part = np.concatenate((who, own)), np.concatenate((longer, part))
+            folded = own, part
+            place = np.full(len(size), -1)
+            place[own] = np.arange(len(own))
+            self.at[n] = place, part
+
+    def may_overlap(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """False for pairs whose overlap (Jaccard) is below ``similarity`` for certain."""
+        a, b = self.size[x], self.size[y]
+        ok = np.minimum(a, b) >= self.similarity * np.maximum(a, b)
+        level = np.minimum(self.length[x], self.length[y])
+        for n, (place, part) in self.at.items():
+            k = np.flatnonzero(ok & (level == n))
+            apart = np.bitwise_count(part[place[x[k]]] ^ part[place[y[k]]]).sum(1, dtype=np.int64)
+            # Sets that differ in d members share (a + b - d) / 2, of (a + b + d) / 2 in all.
+            ok[k] = a[k] + b[k] - apart >= self.similarity * (a[k] + b[k] + apart)
+        return ok
+
+
+def rivals(marked: DataFrame, half: int, bits: int, most: int, similarity: float) -> DataFrame:
+    """``marked``: t, fp, th, g, fps (the fingerprints of all tables), size (members of the set) and sk (their ``parities``). The pairs (a, b) of th, a < b, of different g
+    whose fingerprints lie within ``2 * half`` bits in a table and within ``most`` bits in all together, but those whose parities rule out an overlap of ``similarity``. A pair is
+    given in the first such table, by the bucket of one variant that both ends agree on."""
     rows, prefix = _spread(marked, half, bits)
 
     def meet(key: tuple, table: pa.Table) -> pa.Table:
-        f, th, g = (table.column(c).to_numpy() for c in ("fp", "th", "g"))
+        f, th, g, size = (table.column(c).to_numpy() for c in ("fp", "th", "g", "size"))
         every = table.column("fps").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(f), -1)
-
+        sets = _Parities(table.column("sk").combine_chunks(), size, similarity)
         t, bucket = key[0].as_py() >> 40, key[0].as_py() & ((1 << 40) - 1)
 
         def near():
@@ -216,6 +261,8 @@ def rivals(marked: DataFrame, half: int, bits: int, most: int) -> DataFrame:
                     x, y = a[at : at + 100_000], b[at : at + 100_000]
                     far = np.bitwise_count(every[x] ^ every[y])
                     ok = (far.sum(1, dtype=np.int64) <= most) & (np.argmax(far <= 2 * half, axis=1) == t) & (_middle(every[x, t], every[y, t]) >> _U(bits - prefix) == _U(bucket))
+                    x, y = x[ok], y[ok]
+                    ok = sets.may_overlap(x, y)
                     yield x[ok], y[ok]
 
         pairs = _unique_pairs(near())
@@ -276,6 +323,8 @@ def _labelled(joined: DataFrame, name: str) -> DataFrame:
     return joined.join(label.hint("merge"), "root")
 
 
+#: Words of parities of a set, at most: of sets up to 10,000 members they tell overlaps of 0.75 from those of 0.8, and of larger ones fewer and fewer.
+MOST_PARITY = 512
 #: Near copies are texts whose sets of five-word shingles overlap (Jaccard) by SIMILARITY or more. Their fingerprints have one bit for each of PRINT_BITS
 #: min-hashes of the shingles, so that a bit differs with probability (1 - overlap) / 2 wherever the edits lie. Candidates lie within four bits
 #: in one of TABLES such fingerprints: of pairs that overlap by 0.8, all but 0.53 ** 12 = 5 in 10,000; of those by 0.85, all but one in a million. In crowds they also
@@ -324,8 +373,8 @@ def copy_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
 
     Texts of equal words are one class. Classes of one fingerprint, and fingerprints within a ball, are candidates, and a candidate is a
     copy if the shingle sets prove it. Of each ball the edges of a spanning forest around its hubs are compared first, and of the classes of one
-    fingerprint each with the smallest; then all candidate pairs that this has not brought into one group, so
-    none is left out. Documents without words are no copies of each other.
+    fingerprint each with the smallest; then all candidate pairs that this has not brought into one group and
+    whose parities do not rule the overlap out, so none is left out. Documents without words are no copies of each other.
     Null ids take part; a group of null ids alone has a null group_id. Repeated rows are returned as often as they stand; other columns
     are ignored; an empty table gives an empty result."""
     spark = docs.sparkSession
@@ -355,18 +404,21 @@ def copy_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
 
     def sets(batches):
         for b in batches:
-            th, rows = [], []
+            th, rows, size, odd = [], [], [], []
             for t in b.column(0).to_pylist():
                 words = t.lower().split()
                 x = xxhash.xxh64_intdigest(b" ".join(words), 3)
                 th.append(x - (1 << 64) * (x >> 63))
-                rows.append(_shingles(words).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(th, pa.int64()), pa.array(rows, pa.binary())], names=["n", "s"])
+                s = _shingles(words)
+                rows.append(s.tobytes())
+                size.append(len(s))
+                odd.append(parities(s).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(th, pa.int64()), pa.array(rows, pa.binary()), pa.array(size, pa.int64()), pa.array(odd, pa.list_(pa.int64()))], names=["n", "s", "size", "sk"])
 
     # One document of each candidate class: its text is found by the class's smallest id (or by the class itself where ids are null).
     chosen = classes.join(nodes.hint("merge"), F.col("th") == F.col("n"), "left_semi").select(F.col("first").alias("cf"))
     chosen = materialize(chosen.distinct(), "copies-chosen")
-    shingled = materialize(body.join(chosen.hint("merge"), F.col("doc_id").eqNullSafe(F.col("cf")), "left_semi").select("t").mapInArrow(sets, "n bigint, s binary").groupBy("n").agg(F.any_value("s").alias("s")), "copies-shingles")
+    shingled = materialize(body.join(chosen.hint("merge"), F.col("doc_id").eqNullSafe(F.col("cf")), "left_semi").select("t").mapInArrow(sets, "n bigint, s binary, size bigint, sk array<bigint>").groupBy("n").agg(F.any_value("s").alias("s"), F.any_value("size").alias("size"), F.any_value("sk").alias("sk")), "copies-shingles")
     release(spark)
 
     def overlap(batches):
@@ -389,8 +441,9 @@ def copy_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     mixed = materialize(_group_pairs(pairs, live).select(F.explode(F.array("a", "b")).alias("g")).distinct(), "copies-mixed")
     if mixed.limit(1).count():
         crowd = materialize(live.join(mixed.hint("merge"), "g").select(F.col("th").alias("mth"), "g"), "copies-crowd")
-        crowd = materialize(classes.join(crowd.hint("merge"), F.col("th") == F.col("mth")).select(F.posexplode("fps").alias("t", "fp"), "th", "g", "fps"), "copies-crowd")
-        rest = materialize(rivals(crowd, 2, PRINT_BITS, ALL_BITS).distinct().join(pairs.hint("merge"), ["a", "b"], "left_anti"), "copies-rest")
+        crowd = classes.join(crowd.hint("merge"), F.col("th") == F.col("mth")).join(shingled.select("n", "size", "sk").hint("merge"), F.col("th") == F.col("n"))
+        crowd = materialize(crowd.select(F.posexplode("fps").alias("t", "fp"), "th", "g", "fps", "size", "sk"), "copies-crowd")
+        rest = materialize(rivals(crowd, 2, PRINT_BITS, ALL_BITS, SIMILARITY).distinct().join(pairs.hint("merge"), ["a", "b"], "left_anti"), "copies-rest")
         more = components(_group_pairs(materialize(prove(rest), "copies-proved"), live))
         joined = _rooted(joined.withColumnRenamed("root", "g"), "g", more, "root").drop("g")
     table = materialize(_labelled(joined, "group_id").select(F.col("th").alias("lt"), "group_id"), "copies-labels")

@@ -1,5 +1,6 @@
 """Near copies with contiguous edits, and crowded components."""
 import numpy as np
+import pyarrow as pa
 
 from pixelloom.llm import simhash
 
@@ -80,8 +81,27 @@ def test_rivals_are_given_once(spark):
         for t in range(12):
             f[t] ^= np.uint64(sum(1 << int(k) for k in rng.choice(48, int(rng.integers(0, 6)), replace=False)))
         rows.append((i * 7 - 300, i % 4, [int(x) for x in f]))
-    df = spark.createDataFrame(rows, "th bigint, g bigint, fps array<bigint>").selectExpr("posexplode(fps) AS (t, fp)", "th", "g", "fps")
-    got = [(r["a"], r["b"]) for r in simhash.rivals(df, 2, 48, 70).collect()]
+    df = spark.createDataFrame(rows, "th bigint, g bigint, fps array<bigint>").selectExpr("posexplode(fps) AS (t, fp)", "th", "g", "fps", "10L AS size", "array(5L) AS sk")
+    got = [(r["a"], r["b"]) for r in simhash.rivals(df, 2, 48, 70, 0.8).collect()]
     far = lambda x, y: [bin(a ^ b).count("1") for a, b in zip(x, y)]
     want = {(min(x[0], y[0]), max(x[0], y[0])) for x in rows for y in rows if x[1] < y[1] and min(far(x[2], y[2])) <= 4 and sum(far(x[2], y[2])) <= 70}
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+
+
+def test_parities_rule_out_no_copy_and_most_others():
+    """Sets of all sizes, of which some are compared across lengths of parities: none of 0.8 or more is ruled out, of those below 0.72 next to all are."""
+    rng = np.random.default_rng(9)
+    sets, pairs = [np.zeros(0, np.uint64)], []
+    for i in range(600):
+        n = int(np.exp(rng.uniform(0, 9)))
+        a = rng.integers(0, 2**64, n, np.uint64)
+        b = np.concatenate((a[int(n * rng.uniform(0, 0.3)) :], rng.integers(0, 2**64, int(n * rng.uniform(0, 0.25)), np.uint64)))
+        pairs.append((len(sets), len(sets) + 1))
+        sets += [np.unique(a), np.unique(b)]
+    rows = pa.array([simhash.parities(s).view(np.int64) for s in sets], pa.list_(pa.int64()))
+    x, y = np.array(pairs).T
+    got = simhash._Parities(rows, np.array([len(s) for s in sets]), 0.8).may_overlap(x, y)
+    true = np.array([len(np.intersect1d(sets[a], sets[b])) / max(1, len(np.union1d(sets[a], sets[b]))) for a, b in pairs])
+    large = np.array([len(sets[a]) > 50 for a in x])
+    assert got[true >= 0.8].all() and (true >= 0.8).sum() > 100
+    assert got[(true < 0.72) & large].mean() < 0.02 and ((true < 0.72) & large).sum() > 50
