@@ -1,14 +1,16 @@
 """Run-log analytics: step windows, best so far, early stopping, retention, smoothing."""
 from __future__ import annotations
 
-import math
+from decimal import Decimal
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from ..sources.scratch import materialize
+from . import sampling as S
 from .sampling import in_blocks
 
 
@@ -81,57 +83,90 @@ def periodic(log: DataFrame, every: int) -> DataFrame:
     return log.join(F.broadcast(last), ((F.col("step") + 1) % every == 0) | (F.col("step") == F.col("last"))).drop("last")
 
 
-def _fold(table: pa.Table, whole: bool) -> pa.Table:
-    """One block of rows (_i, _key, _a, _c, _s, _x): the values x = _a * x + _c along _i within each _key, from _x, what came before (null: nothing, so the first
-    value is _s). ``whole``: instead a row for each key, with the one step that the block comes to (_a, _c, _s)."""
-    t = table.sort_by("_i")
-    keys, x = t.column("_key").to_pylist(), t.column("_x").to_pylist()
-    a, c, s = ([math.nan if v is None else v for v in t.column(n).to_pylist()] for n in ("_a", "_c", "_s"))
-    rows: list[tuple] = []
-    now, first = object(), True
-    for k, key in enumerate(keys):
-        if first or key != now:
-            if whole and not first:
-                rows.append((now, fa, fc, v))
-            now, first = key, False
-            fa, fc = a[k], c[k]
-            v = s[k] if x[k] is None else a[k] * x[k] + c[k]
-        else:
-            fa, fc, v = fa * a[k], a[k] * fc + c[k], a[k] * v + c[k]
-        if not whole:
-            rows.append(v)
-    if not whole:
-        return pa.table({"_i": t.column("_i"), "_v": pa.array(rows, pa.float64(), from_pandas=True)})
-    if keys:
-        rows.append((now, fa, fc, v))
-    cols = list(zip(*rows)) or [(), (), (), ()]
-    return pa.table({"_b": pa.array([t.column("_b")[0].as_py()] * len(rows), pa.int64()), "_key": pa.array(cols[0], t.schema.field("_key").type), **{n: pa.array(v, pa.float64(), from_pandas=True) for n, v in zip(("_a", "_c", "_s"), cols[1:])}})
+def _floats(column: pa.Array) -> list[float]:
+    """The doubles of a column; a null is NaN."""
+    return column.to_numpy(zero_copy_only=False).astype(float).tolist()
+
+
+def _scanned(key: str):
+    """A task's rows, in order, behind which stand _a, _c and _s: x = _a * x + _c within each key, whose first row has _s. Instead of these come _i, the row's place in the task,
+    _first (its key is the task's first one), _v (x, if nothing came before the task) and, on the task's last row, _end with _ea and _ec, the one step that
+    all rows of the last key come to."""
+
+    def run(batches):
+        began, lead, n, now, fa, fc, v, held = False, True, 0, None, 0.0, 0.0, 0.0, None
+
+        def out(last: bool) -> pa.RecordBatch:
+            b, firsts, values = held
+            k = b.num_rows
+            at_end = lambda x: [None] * (k - 1) + [x if last else None]
+            more = {"_i": pa.array(range(n - k, n), pa.int64()), "_first": pa.array(firsts, pa.bool_()), "_v": pa.array(values, pa.float64(), from_pandas=True), "_end": pa.array(at_end(True), pa.bool_()),
+                    "_ea": pa.array(at_end(fa), pa.float64(), from_pandas=True), "_ec": pa.array(at_end(fc), pa.float64(), from_pandas=True)}
+            return pa.RecordBatch.from_arrays([*b.columns[:-3], *more.values()], names=[*b.schema.names[:-3], *more])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if held:
+                yield out(False)
+            firsts, values = [], []
+            for k, ak, ck, sk in zip(b.column(key).to_pylist(), *map(_floats, b.columns[-3:])):
+                if began and k == now:
+                    fa, fc, v = fa * ak, ak * fc + ck, ak * v + ck
+                else:
+                    lead, began, now = not began, True, k
+                    fa, fc, v = ak, ck, sk
+                firsts.append(lead)
+                values.append(v)
+            held, n = (b, firsts, values), n + b.num_rows
+        if held:
+            yield out(True)
+
+    return run
+
+
+def _continued(t: pa.Table) -> pa.Table:
+    """Rows of one key and block, which _x came before: _v of each, in place of _i, _x, _a, _c and _b, the last columns."""
+    t = t.sort_by("_i")
+    x, values = _floats(t.column("_x").slice(0, 1).combine_chunks())[0], []
+    for a, c in zip(*(_floats(t.column(n).combine_chunks()) for n in ("_a", "_c"))):
+        x = a * x + c
+        values.append(x)
+    return t.select(t.column_names[:-5]).append_column("_v", pa.array(values, pa.float64(), from_pandas=True))
+
+
+def _with(rows: DataFrame, **more: str) -> StructType:
+    kind = StructType(list(rows.schema.fields))
+    for name, of in more.items():
+        kind.add(name, of)
+    return kind
 
 
 def affine_scan(rows: DataFrame, key: str, order: str, a: Column, c: Column, start: Column) -> DataFrame:
     """Add _v: x = a * x + c along ``order`` for each ``key``; the first row of a key has ``start``.
 
-    Such steps can be put together before they are applied: every block of rows comes to one step for each key in it, the steps of the blocks are scanned in the
-    same way, and the value that so enters a block starts its rows. So a series of any length is spread over many tasks, and a task holds one block."""
-    g = in_blocks(rows.withColumns({"_key": F.col(key), "_a": a.cast("double"), "_c": c.cast("double"), "_s": start.cast("double")}), [key, order])
-    kind = rows.schema[key].dataType.simpleString()
-    slim = g.select("_i", "_b", "_key", "_a", "_c", "_s")
-    last = g.agg(F.max("_b")).first()[0]
-    if not last:
-        entered = slim.withColumn("_x", F.lit(None).cast("double"))
-    else:
-        steps = slim.withColumn("_x", F.lit(None).cast("double")).groupBy("_b").applyInArrow(lambda t: _fold(t, True), f"_b bigint, _key {kind}, _a double, _c double, _s double")
-        steps = materialize(steps, "scan-steps")
-        after = affine_scan(steps.select(F.col("_b").alias("at"), F.col("_key").alias("k"), F.col("_a").alias("sa"), F.col("_c").alias("sc"), F.col("_s").alias("ss")), "k", "at", F.col("sa"), F.col("sc"), F.col("ss"))
-        # A key's blocks follow one another, so the block before has its value, if it began before.
-        after = materialize(after.select(F.col("k").alias("_ek"), (F.col("at") + 1).alias("_eb"), F.col("_v").alias("_x")), "scan-entries")
-        entered = slim.join(after.hint("merge"), (F.col("_b") == F.col("_eb")) & F.col("_key").eqNullSafe(F.col("_ek")), "left").drop("_eb", "_ek")
-    values = entered.groupBy("_b").applyInArrow(lambda t: _fold(t, False), "_i bigint, _v double")
-    return g.join(values.withColumnRenamed("_i", "_vi").hint("merge"), F.col("_i") == F.col("_vi")).drop("_i", "_b", "_key", "_a", "_c", "_s", "_vi")
+    The rows are dealt to blocks, ranges of (key, order), and every task runs along its own. Only the first key of a block can have begun before it. As such steps can be put
+    together before they are applied, the last key of every block comes to one step; these, a row for each block, are scanned in the same way, and with the value that so enters a
+    block the rows of its first key run once more. So a series of any length is spread over many tasks, and a short one is computed step by step."""
+    blocks = max(1, min(-(-rows.count() // S.BLOCK), S.MOST_RANGES))
+    steps = rows.withColumns({"_b": F.lit(0).cast("long"), "_a": a.cast("double"), "_c": c.cast("double"), "_s": start.cast("double")})
+    dealt = steps.repartitionByRange(blocks, key, order).sortWithinPartitions(key, order).withColumn("_b", F.spark_partition_id().cast("long"))
+    done = dealt.mapInArrow(_scanned(key), _with(rows, _b="long", _i="long", _first="boolean", _v="double", _end="boolean", _ea="double", _ec="double"))
+    if blocks == 1:
+        return done.select(*rows.columns, "_v")
+    done = materialize(done, "scan-blocks")
+    ends = done.filter("_end").select(F.col(key).alias("k"), F.col("_b").alias("at"), F.col("_ea").alias("sa"), F.col("_ec").alias("sc"), F.col("_v").alias("ss"))
+    after = affine_scan(ends, "k", "at", F.col("sa"), F.col("sc"), F.col("ss"))
+    # The block before has a key's value, if the key began before. One row for each block, few beside the rows.
+    after = materialize(after.select(F.col("k").alias("_ek"), (F.col("at") + 1).alias("_eb"), F.col("_v").alias("_x"), F.lit(True).alias("_enters")), "scan-entries")
+    met = done.join(F.broadcast(after), (F.col("_b") == F.col("_eb")) & F.col("_first") & F.col(key).eqNullSafe(F.col("_ek")), "left")
+    own = met.filter(F.col("_enters").isNull()).select(*rows.columns, "_v")
+    again = met.filter("_enters").select(*rows.columns, "_i", "_x", a.cast("double").alias("_a"), c.cast("double").alias("_c"), "_b")
+    return own.unionByName(again.groupBy("_b").applyInArrow(_continued, _with(rows, _v="double")))
 
 
 def ema(series: DataFrame, key: str, order: str, value: str, decay: float) -> DataFrame:
     """Add ema to every point: the exponential moving average of its key's series up to it, which begins with the first value. Series of any length; points of one
     order stand in any order; a null key is a key; a null value makes the averages from there on null."""
     v = F.col(value).cast("double")
-    return affine_scan(series, key, order, F.lit(float(decay)), v * (1.0 - decay), v).withColumnRenamed("_v", "ema")
+    return affine_scan(series, key, order, F.lit(float(decay)), v * float(1 - Decimal(str(decay))), v).withColumnRenamed("_v", "ema")

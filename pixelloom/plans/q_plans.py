@@ -233,7 +233,9 @@ def w9(spark, sf):
 e AS (SELECT step, epoch, k, loss AS v FROM p WHERE k = 1 UNION ALL SELECT p.step, p.epoch, p.k, e.v * 0.9 + p.loss * 0.1 FROM e JOIN p ON p.epoch = e.epoch AND p.k = e.k + 1)
 SELECT step, epoch, round(v, 6) AS ema FROM e""")
 def w11(spark, sf):
-    return R.ema(V.run_log(spark, sf).select("step", "epoch", "loss"), "epoch", "step", "loss", 0.9).select("step", "epoch", r6(F.col("ema")).alias("ema"))
+    """Averages of amounts in cents often end in a half at the seventh place, so they are rounded as the SQL's engine does it, after a product and not by their decimals."""
+    ema = R.ema(V.run_log(spark, sf).select("step", "epoch", "loss"), "epoch", "step", "loss", 0.9)
+    return ema.select("step", "epoch", (F.round(F.col("ema") * 1e6) / 1e6).alias("ema"))
 
 
 # 0.9 ** 400 is beyond what a double has beside 1.
