@@ -26,6 +26,8 @@ BITS = 64
 BUCKET = 1024
 #: Variants that a task holds at a time; a fuller bucket is split by more leading bits.
 MOST_VARIANTS = 4_000_000
+#: Bytes that a task makes at a time when it copies rows to their buckets.
+SPREAD_BYTES = 8 << 20
 _U = np.uint64
 
 
@@ -162,25 +164,38 @@ def _forest(n: int, meetings) -> np.ndarray:
     return np.array(edges, np.int64).reshape(-1, 2)
 
 
+def _pieces(b: pa.RecordBatch, times: int):
+    """The batch in pieces of which ``times`` copies hold SPREAD_BYTES at most (or one row)."""
+    if b.num_rows > 1 and b.nbytes * times > SPREAD_BYTES:
+        for piece in (b.slice(0, b.num_rows // 2), b.slice(b.num_rows // 2)):
+            yield from _pieces(piece, times)
+    elif b.num_rows:
+        yield b
+
+
+def _spreader(prefix: int, half: int, bits: int):
+    """Batches of t, fp and other columns -> batches of bucket, fp and the others, a row for each bucket. A row may be wide, so what is copied at a time is bounded by bytes."""
+    tops = np.concatenate(_masks(prefix, half))
+
+    def spread(batches):
+        for b in (piece for whole in batches for piece in _pieces(whole, len(tops))):
+            t, fp = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            buckets = ((fp.view(np.uint64) >> _U(bits - prefix))[:, None] ^ tops[None, :]).ravel()
+            key = np.repeat(t.astype(np.int64) << 40, len(tops)) | buckets.view(np.int64)  # table and bucket in one number
+            rows = pa.array(np.repeat(np.arange(b.num_rows), len(tops)))
+            yield pa.RecordBatch.from_arrays([pa.array(key), *(c.take(rows) for c in b.columns[1:])], names=["bucket", *b.schema.names[1:]])
+
+    return spread
+
+
 def _spread(prints: DataFrame, half: int, bits: int) -> tuple[DataFrame, int]:
     """``prints``: t (number of a table of fingerprints), fp, and other columns. A row (bucket, fp, others) for each bucket that the variants of fp
     fall in, where a bucket is a table and leading bits; and the number of leading bits."""
     n = prints.groupBy("t").count().agg(F.max("count")).first()[0] or 0
     prefix = max(8, int(np.ceil(np.log2(max(n, 1) / BUCKET))))
-    tops = np.concatenate(_masks(prefix, half))
     others = [c for c in prints.columns if c not in ("t", "fp")]
-
-    def spread(batches):
-        for b in batches:
-            t, fp = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            for at in range(0, len(fp), 10_000):
-                part = slice(at, at + 10_000)
-                buckets = ((fp[part].view(np.uint64) >> _U(bits - prefix))[:, None] ^ tops[None, :]).ravel()
-                key = np.repeat(t[part].astype(np.int64) << 40, len(tops)) | buckets.view(np.int64)  # table and bucket in one number
-                rows = pa.array(np.repeat(np.arange(at, at + len(t[part])), len(tops)))
-                yield pa.RecordBatch.from_arrays([pa.array(key), *(c.take(rows) for c in b.columns[1:])], names=["bucket", "fp", *others])
-
-    return prints.select("t", "fp", *others).mapInArrow(spread, "bucket bigint, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in prints.select("fp", *others).schema)), prefix
+    kind = "bucket bigint, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in prints.select("fp", *others).schema)
+    return prints.select("t", "fp", *others).mapInArrow(_spreader(prefix, half, bits), kind), prefix
 
 
 def links(fps: DataFrame, half: int = 2, bits: int = BITS) -> DataFrame:

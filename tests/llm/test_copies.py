@@ -105,3 +105,14 @@ def test_parities_rule_out_no_copy_and_most_others():
     large = np.array([len(sets[a]) > 50 for a in x])
     assert got[true >= 0.8].all() and (true >= 0.8).sum() > 100
     assert got[(true < 0.72) & large].mean() < 0.02 and ((true < 0.72) & large).sum() > 50
+
+
+def test_copies_for_buckets_are_made_by_bytes():
+    """Rows of 4 KB, each for 37 buckets: 300 MB in one piece before."""
+    wide = pa.array([[i] * 512 for i in range(2000)], pa.list_(pa.int64()))
+    b = pa.RecordBatch.from_arrays([pa.array([3] * 2000, pa.int32()), pa.array([i << 40 for i in range(2000)], pa.int64()), wide], names=["t", "fp", "sk"])
+    made = list(simhash._spreader(8, 2, 48)([b, b.slice(0, 0)]))
+    assert max(m.nbytes for m in made) <= 1.1 * simhash.SPREAD_BYTES
+    rows = [r for m in made for r in zip(m.column("bucket").to_pylist(), m.column("fp").to_pylist(), m.column("sk").values.to_numpy()[m.column("sk").offsets.to_numpy()[:-1]].tolist())]
+    tops = [0, *(1 << i for i in range(8)), *(1 << i | 1 << j for i in range(8) for j in range(i))]
+    assert sorted(rows) == sorted((3 << 40 | (i ^ x), i << 40, i) for i in range(2000) for x in tops)
