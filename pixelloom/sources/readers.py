@@ -83,6 +83,17 @@ def read_catalogue(spark: SparkSession, catalogue: DataFrame | list[dict]) -> Da
     return MF.union_all(parts)
 
 
+#: Partitions of a scan of files that one task reads. Spark counts 4 MB for opening a file, so a partition holds 32 small files, and a task with a Python worker for each
+#: would take far longer to begin than to read.
+MERGED = 64
+
+
+def _merged(files: DataFrame) -> DataFrame:
+    """The scan in fewer tasks, without a shuffle: MERGED partitions each, or less, as long as there are four tasks a core."""
+    parts, cores = files.rdd.getNumPartitions(), files.sparkSession.sparkContext.defaultParallelism
+    return files.coalesce(max(4 * cores, -(-parts // MERGED)))
+
+
 def scan_images(spark: SparkSession, path: str) -> DataFrame:
     """path, height, width, channels, px: images packed as bytes, row by row, in RGB order (the decoder gives BGR). Broken files, whether no image at all, cut off or
     empty, are left out; ``broken_images`` counts them."""
@@ -96,7 +107,7 @@ def scan_images(spark: SparkSession, path: str) -> DataFrame:
                 px.append((im[:, [2, 1, 0, *range(3, c)]] if c >= 3 else im).tobytes())
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(px, pa.binary())], names=["path", "height", "width", "channels", "px"])
 
-    return raw.select("origin", "height", "width", "nChannels", "data").mapInArrow(run, "path string, height int, width int, channels int, px binary")
+    return _merged(raw).select("origin", "height", "width", "nChannels", "data").mapInArrow(run, "path string, height int, width int, channels int, px binary")
 
 
 def broken_images(files: DataFrame, images: DataFrame) -> DataFrame:

@@ -40,6 +40,16 @@ def test_images_come_back_pixel_by_pixel(spark, tmp_path):
     assert masks["1.png"] == [(r * 19595 + g * 38470 + b * 7471 + 32768) >> 16 for r, g, b in ims["1.png"].reshape(-1, 3).tolist()]
 
 
+def test_small_images_are_scanned_in_few_tasks(spark, tmp_path):
+    """1,500 files stand in 47 partitions of the scan; here four tasks a core read them, each file once."""
+    names = spark.range(0, 1500, 1, 2).select(F.format_string("%d.png", "id").alias("name"), F.lit(1).alias("height"), F.lit(2).alias("width"), F.lit(1).alias("channels"), F.array((F.col("id") % 256).cast("int"), F.lit(7)).alias("px"))
+    FL.write_images(names, f"{tmp_path}/images")
+    got = RD.scan_images(spark, f"{tmp_path}/images")
+    assert spark.read.format("image").option("recursiveFileLookup", "true").load(f"{tmp_path}/images").rdd.getNumPartitions() > 16 >= got.rdd.getNumPartitions()
+    rows = {r["path"].rpartition("/")[2]: bytes(r["px"]) for r in got.collect()}
+    assert rows == {f"{i}.png": bytes([i % 256, 7]) for i in range(1500)} and got.count() == 1500
+
+
 def test_png_of_odd_channels_is_refused():
     with pytest.raises(ValueError):
         FL.png_bytes(np.zeros((2, 2, 2), np.uint8))
