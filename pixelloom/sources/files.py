@@ -1,11 +1,12 @@
 """A sink that writes a file for each row, and image files through it.
 
-``binary_files`` is a data source of Spark: every attempt of a task writes into a folder of its own under ``_temporary``, which readers of Spark pass over; when
-all tasks are done the driver moves the folders of the attempts that count into place, one rename a task, and marks the end with
-``_SUCCESS``. A lost executor or a repeated task so never leaves half a file, or a file twice.
+``binary_files`` is a data source of Spark: every attempt of a task writes into folders of its own under ``_temporary``, which readers of Spark pass over; when
+all tasks are done the driver moves the folders of the attempts that count into place, one rename a folder, and marks the end with
+``_SUCCESS``. A folder holds FOLDER_FILES files at most, so that a task that lists it holds no more. A lost executor or a repeated task so never leaves half a file, or a file twice.
 """
 from __future__ import annotations
 
+import hashlib
 import struct
 import uuid
 import zlib
@@ -30,33 +31,68 @@ def _opened(path: str):
     return (fs.LocalFileSystem(), path) if path.startswith("/") else fs.FileSystem.from_uri(path)
 
 
+#: Files of a folder that a task writes, at most, and rows of a batch of listed files.
+FOLDER_FILES, LISTED = 20_000, 10_000
+
+
+def _hash(name: str) -> int:
+    return int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest(), "little")
+
+
+class _Names:
+    """The names that a task has written: those of the folder at hand as they are, those of full folders as sorted 8-byte hashes, and where a hash meets again the files
+    themselves decide."""
+
+    def __init__(self, exists):
+        self.exists, self.own, self.before = exists, set(), []
+
+    def add(self, name: str) -> bool:
+        """Whether the name is new."""
+        h = np.uint64(_hash(name))
+        known = name in self.own or any(past[min(np.searchsorted(past, h), len(past) - 1)] == h and self.exists(name) for past in self.before)
+        self.own.add(name)
+        return not known
+
+    def close(self) -> None:
+        """The folder is full. Arrays of like size are put together, so there are few of them."""
+        new = np.sort(np.fromiter(map(_hash, self.own), np.uint64, len(self.own)))
+        while self.before and len(self.before[-1]) <= len(new):
+            new = np.sort(np.concatenate((self.before.pop(), new)))
+        self.before.append(new)
+        self.own = set()
+
+
 @dataclass
 class Written(WriterCommitMessage):
-    folder: str
-    files: int
+    folders: list[str]
 
 
 class FileWriter(DataSourceArrowWriter):
-    """name, data -> files ``<path>/part-<attempt>/<name>``."""
+    """name, data -> files ``<path>/part-<attempt>-<number>/<name>``."""
 
     def __init__(self, path: str, overwrite: bool):
         self.path, self.overwrite = path.rstrip("/"), overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         fs, base = _opened(self.path)
-        folder, seen, folders = f"part-{uuid.uuid4().hex}", set(), set()
+        attempt, folders, made = uuid.uuid4().hex, [], set()
+        seen = _Names(lambda name: any(x.type.name != "NotFound" for x in fs.get_file_info([f"{base}/_temporary/{f}/{name}" for f in folders])))
         for b in iterator:
             for name, data in zip(b.column("name").to_pylist(), b.column("data")):
-                if not name or name in seen or name.startswith("/") or ".." in name.split("/"):
+                if not folders or len(seen.own) >= FOLDER_FILES:
+                    if folders:
+                        seen.close()
+                    folders.append(f"part-{attempt}-{len(folders)}")
+                    made.clear()
+                if not name or name.startswith("/") or ".." in name.split("/") or not seen.add(name):
                     raise ValueError(f"file names must be relative and unique: {name!r}")
-                seen.add(name)
-                within = f"{base}/_temporary/{folder}/{name}".rpartition("/")[0]
-                if within not in folders:
+                within = f"{base}/_temporary/{folders[-1]}/{name}".rpartition("/")[0]
+                if within not in made:
                     fs.create_dir(within, recursive=True)
-                    folders.add(within)
-                with fs.open_output_stream(f"{base}/_temporary/{folder}/{name}") as f:
+                    made.add(within)
+                with fs.open_output_stream(f"{base}/_temporary/{folders[-1]}/{name}") as f:
                     f.write(data.as_buffer() if data.is_valid else b"")
-        return Written(folder, len(seen))
+        return Written(folders)
 
     def commit(self, messages: list) -> None:
         fs, base = _opened(self.path)
@@ -67,9 +103,8 @@ class FileWriter(DataSourceArrowWriter):
                 if x.base_name != "_temporary":
                     (fs.delete_dir if x.type.name == "Directory" else fs.delete_file)(x.path)
         fs.create_dir(base, recursive=True)
-        for m in messages:
-            if m is not None and m.files:
-                fs.move(f"{base}/_temporary/{m.folder}", f"{base}/{m.folder}")
+        for folder in (f for m in messages if m is not None for f in m.folders):
+            fs.move(f"{base}/_temporary/{folder}", f"{base}/{folder}")
         self._clear(fs, base)
         with fs.open_output_stream(f"{base}/_SUCCESS"):
             pass
@@ -126,8 +161,10 @@ def walk_files(spark: SparkSession, path: str) -> DataFrame:
         fs, base = _opened(path.rstrip("/"))
         for b in batches:
             for folder in b.column(0).to_pylist():
-                rows = found(fs, base, fs.get_file_info(FileSelector(folder, recursive=True)))
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["path", "name", "length"])
+                infos = fs.get_file_info(FileSelector(folder, recursive=True))
+                for at in range(0, len(infos), LISTED):
+                    rows = found(fs, base, infos[at : at + LISTED])
+                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["path", "name", "length"])
 
     out = spark.createDataFrame([(x,) for x in folders], "folder string").repartition(max(1, min(len(folders), cores))).mapInArrow(walk, kind)
     flat = found(fs, base, top)

@@ -2,6 +2,7 @@
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,6 +82,22 @@ def test_a_failing_task_leaves_nothing(spark, tmp_path, bad):
     assert names_in(tmp_path) == [] and not os.path.exists(f"{tmp_path}/out/_SUCCESS")
 
 
+def test_a_task_of_many_files_fills_several_folders(spark, tmp_path, monkeypatch):
+    """No folder, and so no listing of one, grows with the rows of a task; names stay unique over all its folders."""
+    monkeypatch.setattr(FL, "FOLDER_FILES", 10)
+    path = f"{tmp_path}/out"
+    batch = lambda names: pa.RecordBatch.from_arrays([pa.array(names), pa.array([n.encode() for n in names], pa.binary())], names=["name", "data"])
+    names = [f"{'ab'[i % 2]}/{i}.txt" for i in range(95)]
+    w = FL.FileWriter(path, False)
+    w.commit([w.write(iter([batch(names[:33]), batch(names[33:])])), None, w.write(iter([]))])
+    assert sorted(os.listdir(path))[0] == "_SUCCESS" and len(os.listdir(path)) == 11
+    assert max(sum(len(fs) for _, _, fs in os.walk(f"{path}/{d}")) for d in os.listdir(path) if d != "_SUCCESS") == 10
+    assert sorted((r["name"], r["length"]) for r in FL.walk_files(spark, path).collect()) == sorted((n, len(n)) for n in names)
+    for again in (names[0], names[37], names[94]):
+        with pytest.raises(ValueError, match="relative and unique"):
+            FL.FileWriter(f"{tmp_path}/twice", False).write(iter([batch([*names, again])]))
+
+
 def test_values_beyond_bytes_are_refused(spark):
     df = spark.createDataFrame([("a", 1, 1, 1, [256])], KIND)
     with pytest.raises(Exception, match="within 0 and 255"):
