@@ -73,21 +73,20 @@ def _root(parent: list[int], a: int) -> int:
     return a
 
 
-def _meetings(fps: np.ndarray, ids: np.ndarray, bucket: int, prefix: int, half: int, bits: int, groups: np.ndarray | None = None):
-    """Pairs (arrays of numbers from ``ids``) of ``fps`` that share a variant whose leading ``prefix`` bits are ``bucket``: of each variant its hub with every
-    other, with the hub's weight, or with ``groups`` (by number) all pairs of different groups. A fingerprint weighs as much as it shares variants
-    with others, so that the middle of a crowd becomes a hub."""
+def _variants(fps: np.ndarray, bucket: int, prefix: int, half: int, bits: int):
+    """The variants of ``fps`` whose leading ``prefix`` bits are ``bucket``, in parts: sorted variants, and for each the number of its fingerprint. Equal variants are in one part."""
     low = bits - prefix
     spent = np.bitwise_count((fps >> _U(low)) ^ _U(bucket)).astype(np.int64)
-    near = spent <= half
-    fps, ids, spent = fps[near], ids[near], spent[near]
+    near = np.flatnonzero(spent <= half)
+    fps, spent = fps[near], spent[near]
     if len(fps) < 2:
         return
     masks = _masks(low, half)
     sizes = np.cumsum([len(m) for m in masks])
     if sizes[half - spent].sum() > MOST_VARIANTS and low >= 4:
         for sub in range(16):
-            yield from _meetings(fps, ids, (bucket << 4) | sub, prefix + 4, half, bits, groups)
+            for v, w in _variants(fps, (bucket << 4) | sub, prefix + 4, half, bits):
+                yield v, near[w]
         return
     tail = fps & _U((1 << low) - 1)
     made, who = [], []
@@ -105,25 +104,33 @@ def _meetings(fps: np.ndarray, ids: np.ndarray, bucket: int, prefix: int, half:
     else:
         order = np.argsort(v, kind="stable")
         v, w = v[order], w[order]
-    d, same = 1, v[1:] == v[:-1]
-    if groups is None:
-        twin = np.concatenate(([False], same)) | np.concatenate((same, [False]))
-        v, w = v[twin], w[twin]
-        if len(v):
-            starts = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
-            size = np.diff(np.concatenate((starts, [len(v)])))
-            weight = np.bincount(w, weights=np.repeat(size - 1, size), minlength=len(fps))
-            top = np.repeat(np.maximum.reduceat(weight[w], starts), size)
-            hub = np.repeat(np.minimum.reduceat(np.where(weight[w] == top, w, len(fps)), starts), size)
-            other = w != hub
-            yield ids[hub[other]], ids[w[other]], top[other]
-        return
-    while same.any():
-        a, b = ids[w[:-d][same]], ids[w[d:][same]]
-        apart = groups[a] != groups[b]
-        yield a[apart], b[apart]
-        d += 1
-        same = v[d:] == v[:-d]
+    yield v, near[w]
+
+
+def _meetings(fps: np.ndarray, ids: np.ndarray, bucket: int, prefix: int, half: int, bits: int, groups: np.ndarray | None = None):
+    """Pairs (arrays of numbers from ``ids``) of ``fps`` that share a variant whose leading ``prefix`` bits are ``bucket``: of each variant its hub with every
+    other, with the hub's weight, or with ``groups`` (by number) all pairs of different groups. A fingerprint weighs as much as it shares variants
+    with others, so that the middle of a crowd becomes a hub."""
+    for v, w in _variants(fps, bucket, prefix, half, bits):
+        d, same = 1, v[1:] == v[:-1]
+        if groups is None:
+            twin = np.concatenate(([False], same)) | np.concatenate((same, [False]))
+            v, w = v[twin], w[twin]
+            if len(v):
+                starts = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
+                size = np.diff(np.concatenate((starts, [len(v)])))
+                weight = np.bincount(w, weights=np.repeat(size - 1, size), minlength=len(fps))
+                top = np.repeat(np.maximum.reduceat(weight[w], starts), size)
+                hub = np.repeat(np.minimum.reduceat(np.where(weight[w] == top, w, len(fps)), starts), size)
+                other = w != hub
+                yield ids[hub[other]], ids[w[other]], top[other]
+            continue
+        while same.any():
+            a, b = ids[w[:-d][same]], ids[w[d:][same]]
+            apart = groups[a] != groups[b]
+            yield a[apart], b[apart]
+            d += 1
+            same = v[d:] == v[:-d]
 
 
 def _middle(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -164,6 +171,56 @@ def _forest(n: int, meetings) -> np.ndarray:
     return np.array(edges, np.int64).reshape(-1, 2)
 
 
+def _apart(fps: np.ndarray, g: np.ndarray, bucket: int, prefix: int, half: int, bits: int):
+    """Meetings (one, other, other's weight) of numbers of ``fps`` of different ``g``: of each variant its hub with those of other groups, those of the hub's own group
+    with the heaviest of other groups, and each with the next. Weights are those of ``_meetings``; at most three meetings are made of a variant."""
+    n = len(fps)
+    for v, w in _variants(fps, bucket, prefix, half, bits):
+        same = v[1:] == v[:-1]
+        twin = np.concatenate(([False], same)) | np.concatenate((same, [False]))
+        v, w = v[twin], w[twin]
+        if len(v):
+            starts = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
+            size = np.diff(np.concatenate((starts, [len(v)])))
+            weight = np.bincount(w, weights=np.repeat(size - 1, size), minlength=n).astype(np.int64)
+
+            def heaviest(of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                top = np.repeat(np.maximum.reduceat(of, starts), size)
+                return top, np.repeat(np.minimum.reduceat(np.where(of == top, w, n), starts), size)
+
+            top, hub = heaviest(weight[w])
+            out = g[w] != g[hub]
+            yield w[out], hub[out], top[out]
+            top, hub = heaviest(np.where(out, weight[w], -1))
+            own = ~out & (top >= 0)
+            yield w[own], hub[own], top[own]
+            a, b = (x[(v[1:] == v[:-1]) & (g[w[1:]] != g[w[:-1]])] for x in (w[:-1], w[1:]))
+            yield a, b, weight[b]
+            yield b, a, weight[a]
+
+
+def _near(meetings, every: np.ndarray):
+    """The meetings with other weights: bits in which the fingerprints of all tables (the rows of ``every``) agree."""
+    for a, b, _ in meetings:
+        key = np.unique(a << 32 | b)
+        for at in range(0, len(key), 100_000):
+            a, b = key[at : at + 100_000] >> 32, key[at : at + 100_000] & 0xFFFFFFFF
+            yield a, b, BITS * every.shape[1] - np.bitwise_count(every[a] ^ every[b]).sum(1, dtype=np.int64)
+
+
+def _heaviest(n: int, meetings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the meetings (one, other, weight) among ``n`` numbers, for every number that takes part its heaviest (of these the smallest) other: number, other, weight."""
+    weight, meets = np.full(n, -1, np.int64), np.full(n, n, np.int64)
+    for a, b, w in meetings:
+        before = weight.copy()
+        np.maximum.at(weight, a, w)
+        meets[weight > before] = n
+        best = w == weight[a]
+        np.minimum.at(meets, a[best], b[best])
+    took = np.flatnonzero(weight >= 0)
+    return took, meets[took], weight[took]
+
+
 def _pieces(b: pa.RecordBatch, times: int):
     """The batch in pieces of which ``times`` copies hold SPREAD_BYTES at most (or one row)."""
     if b.num_rows > 1 and b.nbytes * times > SPREAD_BYTES:
@@ -213,6 +270,26 @@ def links(fps: DataFrame, half: int = 2, bits: int = BITS) -> DataFrame:
     return rows.groupBy("bucket").applyInArrow(meet, "t int, a bigint, b bigint")
 
 
+def hubs(marked: DataFrame, half: int, bits: int) -> DataFrame:
+    """``marked``: t, fp, and th and g; without these every fingerprint is its own th and g; and fps (the fingerprints of all tables) or none. Of every (t, th) that lies within
+    ``2 * half`` bits of one of another g in its table one row (t, th, hub): of those of another g that it meets as hub or neighbour in a variant the heaviest, with
+    fps the nearest by them. So there are no more rows than fingerprints, however large a crowd is, and every g is there that has a candidate of another g."""
+    rows, prefix = _spread(marked, half, bits)
+
+    def meet(key: tuple, table: pa.Table) -> pa.Table:
+        table, bucket = table.sort_by([(c, "ascending") for c in table.column_names if c in ("fp", "th")]), key[0].as_py()
+        f = table.column("fp").to_numpy()
+        th, g = (table.column(c).to_numpy() if c in table.column_names else f for c in ("th", "g"))
+        meetings = _apart(f.view(np.uint64), g, bucket & ((1 << 40) - 1), prefix, half, bits)
+        if "fps" in table.column_names:
+            meetings = _near(meetings, table.column("fps").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(f), -1))
+        a, b, weight = _heaviest(len(f), meetings)
+        return pa.table({"t": pa.array(np.full(len(a), bucket >> 40, np.int32)), "th": pa.array(th[a]), "hub": pa.array(th[b]), "weight": pa.array(weight)})
+
+    found = rows.groupBy("bucket").applyInArrow(meet, "t int, th bigint, hub bigint, weight bigint")
+    return found.groupBy("t", "th").agg(F.max(F.struct("weight", "hub")).alias("m")).select("t", "th", "m.hub")
+
+
 def parities(values: np.ndarray) -> np.ndarray:
     """A bit for each class of hashes (of a set, by their trailing bits): whether the set has an odd number of them. Bits in which two sets differ are no more than
     the members that only one of them has, however large what they share. Words of 64 bits, a power of two of them and three bits a member at least,
@@ -343,9 +420,11 @@ MOST_PARITY = 512
 #: Near copies are texts whose sets of five-word shingles overlap (Jaccard) by SIMILARITY or more. Their fingerprints have one bit for each of PRINT_BITS
 #: min-hashes of the shingles, so that a bit differs with probability (1 - overlap) / 2 wherever the edits lie. Candidates lie within four bits
 #: in one of TABLES such fingerprints: of pairs that overlap by 0.8, all but 0.53 ** 12 = 5 in 10,000; of those by 0.85, all but one in a million. In crowds they also
-#: lie within ALL_BITS in all the fingerprints together: the 58 bits expected at 0.8 and four standard deviations, which 3 in 100,000 pairs exceed.
+#: lie within ALL_BITS in all the fingerprints together: the 58 bits expected at 0.8 and six standard deviations, which 2 in 1,000,000,000 pairs exceed.
 SHINGLE, SIMILARITY = 5, 0.8
-TABLES, PRINT_BITS, ALL_BITS = 12, 48, 87
+TABLES, PRINT_BITS, ALL_BITS = 12, 48, 104
+#: Times that the groups of a crowd are compared by hubs, before all the candidates that are left are.
+ROUNDS = 3
 _FACTORS = np.random.default_rng(17).integers(0, 2**31, (TABLES * PRINT_BITS, 1), np.uint32) * np.uint32(2) + np.uint32(1)
 _SPREAD = np.uint32(0x9E3779B1)
 
@@ -387,9 +466,9 @@ def copy_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     overlap by SIMILARITY or more in a chain of candidate pairs, share the smallest doc_id as group_id.
 
     Texts of equal words are one class. Classes of one fingerprint, and fingerprints within a ball, are candidates, and a candidate is a
-    copy if the shingle sets prove it. Of each ball the edges of a spanning forest around its hubs are compared first, and of the classes of one
-    fingerprint each with the smallest; then all candidate pairs that this has not brought into one group and
-    whose parities do not rule the overlap out, so none is left out. Documents without words are no copies of each other.
+    copy if the shingle sets prove it. Every fingerprint is compared with the heaviest hub of its balls first, and of the classes of one
+    fingerprint each with the smallest, so that these pairs are a few a class in the largest crowd, too; then groups with the hubs of others; then all candidate pairs that this has
+    not brought into one group and whose parities do not rule the overlap out, so none is left out. Documents without words are no copies of each other.
     Null ids take part; a group of null ids alone has a null group_id. Repeated rows are returned as often as they stand; other columns
     are ignored; an empty table gives an empty result."""
     spark = docs.sparkSession
@@ -410,9 +489,9 @@ def copy_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     keyed = classes.select("th", F.posexplode("fps").alias("t", "fp"))
     balls = materialize(keyed.groupBy("t", "fp").agg(F.min("th").alias("head"), F.max("th").alias("top")), "copies-balls")
     shared = balls.filter("head != top").select("t", "fp", "head")
-    edges = materialize(links(balls.select("t", "fp"), 2, PRINT_BITS), "copies-edges")
-    ends = [balls.select("t", F.col("fp").alias(x), F.col("head").alias(f"h{x}")).hint("merge") for x in ("a", "b")]
-    pairs = _pairs("ha", "hb", edges.join(ends[0], ["t", "a"]).join(ends[1], ["t", "b"]))
+    met = materialize(hubs(balls.select("t", "fp"), 2, PRINT_BITS), "copies-hubs")
+    ends = [balls.select("t", F.col("fp").alias(x), F.col("head").alias(f"h{x}")).hint("merge") for x in ("th", "hub")]
+    pairs = _pairs("hth", "hhub", met.join(ends[0], ["t", "th"]).join(ends[1], ["t", "hub"]))
     pairs = materialize(pairs.unionByName(_pairs("head", "th", keyed.join(shared.hint("merge"), ["t", "fp"]))).distinct(), "copies-candidates")
     release(spark)
     nodes = materialize(pairs.select(F.explode(F.array("a", "b")).alias("n")).distinct(), "copies-nodes")
@@ -451,16 +530,39 @@ def copy_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
 
     roots = components(materialize(prove(pairs), "copies-proved"))
     live = materialize(_rooted(nodes.select(F.col("n").alias("th")), "th", roots, "g"), "copies-live")
-    joined = _rooted(classes.select("th", "first"), "th", roots, "root")
-    # Where candidates of different groups are no copies, all pairs of those groups that are candidates have their turn.
-    mixed = materialize(_group_pairs(pairs, live).select(F.explode(F.array("a", "b")).alias("g")).distinct(), "copies-mixed")
-    if mixed.limit(1).count():
-        crowd = materialize(live.join(mixed.hint("merge"), "g").select(F.col("th").alias("mth"), "g"), "copies-crowd")
-        crowd = classes.join(crowd.hint("merge"), F.col("th") == F.col("mth")).join(shingled.select("n", "size", "sk").hint("merge"), F.col("th") == F.col("n"))
+
+    def crowded(of: DataFrame) -> DataFrame:
+        """The classes of the groups that ``of`` (th) stand in: their fingerprints, with th and g."""
+        groups = of.join(live.select("th", "g").hint("merge"), "th").select(F.col("g").alias("cg")).distinct()
+        own = live.join(groups.hint("merge"), F.col("g") == F.col("cg")).select(F.col("th").alias("mth"), "g")
+        return materialize(classes.join(own.hint("merge"), F.col("th") == F.col("mth")).select("th", "g", "fps"), "copies-crowd")
+
+    # Where candidates are of different groups, these meet each other's hubs, then the nearest that they find there, as long as that joins some, ROUNDS times at most,
+    crowd, tried = classes.join(live.select(F.col("th").alias("mth"), "g").hint("merge"), F.col("th") == F.col("mth")).select("th", "g", "fps"), pairs
+    for round_ in range(ROUNDS):
+        sided = crowd.select(F.posexplode("fps").alias("t", "fp"), "th", "g", *(["fps"] if round_ else []))
+        met = materialize(hubs(sided, 2, PRINT_BITS), "copies-hubs")
+        mixed = met.select("th").distinct()
+        fresh = materialize(_pairs("th", "hub", met).distinct().join(tried.hint("merge"), ["a", "b"], "left_anti"), "copies-candidates")
+        proved = materialize(prove(fresh), "copies-proved")
+        joins = proved.limit(1).count() > 0
+        if joins:
+            more = components(_group_pairs(proved, live))
+            live = materialize(_rooted(live.withColumnRenamed("g", "was"), "was", more, "g").select("th", "g"), "copies-live")
+        elif not mixed.limit(1).count():
+            crowd = None
+            break
+        crowd, tried = crowded(mixed), tried.unionByName(fresh)
+        if round_ and not joins:
+            break
+    # then all pairs of these groups that are candidates have their turn.
+    if crowd is not None:
+        crowd = crowd.join(shingled.select("n", "size", "sk").hint("merge"), F.col("th") == F.col("n"))
         crowd = materialize(crowd.select(F.posexplode("fps").alias("t", "fp"), "th", "g", "fps", "size", "sk"), "copies-crowd")
-        rest = materialize(rivals(crowd, 2, PRINT_BITS, ALL_BITS, SIMILARITY).distinct().join(pairs.hint("merge"), ["a", "b"], "left_anti"), "copies-rest")
+        rest = materialize(rivals(crowd, 2, PRINT_BITS, ALL_BITS, SIMILARITY).distinct().join(tried.hint("merge"), ["a", "b"], "left_anti"), "copies-rest")
         more = components(_group_pairs(materialize(prove(rest), "copies-proved"), live))
-        joined = _rooted(joined.withColumnRenamed("root", "g"), "g", more, "root").drop("g")
+        live = _rooted(live.withColumnRenamed("g", "was"), "was", more, "g").select("th", "g")
+    joined = _rooted(classes.select("th", "first"), "th", live.select(F.col("th").alias("node"), F.col("g").alias("root")), "root")
     table = materialize(_labelled(joined, "group_id").select(F.col("th").alias("lt"), "group_id"), "copies-labels")
     discard_tables(shingled)
     release(spark)

@@ -116,3 +116,48 @@ def test_copies_for_buckets_are_made_by_bytes():
     rows = [r for m in made for r in zip(m.column("bucket").to_pylist(), m.column("fp").to_pylist(), m.column("sk").values.to_numpy()[m.column("sk").offsets.to_numpy()[:-1]].tolist())]
     tops = [0, *(1 << i for i in range(8)), *(1 << i | 1 << j for i in range(8) for j in range(i))]
     assert sorted(rows) == sorted((3 << 40 | (i ^ x), i << 40, i) for i in range(2000) for x in tops)
+
+
+def test_a_crowd_has_a_few_candidate_pairs_a_text(spark, monkeypatch):
+    """Copies of one text with two edits each: at no time are more pairs joined with the shingle sets than a text has fingerprints (before, 51 a text)."""
+    rng = np.random.default_rng(12)
+    base = [f"w{int(x)}" for x in rng.integers(0, 9999, 150)]
+    texts = [base]
+    for _ in range(400):
+        w = list(base)
+        for at in rng.integers(0, 145, 2):
+            w[at : at + 3] = [f"x{int(x)}" for x in rng.integers(0, 10**9, 3)]
+        texts.append(w)
+    sizes, real = [], simhash.materialize
+
+    def counted(df, name):
+        out = real(df, name)
+        if name in ("copies-candidates", "copies-rest"):
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "materialize", counted)
+    rows = [(d, " ".join(w)) for d, w in enumerate(texts)]
+    groups = {r["doc_id"]: r["group_id"] for r in simhash.copy_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert groups == dict.fromkeys(range(len(texts)), 0) and max(sizes) <= simhash.TABLES * len(texts)
+
+
+def test_hubs_are_one_a_fingerprint_and_of_another_group(spark):
+    rng = np.random.default_rng(14)
+    base = rng.integers(0, 2**48, (3, 2), np.uint64)
+    rows = []
+    for i in range(150):
+        f = [int(x) ^ sum(1 << int(k) for k in rng.choice(48, int(rng.integers(0, 6)), replace=False)) for x in base[i % 3]]
+        rows.append((i * 7 - 300, 0 if i % 3 == 0 and i < 120 else i % 5, f))
+    by = {r[0]: r for r in rows}
+    df = spark.createDataFrame(rows, "th bigint, g bigint, fps array<bigint>").selectExpr("posexplode(fps) AS (t, fp)", "th", "g", "fps")
+    far = lambda x, y, t: bin(x[2][t] ^ y[2][t]).count("1")
+    want = {(t, x[0]) for t in (0, 1) for x in rows for y in rows if x[1] != y[1] and far(x, y, t) <= 4}
+    for marked in (df.drop("fps"), df):
+        got = [(r["t"], r["th"], r["hub"]) for r in simhash.hubs(marked, 2, 48).collect()]
+        assert len(got) == len(want) and {g[:2] for g in got} == want and len(want) > 100
+        assert all(by[a][1] != by[b][1] and far(by[a], by[b], t) <= 4 for t, a, b in got)
+    alone = {(t, r[2][t]) for t in (0, 1) for r in rows}
+    got = [(r["t"], r["th"], r["hub"]) for r in simhash.hubs(df.select("t", "fp").distinct(), 2, 48).collect()]
+    near = {(t, f) for t, f in alone for s, e in alone if s == t and e != f and bin(e ^ f).count("1") <= 4}
+    assert {g[:2] for g in got} == near and len(got) == len(near) and all((t, h) in alone and 0 < bin(f ^ h).count("1") <= 4 for t, f, h in got)
