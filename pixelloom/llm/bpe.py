@@ -23,9 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import PieceCache, gather
+from .common import give_back
 
 #: Bytes of words in a recursive query, and what a database may hold of memory.
-QUERY_BYTES, MEMORY = 512 << 10, "800MB"
+QUERY_BYTES, MEMORY = 128 << 10, "800MB"
+#: Bytes of text whose new pieces are encoded together: their arrays lie beside the memory of pieces, in each of an executor's workers.
+SLICE = 2 << 20
 #: Distinct pieces in the younger half of a worker's memory.
 PIECES = 320_000
 #: Bytes of a window of a longer word, and ids of a text that are decoded in one string.
@@ -76,7 +79,7 @@ class Codec:
         self.tables = {"merges": pa.table([pa.array(c, pa.int32()) for c in zip(*triples)], names=["l", "r", "m"]),
                        "vocabulary": pa.table([pa.array(list(ranks.values()), pa.int32()), pa.array([t.hex() for t in ranks])], names=["id", "bytes"])}
         self._db = None
-        self.cache = PieceCache(self._pieces, most=PIECES)
+        self.cache = PieceCache(self._pieces, most=PIECES, slice_bytes=SLICE)
 
     @property
     def db(self):
@@ -95,6 +98,7 @@ class Codec:
         if self._db is not None:
             self._db.close()
             self._db = None
+        give_back()
 
     def _query(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         data = np.frombuffer(b"".join(words), np.uint8)
@@ -237,10 +241,12 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text: str = "text", key: s
     check_ranks(ranks)
 
     def run(batches):
+        give_back()
         codec = _codec(ranks, pattern)
         try:
             for b in batches:
                 for at, to, flat, count in codec.cache.encode_texts(b.column(1)):
+                    give_back()
                     yield pa.RecordBatch.from_arrays([b.column(0).slice(at, to - at), _lists(flat, count)], names=["doc_id", "ids"])
         finally:
             codec.rest()
@@ -253,10 +259,12 @@ def round_trip(docs: DataFrame, ranks: str, pattern: str, text: str = "text", ke
     check_ranks(ranks)
 
     def run(batches):
+        give_back()
         codec = _codec(ranks, pattern)
         try:
             for b in batches:
                 for at, to, flat, count in codec.cache.encode_texts(b.column(1)):
+                    give_back()
                     yield pa.RecordBatch.from_arrays([b.column(0).slice(at, to - at), _lists(flat, count), pa.array(codec.decode(flat, count), pa.binary())], names=["doc_id", "ids", "decoded"])
         finally:
             codec.rest()

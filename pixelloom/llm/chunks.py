@@ -20,6 +20,8 @@ _RUN = re.compile(r"\s (?:\s|\Z)")
 _MARKS = ".,;:!?#*$%&|<>()-"
 #: Distinct pieces in the younger half of the memory; when it is full it becomes the older half, and that is dropped.
 MOST = 250_000
+#: Characters and bytes of ids in the younger half of the memory, which makes long pieces count: it is full beyond either bound.
+HELD = 16 << 20
 #: Bytes of text whose new pieces are encoded together, and ids that are handed out at a time (more only for one text).
 SLICE, IDS = 8 << 20, 1 << 19
 
@@ -47,25 +49,30 @@ class _Half:
     def __init__(self):
         self.known: tuple[dict, dict] = ({}, {})
         self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.chars = 0
 
     def __len__(self) -> int:
         return len(self.start)
 
     def add(self, kind: int, pieces: list[str], flat: np.ndarray, size: np.ndarray) -> None:
         self.known[kind].update(zip(pieces, range(len(self), len(self) + len(pieces))))
+        self.chars += sum(map(len, pieces))
         self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(size) - size))
         self.size, self.flat = np.concatenate((self.size, size)), np.concatenate((self.flat, flat))
 
+    def held(self) -> int:
+        return self.chars + self.flat.nbytes
+
     def ids(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return gather(self.flat, self.start[slots], self.size[slots]), self.size[slots]
 
 
 class PieceCache:
     """The ids of texts. ``encode(pieces)`` gives the ids of all pieces in a row and the number of each. A text that holds one of
-    ``special`` is encoded whole."""
+    ``special`` is encoded whole. ``most`` and ``slice_bytes`` stand for MOST and SLICE."""
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], special: tuple[str, ...] = (), most: int | None = None):
-        self.encode, self.special, self.most, self.young, self.old = encode, special, most, _Half(), _Half()
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], special: tuple[str, ...] = (), most: int | None = None, slice_bytes: int | None = None):
+        self.encode, self.special, self.most, self.slice_bytes, self.young, self.old = encode, special, most, slice_bytes, _Half(), _Half()
 
     def _learn(self, kind: int, new: list[str]) -> None:
         """Put ``new`` (distinct, none of them there) into the younger half."""
@@ -143,7 +150,7 @@ class PieceCache:
 
     def _cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Slots of the pieces of all texts in a row, and how many pieces each has."""
-        if len(self.young) > (self.most or MOST):
+        if len(self.young) > (self.most or MOST) or self.young.held() > HELD:
             self.old, self.young = self.young, _Half()
         odd = pc.match_substring_regex(texts, _UNEVEN)
         for s in self.special:
@@ -166,7 +173,7 @@ class PieceCache:
         full = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
         a = 0
         while a < len(texts):
-            b = max(a + 1, int(np.searchsorted(full, (full[a - 1] if a else 0) + SLICE, "right")))
+            b = max(a + 1, int(np.searchsorted(full, (full[a - 1] if a else 0) + (self.slice_bytes or SLICE), "right")))
             slots, count = self._cut(texts.slice(a, b - a))
             pieces = np.concatenate(([0], np.cumsum(count)))
             ids = np.concatenate(([0], np.cumsum(self.young.size[slots])))[pieces]

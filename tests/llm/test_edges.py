@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 import pytest
 import tiktoken
@@ -354,3 +355,30 @@ def test_words_longer_than_a_window(monkeypatch):
     flat, _, _ = codec.words([huge])
     assert codec.decode(flat, np.array([len(flat)])) == [huge] and len(flat) == 1_000_000
     codec.rest()
+
+
+def test_bpe_works_in_small_steps():
+    """What a worker holds beside its memory of pieces follows the bytes of a slice and of a query."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    codec, plain = bpe.Codec(path, public_tokenizers.PATTERN), tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    rng, slices, asked, cut, query = np.random.default_rng(3), [], [], codec.cache._cut, codec._query
+    letters = rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 900_000)
+    words = ["".join(letters[k : k + 9]) for k in range(0, 900_000, 9)]
+    texts = [" ".join(words[k : k + 2000]) for k in range(0, len(words), 2000)] * 5
+    codec.cache._cut = lambda t: slices.append(pc.sum(pc.binary_length(t)).as_py()) or cut(t)
+    codec._query = lambda w: asked.append(sum(map(len, w))) or query(w)
+    got = [x.tolist() for a, b, flat, count in codec.cache.encode_texts(pa.array(texts)) for x in np.split(flat, np.cumsum(count)[:-1])]
+    codec.rest()
+    assert got == [plain.encode_ordinary(t) for t in texts]
+    assert max(slices) <= 2 << 20 and max(asked) <= 128 << 10 and len(slices) > 1
+
+
+def test_memory_of_long_pieces_is_bounded():
+    """Pieces of 20,000 characters: the memory is bounded by what they hold, not by their number alone."""
+    encode = lambda pieces: (np.zeros(sum(map(len, pieces)), np.uint32), np.array([len(x) for x in pieces], np.int64))
+    cache = chunks.PieceCache(encode, slice_bytes=1 << 20)
+    for k in range(40):
+        texts = pa.array([f"{k}x{n}" + "a" * 20_000 for n in range(50)])
+        assert [n for _, _, _, count in cache.encode_texts(texts) for n in count] == [len(t) for t in texts.to_pylist()]
+        assert cache.young.held() <= chunks.HELD + (6 << 20) and cache.old.held() <= chunks.HELD + (6 << 20)
+    assert sum(map(len, cache.young.known)) < 400
